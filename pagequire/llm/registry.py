@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import chat, decontaminate, jaccard, language, licences, linkgraph, mixing, sql, topk, toxicity, warc
+from .store import cut, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,66 @@ def op8_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return jaccard.join(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op3_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
+    vectors = rows.select(F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> cast(floor(256 * cast(x as double)) as int))").alias("v"))
+    found = topk.search(vectors, vectors.filter("id % 50 = 0"))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    got = decontaminate.judge(docs.select(F.col("doc_id").alias("row"), "text"), items)
+    return got.select(F.col("row").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+RULES = (
+    linkgraph.Rule("allow", "org", "/"),
+    linkgraph.Rule("block", "example.org", "/es/"),
+    linkgraph.Rule("block", "example.org", "/en/1"),
+    linkgraph.Rule("allow", "com", "/fr/"),
+    linkgraph.Rule("block", "com", "/de/"),
+)
+
+
+def op6_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = linkgraph.verdicts(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+    return got.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", mixing.n_words(F.col("text")).alias("size"))
+    docs = cut(docs)
+    mixed = mixing.mix(docs)
+    taken = mixed.groupBy("key").agg(F.sum("size").alias("taken"))
+    plan = mixing.targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), (5, 2, 1), 1.5, 2.0).withColumnRenamed("source", "s")
+    full = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).join(taken, "key", "left")
+    return full.select(F.col("key").alias("doc_id"), "size", F.col("source_size"), "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
