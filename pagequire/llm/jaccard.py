@@ -147,6 +147,48 @@ def _content(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     return docs.filter("text IS NOT NULL").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "s long, v array<long>").groupBy("s").agg(F.first("v").alias("v"))
 
 
+def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
+    bits = np.zeros(1 << log_bits, np.uint8)
+    bits[(values.view(np.uint64) >> _U(7)) & _U((1 << log_bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _sketches(content: DataFrame) -> DataFrame:
+    """(s, n, m): the bitmap of each set, whose width doubles its size or more."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [v.values.to_numpy() for v in b.column(1)]
+            maps = [_bitmap(v, min(20, max(6, int(v.size - 1).bit_length() + 1))) for v in sets]
+            yield pa.record_batch({"s": b.column(0), "n": pa.array([v.size for v in sets], pa.int32()), "m": pa.array(maps, pa.binary())})
+
+    return content.select("s", "v").mapInArrow(draw, "s long, n int, m binary")
+
+
+def _bound(na: np.ndarray, nb: np.ndarray, alone_a: np.ndarray, alone_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the overlap may be large enough: a bit that the other lacks stands for one element at least that it lacks."""
+    most = np.minimum(na - alone_a, nb - alone_b)
+    return (num + den) * most >= num * (na + nb)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that the bitmaps leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for na, ma, nb, mb in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                size = min(len(ma), len(mb))
+                x, y = (np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, size // 8)) for m in (ma, mb))
+                keep.append(bool(_bound(na, nb, np.bitwise_count(x & ~y).sum(dtype=np.int64), np.bitwise_count(y & ~x).sum(dtype=np.int64), num, den)))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch({"a": b.column(0).filter(mask), "b": b.column(1).filter(mask)})
+
+    left = pairs.join(sketches.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")), "a")
+    full = left.join(sketches.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb")), "b")
+    return full.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
 
@@ -162,18 +204,20 @@ def _verified(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataF
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch({"a": a.filter(mask), "b": c.filter(mask)})
 
+    pairs = cut(pairs)
+    shared = pairs.sparkSession.sparkContext.broadcast(bit_set(pairs.select(F.explode(F.array("a", "b")).alias("s")), F.col("s"), ID_BITS))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bit_set(shared.value, b.column(0).to_numpy()), pa.bool_()))
+
+    content = content.select("s", "v").mapInArrow(needed, "s long, v array<long>")
     left = pairs.join(content.select(F.col("s").alias("a"), F.col("v").alias("va")), "a")
     full = left.join(content.select(F.col("s").alias("b"), F.col("v").alias("vb")), "b").select("a", "va", "b", "vb")
     return full.mapInArrow(run, "a long, b long")
 
 
-def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
-    bits = np.zeros(1 << log_bits, np.uint8)
-    bits[(values.view(np.uint64) >> _U(7)) & _U((1 << log_bits) - 1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _tiles(members: DataFrame, content: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     """Pairs (a, b) of different roots in a group `members(g, s, n, root)` whose bitmaps leave them possible."""
     # bands grow by den / num, so similar sets are in one band or in neighbouring ones
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
@@ -185,21 +229,13 @@ def _tiles(members: DataFrame, content: DataFrame, num: int, den: int, tile: int
     own = "transform(sequence(0, k - 1), x -> " + place.format("band", "least(h, x)", "greatest(h, x)", "cast(h > x as int)") + ")"
     up = "if(above > 0, transform(sequence(0, above - 1), x -> " + place.format("band", "h", "-1 - x", "0") + "), array())"
     down = "if(below > 0, transform(sequence(0, below - 1), x -> " + place.format("band - 1", "x", "-1 - h", "1") + "), array())"
-    width = F.expr("least(20, greatest(6, int(ceil(log2(n))) + 1))")
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            maps = [_bitmap(v.values.to_numpy(), w) for v, w in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch({"s": b.column(0), "m": pa.array(maps, pa.binary())})
-
-    sets = members.select("s", "n").distinct().join(content, "s").select("s", "v", width.alias("w")).mapInArrow(draw, "s long, m binary")
-    rows = dealt.join(sets, "s").select("g", "s", "n", "root", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("p")).select("g", "p.*", "s", "n", "root", "m")
+    rows = dealt.join(sketches.select("s", "m"), "s").select("g", "s", "n", "root", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("p")).select("g", "p.*", "s", "n", "root", "m")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         side, s, n, root = (t.column(c).to_numpy() for c in ("side", "s", "n", "root"))
         maps = t.column("m").to_pylist()
         size = min(map(len, maps))
-        fold = np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, size)) for m in maps]).view(np.uint64)
+        fold = np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, size // 8)) for m in maps])
         i, j = key[2].as_py(), key[3].as_py()
         one = np.flatnonzero(side == 0)
         two = one if i == j else np.flatnonzero(side == 1)
@@ -207,8 +243,7 @@ def _tiles(members: DataFrame, content: DataFrame, num: int, den: int, tile: int
         for x in one:
             alone = np.bitwise_count(fold[x] & ~fold[two]).sum(1, dtype=np.int64)
             other = np.bitwise_count(fold[two] & ~fold[x]).sum(1, dtype=np.int64)
-            most = np.minimum(n[x] - alone, n[two] - other)
-            ok = ((num + den) * most >= num * (n[x] + n[two])) & (root[two] != root[x])
+            ok = _bound(n[x], n[two], alone, other, num, den) & (root[two] != root[x])
             if i == j:
                 ok &= two > x
             out_a.append(np.full(int(ok.sum()), s[x]))
@@ -220,7 +255,7 @@ def _tiles(members: DataFrame, content: DataFrame, num: int, den: int, tile: int
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 3, pivots: int = 6, late: int = 200_000, tile: int = 256) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 2, pivots: int = 8, late: int = 200_000, tile: int = 256) -> DataFrame:
     """(id, n_shingles, component) for each row of `docs(id long, text)` with a non-null id.
 
     Texts link if the Jaccard similarity of their sets of k-word shingles is at least num / den; component is the
@@ -236,6 +271,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
 
     groups = cut(_groups(_prefixes(docs, k, num, den, last)))
     content = cut(_content(docs, k, bit_set(groups.select("s").distinct(), F.col("s"), ID_BITS))) if not groups.isEmpty() else None
+    sketches = cut(_sketches(content)) if content is not None else None
     links, roots, left = None, None, groups.withColumn("root", F.col("s"))
     for turn in range(rounds + 1):
         if content is None or left.isEmpty():
@@ -244,9 +280,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
             at = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
             chosen = left.select("g", F.col("s").alias("ps"), F.col("n").alias("pn"), F.col("root").alias("proot"), at.alias("at")).filter(F.col("at") <= pivots)
             met = left.join(chosen, "g").filter(f"root <> proot AND {den} * least(n, pn) >= {num} * greatest(n, pn)")
-            pairs = met.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct()
+            pairs = _possible(met.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct(), sketches, num, den)
         else:
-            pairs = _tiles(left, content, num, den, tile)
+            pairs = _tiles(left, sketches, num, den, tile)
         found = _verified(pairs, content, num, den)
         links = cut(found if links is None else links.unionByName(found))
         roots = cut(components(links))
