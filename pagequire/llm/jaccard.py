@@ -287,7 +287,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
         links = cut(found if links is None else links.unionByName(found))
         roots = cut(components(links))
         joined = groups.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        open_ = joined.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g")
+        # a group of `pivots` members or fewer has been compared in full by the first round
+        open_ = joined.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter(f"lo <> hi AND c > {pivots}").select("g")
         left = cut(joined.join(open_, "g", "left_semi"))
     if roots is None:
         roots = members.limit(0).select(F.col("s").alias("id"), F.col("s").alias("root"))
