@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import cut
+
 PIECE = 1 << 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -145,15 +147,16 @@ def records(file: io.BufferedIOBase) -> Iterator[Record]:
         yield Record(headers, http, payload)
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16 << 20) -> None:
-    """Write `pages(page_id, url, html)` as WARC archives into `folder`, each of about archive_bytes of payload.
+def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16 << 20, few: int = 100_000) -> None:
+    """Write `pages(page_id, url, html)` as WARC archives into `folder`, each of at most about archive_bytes of payload.
 
     The payload is the html in UTF-8, empty where it is null. Of the rows with equal payloads of at least `least` bytes,
     one with the largest page_id (null lowest; of equal rows any one) becomes a response and the others revisit it; rows
     with smaller payloads are all responses. A null url leaves out the target, a null page_id is written as 'none'.
     Archives go through Spark's text writer, so any file system that Spark knows will do, and a lost task is repeated as
     a whole: a line is a member without its last byte, a zero for members under 16 MiB, and lines end with a zero byte;
-    longer members keep their last byte, and the zero after them is padding, which gzip readers skip.
+    longer members keep their last byte, and the zero after them is padding, which gzip readers skip. few: up to so many
+    groups of equal payloads (about 10 MB) are broadcast.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha", F.sha1("html"))
@@ -161,8 +164,9 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16
     lowest = F.coalesce("page_id", F.lit(-(1 << 63)))
     best = ids.groupBy("sha").agg(F.max(F.struct(lowest.alias("k"), "page_id")).alias("m"), F.sum("c").alias("n")).filter("n > 1").select("sha", F.col("m.page_id").alias("first"))
     ties = ids.filter("c > 1").select(F.col("sha").alias("tsha"), F.col("page_id").alias("tid"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    files = max(1, -(-total // archive_bytes))
+    n, total = rows.agg(F.count("*"), F.sum("size")).first()
+    # few groups of equal payloads spare the shuffle of all payloads; many are joined by it
+    best, ties = (F.broadcast(t) if t.count() <= few else t for t in (cut(best), cut(ties)))
     marked = rows.join(best, "sha", "left").join(ties, (F.col("sha") == F.col("tsha")) & F.col("page_id").eqNullSafe(F.col("tid")), "left")
     # rows that repeat both payload and page_id are numbered, so that one of them can be the response
     tied = marked.filter("tsha IS NOT NULL").withColumn("copy", F.row_number().over(Window.partitionBy("sha", "page_id").orderBy("url")))
@@ -186,8 +190,9 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16
                 lines.append(m[:-1] if m[-1] == 0 else m)
             yield pa.record_batch({"line": pa.array(lines, pa.binary())})
 
-    dealt = out.repartition(files).withColumn("html", F.col("html").cast("binary"))
-    dealt.mapInArrow(build, "line binary").select(F.col("line").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\0").text(folder)
+    lines = out.withColumn("html", F.col("html").cast("binary")).mapInArrow(build, "line binary").select(F.col("line").cast("string").alias("value"))
+    limit = max(1, archive_bytes * n // max(1, total or 0))
+    lines.write.mode("errorifexists").option("lineSep", "\0").option("maxRecordsPerFile", limit).text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
