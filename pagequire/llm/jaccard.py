@@ -239,20 +239,29 @@ def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: in
         i, j = key[2].as_py(), key[3].as_py()
         one = np.flatnonzero(side == 0)
         two = one if i == j else np.flatnonzero(side == 1)
-        out_a, out_b = [], []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for x in one:
             alone = np.bitwise_count(fold[x] & ~fold[two]).sum(1, dtype=np.int64)
             other = np.bitwise_count(fold[two] & ~fold[x]).sum(1, dtype=np.int64)
             ok = _bound(n[x], n[two], alone, other, num, den) & (root[two] != root[x])
             if i == j:
                 ok &= two > x
-            out_a.append(np.full(int(ok.sum()), s[x]))
-            out_b.append(s[two[ok]])
-        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        return pa.table({"a": cat(out_a).astype(np.int64), "b": cat(out_b).astype(np.int64)})
-
-    pairs = rows.groupBy("g", "low", "i", "j").applyInArrow(meet, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            hit = two[ok]
+            later = root[hit] > root[x]  # filed under the one with the larger root, so that members of a large component gather no lists
+            out.append((np.where(later, s[hit], s[x]), np.where(later, s[x], s[hit])))
+        a, b = (np.concatenate([p[k] for p in out] or [np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
+        order = np.argsort(a, kind="stable")
+        keys, first = np.unique(a[order], return_index=True)
+        lists = pa.ListArray.from_arrays(np.append(first, a.size).astype(np.int32), pa.array(b[order]))
+        return pa.table({"a": pa.array(keys, pa.int64()), "b": lists})
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        b = np.unique(t.column("b").combine_chunks().flatten().to_numpy())
+        return pa.table({"a": pa.array(np.full(b.size, key[0].as_py()), pa.int64()), "b": pa.array(b, pa.int64())})
+
+    # groups share many pairs: they travel as lists and are told apart once, by one of their ends
+    lists = rows.groupBy("g", "low", "i", "j").applyInArrow(meet, "a long, b array<long>")
+    return lists.groupBy("a").applyInArrow(merge, "a long, b long")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 2, pivots: int = 8, late: int = 200_000, tile: int = 256) -> DataFrame:
