@@ -29,7 +29,6 @@ def query(sql: str | None = None):
 
 V1, V3, V4, V5, V6, V7 = (f"({x})" for x in (views.BOXES, views.CELLS, views.WORDS, views.EVENTS, views.REVIEWS, views.SETTINGS))
 BOXES = ("x", "y", "w", "h")
-b = geometry.box()
 
 
 def pages_of(boxes: DataFrame) -> DataFrame:
@@ -54,14 +53,14 @@ def dedupe_rects(spark, d):
 @query(f"""SELECT page_id, x, y, w, h, 250 BETWEEN x AND x + w AND 300 BETWEEN y AND y + h AS has, w * h >= 0.6 * 14400 AS anomalous, w * h >= 0.92 * 14400 AS full_page, w > 101 OR h > 91 AS overflows FROM {V1}""")
 def box_predicates(spark, d):
     v = views.boxes(spark, d)
-    return v.withColumns({"has": geometry.contains(L(250), L(300), b), "anomalous": geometry.anomalous(b, L(120), L(120)), "full_page": geometry.full_page(b, L(120), L(120)), "overflows": geometry.overflows(F.col("w"), F.col("h"), L(100), L(90))})
+    return v.withColumns({"has": geometry.contains(L(250), L(300), geometry.box()), "anomalous": geometry.anomalous(geometry.box(), L(120), L(120)), "full_page": geometry.full_page(geometry.box(), L(120), L(120)), "overflows": geometry.overflows(F.col("w"), F.col("h"), L(100), L(90))})
 
 
 @query(f"""SELECT page_id, x, y, w, h, greatest(0, x - m) AS cx, greatest(0, y - m) AS cy, least(480, x + w + m) - greatest(0, x - m) AS cw, least(720, y + h + m) - greatest(0, y - m) AS ch
 FROM (SELECT *, greatest(8, greatest(w, h) * CAST(0.08 AS DOUBLE)) AS m FROM {V1})""")
 def crop_rect_loose(spark, d):
     v = views.boxes(spark, d)
-    return v.select("*", *named("cx cy cw ch", geometry.crop_rect("loose", b, L(PW), L(PH))))
+    return v.select("*", *named("cx cy cw ch", geometry.crop_rect("loose", geometry.box(), L(PW), L(PH))))
 
 
 @query(f"""SELECT page_id, x, y, w, h, s AS scale, greatest(0, bx) AS ux, greatest(0, by_) AS uy, least(480, bx + 600 / s) - greatest(0, bx) AS uw, least(720, by_ + 800 / s) - greatest(0, by_) AS uh,
@@ -69,21 +68,21 @@ CAST(floor((greatest(0, bx) - bx) * s + 0.5) AS BIGINT) AS paste_x, CAST(floor((
 FROM (SELECT *, x + w / 2 - 600 / s / 2 AS bx, y + h / 2 - 800 / s / 2 AS by_ FROM (SELECT *, least(CAST(600 AS DOUBLE) / w, CAST(800 AS DOUBLE) / h) AS s FROM {V1}))""")
 def viewport_box(spark, d):
     v = views.boxes(spark, d)
-    return v.select("*", *[c.alias(k) for k, c in geometry.viewport_box(b, L(PW), L(PH), L(SW), L(SH)).items()])
+    return v.select("*", *[c.alias(k) for k, c in geometry.viewport_box(geometry.box(), L(PW), L(PH), L(SW), L(SH)).items()])
 
 
 @query(f"""SELECT page_id, x, y, w, h, greatest(0, x - m) AS px, greatest(0, y - m) AS py, least(480, x + w + m) - greatest(0, x - m) AS pw, least(720, y + h + m) - greatest(0, y - m) AS ph
 FROM (SELECT *, greatest(1, h * CAST(0.25 AS DOUBLE)) AS m FROM {V1})""")
 def pad_box(spark, d):
     v = views.boxes(spark, d)
-    return v.select("*", *named("px py pw ph", geometry.pad_box(b, 0.25, L(PW), L(PH))))
+    return v.select("*", *named("px py pw ph", geometry.pad_box(geometry.box(), 0.25, L(PW), L(PH))))
 
 
 @query(f"""SELECT page_id, x, y, w, h, CASE WHEN page_id % 2 = 0 AND NOT w * h >= 0.92 * 14400 AND x % 3 > 0 THEN 1 - least(CAST(0.9 AS DOUBLE), CAST(x % 3 AS DOUBLE) / 2) END AS factor, least(CAST(600 AS DOUBLE) / w, CAST(800 AS DOUBLE) / h) AS zoom FROM {V1}""")
 def margin_and_zoom(spark, d):
     v = views.boxes(spark, d)
     mode = F.when(F.col("page_id") % 2 == 0, "margin").otherwise("strict")
-    return v.select("*", geometry.margin_factor(mode, geometry.full_page(b, L(120), L(120)), (F.col("x") % 3).cast("double") / 2).alias("factor"), geometry.fit_zoom(F.col("w"), F.col("h"), L(SW), L(SH)).alias("zoom"))
+    return v.select("*", geometry.margin_factor(mode, geometry.full_page(geometry.box(), L(120), L(120)), (F.col("x") % 3).cast("double") / 2).alias("factor"), geometry.fit_zoom(F.col("w"), F.col("h"), L(SW), L(SH)).alias("zoom"))
 
 
 @query(f"""SELECT page_id, x, y, w, h, CASE WHEN abs(w - x) >= 1 AND abs(h - y) >= 1 THEN least(x, w) END AS cx, CASE WHEN abs(w - x) >= 1 AND abs(h - y) >= 1 THEN least(y, h) END AS cy,
@@ -91,7 +90,7 @@ CASE WHEN abs(w - x) >= 1 AND abs(h - y) >= 1 THEN abs(w - x) END AS cw, CASE WH
 CAST(floor(x * 2.0 + 0.001) - 7 AS BIGINT) AS tx, CAST(floor(y * 2.0 + 0.001) - 9 AS BIGINT) AS ty, CAST(greatest(1, floor(w * 2.0 + 0.5)) AS BIGINT) AS tw, CAST(greatest(1, floor(h * 2.0 + 0.5)) AS BIGINT) AS th FROM {V1}""")
 def corners_and_tiles(spark, d):
     v = views.boxes(spark, d)
-    return v.select("*", *named("cx cy cw ch", geometry.corners_to_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))), *named("tx ty tw th", geometry.native_to_tile(b, 2.0, L(7), L(9))))
+    return v.select("*", *named("cx cy cw ch", geometry.corners_to_box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))), *named("tx ty tw th", geometry.native_to_tile(geometry.box(), 2.0, L(7), L(9))))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT page_id, page_id % 2 = 0 AS manga, CAST(page_id % 480 AS DOUBLE) AS hx, CAST(page_id % 720 AS DOUBLE) AS hy FROM {V1}),
@@ -147,7 +146,7 @@ def uncovered_probes(spark, d):
 
 @query(f"SELECT p.*, v.x, v.y, v.w, v.h FROM {_POINTS} p JOIN {V1} v ON v.page_id = p.page_id AND p.px BETWEEN v.x AND v.x + v.w AND p.py BETWEEN v.y AND v.y + v.h")
 def point_in_rect(spark, d):
-    return points(spark, d).join(views.boxes(spark, d), "page_id").filter(geometry.contains(F.col("px"), F.col("py"), b))
+    return points(spark, d).join(views.boxes(spark, d), "page_id").filter(geometry.contains(F.col("px"), F.col("py"), geometry.box()))
 
 
 @query(f"""SELECT a.page_id, a.x, a.y, a.w, a.h, CAST(sum(CASE WHEN least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x) AND least(a.y + a.h, c.y + c.h) > greatest(a.y, c.y)
@@ -155,7 +154,7 @@ def point_in_rect(spark, d):
 def rect_intersections(spark, d):
     v = views.boxes(spark, d)
     o = v.select("page_id", *[F.col(c).alias("o_" + c) for c in BOXES])
-    return v.join(o, "page_id").groupBy("page_id", *BOXES).agg(F.sum(geometry.overlap(b, geometry.box("o_"))).alias("shared"))
+    return v.join(o, "page_id").groupBy("page_id", *BOXES).agg(F.sum(geometry.overlap(geometry.box(), geometry.box("o_"))).alias("shared"))
 
 
 @query(f"""{_ORDER}, s AS (SELECT CAST(p.o_orderkey % 50 AS VARCHAR) AS doc, p.o_orderkey AS page_id, o.panel_idx FROM (SELECT DISTINCT o_orderkey FROM orders) p LEFT JOIN o ON o.page_id = p.o_orderkey)
