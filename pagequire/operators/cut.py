@@ -11,7 +11,7 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import project
+from .raster import profile
 
 KEYS = ("page_id", "path")
 
@@ -21,16 +21,16 @@ def trim(runs: DataFrame, *keys: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.expr("x1 - x0 + 1")).alias("ink"))
 
 
-def gutters(profile: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+def gutters(ink: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
     """(keys, axis, start, len): interior bands of near-empty lines of at least min_len.
 
     spans(keys, row_span, col_span, min_len): the extent that a row or a column is measured against. A line is empty if
-    count * 1000 <= span * 5. Bands are what lies between a line with ink and the next one, so they never touch the ends.
+    count * 1000 <= span * 5; ink is a profile. Bands are what lies between a line with ink and the next one, so they never touch the ends.
     """
     span = F.when(F.col("axis") == "row", F.col("row_span")).otherwise(F.col("col_span"))
-    inked = profile.join(spans, list(keys)).filter(F.col("count") * 1000 > span * 5)
+    inked = ink.join(spans, list(keys)).filter(F.col("count") * 1000 > span * 5)
     w = Window.partitionBy(*keys, "axis").orderBy("pos")
-    bands = inked.withColumn("start", F.col("pos") + 1).withColumn("len", F.lead("pos").over(w) - F.col("pos") - 1)
+    bands = inked.withColumn("start", F.col("last") + 1).withColumn("len", F.lead("pos").over(w) - F.col("last") - 1)
     return bands.filter("len >= min_len").select(*keys, "axis", "start", "len")
 
 
@@ -44,7 +44,7 @@ def decide(runs: DataFrame, min_len: DataFrame, *keys: str) -> DataFrame:
     """Trimmed regions with split (row, col or leaf), start and len: rows win ties of length."""
     box = trim(runs, *keys)
     spans = box.join(min_len, "page_id").select(*keys, (F.col("x1") - F.col("x0") + 1).alias("row_span"), (F.col("y1") - F.col("y0") + 1).alias("col_span"), "min_len")
-    best = widest(gutters(project(runs, *keys), spans, *keys), *keys)
+    best = widest(gutters(profile(runs, *keys), spans, *keys), *keys)
     by = best.groupBy(*keys).agg(*[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}") for a in ("row", "col") for c in ("start", "len")])
     full = box.join(by, list(keys), "left").na.fill(0, ["row_len", "col_len"])
     split = F.when((F.col("row_len") > 0) & (F.col("row_len") >= F.col("col_len")), "row").when(F.col("col_len") > 0, "col").otherwise("leaf")

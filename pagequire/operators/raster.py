@@ -69,15 +69,20 @@ def runs_of_boxes(boxes: DataFrame) -> DataFrame:
     return merged_runs(rows)
 
 
-def project(runs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, axis, pos, count): ink on each line (axis row) and in each column (axis col) that has some.
+def profile(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, axis, pos, last, count): stretches of lines (axis row) and of columns (axis col) with equal ink, without empty ones.
 
-    Columns come from the starts and ends of runs: the running sum of +1 and -1 holds between one such place and the
-    next, so only these places are summed up and only inked columns are written out.
+    Columns come from the starts and ends of runs: the running sum of +1 and -1 holds from one such place to the next,
+    so the rows follow the runs and not the width of a region.
     """
     rows = runs.groupBy(*keys, F.col("y").alias("pos")).agg(F.sum(F.expr("x1 - x0 + 1")).alias("count"))
     steps = runs.select(*keys, F.explode(F.array(F.struct(F.col("x0").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("s")).select(*keys, "s.*")
     order = Window.partitionBy(*keys).orderBy("pos")
-    level = steps.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).withColumn("count", F.sum("d").over(order)).withColumn("end", F.lead("pos").over(order))
-    cols = level.filter("count > 0").select(*keys, F.explode(F.expr("sequence(pos, end - 1)")).alias("pos"), "count")
-    return rows.select(*keys, F.lit("row").alias("axis"), F.col("pos").cast("int").alias("pos"), "count").unionByName(cols.select(*keys, F.lit("col").alias("axis"), F.col("pos").cast("int").alias("pos"), "count"))
+    level = steps.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).withColumn("count", F.sum("d").over(order)).withColumn("last", F.lead("pos").over(order) - 1)
+    shape = lambda axis, last: [*keys, F.lit(axis).alias("axis"), F.col("pos").cast("int").alias("pos"), F.col(last).cast("int").alias("last"), "count"]
+    return rows.select(*shape("row", "pos")).unionByName(level.filter("count > 0").select(*shape("col", "last")))
+
+
+def project(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, axis, pos, count): ink on each line and in each column that has some, in full."""
+    return profile(runs, *keys).withColumn("pos", F.explode(F.sequence("pos", "last"))).drop("last")

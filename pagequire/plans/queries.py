@@ -198,7 +198,7 @@ SELECT page_id, x, y, w, h, CASE WHEN ok THEN CAST(floor({_TURN.format("1 - v1",
 def page_to_screen(spark, d):
     v = views.boxes(spark, d)
     crop = (L(50.0), L(60.0), L(300.0), L(400.0))
-    return v.select("*", *named("sx sy sw sh", geometry.page_to_screen(b, crop, L(600.0), L(800.0), L(5.0), L(-3.0), F.col("page_id") % 4 * 90)))
+    return v.select("*", *named("sx sy sw sh", geometry.page_to_screen(geometry.box(), crop, L(600.0), L(800.0), L(5.0), L(-3.0), F.col("page_id") % 4 * 90)))
 
 
 @query(f"""WITH c AS (SELECT event_id, least(greatest((x - 5) / 600, 0), 1) AS u, least(greatest((y + 3) / 800, 0), 1) AS v, event_id % 4 AS r FROM {V5} WHERE x IS NOT NULL AND y IS NOT NULL)
@@ -384,7 +384,7 @@ g AS (SELECT page_id, axis, pos + 1 AS start, lead(pos) OVER (PARTITION BY page_
 def widest_gutters(spark, d):
     r = runs(spark, d)
     spans = cut.trim(r, "page_id").select("page_id", F.expr("x1 - x0 + 1").alias("row_span"), F.expr("y1 - y0 + 1").alias("col_span"), L(2).alias("min_len"))
-    return cut.widest(cut.gutters(raster.project(r, "page_id"), spans, "page_id"), "page_id")
+    return cut.widest(cut.gutters(raster.profile(r, "page_id"), spans, "page_id"), "page_id")
 
 
 @query(f"""{_CUT1}, w AS (SELECT page_id, axis, max(len) AS len FROM g WHERE len >= 2 GROUP BY ALL), v AS (SELECT page_id, max(CASE WHEN axis = 'row' THEN len END) AS r, max(CASE WHEN axis = 'col' THEN len END) AS c FROM w GROUP BY 1)
