@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import cut
 from .words import ALNUM, hashed
 
 PREFIXES = (4, 5, 6)
@@ -98,6 +99,13 @@ def _descend(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float, fai
     return w, b
 
 
+def draw(labels: DataFrame, sample: int = 3000) -> DataFrame:
+    """About `sample` rows of each class of `labels(doc_id, toxic)`, by a hash of doc_id: few enough to be broadcast to the texts."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").distinct()
+    rate = {r["toxic"]: min(1.0, sample / r["count"]) * (1 << 20) for r in known.groupBy("toxic").count().collect()}
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0))))
+
+
 def fit(labelled: DataFrame, sample: int = 3000, keep: int = 2000, ridge: float = 1e-3, fair: float = 1.0, steps: int = 400, kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
     """Learn from `labelled(text, toxic)`; rows with null text or a label other than 0 and 1 take no part.
 
@@ -112,7 +120,7 @@ def fit(labelled: DataFrame, sample: int = 3000, keep: int = 2000, ridge: float
         return Model(np.zeros(0, np.uint64), np.zeros(0), 4.0 if 1 in totals else -40.0)
     rate = {k: min(1.0, sample / v) for k, v in totals.items()}
     share = F.when(F.col("toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0])) * (1 << 20)
-    drawn = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+    drawn = cut(known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share))
     n = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     swaps = _Swaps(kinds)
 
