@@ -18,6 +18,16 @@ from pagequire.llm.store import cut, shared_dir
 LEAST_LANGUAGE = 0.25
 
 
+#: Up to so many ids (8 MB) are broadcast against the documents; more are joined by a shuffle.
+FEW_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not among the ids; a null doc_id stays."""
+    ids = cut(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a toxicity score below 0.5 stay; the model learns from the given labels of these documents."""
     model = registry.toxicity_model(docs, registry.table(spark, sf_dir, "labels"))
@@ -34,7 +44,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays; a null doc_id is its own group."""
     groups = jaccard.join(docs.select(F.col("doc_id").alias("id"), "text"))
     copies = groups.filter("component <> id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    return _without(docs, copies)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +52,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     items = registry.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     judged = decontaminate.judge(docs.select(F.col("doc_id").alias("row"), "text"), items)
     bad = judged.filter("contaminated").select(F.col("row").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return _without(docs, bad)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
