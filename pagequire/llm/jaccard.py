@@ -8,7 +8,8 @@
    through others. Groups whose members all belong together are finished.
 4. What is left goes through tiles: members are dealt by size band and hash into tiles of a bounded size, and tiles of
    compatible bands meet. Each set carries a hashed bitmap, as wide as its band; bits of one that the other lacks bound
-   the overlap from above, and only pairs under that bound go to the exact intersection of sorted arrays.
+   the overlap from above. Pairs under that bound meet wider bitmaps, with a tighter bound, and only what these leave
+   goes to the exact intersection of sorted arrays.
 5. Links become components.
 """
 
@@ -153,13 +154,13 @@ def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _sketches(content: DataFrame) -> DataFrame:
-    """(s, n, m): the bitmap of each set, whose width doubles its size or more."""
+def _sketches(content: DataFrame, log_width: int) -> DataFrame:
+    """(s, n, m): the bitmap of each set, with 2**log_width to twice as many bits for each element; fewer in sets of over 2**20 / 2**log_width."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [v.values.to_numpy() for v in b.column(1)]
-            maps = [_bitmap(v, min(20, max(6, int(v.size - 1).bit_length() + 1))) for v in sets]
+            maps = [_bitmap(v, min(20, max(6, int(v.size - 1).bit_length() + log_width))) for v in sets]
             yield pa.record_batch({"s": b.column(0), "n": pa.array([v.size for v in sets], pa.int32()), "m": pa.array(maps, pa.binary())})
 
     return content.select("s", "v").mapInArrow(draw, "s long, n int, m binary")
@@ -189,6 +190,18 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     return full.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(run, "a long, b long")
 
 
+def _needed(content: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets (s, v) that the pairs (a, b) name, and a few more."""
+    ends = pairs.select(F.col("a").alias("s")).distinct().unionByName(pairs.select(F.col("b").alias("s")).distinct())
+    shared = pairs.sparkSession.sparkContext.broadcast(bit_set(ends, F.col("s"), ID_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bit_set(shared.value, b.column(0).to_numpy()), pa.bool_()))
+
+    return content.select("s", "v").mapInArrow(run, "s long, v array<long>")
+
+
 def _verified(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough."""
 
@@ -205,13 +218,7 @@ def _verified(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataF
             yield pa.record_batch({"a": a.filter(mask), "b": c.filter(mask)})
 
     pairs = cut(pairs)
-    shared = pairs.sparkSession.sparkContext.broadcast(bit_set(pairs.select(F.explode(F.array("a", "b")).alias("s")), F.col("s"), ID_BITS))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_bit_set(shared.value, b.column(0).to_numpy()), pa.bool_()))
-
-    content = content.select("s", "v").mapInArrow(needed, "s long, v array<long>")
+    content = _needed(content, pairs)
     left = pairs.join(content.select(F.col("s").alias("a"), F.col("v").alias("va")), "a")
     full = left.join(content.select(F.col("s").alias("b"), F.col("v").alias("vb")), "b").select("a", "va", "b", "vb")
     return full.mapInArrow(run, "a long, b long")
@@ -280,7 +287,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
 
     groups = cut(_groups(_prefixes(docs, k, num, den, last)))
     content = cut(_content(docs, k, bit_set(groups.select("s").distinct(), F.col("s"), ID_BITS))) if not groups.isEmpty() else None
-    sketches = cut(_sketches(content)) if content is not None else None
+    sketches = cut(_sketches(content, 2)) if content is not None else None
     links, roots, left = None, None, groups.withColumn("root", F.col("s"))
     for turn in range(rounds + 1):
         if content is None or left.isEmpty():
@@ -291,7 +298,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
             met = left.join(chosen, "g").filter(f"root <> proot AND {den} * least(n, pn) >= {num} * greatest(n, pn)")
             pairs = _possible(met.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct(), sketches, num, den)
         else:
-            pairs = _tiles(left, sketches, num, den, tile)
+            near = cut(_tiles(left, sketches, num, den, tile))
+            pairs = _possible(near, _sketches(_needed(content, near), 5), num, den)
         found = _verified(pairs, content, num, den)
         links = cut(found if links is None else links.unionByName(found))
         roots = cut(components(links))
