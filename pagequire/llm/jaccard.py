@@ -9,13 +9,13 @@
 4. What is left goes through tiles: members are dealt by size band and hash into tiles of a bounded size, and tiles of
    compatible bands meet. Each set carries a hashed bitmap, as wide as its band; bits of one that the other lacks bound
    the overlap from above. Pairs under that bound meet wider bitmaps, with a tighter bound, and only what these leave
-   goes to the exact intersection of sorted arrays.
+   goes to the exact intersection of sorted arrays. Bitmaps and arrays are drawn anew from the texts when needed.
 5. Links become components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,24 +128,26 @@ def _groups(prefixes: DataFrame) -> DataFrame:
     return named.groupBy("g", "s").agg(F.first("n").alias("n"))
 
 
-def _content(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """(s, v): the sorted shingles of each set that may be wanted."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _drawn(docs: DataFrame, first: DataFrame, sets: DataFrame, k: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(s, n, x): what `make` gives of the sorted shingles of each of `sets(s)`, and of a few others.
+
+    Texts are read anew, but only those are hashed whose ids `first(s, first)` names for these sets, told by a bit set
+    of a fixed size. So no set is stored or shuffled before it is known to be needed.
+    """
+    ids = first.join(sets, "s", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(ids, F.col("first"), ID_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                names, values = [], []
-                for v in _sets(b.column(0).slice(lo, 512).to_pylist(), k):
-                    name = _name(v)
-                    if v.size and in_bit_set(shared.value, np.array([name]))[0]:
-                        names.append(name)
-                        values.append(v.view(np.int64))
-                if names:
-                    off = np.cumsum([0] + [v.size for v in values])
-                    yield pa.record_batch({"s": pa.array(names, pa.int64()), "v": pa.LargeListArray.from_arrays(off, pa.array(np.concatenate(values))).cast(pa.list_(pa.int64()))})
+            b = b.filter(pa.array(in_bit_set(shared.value, b.column(0).to_numpy()), pa.bool_()))
+            for lo in range(0, b.num_rows, 256):
+                rows = [(_name(v), v.size, make(v)) for v in _sets(b.column(1).slice(lo, 256).to_pylist(), k) if v.size]
+                if rows:
+                    s, n, x = zip(*rows, strict=True)
+                    yield pa.record_batch({"s": pa.array(s, pa.int64()), "n": pa.array(n, pa.int32()), "x": pa.array(x, pa.binary())})
 
-    return docs.filter("text IS NOT NULL").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "s long, v array<long>").groupBy("s").agg(F.first("v").alias("v"))
+    texts = docs.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long"), F.col("text").cast("binary"))
+    return texts.mapInArrow(run, "s long, n int, x binary").groupBy("s").agg(F.first("n").alias("n"), F.first("x").alias("x"))
 
 
 def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
@@ -154,16 +156,9 @@ def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _sketches(content: DataFrame, log_width: int) -> DataFrame:
-    """(s, n, m): the bitmap of each set, with 2**log_width to twice as many bits for each element; fewer in sets of over 2**20 / 2**log_width."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [v.values.to_numpy() for v in b.column(1)]
-            maps = [_bitmap(v, min(20, max(6, int(v.size - 1).bit_length() + log_width))) for v in sets]
-            yield pa.record_batch({"s": b.column(0), "n": pa.array([v.size for v in sets], pa.int32()), "m": pa.array(maps, pa.binary())})
-
-    return content.select("s", "v").mapInArrow(draw, "s long, n int, m binary")
+def _sketch(log_width: int) -> Callable[[np.ndarray], bytes]:
+    """Draws bitmaps with 2**log_width to twice as many bits for each element; fewer in sets of over 2**20 / 2**log_width."""
+    return lambda v: _bitmap(v, min(20, max(6, int(v.size - 1).bit_length() + log_width)))
 
 
 def _bound(na: np.ndarray, nb: np.ndarray, alone_a: np.ndarray, alone_b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -185,42 +180,32 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch({"a": b.column(0).filter(mask), "b": b.column(1).filter(mask)})
 
-    left = pairs.join(sketches.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")), "a")
-    full = left.join(sketches.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb")), "b")
+    left = pairs.join(sketches.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("x").alias("ma")), "a")
+    full = left.join(sketches.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("x").alias("mb")), "b")
     return full.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(run, "a long, b long")
 
 
-def _needed(content: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets (s, v) that the pairs (a, b) name, and a few more."""
-    ends = pairs.select(F.col("a").alias("s")).distinct().unionByName(pairs.select(F.col("b").alias("s")).distinct())
-    shared = pairs.sparkSession.sparkContext.broadcast(bit_set(ends, F.col("s"), ID_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_bit_set(shared.value, b.column(0).to_numpy()), pa.bool_()))
-
-    return content.select("s", "v").mapInArrow(run, "s long, v array<long>")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s")).distinct().unionByName(pairs.select(F.col("b").alias("s")).distinct())
 
 
 def _verified(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    """Those of the pairs (a, b) whose sets, in `content(s, x)`, are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, va, c, vc = b.columns
             keep = []
             for i in range(b.num_rows):
-                x, y = va[i].values.to_numpy(), vc[i].values.to_numpy()
+                x, y = (np.frombuffer(v[i].as_buffer(), np.uint64) for v in (va, vc))
                 both = np.sort(np.concatenate([x, y]), kind="stable")  # merges two sorted runs
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(den * common >= num * (x.size + y.size - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch({"a": a.filter(mask), "b": c.filter(mask)})
 
-    pairs = cut(pairs)
-    content = _needed(content, pairs)
-    left = pairs.join(content.select(F.col("s").alias("a"), F.col("v").alias("va")), "a")
-    full = left.join(content.select(F.col("s").alias("b"), F.col("v").alias("vb")), "b").select("a", "va", "b", "vb")
+    left = pairs.join(content.select(F.col("s").alias("a"), F.col("x").alias("va")), "a")
+    full = left.join(content.select(F.col("s").alias("b"), F.col("x").alias("vb")), "b").select("a", "va", "b", "vb")
     return full.mapInArrow(run, "a long, b long")
 
 
@@ -228,7 +213,9 @@ def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: in
     """Pairs (a, b) of different roots in a group `members(g, s, n, root)` whose bitmaps leave them possible."""
     # bands grow by den / num, so similar sets are in one band or in neighbouring ones
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
-    counts = banded.groupBy("g", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("k"))
+    # so many sets that their bitmaps, of about a byte for each element, take some MB at most
+    most = F.greatest(F.lit(64.0), F.least(F.lit(float(tile)), (1 << 22) / F.pow(F.lit(den / num), F.col("band") + 1)))
+    counts = banded.groupBy("g", "band").agg(F.count("*").alias("c")).select("g", "band", F.ceil(F.col("c") / most).cast("int").alias("k"))
     near = counts.join(counts.select("g", (F.col("band") - 1).alias("band"), F.col("k").alias("above")), ["g", "band"], "left")
     near = near.join(counts.select("g", (F.col("band") + 1).alias("band"), F.col("k").alias("below")), ["g", "band"], "left").na.fill(0, ["above", "below"])
     dealt = banded.join(near, ["g", "band"]).withColumn("h", F.pmod(F.xxhash64("s"), F.col("k")).cast("int"))
@@ -236,7 +223,7 @@ def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: in
     own = "transform(sequence(0, k - 1), x -> " + place.format("band", "least(h, x)", "greatest(h, x)", "cast(h > x as int)") + ")"
     up = "if(above > 0, transform(sequence(0, above - 1), x -> " + place.format("band", "h", "-1 - x", "0") + "), array())"
     down = "if(below > 0, transform(sequence(0, below - 1), x -> " + place.format("band - 1", "x", "-1 - h", "1") + "), array())"
-    rows = dealt.join(sketches.select("s", "m"), "s").select("g", "s", "n", "root", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("p")).select("g", "p.*", "s", "n", "root", "m")
+    rows = dealt.join(sketches.select("s", F.col("x").alias("m")), "s").select("g", "s", "n", "root", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("p")).select("g", "p.*", "s", "n", "root", "m")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         side, s, n, root = (t.column(c).to_numpy() for c in ("side", "s", "n", "root"))
@@ -271,13 +258,13 @@ def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: in
     return lists.groupBy("a").applyInArrow(merge, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 2, pivots: int = 8, late: int = 200_000, tile: int = 256) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 2, pivots: int = 8, late: int = 200_000, tile: int = 1024) -> DataFrame:
     """(id, n_shingles, component) for each row of `docs(id long, text)` with a non-null id.
 
     Texts link if the Jaccard similarity of their sets of k-word shingles is at least num / den; component is the
     smallest id that links reach. Texts without words, and null ones, have the empty set and link to nothing. Repeated
     ids give a row each. late: shingles that are put last in the order; they only change how much work there is, not
-    the result. rounds, pivots: of step 3, which only spares work as well. tile: sets that one task compares at a time. Shingles and sets are told apart by 64-bit hashes.
+    the result. rounds, pivots: of step 3, which only spares work as well. tile: sets that one task compares to as many at a time, fewer if they are large. Shingles and sets are told apart by 64-bit hashes.
     """
     docs = docs.select("id", "text")
     seen = cut(described(docs, k))
@@ -285,12 +272,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
     last = hot.sort_values(["n", "set"])["set"].to_numpy(np.int64).view(np.uint64)
     members = seen.filter("id IS NOT NULL").select("id", F.col("n").alias("n_shingles"), F.col("set").alias("s"))
 
+    first = cut(members.filter("n_shingles > 0").groupBy("s").agg(F.min("id").alias("first")))
     groups = cut(_groups(_prefixes(docs, k, num, den, last)))
-    content = cut(_content(docs, k, bit_set(groups.select("s").distinct(), F.col("s"), ID_BITS))) if not groups.isEmpty() else None
-    sketches = cut(_sketches(content, 2)) if content is not None else None
+    drawn = lambda sets, make: cut(_drawn(docs, first, sets, k, make))
+    sketches = None if groups.isEmpty() else drawn(groups.select("s"), _sketch(2))
     links, roots, left = None, None, groups.withColumn("root", F.col("s"))
     for turn in range(rounds + 1):
-        if content is None or left.isEmpty():
+        if sketches is None or left.isEmpty():
             break
         if turn < rounds:
             at = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
@@ -299,8 +287,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
             pairs = _possible(met.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct(), sketches, num, den)
         else:
             near = cut(_tiles(left, sketches, num, den, tile))
-            pairs = _possible(near, _sketches(_needed(content, near), 5), num, den)
-        found = _verified(pairs, content, num, den)
+            pairs = _possible(near, drawn(_ends(near), _sketch(5)), num, den)
+        pairs = cut(pairs)
+        found = _verified(pairs, drawn(_ends(pairs), np.ndarray.tobytes), num, den)
         links = cut(found if links is None else links.unionByName(found))
         roots = cut(components(links))
         joined = groups.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
@@ -309,7 +298,6 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
         left = cut(joined.join(open_, "g", "left_semi"))
     if roots is None:
         roots = members.limit(0).select(F.col("s").alias("id"), F.col("s").alias("root"))
-    first = members.filter("n_shingles > 0").groupBy("s").agg(F.min("id").alias("first"))
     rooted = first.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("s", "component")
