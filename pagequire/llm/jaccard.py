@@ -4,7 +4,7 @@
 2. Two sets that are similar enough share a shingle among each one's first few, in any order that all sets agree on.
    The order puts shingles that are frequent within a batch of texts last and goes by hash otherwise. Only these
    prefixes are shuffled; a group is the sets that hold one shingle in their prefix.
-3. A few rounds compare some pivots of each group to those members that are not yet linked to them, directly or
+3. A round or more compare some pivots of each group to those members that are not yet linked to them, directly or
    through others. Groups whose members all belong together are finished.
 4. What is left goes through tiles: members are dealt by size band and hash into tiles of a bounded size, and tiles of
    compatible bands meet. Each set carries a hashed bitmap, as wide as its band; bits of one that the other lacks bound
@@ -215,12 +215,12 @@ def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: in
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
     # so many sets that their bitmaps, of about a byte for each element, take some MB at most
     most = F.greatest(F.lit(64.0), F.least(F.lit(float(tile)), (1 << 22) / F.pow(F.lit(den / num), F.col("band") + 1)))
-    counts = banded.groupBy("g", "band").agg(F.count("*").alias("c")).select("g", "band", F.ceil(F.col("c") / most).cast("int").alias("k"))
+    counts = banded.groupBy("g", "band").agg(F.count("*").alias("c")).select("g", "band", "c", F.ceil(F.col("c") / most).cast("int").alias("k"))
     near = counts.join(counts.select("g", (F.col("band") - 1).alias("band"), F.col("k").alias("above")), ["g", "band"], "left")
     near = near.join(counts.select("g", (F.col("band") + 1).alias("band"), F.col("k").alias("below")), ["g", "band"], "left").na.fill(0, ["above", "below"])
     dealt = banded.join(near, ["g", "band"]).withColumn("h", F.pmod(F.xxhash64("s"), F.col("k")).cast("int"))
     place = "named_struct('low', {}, 'i', {}, 'j', {}, 'side', {})"
-    own = "transform(sequence(0, k - 1), x -> " + place.format("band", "least(h, x)", "greatest(h, x)", "cast(h > x as int)") + ")"
+    own = "if(c > 1, transform(sequence(0, k - 1), x -> " + place.format("band", "least(h, x)", "greatest(h, x)", "cast(h > x as int)") + "), array())"
     up = "if(above > 0, transform(sequence(0, above - 1), x -> " + place.format("band", "h", "-1 - x", "0") + "), array())"
     down = "if(below > 0, transform(sequence(0, below - 1), x -> " + place.format("band - 1", "x", "-1 - h", "1") + "), array())"
     rows = dealt.join(sketches.select("s", F.col("x").alias("m")), "s").select("g", "s", "n", "root", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("p")).select("g", "p.*", "s", "n", "root", "m")
@@ -258,7 +258,7 @@ def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: in
     return lists.groupBy("a").applyInArrow(merge, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 2, pivots: int = 8, late: int = 200_000, tile: int = 1024) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 1, pivots: int = 8, late: int = 200_000, tile: int = 1024) -> DataFrame:
     """(id, n_shingles, component) for each row of `docs(id long, text)` with a non-null id.
 
     Texts link if the Jaccard similarity of their sets of k-word shingles is at least num / den; component is the
@@ -275,7 +275,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
     first = cut(members.filter("n_shingles > 0").groupBy("s").agg(F.min("id").alias("first")))
     groups = cut(_groups(_prefixes(docs, k, num, den, last)))
     drawn = lambda sets, make: cut(_drawn(docs, first, sets, k, make))
-    sketches = None if groups.isEmpty() else drawn(groups.select("s"), _sketch(2))
+    sketches = None if groups.isEmpty() else drawn(groups.select("s"), _sketch(1))
     links, roots, left = None, None, groups.withColumn("root", F.col("s"))
     for turn in range(rounds + 1):
         if sketches is None or left.isEmpty():
