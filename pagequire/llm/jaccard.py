@@ -156,9 +156,9 @@ def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _sketch(log_width: int) -> Callable[[np.ndarray], bytes]:
-    """Draws bitmaps with 2**log_width to twice as many bits for each element; fewer in sets of over 2**20 / 2**log_width."""
-    return lambda v: _bitmap(v, min(20, max(6, int(v.size - 1).bit_length() + log_width)))
+def _sketch(width: int) -> Callable[[np.ndarray], bytes]:
+    """Draws bitmaps with `width` to twice as many bits for each element, 512 at least, which is little beside a row's other columns; fewer in sets of over 2**20 / width."""
+    return lambda v: _bitmap(v, min(20, max(9, (int(v.size) * width - 1).bit_length())))
 
 
 def _bound(na: np.ndarray, nb: np.ndarray, alone_a: np.ndarray, alone_b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -287,7 +287,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
             pairs = _possible(met.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct(), sketches, num, den)
         else:
             near = cut(_tiles(left, sketches, num, den, tile))
-            pairs = _possible(near, drawn(_ends(near), _sketch(5)), num, den)
+            pairs = _possible(near, drawn(_ends(near), _sketch(32)), num, den)
         pairs = cut(pairs)
         found = _verified(pairs, drawn(_ends(pairs), np.ndarray.tobytes), num, den)
         links = cut(found if links is None else links.unionByName(found))
