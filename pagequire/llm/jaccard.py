@@ -119,12 +119,12 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray) ->
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
-    """(g, s, n): the distinct groups of two sets or more, each named by its members."""
+    """(g, s, n): the distinct groups of two sets or more, each named by its members, in a way that no group is too large for."""
     by = Window.partitionBy("t")
     # one shuffle and one sort by shingle serve all of this
     dealt = prefixes.repartition("t").withColumn("before", F.lag("s").over(by.orderBy("s"))).filter("before IS NULL OR before <> s")
     shared = dealt.withColumn("c", F.count("*").over(by)).filter("c > 1")
-    named = shared.withColumn("g", F.sum(F.xxhash64("s").bitwiseAND(F.lit((1 << 40) - 1)) * 8191 + F.shiftrightunsigned(F.xxhash64(F.lit(7), "s"), 24)).over(by) + F.col("c"))
+    named = shared.withColumn("g", F.xxhash64(F.bit_xor(F.xxhash64("s")).over(by), F.bit_xor(F.xxhash64(F.lit(7), "s")).over(by), "c"))
     return named.groupBy("g", "s").agg(F.first("n").alias("n"))
 
 

@@ -124,6 +124,13 @@ def test_jaccard_join_edges(spark):
     assert rows(jaccard.join(df.limit(0))) == []
 
 
+def test_jaccard_group_of_thousands_of_near_copies(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, f"{base} v{i}") for i in range(3000)]
+    got = jaccard.join(spark.createDataFrame(docs, "id long, text string")).collect()
+    assert sorted((r.id, r.n_shingles, r.component) for r in got) == [(i, 57, 0) for i in range(3000)]
+
+
 @pytest.mark.parametrize("part", [1 << 19, 40])
 def test_components(spark, part):
     r = random.Random(4)
