@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gestures(events: DataFrame, sw: float = 480.0) -> DataFrame:
@@ -32,20 +37,73 @@ def gestures(events: DataFrame, sw: float = 480.0) -> DataFrame:
 def final_positions(events: DataFrame, n: int) -> DataFrame:
     """(user_id, position): where each user's steps(user_id, ts, event_id, d) end, from 1, held within 1 and n.
 
-    A step moves by d and is then clamped; a run of such steps is again max(lo, min(hi, p + sum)), so a fold keeps one
-    number for each user.
+    A step moves by d and is then clamped; a run of such steps is again max(lo, min(hi, p + sum)). Events are dealt by
+    ranges of user and time, which also split a single user's; each task reduces its part of a user to (lo, hi, sum),
+    and only these are gathered.
     """
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id", "d")))
-    fold = F.aggregate(order, F.lit(1), lambda p, e: F.least(F.lit(n), F.greatest(F.lit(1), p + e.d.cast("int"))))
-    return events.groupBy("user_id").agg(fold.alias("position"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, far = TaskContext.get().partitionId(), 1 << 60
+        state: list[tuple] = []  # the open run: (user, lo, hi, sum)
+        for b in batches:
+            kind = b.schema.field(0).type
+            done = []
+            for user, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state and state[0][0] == user:
+                    _, lo, hi, total = state[0]
+                else:
+                    done += state
+                    lo, hi, total = -far, far, 0
+                if d is None:  # ends at 1 from anywhere, as least and greatest skip nulls
+                    lo, hi, total = min(n, 1), min(n, 1), 0
+                else:
+                    lo, hi, total = min(n, max(1, lo + d)), min(n, max(1, hi + d)), total + d
+                state = [(user, lo, hi, total)]
+            yield batch(done, kind, part)
+        if state:
+            yield batch(state, kind, part)
+
+    def batch(done: list[tuple], kind: pa.DataType, part: int) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 4
+        values = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array([part] * len(done), pa.int64())]
+        return pa.RecordBatch.from_arrays(values, names=["user_id", "lo", "hi", "sum", "part"])
+
+    order = ["user_id", "ts", "event_id", "d"]
+    steps = events.select("user_id", "ts", "event_id", F.col("d").cast("int").alias("d")).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = steps.select("user_id", "d").mapInArrow(run, T.StructType([events.schema["user_id"], *[T.StructField(c, T.LongType()) for c in ("lo", "hi", "sum", "part")]]))
+    # a user has a row for each range at most
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("part", "lo", "hi", "sum"))), F.lit(1).cast("long"), lambda p, r: F.greatest(r.lo, F.least(r.hi, p + r.sum)))
+    return parts.groupBy("user_id").agg(fold.cast("int").alias("position"))
 
 
 def throttle(events: DataFrame, hold: float = 0.4) -> DataFrame:
-    """(user_id, n_accepted): steps(user_id, ts in seconds, event_id) that are not within `hold` seconds after an accepted one."""
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    start = F.struct(F.lit(-1e18).alias("last"), F.lit(0).alias("n"))
-    fold = F.aggregate(order, start, lambda s, e: F.when(e.ts - s.last >= hold, F.struct(e.ts.alias("last"), (s.n + 1).alias("n"))).otherwise(s))
-    return events.groupBy("user_id").agg(fold.n.alias("n_accepted"))
+    """(user_id, n_accepted): steps(user_id, ts in seconds, event_id) that are not within `hold` seconds after an accepted one.
+
+    A user's events are sorted, on disk if need be, and streamed through one task, which keeps one state; such a task
+    takes longer for a user with many events, but no more memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list[tuple] = []  # the open user: (user, last, accepted)
+        for b in batches:
+            kind = b.schema.field(0).type
+            done = []
+            for user, ts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not state or state[0][0] != user:
+                    done += state
+                    state = [(user, -1e18, 0)]
+                if ts is not None and not ts - state[0][1] < hold:
+                    state = [(user, ts, state[0][2] + 1)]
+            yield batch(done, kind)
+        if state:
+            yield batch(state, kind)
+
+    def batch(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.record_batch({"user_id": pa.array([u for u, _, _ in done], kind), "n_accepted": pa.array([k for _, _, k in done], pa.int32())})
+
+    order = ["user_id", "ts", "event_id"]
+    steps = events.select("user_id", F.col("ts").cast("double").alias("ts"), "event_id").repartition("user_id").sortWithinPartitions(*order)
+    return steps.select("user_id", "ts").mapInArrow(run, T.StructType([events.schema["user_id"], T.StructField("n_accepted", T.IntegerType())]))
 
 
 def idle_views(views: DataFrame, idle: float = 0.25) -> DataFrame:

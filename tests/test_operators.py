@@ -141,6 +141,28 @@ def test_throttle_and_positions(spark):
         assert at == p
 
 
+def test_no_row_holds_a_user_history(spark, monkeypatch):
+    ev = [(u, float(R.randrange(4000)) / 10, i, R.choice([-2, -1, 1, 2, None])) for i, u in enumerate([7] * 3000 + [1, 2, None] * 20)]
+    df = spark.createDataFrame(ev, "user_id long, ts double, event_id long, d int")
+    widest, real = [], F.collect_list
+    monkeypatch.setattr(F, "collect_list", lambda c: widest.append(c) or real(c))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept, at = dict(nav.throttle(df).collect()), dict(nav.final_positions(df, 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert not any("event_id" in str(c) for c in widest)
+    for u in (7, 1, 2, None):
+        last, k, p = -1e18, 0, 1
+        for _, ts, _, d in sorted((e for e in ev if e[0] == u), key=lambda e: e[1:3]):
+            last, k = (ts, k + 1) if ts - last >= 0.4 else (last, k)
+            p = 1 if d is None else max(1, min(5, p + d))
+        assert (kept[u], at[u]) == (k, p)
+    assert len(kept) == len(at) == 4
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"verdict": "correct", "document": "a\\/b", "tap": {"x": 1, "y": 2}}\n\n{broken\n')
     good, bad = logs.read_review_log(spark, str(tmp_path / "r.jsonl"))
