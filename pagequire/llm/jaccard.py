@@ -29,6 +29,10 @@ from .words import SPACED, hashed, shingled
 
 _U = np.uint64
 ID_BITS = 22
+#: Most texts are the first of their set, so that ids of the smaller bit set would soon tell none apart; 8 MB.
+FIRST_BITS = 26
+#: So many names of sets are kept in a task before they are forgotten.
+SEEN = 500_000
 
 
 def _sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
@@ -80,19 +84,29 @@ def described(docs: DataFrame, k: int, often: int = 3, batch: int = 2_000_000) -
     return docs.filter("id IS NOT NULL").select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n long, set long")
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray) -> DataFrame:
-    """(shingle, set, n) for the first shingles of each set; `late`: those that come last in the order, in that order."""
+def _prefixes(docs: DataFrame, first: DataFrame, k: int, num: int, den: int, late: np.ndarray) -> DataFrame:
+    """(shingle, set, n) for the first shingles of each set; `late`: those that come last in the order, in that order.
+
+    Texts are read by the ids in `first(s, first)`, told by a bit set, and a task hands on each set once: of copies that
+    are many, few reach the shuffle. While ids are dense and fewer than 2**FIRST_BITS, none do.
+    """
+    ids = docs.sparkSession.sparkContext.broadcast(bit_set(first, F.col("first"), FIRST_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(late))
     rank = docs.sparkSession.sparkContext.broadcast(np.argsort(late, kind="stable"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, order = shared.value, rank.value
+        seen: set[int] = set()
         for b in batches:
+            b = b.filter(pa.array(in_bit_set(ids.value, b.column(0).to_numpy()), pa.bool_()))
             for lo in range(0, b.num_rows, 512):
                 names, ns, firsts = [], [], []
-                for values in _sets(b.column(0).slice(lo, 512).to_pylist(), k):
-                    if not values.size:
+                if len(seen) > SEEN:
+                    seen.clear()
+                for values in _sets(b.column(1).slice(lo, 512).to_pylist(), k):
+                    if not values.size or (name := _name(values)) in seen:
                         continue
+                    seen.add(name)
                     need = values.size - -(-num * values.size // den) + 1
                     if known.size:
                         at = np.minimum(np.searchsorted(known, values), known.size - 1)
@@ -107,7 +121,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray) ->
                             first = values[:need]
                     else:
                         first = values[:need]
-                    names.append(_name(values))
+                    names.append(name)
                     ns.append(values.size)
                     firsts.append(first)
                 if not names:
@@ -115,7 +129,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, late: np.ndarray) ->
                 count = [f.size for f in firsts]
                 yield pa.record_batch({"t": pa.array(np.concatenate(firsts).view(np.int64)), "s": pa.array(np.repeat(np.array(names, np.int64), count)), "n": pa.array(np.repeat(np.array(ns, np.int32), count))})
 
-    return docs.filter("text IS NOT NULL").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "t long, s long, n int")
+    return docs.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "t long, s long, n int")
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
@@ -273,7 +287,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int =
     members = seen.filter("id IS NOT NULL").select("id", F.col("n").alias("n_shingles"), F.col("set").alias("s"))
 
     first = cut(members.filter("n_shingles > 0").groupBy("s").agg(F.min("id").alias("first")))
-    groups = cut(_groups(_prefixes(docs, k, num, den, last)))
+    groups = cut(_groups(_prefixes(docs, first, k, num, den, last)))
     drawn = lambda sets, make: cut(_drawn(docs, first, sets, k, make))
     sketches = None if groups.isEmpty() else drawn(groups.select("s"), _sketch(2))
     links, roots, left = None, None, groups.withColumn("root", F.col("s"))

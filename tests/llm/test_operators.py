@@ -131,6 +131,20 @@ def test_jaccard_group_of_thousands_of_near_copies(spark):
     assert sorted((r.id, r.n_shingles, r.component) for r in got) == [(i, 57, 0) for i in range(3000)]
 
 
+def test_jaccard_copies_are_shuffled_once(spark, monkeypatch):
+    counts, real = [], jaccard._groups
+    monkeypatch.setattr(jaccard, "_groups", lambda p: counts.append((p.count(), p.distinct().count())) or real(p))
+    hot = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, hot if i % 2 else f"{hot} v{i % 100}") for i in range(1000)]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(8)
+    assert {r.component for r in jaccard.join(df).collect()} == {0}
+    assert counts[0][0] == counts[0][1]
+    # ids that meet in the bit set: a task still hands on each set once
+    far = df.withColumn("id", F.col("id") * (1 << jaccard.FIRST_BITS)).repartition(2)
+    jaccard.join(far).collect()
+    assert counts[1][0] <= 2 * counts[1][1]
+
+
 @pytest.mark.parametrize("part", [1 << 19, 40])
 def test_components(spark, part):
     r = random.Random(4)
