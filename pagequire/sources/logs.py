@@ -36,14 +36,18 @@ def write_panels(df: DataFrame, path: str) -> None:
 
 
 def read_timing_log(spark: SparkSession, path: str) -> DataFrame:
-    """(name, ms, detail, width, height, background, inverted, ink_pct, border_pct, panels, free_mb, lua_kb, rejected, evicted) of lines that begin with the tag."""
-    line = spark.read.text(path).filter(F.col("value").startswith("[Panels+] ")).select(F.substring("value", 11, 1 << 20).alias("m"))
+    """(name, ms, detail, width, height, background, inverted, ink_pct, border_pct, panels, free_mb, lua_kb, rejected, evicted, splits, searches, memory) of lines that begin with the tag.
+
+    splits of searches slanted ones split; memory: the label of a memory line, whose free_mb may be unknown.
+    """
+    line = spark.read.text(path).filter(F.col("value").startswith("[Panels+] ")).select(F.expr("substring(value, 11)").alias("m"))
     take = lambda p, t: F.expr(f"try_cast(nullif(regexp_extract(m, r'{p}', 1), '') AS {t})")
     return line.select(
         take(r"^(.*?) \d+ms", "string").alias("name"), take(r" (\d+)ms", "int").alias("ms"), take(r"\((.*)\)\s*$", "string").alias("detail"),
         take(r"(\d+)x\d+", "int").alias("width"), take(r"\d+x(\d+)", "int").alias("height"), take(r"bg=(\d+)", "int").alias("background"), F.col("m").contains("inverted").alias("inverted"),
         take(r"ink=(\d+)%", "int").alias("ink_pct"), take(r"border=(\d+)%", "int").alias("border_pct"), take(r"(\d+) panels?", "int").alias("panels"),
         take(r"free=(\d+)MB", "int").alias("free_mb"), take(r"lua=(\d+)KB", "int").alias("lua_kb"), take(r"segmenter rejected: (.*)$", "string").alias("rejected"), take(r"cache evict (.*)$", "string").alias("evicted"),
+        take(r"(\d+) of \d+ slanted searches", "int").alias("splits"), take(r"\d+ of (\d+) slanted searches", "int").alias("searches"), take(r"^memory (.*) free=", "string").alias("memory"),
     )
 
 
@@ -52,6 +56,18 @@ def timing_summary(lines: DataFrame) -> DataFrame:
     return lines.filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("ms", 0.5).alias("p50"), F.percentile_approx("ms", 0.95).alias("p95"))
 
 
+def timing_shares(lines: DataFrame) -> DataFrame:
+    """(fallback, split), one row: native detections for each page bitmap, and the share of slanted searches that split; null if there are none to count."""
+    count = lambda name: F.count_if(F.coalesce(F.col("name") == name, F.lit(False)))
+    share = lambda a, b: F.when(b > 0, a / b)
+    return lines.agg(share(count("native detect"), count("page bitmap")).alias("fallback"), share(F.sum("splits"), F.sum("searches")).alias("split"))
+
+
+def rejections(lines: DataFrame) -> DataFrame:
+    """(reason, n): how often the segmenter gave each reason, whatever the figures in it (written as #)."""
+    return lines.filter("rejected IS NOT NULL").groupBy(F.regexp_replace("rejected", r"\d+", "#").alias("reason")).agg(F.count("*").alias("n"))
+
+
 def read_diagnostics_log(spark: SparkSession, path: str) -> DataFrame:
     """(time, tag, message, fields) of lines `[HH:MM:SS] [tag] message | k=v, k=v`; values may hold commas."""
     at = spark.read.text(path).select(*[F.regexp_extract("value", r"^\[(\d\d:\d\d:\d\d)\] \[([^\]]*)\] (.*?)(?: \| (.*))?$", i).alias(n) for i, n in enumerate(("time", "tag", "message", "kv"), 1)])

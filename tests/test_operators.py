@@ -175,6 +175,17 @@ def test_logs(spark, tmp_path):
     assert logs.read_diagnostics_log(spark, str(tmp_path / "d.log")).collect()[0]["fields"] == {"a": "1", "b": "2,3", "c": "x"}
 
 
+def test_timing_shares(spark, tmp_path):
+    lines = ["page bitmap 74ms (480x720)", "page bitmap 70ms (480x720)", "segment 190ms (5 panels, 2 of 3 slanted searches split)", "segment 90ms (5 panels, 0 of 1 slanted searches split, 2 border-line splits)"]
+    lines += ["native detect 810ms (6 panels from 29 probes, 1 page render)", "segmenter rejected: only 38% kept", "segmenter rejected: only 9% kept", "memory native detect fallback end free=? lua=900KB", "x" * (1 << 20) + " 5ms"]
+    (tmp_path / "t.log").write_text("".join(f"[Panels+] {m}\n" for m in lines))
+    t = logs.read_timing_log(spark, str(tmp_path / "t.log"))
+    assert rows(logs.timing_shares(t)) == [(0.5, 0.5)] and rows(logs.rejections(t)) == [("only #% kept", 2)]
+    assert rows(t.filter("memory IS NOT NULL").select("memory", "free_mb", "lua_kb")) == [("native detect fallback end", None, 900)]
+    assert t.filter("ms = 5").count() == 1
+    assert rows(logs.timing_shares(t.limit(0))) == [(None, None)]
+
+
 def test_stream_reviews_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
