@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .raster import profile
@@ -102,8 +102,15 @@ def leaf_filter(leaves: DataFrame, maps: DataFrame) -> DataFrame:
     return rows.filter(f"{big} AND NOT ({sliver})").select(*leaves.columns)
 
 
-def to_panels(leaves: DataFrame, maps: DataFrame, most: int = 40) -> DataFrame:
-    """The first leaves in the order of the recursion as panels(page_id, x, y, w, h), grown by one cell within the page."""
+def to_panels(leaves: DataFrame, maps: DataFrame, most: int = 40, scale_x: Column | float = 1, scale_y: Column | float = 1) -> DataFrame:
+    """The first leaves in the order of the recursion as panels(page_id, x, y, w, h) in native units, grown by one cell within the page.
+
+    scale_x, scale_y: native units a cell, which may be columns, as native_w / w. The page ends at native_w and native_h
+    of the maps, or at their scaled w and h if there are no such columns.
+    """
+    sx, sy = (v if isinstance(v, Column) else F.lit(v) for v in (scale_x, scale_y))
+    right, bottom = (F.col(f"native_{c}") if f"native_{c}" in maps.columns else F.col(c) * s for c, s in (("w", sx), ("h", sy)))
     first = leaves.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("path"))).filter(F.col("r") <= most)
-    at = first.join(maps, "page_id").withColumn("x", F.greatest(F.lit(0), F.col("x0") - 1)).withColumn("y", F.greatest(F.lit(0), F.col("y0") - 1))
-    return at.select("page_id", "x", "y", F.expr("least(w, x1 + 2) - x").alias("pw"), F.expr("least(h, y1 + 2) - y").alias("ph")).select("page_id", "x", "y", F.col("pw").alias("w"), F.col("ph").alias("h"))
+    at = first.join(maps, "page_id").withColumn("x", F.greatest(F.lit(0), (F.col("x0") - 1) * sx)).withColumn("y", F.greatest(F.lit(0), (F.col("y0") - 1) * sy))
+    w, h = F.least(right, (F.col("x1") + 2) * sx) - F.col("x"), F.least(bottom, (F.col("y1") + 2) * sy) - F.col("y")
+    return at.select("page_id", "x", "y", F.greatest(F.lit(1), w).alias("pw"), F.greatest(F.lit(1), h).alias("ph")).select("page_id", "x", "y", F.col("pw").alias("w"), F.col("ph").alias("h"))

@@ -75,6 +75,15 @@ def test_grid_page_has_six_panels(spark):
     assert [(r["x"] > 100, r["row_idx"]) for r in manga] == [(True, 1), (False, 1), (True, 2), (False, 2), (True, 3), (False, 3)]
 
 
+def test_panels_in_native_units(spark):
+    leaves = spark.createDataFrame([(1, "00", 0, 10, 99, 49), (1, "01", 120, 60, 198, 98)], "page_id long, path string, x0 int, y0 int, x1 int, y1 int")
+    m = spark.createDataFrame([(1, 200, 100, 401, 200)], "page_id long, w int, h int, native_w int, native_h int")
+    want = [(1, 0, 18, 202, 84), (1, 238, 118, 162, 82)]
+    assert sorted(rows(cut.to_panels(leaves, m, scale_x=2, scale_y=2))) == want
+    assert sorted(rows(cut.to_panels(leaves, m.drop("native_w", "native_h"), scale_x=F.lit(2), scale_y=2))) == want
+    assert sorted(rows(cut.to_panels(leaves, m.drop("native_w", "native_h")))) == [(1, 0, 9, 101, 42), (1, 119, 59, 81, 41)]
+
+
 def test_reading_order_rows_are_the_closure(spark):
     pages = [(p, R.randrange(300), R.randrange(300), R.randrange(5, 90), R.randrange(5, 90)) for p in range(60) for _ in range(R.randrange(1, 8))]
     got = panels.reading_order(spark.createDataFrame(list(set(pages)), "page_id long, x int, y int, w int, h int"), False).collect()
