@@ -187,6 +187,12 @@ def test_topk(spark):
     assert rows(topk.search(few, few.filter("id = 0"))) == [(0, 1, 1, 2)]
 
 
+def test_topk_of_mixed_lengths(spark):
+    vectors = [(0, [1, 2, 3]), (1, [3, 2, 1]), (2, [1, 1, 1]), (3, [9, 9]), (4, [1, 9])]
+    v = spark.createDataFrame(vectors, "id long, v array<int>")
+    assert sorted(rows(topk.search(v, v.filter("id IN (0, 3)"), 5, 2))) == [(0, 1, 1, 10), (0, 2, 2, 6), (3, 1, 4, 90)]
+
+
 def decontaminate_brute(docs, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
