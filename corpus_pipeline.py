@@ -56,10 +56,16 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, with its size, its source's target, its shard and its place there."""
-    sized = cut(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), "source", mixing.n_words(F.col("text")).alias("size")))
-    mix = mixing.mix(sized).select(F.col("key").alias("doc_id"), "size", "target", "repeat", "shard", "place")
-    return docs.join(mix, "doc_id")
+    """The mix: each document as often as it is taken, with its size, its source's target, its shard and its place there.
+
+    Documents with a null doc_id go by numbers below all ids, and keep the null.
+    """
+    below = F.lit(docs.agg(F.least(F.lit(0), F.min("doc_id"))).first()[0]).cast("long") - 1
+    nameless = cut(docs.filter("doc_id IS NULL").withColumn("key", below - F.monotonically_increasing_id()))
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn("key", F.col("doc_id").cast("long")).unionByName(nameless)
+    sized = cut(keyed.select("key", "source", mixing.n_words(F.col("text")).alias("size")))
+    mix = mixing.mix(sized).select("key", "size", "target", "repeat", "shard", "place")
+    return keyed.join(mix, "key").drop("key")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

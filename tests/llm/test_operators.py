@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagequire.llm import chat, decontaminate, jaccard, language, licences, linkgraph, mixing, topk, toxicity, warc
 from pagequire.llm.components import components
 from pagequire.llm.words import ALNUM, SPACED, hashed, shingled
@@ -362,3 +363,10 @@ def test_splitting_tree_keeps_quotas():
     q = np.array([100, 7, 0, 33])
     got = mixing.split(q, 6, np.random.default_rng(1))
     assert got.sum(0).tolist() == q.tolist() and np.ptp(got.sum(1)) <= 1 and (got >= 0).all()
+
+
+def test_pipeline_mixes_documents_without_id(spark):
+    docs = [(i if i > 3 else None, f"some words of text {i}", "en", "s", 20) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.mixed(spark, df, "").collect()
+    assert {r.text for r in got} == {d[1] for d in docs} and len({r.text for r in got if r.doc_id is None}) == 4
