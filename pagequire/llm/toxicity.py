@@ -43,6 +43,7 @@ class Model:
     features: np.ndarray  # sorted uint64
     weights: np.ndarray
     bias: float
+    named: int = 0  # drawn texts that name a group, so have copies; with none, the penalty does nothing
 
 
 def features(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +162,7 @@ def fit(labelled: DataFrame, sample: int = 3000, keep: int = 2000, ridge: float
             change.append(d)
     y = np.array([r["y"] for r in rows], np.float32)
     w, b = _descend(x, y, np.array(change, np.float32).reshape(-1, chosen.size), ridge, fair, steps)
-    return Model(chosen, w.astype(np.float64), float(b))
+    return Model(chosen, w.astype(np.float64), float(b), sum(len(r["x"]) > 1 for r in rows))
 
 
 def _chosen(wanted: np.ndarray, f: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

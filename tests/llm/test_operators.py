@@ -76,6 +76,12 @@ def test_toxicity_ignores_groups(spark):
     assert toxicity.score_batch(one, ["a"])[0] < 0.5
 
 
+def test_toxicity_reports_texts_that_name_groups(spark):
+    learn = [(f"women talk {i}" if i < 7 else f"they talk {i}", i % 2) for i in range(40)]
+    assert toxicity.fit(spark.createDataFrame(learn, "text string, toxic int")).named == 7
+    assert toxicity.fit(spark.createDataFrame(learn[7:], "text string, toxic int")).named == 0
+
+
 def jaccard_brute(docs):
     sets = {}
     for i, t in docs:
