@@ -43,14 +43,14 @@ def _contracted(edges: DataFrame, parts: int) -> DataFrame:
     return edges.repartition(parts).mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, part: int = 1 << 19, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, part: int = 1 << 17, rounds: int = 60) -> DataFrame:
     """(id, root) for each id in `edges(a, b)`: root is the smallest id that a path reaches.
 
     Parts of at most about `part` edges are contracted by themselves first; if they fit into one, that is the result.
     Then large-star steps (larger neighbours move to the smallest neighbour) and small-star steps (smaller ones do)
     alternate until the edges no longer change; their number grows with the logarithm of the longest path. Each step
     takes a minimum by id, which is summed up before the shuffle, and a join back, whose hot ids Spark may split.
-    Nulls and loops are ignored; an empty table gives an empty one.
+    Nulls and loops are ignored; an empty table gives an empty one. Too few rounds raise an error.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     parts = max(1, -(-e.count() // part))
@@ -68,4 +68,7 @@ def components(edges: DataFrame, part: int = 1 << 19, rounds: int = 60) -> DataF
         if now == seen:
             break
         seen = now
+    else:
+        if parts > 1:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

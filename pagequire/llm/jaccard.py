@@ -4,13 +4,17 @@
 2. Two sets that are similar enough share a shingle among each one's first few, in any order that all sets agree on.
    The order puts shingles that are frequent within a batch of texts last and goes by hash otherwise. Only these
    prefixes are shuffled; a group is the sets that hold one shingle in their prefix.
-3. A round or more compare some pivots of each group to those members that are not yet linked to them, directly or
-   through others. Groups whose members all belong together are finished.
-4. What is left goes through tiles: members are dealt by size band and hash into tiles of a bounded size, and tiles of
-   compatible bands meet. Each set carries a hashed bitmap, as wide as its band; bits of one that the other lacks bound
-   the overlap from above. Pairs under that bound meet wider bitmaps, with a tighter bound, and only what these leave
-   goes to the exact intersection of sorted arrays. Bitmaps and arrays are drawn anew from the texts when needed.
+3. Groups are compared in tiles. Members are dealt by size band and hash into blocks of a bounded size, and blocks of
+   one band or of neighbouring ones meet. Each set carries a hashed bitmap, as wide as its band; bits of one that the
+   other lacks bound the overlap from above. Sets with a partner that the bound leaves possible come back with their
+   sorted arrays, which are intersected exactly. A tile hands on its members and a forest of links, never pairs.
+4. A first round takes two groups of each set only, a block at a time, with a few members of each group in all of its
+   blocks, so that most copies link up in work that grows with the sets. The second takes every group that still holds
+   sets of more than one component, and compares all pairs of different components. If one component makes up most of
+   a large group, its members meet the others only.
 5. Links become components.
+
+Bitmaps and arrays are drawn anew from the texts when tiles need them, so no set is stored before.
 """
 
 from __future__ import annotations
@@ -20,57 +24,63 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .components import components
 from .store import bit_set, cut, in_bit_set
 from .words import SPACED, hashed, shingled
 
 _U = np.uint64
-ID_BITS = 22
-#: Most texts are the first of their set, so that ids of the smaller bit set would soon tell none apart; 8 MB.
+#: Most texts are the first of their set, so that ids of a smaller bit set would soon tell none apart; 8 MB.
 FIRST_BITS = 26
 #: So many names of sets are kept in a task before they are forgotten.
 SEEN = 500_000
+#: Texts that are hashed, and pairs that are compared, at a time.
+TEXTS, PAIRS = 256, 1 << 17
+KEY = ("g", "kind", "low", "i", "j")
 
 
-def _sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted shingle hashes of each text."""
-    for lo in range(0, len(texts), 128):
-        words, _, counts = hashed(texts[lo : lo + 128], SPACED)
+    for lo in range(0, len(texts), TEXTS):
+        words, _, counts = hashed(texts.slice(lo, TEXTS).to_pylist(), SPACED)
         ends = np.cumsum(counts)
         for end, n in zip(ends, counts, strict=True):
             yield np.unique(shingled(words[end - n : end], k))
 
 
-def _name(values: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))))
+def _names(values: np.ndarray, bits: int) -> tuple[int, int]:
+    """The set's short name, and a second one for sets that share the first."""
+    digest = xxhash.xxh3_128_intdigest(values.tobytes())
+    return int(np.int64(np.uint64(digest & ((1 << bits) - 1)))), int(np.int64(np.uint64(digest >> 64)))
 
 
-def described(docs: DataFrame, k: int, often: int = 3, batch: int = 2_000_000) -> DataFrame:
-    """For each row (id, n, set): the size and name of its shingle set; and, with null id, (set, n): a shingle that n texts of one batch hold."""
+def described(docs: DataFrame, k: int, often: int = 3, batch: int = 1_000_000, bits: int = 64) -> DataFrame:
+    """For each row (id, n, set, other): the size and names of its shingle set; and, with null id, (set, n): a shingle that n texts of one batch hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        names: set[int] = set()
+        names: set[tuple[int, int]] = set()
 
         def frequent() -> pa.RecordBatch:
             every = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            slot = (every >> _U(42)).astype(np.int64)
+            slot = (every >> _U(42)).astype(np.int32)
             every = every[np.bincount(slot, minlength=1)[slot] >= often] if every.size else every
             values, n = np.unique(every, return_counts=True)
             held.clear()
             names.clear()
             values, n = values[n >= often], n[n >= often]
-            return pa.record_batch({"id": pa.nulls(values.size, pa.int64()), "n": pa.array(n, pa.int64()), "set": pa.array(values.view(np.int64))})
+            none = pa.nulls(values.size, pa.int64())
+            return pa.record_batch({"id": none, "n": pa.array(n, pa.int64()), "set": pa.array(values.view(np.int64)), "other": none})
 
         size = 0
         for b in batches:
             ids, ns, sets = b.column(0), [], []
-            for values in _sets(b.column(1).to_pylist(), k):
+            for values in _sets(b.column(1), k):
                 ns.append(values.size)
-                sets.append(_name(values))
+                sets.append(_names(values, bits))
                 if sets[-1] not in names:
                     names.add(sets[-1])
                     held.append(values)
@@ -78,242 +88,360 @@ def described(docs: DataFrame, k: int, often: int = 3, batch: int = 2_000_000) -
                 if size > batch:
                     yield frequent()
                     size = 0
-            yield pa.record_batch({"id": ids.cast(pa.int64()), "n": pa.array(ns, pa.int64()), "set": pa.array(sets, pa.int64())})
+            yield pa.record_batch({"id": ids.cast(pa.int64()), "n": pa.array(ns, pa.int64()), "set": pa.array([s for s, _ in sets], pa.int64()), "other": pa.array([o for _, o in sets], pa.int64())})
         yield frequent()
 
-    return docs.filter("id IS NOT NULL").select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n long, set long")
+    return docs.filter("id IS NOT NULL").select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, n long, set long, other long")
+
+
+class _Scan:
+    """Passes over the texts that make something of sets, each by the name that `join` settled on."""
+
+    def __init__(self, docs: DataFrame, k: int, bits: int, shared: frozenset[int]):
+        self.texts = docs.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long"), F.col("text").cast("binary"))
+        self.k, self.bits, self.shared = k, bits, shared
+
+    def over(self, ids: DataFrame, log_bits: int, make: Callable[[list[int], list[np.ndarray]], pa.RecordBatch], schema: str, once: bool) -> DataFrame:
+        """`make` of the names and arrays of texts whose ids may be among `ids(first)`; with `once`, a task gives each set once."""
+        k, bits, shared, most = self.k, self.bits, self.shared, SEEN
+        wanted = ids.sparkSession.sparkContext.broadcast(bit_set(ids, F.col("first"), log_bits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                b = b.filter(pa.array(in_bit_set(wanted.value, b.column(0).to_numpy()), pa.bool_()))
+                for lo in range(0, b.num_rows, TEXTS):
+                    names, arrays = [], []
+                    if len(seen) > most:
+                        seen.clear()
+                    for values in _sets(b.column(1).slice(lo, TEXTS), k):
+                        if values.size:
+                            name, other = _names(values, bits)
+                            name = other if name in shared else name
+                            if name not in seen:
+                                names.append(name)
+                                arrays.append(values)
+                                if once:
+                                    seen.add(name)
+                    if names:
+                        yield make(names, arrays)
 
+        return self.texts.mapInArrow(run, schema)
 
-def _prefixes(docs: DataFrame, first: DataFrame, k: int, num: int, den: int, late: np.ndarray) -> DataFrame:
-    """(shingle, set, n) for the first shingles of each set; `late`: those that come last in the order, in that order.
+
+def _prefixes(scan: _Scan, first: DataFrame, num: int, den: int, late: np.ndarray) -> DataFrame:
+    """(t, s, n): the first shingles of each set; `late`: those that come last in the order, in that order.
 
     Texts are read by the ids in `first(s, first)`, told by a bit set, and a task hands on each set once: of copies that
     are many, few reach the shuffle. While ids are dense and fewer than 2**FIRST_BITS, none do.
     """
-    ids = docs.sparkSession.sparkContext.broadcast(bit_set(first, F.col("first"), FIRST_BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(late))
-    rank = docs.sparkSession.sparkContext.broadcast(np.argsort(late, kind="stable"))
+    sc = first.sparkSession.sparkContext
+    shared, rank = sc.broadcast(np.sort(late)), sc.broadcast(np.argsort(late, kind="stable").astype(np.int32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(names: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
         known, order = shared.value, rank.value
-        seen: set[int] = set()
-        for b in batches:
-            b = b.filter(pa.array(in_bit_set(ids.value, b.column(0).to_numpy()), pa.bool_()))
-            for lo in range(0, b.num_rows, 512):
-                names, ns, firsts = [], [], []
-                if len(seen) > SEEN:
-                    seen.clear()
-                for values in _sets(b.column(1).slice(lo, 512).to_pylist(), k):
-                    if not values.size or (name := _name(values)) in seen:
-                        continue
-                    seen.add(name)
-                    need = values.size - -(-num * values.size // den) + 1
-                    if known.size:
-                        at = np.minimum(np.searchsorted(known, values), known.size - 1)
-                        hot = known[at] == values
-                        if hot.any():
-                            values_ = values[~hot]
-                            if values_.size < need:
-                                behind = values[hot][np.argsort(order[at[hot]], kind="stable")]
-                                values_ = np.concatenate([values_, behind])
-                            first = values_[:need]
-                        else:
-                            first = values[:need]
-                    else:
-                        first = values[:need]
-                    names.append(name)
-                    ns.append(values.size)
-                    firsts.append(first)
-                if not names:
-                    continue
-                count = [f.size for f in firsts]
-                yield pa.record_batch({"t": pa.array(np.concatenate(firsts).view(np.int64)), "s": pa.array(np.repeat(np.array(names, np.int64), count)), "n": pa.array(np.repeat(np.array(ns, np.int32), count))})
-
-    return docs.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "t long, s long, n int")
+        firsts = []
+        for values in arrays:
+            need = values.size - -(-num * values.size // den) + 1
+            if known.size:
+                at = np.minimum(np.searchsorted(known, values), known.size - 1)
+                hot = known[at] == values
+                behind = values[hot][np.argsort(order[at[hot]], kind="stable")]
+                values = np.concatenate([values[~hot], behind])
+            firsts.append(values[:need])
+        count = [f.size for f in firsts]
+        sizes = np.array([a.size for a in arrays], np.int32)
+        return pa.record_batch({"t": pa.array(np.concatenate(firsts).view(np.int64)), "s": pa.array(np.repeat(np.array(names, np.int64), count)), "n": pa.array(np.repeat(sizes, count))})
+
+    return scan.over(first, FIRST_BITS, make, "t long, s long, n int", True)
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
-    """(g, s, n): the distinct groups of two sets or more, each named by its members, in a way that no group is too large for."""
+    """(g, s, n, w): the distinct groups of two sets or more, each named by its members, in a way that no group is too large for; w: how many shingles have this group."""
     by = Window.partitionBy("t")
     # one shuffle and one sort by shingle serve all of this
     dealt = prefixes.repartition("t").withColumn("before", F.lag("s").over(by.orderBy("s"))).filter("before IS NULL OR before <> s")
     shared = dealt.withColumn("c", F.count("*").over(by)).filter("c > 1")
     named = shared.withColumn("g", F.xxhash64(F.bit_xor(F.xxhash64("s")).over(by), F.bit_xor(F.xxhash64(F.lit(7), "s")).over(by), "c"))
-    return named.groupBy("g", "s").agg(F.first("n").alias("n"))
+    return named.groupBy("g", "s").agg(F.first("n").alias("n"), F.count("*").alias("w"))
 
 
-def _drawn(docs: DataFrame, first: DataFrame, sets: DataFrame, k: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(s, n, x): what `make` gives of the sorted shingles of each of `sets(s)`, and of a few others.
+def _drawn(scan: _Scan, first: DataFrame, sets: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(s, x): what `make` gives of the sorted shingles of each of `sets(s)`, and of a few others.
 
     Texts are read anew, but only those are hashed whose ids `first(s, first)` names for these sets, told by a bit set
-    of a fixed size. So no set is stored or shuffled before it is known to be needed.
+    of 32 bits or more for each of up to 4 million; with far more than 2**27 of them, other sets are drawn in vain too.
     """
-    ids = first.join(sets, "s", "left_semi")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_set(ids, F.col("first"), ID_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(in_bit_set(shared.value, b.column(0).to_numpy()), pa.bool_()))
-            for lo in range(0, b.num_rows, 256):
-                rows = [(_name(v), v.size, make(v)) for v in _sets(b.column(1).slice(lo, 256).to_pylist(), k) if v.size]
-                if rows:
-                    s, n, x = zip(*rows, strict=True)
-                    yield pa.record_batch({"s": pa.array(s, pa.int64()), "n": pa.array(n, pa.int32()), "x": pa.array(x, pa.binary())})
+    ids = cut(first.join(sets, "s", "left_semi").select("first"))
+    rows = lambda names, arrays: pa.record_batch({"s": pa.array(names, pa.int64()), "x": pa.array([make(a) for a in arrays], pa.binary())})
+    made = scan.over(ids, min(27, max(22, ids.count().bit_length() + 5)), rows, "s long, x binary", True)
+    return made.groupBy("s").agg(F.first("x").alias("x"))
 
-    texts = docs.filter("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long"), F.col("text").cast("binary"))
-    return texts.mapInArrow(run, "s long, n int, x binary").groupBy("s").agg(F.first("n").alias("n"), F.first("x").alias("x"))
 
-
-def _bitmap(values: np.ndarray, log_bits: int) -> bytes:
+def _bitmap(values: np.ndarray, width: int) -> np.ndarray:
+    """Words of a bitmap with `width` to twice as many bits for each element, 512 at least, which is little beside a row's other columns; fewer in sets of over 2**20 / width."""
+    log_bits = min(20, max(9, (int(values.size) * width - 1).bit_length()))
     bits = np.zeros(1 << log_bits, np.uint8)
-    bits[(values.view(np.uint64) >> _U(7)) & _U((1 << log_bits) - 1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _sketch(width: int) -> Callable[[np.ndarray], bytes]:
-    """Draws bitmaps with `width` to twice as many bits for each element, 512 at least, which is little beside a row's other columns; fewer in sets of over 2**20 / width."""
-    return lambda v: _bitmap(v, min(20, max(9, (int(v.size) * width - 1).bit_length())))
+    bits[(values >> _U(7)) & _U((1 << log_bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def _bound(na: np.ndarray, nb: np.ndarray, alone_a: np.ndarray, alone_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether the overlap may be large enough: a bit that the other lacks stands for one element at least that it lacks."""
-    most = np.minimum(na - alone_a, nb - alone_b)
-    return (num + den) * most >= num * (na + nb)
+def _band(num: int, den: int) -> Column:
+    """Bands grow by den / num, so similar sets are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that the bitmaps leave possible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for na, ma, nb, mb in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                size = min(len(ma), len(mb))
-                x, y = (np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, size // 8)) for m in (ma, mb))
-                keep.append(bool(_bound(na, nb, np.bitwise_count(x & ~y).sum(dtype=np.int64), np.bitwise_count(y & ~x).sum(dtype=np.int64), num, den)))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch({"a": b.column(0).filter(mask), "b": b.column(1).filter(mask)})
+def _most(num: int, den: int, tile: int) -> Column:
+    """How many sets of a band make a block: their arrays take some 32 MB at most."""
+    return F.least(F.lit(float(tile)), F.greatest(F.lit(64.0), (1 << 22) / F.pow(F.lit(den / num), F.col("band") + 1)))
 
-    left = pairs.join(sketches.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("x").alias("ma")), "a")
-    full = left.join(sketches.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("x").alias("mb")), "b")
-    return full.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(run, "a long, b long")
 
+def _beside(counts: DataFrame, names: dict[str, str], step: int) -> DataFrame:
+    """Columns of the band that is `step` away, under other names, filed under this one."""
+    return counts.select("g", (F.col("band") - step).alias("band"), *[F.col(c).alias(n) for c, n in names.items()])
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("s")).distinct().unionByName(pairs.select(F.col("b").alias("s")).distinct())
 
+def _first_tiles(groups: DataFrame, num: int, den: int, tile: int, pivots: int) -> DataFrame:
+    """(KEY, side, s, n, root): two groups of each set, one block of a band in a tile, with pivots of its band and the next.
 
-def _verified(pairs: DataFrame, content: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets, in `content(s, x)`, are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, va, c, vc = b.columns
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(v[i].as_buffer(), np.uint64) for v in (va, vc))
-                both = np.sort(np.concatenate([x, y]), kind="stable")  # merges two sorted runs
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(den * common >= num * (x.size + y.size - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch({"a": a.filter(mask), "b": c.filter(mask)})
-
-    left = pairs.join(content.select(F.col("s").alias("a"), F.col("x").alias("va")), "a")
-    full = left.join(content.select(F.col("s").alias("b"), F.col("x").alias("vb")), "b").select("a", "va", "b", "vb")
-    return full.mapInArrow(run, "a long, b long")
-
-
-def _tiles(members: DataFrame, sketches: DataFrame, num: int, den: int, tile: int) -> DataFrame:
-    """Pairs (a, b) of different roots in a group `members(g, s, n, root)` whose bitmaps leave them possible."""
-    # bands grow by den / num, so similar sets are in one band or in neighbouring ones
-    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
-    # so many sets that their bitmaps, of about a byte for each element, take some MB at most
-    most = F.greatest(F.lit(64.0), F.least(F.lit(float(tile)), (1 << 22) / F.pow(F.lit(den / num), F.col("band") + 1)))
-    counts = banded.groupBy("g", "band").agg(F.count("*").alias("c")).select("g", "band", "c", F.ceil(F.col("c") / most).cast("int").alias("k"))
-    near = counts.join(counts.select("g", (F.col("band") - 1).alias("band"), F.col("k").alias("above")), ["g", "band"], "left")
-    near = near.join(counts.select("g", (F.col("band") + 1).alias("band"), F.col("k").alias("below")), ["g", "band"], "left").na.fill(0, ["above", "below"])
-    dealt = banded.join(near, ["g", "band"]).withColumn("h", F.pmod(F.xxhash64("s"), F.col("k")).cast("int"))
-    place = "named_struct('low', {}, 'i', {}, 'j', {}, 'side', {})"
-    own = "if(c > 1, transform(sequence(0, k - 1), x -> " + place.format("band", "least(h, x)", "greatest(h, x)", "cast(h > x as int)") + "), array())"
-    up = "if(above > 0, transform(sequence(0, above - 1), x -> " + place.format("band", "h", "-1 - x", "0") + "), array())"
-    down = "if(below > 0, transform(sequence(0, below - 1), x -> " + place.format("band - 1", "x", "-1 - h", "1") + "), array())"
-    rows = dealt.join(sketches.select("s", F.col("x").alias("m")), "s").select("g", "s", "n", "root", "m", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("p")).select("g", "p.*", "s", "n", "root", "m")
-
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        side, s, n, root = (t.column(c).to_numpy() for c in ("side", "s", "n", "root"))
-        maps = t.column("m").to_pylist()
-        size = min(map(len, maps))
-        fold = np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, size // 8)) for m in maps])
-        i, j = key[2].as_py(), key[3].as_py()
-        one = np.flatnonzero(side == 0)
-        two = one if i == j else np.flatnonzero(side == 1)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for x in one:
-            alone = np.bitwise_count(fold[x] & ~fold[two]).sum(1, dtype=np.int64)
-            other = np.bitwise_count(fold[two] & ~fold[x]).sum(1, dtype=np.int64)
-            ok = _bound(n[x], n[two], alone, other, num, den) & (root[two] != root[x])
-            if i == j:
-                ok &= two > x
-            hit = two[ok]
-            later = root[hit] > root[x]  # filed under the one with the larger root, so that members of a large component gather no lists
-            out.append((np.where(later, s[hit], s[x]), np.where(later, s[x], s[hit])))
-        a, b = (np.concatenate([p[k] for p in out] or [np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
-        order = np.argsort(a, kind="stable")
-        keys, first = np.unique(a[order], return_index=True)
-        lists = pa.ListArray.from_arrays(np.append(first, a.size).astype(np.int32), pa.array(b[order]))
-        return pa.table({"a": pa.array(keys, pa.int64()), "b": lists})
-
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        b = np.unique(t.column("b").combine_chunks().flatten().to_numpy())
-        return pa.table({"a": pa.array(np.full(b.size, key[0].as_py()), pa.int64()), "b": pa.array(b, pa.int64())})
-
-    # groups share many pairs: they travel as lists and are told apart once, by one of their ends
-    lists = rows.groupBy("g", "low", "i", "j").applyInArrow(meet, "a long, b array<long>")
-    return lists.groupBy("a").applyInArrow(merge, "a long, b long")
-
-
-def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, rounds: int = 1, pivots: int = 8, late: int = 200_000, tile: int = 1024) -> DataFrame:
+    The groups are the one that most of a set's shingles have and the one whose hash is lowest; copies mostly agree.
+    """
+    h = F.xxhash64("g")
+    two = groups.groupBy("s").agg(F.first("n").alias("n"), F.max(F.struct("w", h, "g")).alias("a"), F.min(F.struct(h, "g")).alias("b"))
+    rows = two.select("s", "n", F.explode(F.array_distinct(F.array("a.g", "b.g"))).alias("g")).withColumn("band", _band(num, den))
+    counts = rows.groupBy("g", "band").agg(F.count("*").alias("c")).withColumn("k", F.ceil(F.col("c") / _most(num, den, tile)).cast("int"))
+    own = rows.join(counts, ["g", "band"]).select("g", "s", "n", F.col("band").alias("low"), F.pmod(F.xxhash64("s"), "k").cast("int").alias("i"))
+    slot = F.pmod(F.xxhash64(F.lit(3), "s"), F.lit(pivots))
+    best = rows.groupBy("g", "band", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(5), "s"), "s", "n")).alias("p")).select("g", "band", "p.s", "p.n")
+    blocks = counts.filter("k > 1").select("g", "band", F.col("band").alias("low"), "k").unionByName(counts.select("g", (F.col("band") + 1).alias("band"), F.col("band").alias("low"), "k"))
+    placed = best.join(blocks, ["g", "band"]).select("g", "s", "n", "low", F.explode(F.expr("sequence(0, k - 1)")).alias("i"))
+    every = own.unionByName(placed)
+    return every.select("g", F.lit(0).alias("kind"), "low", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "s", "n", F.col("s").alias("root"))
+
+
+def _all_tiles(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
+    """(KEY, side, s, n, root): tiles in which all pairs of different roots of `members(g, s, n, root)` meet.
+
+    Groups with one root are left out. kind: 0 two blocks of one band, 1 of neighbouring ones; if a root has more than
+    `tile` members of a group, these are in blocks of their own, which meet the others' in their band (2), from the
+    band below (3) and from that above (4), but not each other.
+    """
+    sizes = members.groupBy("g", "root").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("g").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m")).filter("roots > 1")
+    open_ = open_.select("g", F.when(F.col("m.c") > tile, F.col("m.root")).alias("big"))
+    rows = members.join(open_, "g").withColumn("main", F.col("root").eqNullSafe(F.col("big"))).withColumn("band", _band(num, den))
+    blocks = lambda c: F.ceil(c / _most(num, den, tile)).cast("int")
+    counts = rows.groupBy("g", "band").agg(F.count_if(~F.col("main")).alias("co"), F.count_if("main").alias("cb"))
+    counts = counts.select("g", "band", "co", blocks(F.col("co")).alias("ko"), blocks(F.col("cb")).alias("kb"))
+    near = counts.join(_beside(counts, {"ko": "ko_up", "kb": "kb_up"}, 1), ["g", "band"], "left").join(_beside(counts, {"ko": "ko_dn", "kb": "kb_dn"}, -1), ["g", "band"], "left").na.fill(0)
+    dealt = rows.join(near, ["g", "band"]).withColumn("h", F.pmod(F.xxhash64("s"), F.when(F.col("main"), F.col("kb")).otherwise(F.col("ko"))).cast("int"))
+
+    def meets(with_: str, kind: int, low: str, i: str, j: str, side: str) -> str:
+        place = f"named_struct('kind', {kind}, 'low', {low}, 'i', {i}, 'j', {j}, 'side', {side})"
+        return f"if({with_} > 0, transform(sequence(0, {with_} - 1), x -> {place}), array())"
+
+    own = meets("if(co > 1, ko, 0)", 0, "band", "least(h, x)", "greatest(h, x)", "cast(h > x as int)")
+    other = [own, meets("ko_up", 1, "band", "h", "x", "0"), meets("ko_dn", 1, "band - 1", "x", "h", "1"), meets("kb", 2, "band", "h", "x", "0"), meets("kb_up", 3, "band", "h", "x", "0"), meets("kb_dn", 4, "band", "h", "x", "0")]
+    main = [meets("ko", 2, "band", "x", "h", "1"), meets("ko_dn", 3, "band - 1", "x", "h", "1"), meets("ko_up", 4, "band + 1", "x", "h", "1")]
+    places = F.when(F.col("main"), F.expr(f"concat({', '.join(main)})")).otherwise(F.expr(f"concat({', '.join(other)})"))
+    return dealt.select("g", "s", "n", "root", F.explode(places).alias("p")).select("g", "p.*", "s", "n", "root").select(*KEY, "side", "s", "n", "root")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by KEY, so that no tile is in two tables."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        keys = [t.column(c).to_numpy() for c in KEY]
+        last = int(np.flatnonzero(np.logical_or.reduce([np.append(True, k[1:] != k[:-1]) for k in keys]))[-1])
+        if last:
+            yield t.slice(0, last)
+        held = t.slice(last)
+    if held is not None:
+        yield held
+
+
+def _meeting(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that meet in their tiles, in chunks: each pair once, blocks with themselves and with others."""
+    side, i, j, *keys = (t.column(c).to_numpy() for c in ("side", "i", "j", "g", "kind", "low"))
+    n = side.size
+    new = np.logical_or.reduce([np.append(True, k[1:] != k[:-1]) for k in (*keys, i, j)])
+    tile = np.cumsum(new) - 1
+    ends = np.append(np.flatnonzero(new)[1:], n)[tile]
+    twos = np.bincount(tile, weights=side).astype(np.int64)[tile]
+    alone = (keys[1] == 0) & (i == j)
+    at = np.arange(n)
+    begin = np.where(alone, at + 1, np.where(side == 0, ends - twos, ends))
+    count = np.cumsum(ends - begin)
+    lo = 0
+    while lo < n:
+        before = count[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(count, before + PAIRS, "right")))
+        each = (ends - begin)[lo:hi]
+        x = np.repeat(at[lo:hi], each)
+        if x.size:
+            yield x, np.arange(x.size) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[lo:hi], each)
+        lo = hi
+
+
+class _Maps:
+    """Bitmaps of rows, of several widths."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, size: np.ndarray):
+        self.words, self.starts, self.size = words, starts, size
+
+    def _folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((rows.size, size), np.uint64)
+        for own in np.unique(self.size[rows]):
+            at = np.flatnonzero(self.size[rows] == own)
+            full = self.words[self.starts[rows[at]][:, None] + np.arange(own)]
+            out[at] = np.bitwise_or.reduce(full.reshape(at.size, -1, size), axis=1)
+        return out
+
+    def possible(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether the overlap may be large enough: a bit that the other lacks stands for one element at least that it lacks."""
+        ok = np.zeros(x.size, bool)
+        width = np.minimum(self.size[x], self.size[y])
+        for size in np.unique(width):
+            of = np.flatnonzero(width == size)
+            step = max(1, (1 << 18) // int(size))
+            for lo in range(0, of.size, step):
+                p = of[lo : lo + step]
+                a, ia = np.unique(x[p], return_inverse=True)
+                b, ib = np.unique(y[p], return_inverse=True)
+                fa, fb = self._folded(a, int(size))[ia], self._folded(b, int(size))[ib]
+                both = np.bitwise_count(fa & fb).sum(1, dtype=np.int64)
+                alone_a = np.bitwise_count(fa).sum(1, dtype=np.int64) - both
+                alone_b = np.bitwise_count(fb).sum(1, dtype=np.int64) - both
+                most = np.minimum(n[x[p]] - alone_a, n[y[p]] - alone_b)
+                ok[p] = (num + den) * most >= num * (n[x[p]] + n[y[p]])
+        return ok
+
+
+def _flat(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit words of a binary column, and where each row's begin and how many they are."""
+    chunks = t.column(name).chunks
+    arr = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
+    _, offsets, data = arr.buffers()
+    off = np.frombuffer(offsets, np.int32, len(arr) + 1, arr.offset * 4).astype(np.int64) // 8
+    return np.frombuffer(data, np.uint64, int(off[-1])), off[:-1], np.diff(off)
+
+
+def _candidates(t: pa.Table, num: int, den: int) -> np.ndarray:
+    """Which rows have a partner in their tile that the bitmaps leave possible."""
+    n, root = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "root"))
+    maps = _Maps(*_flat(t, "x"))
+    alive = np.zeros(n.size, bool)
+    for x, y in _meeting(t):
+        ok = (root[x] != root[y]) & ~(alive[x] & alive[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        ok = maps.possible(x, y, n, num, den)
+        alive[x[ok]] = alive[y[ok]] = True
+    return alive
+
+
+def _forest(t: pa.Table, num: int, den: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) that link, enough of them to join all components that links in the tiles join."""
+    n, s = t.column("n").to_numpy().astype(np.int64), t.column("s").to_numpy()
+    _, label = np.unique(t.column("root").to_numpy(), return_inverse=True)
+    values, starts, size = _flat(t, "x")
+    _, where, own = np.unique(s, return_index=True, return_inverse=True)
+    drawn = [_bitmap(values[starts[r] : starts[r] + size[r]], width) for r in where]
+    length = np.array([d.size for d in drawn])
+    maps = _Maps(np.concatenate(drawn), (np.cumsum(length) - length)[own], length[own])
+    out: list[tuple[int, int]] = []
+    for x, y in _meeting(t):
+        ok = (label[x] != label[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        ok = maps.possible(x, y, n, num, den)
+        x, y = x[ok], y[ok]
+        for lo, hi in zip(*((edge := np.flatnonzero(np.append(True, x[1:] != x[:-1]))), np.append(edge[1:], x.size)), strict=True) if x.size else ():
+            a, others = x[lo], y[lo:hi]
+            one = values[starts[a] : starts[a] + size[a]]
+            while (others := others[label[others] != label[a]]).size:
+                # all partners' sorted arrays at once, a bounded number of elements at a time
+                part = others[: max(1, int(np.searchsorted(np.cumsum(size[others]), 1 << 20, "right")))]
+                others = others[part.size :]
+                many = np.concatenate([values[starts[b] : starts[b] + size[b]] for b in part])
+                at = np.searchsorted(one, many)
+                at[at == one.size] = 0
+                common = np.add.reduceat((one[at] == many).astype(np.int64), np.cumsum(size[part]) - size[part])
+                for b in part[den * common >= num * (n[a] + n[part] - common)]:
+                    if label[b] != label[a]:
+                        out.append((a, b))
+                        label[label == label[b]] = label[a]
+    a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+    return s[a], s[b]
+
+
+def _dealt(tiles: DataFrame, content: DataFrame) -> DataFrame:
+    """Tile rows with their sets' content, a tile's rows together and in the order of sides."""
+    full = tiles.join(content, "s").select(*KEY, "side", "s", "n", "root", "x")
+    return full.repartition(*KEY).sortWithinPartitions(*KEY, "side", "s")
+
+
+def _links(tiles: DataFrame, sketches: DataFrame, arrays: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b): links between sets of different roots in the tiles, a forest of them for each; checkpointed."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            yield from t.filter(pa.array(_candidates(t, num, den))).drop_columns(["x"]).combine_chunks().to_batches()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            a, b = _forest(t, num, den, 8)
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    left = cut(_dealt(tiles, sketches).mapInArrow(bound, "g long, kind int, low int, i int, j int, side int, s long, n int, root long"))
+    found = _dealt(left, arrays(left.select("s"))).mapInArrow(exact, "a long, b long")
+    return cut(found)
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int = 8, late: int = 200_000, tile: int = 1024, bits: int = 64) -> DataFrame:
     """(id, n_shingles, component) for each row of `docs(id long, text)` with a non-null id.
 
     Texts link if the Jaccard similarity of their sets of k-word shingles is at least num / den; component is the
     smallest id that links reach. Texts without words, and null ones, have the empty set and link to nothing. Repeated
-    ids give a row each. late: shingles that are put last in the order; they only change how much work there is, not
-    the result. rounds, pivots: of step 3, which only spares work as well. tile: sets that one task compares to as many at a time, fewer if they are large. Shingles and sets are told apart by 64-bit hashes.
+    ids give a row each; an empty table gives an empty one. late: shingles that are put last in the order; they only
+    change how much work there is, not the result. pivots: of each group's band in the first round, which only spares
+    work as well. tile: sets that one tile compares with each other or with as many, fewer if they are large.
+    Shingles are told apart by 64-bit hashes, sets by digests of 128 bits; bits: of the shorter name that sets go by,
+    unless two share it.
     """
     docs = docs.select("id", "text")
-    seen = cut(described(docs, k))
+    seen = cut(described(docs, k, bits=bits))
     hot = seen.filter("id IS NULL").groupBy("set").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "set").limit(late).toPandas()
     last = hot.sort_values(["n", "set"])["set"].to_numpy(np.int64).view(np.uint64)
-    members = seen.filter("id IS NOT NULL").select("id", F.col("n").alias("n_shingles"), F.col("set").alias("s"))
-
-    first = cut(members.filter("n_shingles > 0").groupBy("s").agg(F.min("id").alias("first")))
-    groups = cut(_groups(_prefixes(docs, first, k, num, den, last)))
-    drawn = lambda sets, make: cut(_drawn(docs, first, sets, k, make))
-    sketches = None if groups.isEmpty() else drawn(groups.select("s"), _sketch(2))
-    links, roots, left = None, None, groups.withColumn("root", F.col("s"))
-    for turn in range(rounds + 1):
-        if sketches is None or left.isEmpty():
-            break
-        if turn < rounds:
-            at = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("s", F.lit(turn)), "s"))
-            chosen = left.select("g", F.col("s").alias("ps"), F.col("n").alias("pn"), F.col("root").alias("proot"), at.alias("at")).filter(F.col("at") <= pivots)
-            met = left.join(chosen, "g").filter(f"root <> proot AND {den} * least(n, pn) >= {num} * greatest(n, pn)")
-            pairs = _possible(met.select(F.least("s", "ps").alias("a"), F.greatest("s", "ps").alias("b")).distinct(), sketches, num, den)
-        else:
-            near = cut(_tiles(left, sketches, num, den, tile))
-            pairs = _possible(near, drawn(_ends(near), _sketch(32)), num, den)
-        pairs = cut(pairs)
-        found = _verified(pairs, drawn(_ends(pairs), np.ndarray.tobytes), num, den)
-        links = cut(found if links is None else links.unionByName(found))
-        roots = cut(components(links))
-        joined = groups.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        # a group of `pivots` members or fewer has been compared in full by the first round
-        open_ = joined.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter(f"lo <> hi AND c > {pivots}").select("g")
-        left = cut(joined.join(open_, "g", "left_semi"))
+    members = seen.filter("id IS NOT NULL").select("id", F.col("n").alias("n_shingles"), F.col("set").alias("s"), "other")
+    # names of 64 bits that different sets share: of N sets, N * N / 2**65 are to be expected
+    twice = members.groupBy("s").agg(F.min("other").alias("lo"), F.max("other").alias("hi"), F.min("id").alias("first"))
+    first = cut(twice.withColumn("shared", F.col("lo") < F.col("hi")).select("s", "first", "shared"))
+    shared = [r["s"] for r in first.filter("shared").select("s").collect()]
+    if shared:
+        members = members.withColumn("s", F.when(F.col("s").isin(shared), F.col("other")).otherwise(F.col("s")))
+        first = cut(members.groupBy("s").agg(F.min("id").alias("first")))
+    members = members.drop("other")
+    some = members.filter("n_shingles > 0")
+    scan = _Scan(docs, k, bits, frozenset(shared))
+
+    groups = cut(_groups(_prefixes(scan, first, num, den, last)))
+    arrays = lambda sets: _drawn(scan, first, sets, lambda v: v.tobytes())
+    roots = None
+    if not groups.isEmpty():
+        sketches = cut(_drawn(scan, first, groups.select("s"), lambda v: _bitmap(v, 2).tobytes()))
+        links = _links(_first_tiles(groups, num, den, tile, pivots), sketches, arrays, num, den)
+        roots = cut(components(links)).withColumnRenamed("id", "s")
+        rooted = groups.select("g", "s", "n").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+        more = _links(_all_tiles(rooted, num, den, tile), sketches, arrays, num, den)
+        if not more.isEmpty():
+            roots = cut(components(links.unionByName(more))).withColumnRenamed("id", "s")
     if roots is None:
-        roots = members.limit(0).select(F.col("s").alias("id"), F.col("s").alias("root"))
-    rooted = first.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        roots = some.limit(0).select("s", F.col("s").alias("root"))
+    rooted = first.select("s", "first").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("s", "component")
-    full = members.filter("n_shingles > 0").join(named, "s").select("id", "n_shingles", "component")
+    full = some.join(named, "s").select("id", "n_shingles", "component")
     return full.unionByName(members.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))

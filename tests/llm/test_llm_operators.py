@@ -105,8 +105,9 @@ def jaccard_brute(docs):
     return sorted((i, len(sets[i]), root(i)) for i in ids)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_jaccard_join(spark, rounds):
+@pytest.mark.parametrize("tile, pivots, bits", [(4, 1, 64), (1024, 8, 5)])
+def test_jaccard_join(spark, tile, pivots, bits):
+    """Blocks of a few sets, so that all kinds of tiles meet; and short names that many sets share."""
     r = random.Random(3)
     docs = []
     for _ in range(6):
@@ -121,10 +122,43 @@ def test_jaccard_join(spark, rounds):
     docs = list(enumerate(docs))
     r.shuffle(docs)
     df = spark.createDataFrame(docs, "id long, text string")
-    got = sorted(rows(jaccard.join(df, rounds=rounds, pivots=1, tile=8)))
+    got = sorted(rows(jaccard.join(df, pivots=pivots, tile=tile, bits=bits)))
     assert got == jaccard_brute(docs)
 
 
+def test_jaccard_tiles_meet_all_pairs_of_different_roots(spark):
+    r = random.Random(8)
+    members = [(g, s, r.choice([30, 31, 38, 41, 52, 57, 70]), 1 if g < 3 and r.random() < 0.7 else s) for g in range(6) for s in r.sample(range(2, 90), 25)]
+    got = rows(jaccard._all_tiles(spark.createDataFrame(members, "g long, s long, n int, root long"), 3, 4, 4))
+    tiles, met = {}, set()
+    for *key, side, s, n, root in got:
+        tiles.setdefault(tuple(key), []).append((side, s, n, root))
+    assert max(map(len, tiles.values())) < 25 and {k[1] for k in tiles} == {0, 1, 2, 3, 4}
+    for (g, kind, _, i, j), held in tiles.items():
+        for x in held:
+            for y in held:
+                if x[3] != y[3] and (x[0] != y[0] or kind == 0 and i == j):
+                    met.add((g, *sorted((x[1], y[1]))))
+    near = {(a[0], *sorted((a[1], b[1]))) for a in members for b in members if a[0] == b[0] and a[3] != b[3] and 4 * min(a[2], b[2]) >= 3 * max(a[2], b[2])}
+    assert near <= met
+
+
+def test_jaccard_exact_step_needs_no_bitmap(spark):
+    """Near the limit bitmaps cannot tell: 3 in 4 links, a word less does not."""
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(base[i % 9 :] + [f"x{i}x{j}" for j in range(i % 9)])) for i in range(120)]
+    got = sorted(rows(jaccard.join(spark.createDataFrame(docs, "id long, text string"), tile=16, pivots=2)))
+    assert got == jaccard_brute(docs)
+
+
+def test_jaccard_long_text(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(120_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-9000])), (3, " ".join(words[:60_000])), (4, "short text")]
+    got = {i: c for i, _, c in rows(jaccard.join(spark.createDataFrame(docs, "id long, text string")))}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_jaccard_join_edges(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "A B")], "id long, text string")
     assert sorted(rows(jaccard.join(df))) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
@@ -133,9 +167,9 @@ def test_jaccard_join_edges(spark):
 
 def test_jaccard_group_of_thousands_of_near_copies(spark):
     base = " ".join(f"w{i}" for i in range(60))
-    docs = [(i, f"{base} v{i}") for i in range(3000)]
+    docs = [(i, f"{base} v{i}") for i in range(5000)]
     got = jaccard.join(spark.createDataFrame(docs, "id long, text string")).collect()
-    assert sorted((r.id, r.n_shingles, r.component) for r in got) == [(i, 57, 0) for i in range(3000)]
+    assert sorted((r.id, r.n_shingles, r.component) for r in got) == [(i, 57, 0) for i in range(5000)]
 
 
 def test_jaccard_copies_are_shuffled_once(spark, monkeypatch):
@@ -152,7 +186,7 @@ def test_jaccard_copies_are_shuffled_once(spark, monkeypatch):
     assert counts[1][0] <= 2 * counts[1][1]
 
 
-@pytest.mark.parametrize("part", [1 << 19, 40])
+@pytest.mark.parametrize("part", [1 << 17, 40])
 def test_components(spark, part):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)]
@@ -171,6 +205,11 @@ def test_components(spark, part):
     assert sorted(got) == sorted((x, root(x)) for x in up)
 
 
+def test_components_do_not_stop_halfway(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long"), 40, 1)
+
+
 def test_topk(spark):
     r = np.random.default_rng(6)
     x = r.integers(-5, 6, (300, 6))
