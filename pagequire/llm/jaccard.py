@@ -7,11 +7,13 @@
 3. Groups are compared in tiles. Members are dealt by size band and hash into blocks of a bounded size, and blocks of
    one band or of neighbouring ones meet. Each set carries a hashed bitmap, as wide as its band; bits of one that the
    other lacks bound the overlap from above. Sets with a partner that the bound leaves possible come back with their
-   sorted arrays, which are intersected exactly. A tile hands on its members and a forest of links, never pairs.
+   sorted arrays, which are intersected exactly. A tile hands on its members, or a forest of links, never pairs.
 4. A first round takes two groups of each set only, a block at a time, with a few members of each group in all of its
    blocks, so that most copies link up in work that grows with the sets. The second takes every group that still holds
-   sets of more than one component, and compares all pairs of different components. If one component makes up most of
-   a large group, its members meet the others only.
+   sets of more than one component, and compares the bitmaps of all pairs of different components. What these leave
+   possible falls into clusters; each set is in one at most, so its array travels for that one and not for each group.
+   All pairs of different components in a cluster meet in tiles once more, with arrays. If one component makes up most
+   of a large group or cluster, its members meet the others only.
 5. Links become components.
 
 Bitmaps and arrays are drawn anew from the texts when tiles need them, so no set is stored before.
@@ -330,21 +332,41 @@ def _flat(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint64, int(off[-1])), off[:-1], np.diff(off)
 
 
-def _candidates(t: pa.Table, num: int, den: int) -> np.ndarray:
-    """Which rows have a partner in their tile that the bitmaps leave possible."""
+def _possible(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(which rows have a partner in their tile that the bitmaps leave possible, a forest of such pairs).
+
+    Rows that the forest already joins are not compared again.
+    """
     n, root = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "root"))
     maps = _Maps(*_flat(t, "x"))
-    alive = np.zeros(n.size, bool)
+    up = list(range(n.size))
+    label = np.arange(n.size)
+    forest: list[tuple[int, int]] = []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
     for x, y in _meeting(t):
-        ok = (root[x] != root[y]) & ~(alive[x] & alive[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        ok = (root[x] != root[y]) & (label[x] != label[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
         ok = maps.possible(x, y, n, num, den)
-        alive[x[ok]] = alive[y[ok]] = True
-    return alive
+        before = len(forest)
+        for a, b in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+            one, two = top(a), top(b)
+            if one != two:
+                up[two] = one
+                forest.append((a, b))
+        if len(forest) > before:
+            label = np.array([top(r) for r in range(n.size)])
+    alive = np.zeros(n.size, bool)
+    alive[np.array(forest, np.int64).reshape(-1)] = True
+    return alive, forest
 
 
-def _forest(t: pa.Table, num: int, den: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) that link, enough of them to join all components that links in the tiles join."""
+def _linked(t: pa.Table, num: int, den: int, width: int) -> list[tuple[int, int]]:
+    """Pairs of rows that link, enough of them to join all components that links in the tiles join."""
     n, s = t.column("n").to_numpy().astype(np.int64), t.column("s").to_numpy()
     _, label = np.unique(t.column("root").to_numpy(), return_inverse=True)
     values, starts, size = _flat(t, "x")
@@ -373,8 +395,7 @@ def _forest(t: pa.Table, num: int, den: int, width: int) -> tuple[np.ndarray, np
                     if label[b] != label[a]:
                         out.append((a, b))
                         label[label == label[b]] = label[a]
-    a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
-    return s[a], s[b]
+    return out
 
 
 def _dealt(tiles: DataFrame, content: DataFrame) -> DataFrame:
@@ -383,21 +404,50 @@ def _dealt(tiles: DataFrame, content: DataFrame) -> DataFrame:
     return full.repartition(*KEY).sortWithinPartitions(*KEY, "side", "s")
 
 
-def _links(tiles: DataFrame, sketches: DataFrame, arrays: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """(a, b): links between sets of different roots in the tiles, a forest of them for each; checkpointed."""
+def _edges(s: np.ndarray, forest: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(forest, np.int64).reshape(-1, 2).T
+    return pa.record_batch({"a": pa.array(s[a], pa.int64()), "b": pa.array(s[b], pa.int64())})
+
+
+class _Tiled:
+    """Links between sets of different roots that meet in tiles."""
+
+    def __init__(self, sketches: DataFrame, arrays: Callable[[DataFrame], DataFrame], num: int, den: int, tile: int):
+        self.sketches, self.arrays, self.num, self.den, self.tile = sketches, arrays, num, den, tile
+
+    def exact(self, tiles: DataFrame) -> DataFrame:
+        """(a, b): links by sorted arrays, a forest of them for each tile; checkpointed."""
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _whole(batches):
+                yield _edges(t.column("s").to_numpy(), _linked(t, num, den, 8))
+
+        return cut(_dealt(tiles, self.arrays(tiles.select("s"))).mapInArrow(run, "a long, b long"))
+
+    def first(self, groups: DataFrame, pivots: int) -> DataFrame:
+        num, den = self.num, self.den
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _whole(batches):
+                yield from t.filter(pa.array(_possible(t, num, den)[0])).drop_columns(["x"]).combine_chunks().to_batches()
+
+        tiles = _dealt(_first_tiles(groups, num, den, self.tile, pivots), self.sketches)
+        return self.exact(cut(tiles.mapInArrow(bound, "g long, kind int, low int, i int, j int, side int, s long, n int, root long")))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches):
-            yield from t.filter(pa.array(_candidates(t, num, den))).drop_columns(["x"]).combine_chunks().to_batches()
+    def rest(self, members: DataFrame) -> DataFrame:
+        num, den = self.num, self.den
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches):
-            a, b = _forest(t, num, den, 8)
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _whole(batches):
+                yield _edges(t.column("s").to_numpy(), _possible(t, num, den)[1])
 
-    left = cut(_dealt(tiles, sketches).mapInArrow(bound, "g long, kind int, low int, i int, j int, side int, s long, n int, root long"))
-    found = _dealt(left, arrays(left.select("s"))).mapInArrow(exact, "a long, b long")
-    return cut(found)
+        near = cut(_dealt(_all_tiles(members, num, den, self.tile), self.sketches).mapInArrow(bound, "a long, b long"))
+        if near.isEmpty():
+            return near
+        clusters = components(near).select(F.col("id").alias("s"), F.col("root").alias("g"))
+        each = members.groupBy("s").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+        return self.exact(cut(_all_tiles(clusters.join(each, "s").select("g", "s", "n", "root"), num, den, self.tile)))
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int = 8, late: int = 200_000, tile: int = 1024, bits: int = 64) -> DataFrame:
@@ -432,10 +482,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int =
     roots = None
     if not groups.isEmpty():
         sketches = cut(_drawn(scan, first, groups.select("s"), lambda v: _bitmap(v, 2).tobytes()))
-        links = _links(_first_tiles(groups, num, den, tile, pivots), sketches, arrays, num, den)
+        tiled = _Tiled(sketches, arrays, num, den, tile)
+        links = tiled.first(groups, pivots)
         roots = cut(components(links)).withColumnRenamed("id", "s")
         rooted = groups.select("g", "s", "n").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-        more = _links(_all_tiles(rooted, num, den, tile), sketches, arrays, num, den)
+        more = tiled.rest(rooted)
         if not more.isEmpty():
             roots = cut(components(links.unionByName(more))).withColumnRenamed("id", "s")
     if roots is None:
