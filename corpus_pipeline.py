@@ -1,6 +1,8 @@
 """A corpus pipeline: five stages, each on all that the one before kept, with Parquet between them.
 
-All stages but the last return the columns of `documents`. Rows are told apart by doc_id, which is distinct there.
+All stages but the last return the columns of `documents`, extra ones too. Filters judge every row by its text, so null
+and repeated doc_ids do no harm; one that removes documents by doc_id (jaccard, decontamination) removes all rows of it
+and keeps rows without one. Null and empty texts go in the language stage. Empty tables pass through as empty ones.
 """
 
 from __future__ import annotations
@@ -41,14 +43,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; a null doc_id is its own group."""
+    """Of each group of near copies the document with the smallest doc_id stays, in all rows that have it; a null doc_id is its own group."""
     groups = jaccard.join(docs.select(F.col("doc_id").alias("id"), "text"))
     copies = groups.filter("component <> id").select(F.col("id").alias("doc_id")).distinct()
     return _without(docs, copies)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's windows do not contaminate stay."""
+    """Documents that the benchmark's windows do not contaminate stay; of a repeated doc_id, no row does if one is contaminated."""
     items = registry.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     judged = decontaminate.judge(docs.select(F.col("doc_id").alias("row"), "text"), items)
     bad = judged.filter("contaminated").select(F.col("row").alias("doc_id")).distinct()
@@ -58,14 +60,20 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, with its size, its source's target, its shard and its place there.
 
-    Documents with a null doc_id go by numbers below all ids, and keep the null.
+    Rows whose doc_id is null or not theirs alone go by numbers below all ids, and keep what they have.
     """
-    below = F.lit(docs.agg(F.least(F.lit(0), F.min("doc_id"))).first()[0]).cast("long") - 1
-    nameless = cut(docs.filter("doc_id IS NULL").withColumn("key", below - F.monotonically_increasing_id()))
-    keyed = docs.filter("doc_id IS NOT NULL").withColumn("key", F.col("doc_id").cast("long")).unionByName(nameless)
-    sized = cut(keyed.select("key", "source", mixing.n_words(F.col("text")).alias("size")))
-    mix = mixing.mix(sized).select("key", "size", "target", "repeat", "shard", "place")
-    return keyed.join(mix, "key").drop("key")
+    below = F.lit(docs.agg(F.coalesce(F.least(F.lit(0), F.min("doc_id")), F.lit(0))).first()[0]).cast("long") - 1
+    repeated = cut(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    repeated = F.broadcast(repeated) if repeated.count() <= FEW_IDS else repeated
+    odd = docs.filter("doc_id IS NULL").unionByName(docs.join(repeated, "doc_id", "left_semi"))
+    odd = cut(odd.withColumn("key_", below - F.monotonically_increasing_id()))
+    own = docs.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
+    keyed = own.withColumn("key_", F.col("doc_id").cast("long")).unionByName(odd)
+    order = F.xxhash64("doc_id", "source", "text")
+    sized = cut(keyed.select(F.col("key_").alias("key"), "source", mixing.n_words(F.col("text")).alias("size"), order.alias("order")))
+    mix = mixing.mix(sized).select(F.col("key").alias("key_"), "size", "target", "repeat", "shard", "place")
+    clash = [c for c in keyed.columns if c.lower() in ("size", "target", "repeat", "shard", "place")]
+    return keyed.drop(*clash).join(mix, "key_").drop("key_")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
