@@ -43,7 +43,7 @@ def _contracted(edges: DataFrame, parts: int) -> DataFrame:
     return edges.repartition(parts).mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, part: int = 1 << 17, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, part: int = 1 << 18, rounds: int = 60) -> DataFrame:
     """(id, root) for each id in `edges(a, b)`: root is the smallest id that a path reaches.
 
     Parts of at most about `part` edges are contracted by themselves first; if they fit into one, that is the result.

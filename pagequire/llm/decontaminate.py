@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import bit_set, cut, in_bit_set
+from .store import bit_set, cut, in_bit_set, modest_batches
 from .words import ALNUM, hashed, shingled
 
 
@@ -26,10 +28,10 @@ def _log_bits(n: int) -> int:
     return min(27, max(22, n.bit_length() + 8))
 
 
-def _words(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[bytes] | bytes]]:
-    """(hashes of the words, the text ready to be split) for each text."""
+def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """(hashes of the words, the text) for each text."""
     for lo in range(0, len(texts), 128):
-        part = texts[lo : lo + 128]
+        part = texts.slice(lo, 128).to_pylist()
         words, _, counts = hashed(part, ALNUM)
         ends = np.cumsum(counts)
         for text, end, n in zip(part, ends, counts, strict=True):
@@ -42,7 +44,7 @@ def _windows(items: DataFrame, size: int, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for item, (words, text) in zip(b.column(0).to_pylist(), _words(b.column(1).to_pylist()), strict=True):
+            for item, (words, text) in zip(b.column(0).to_pylist(), _words(b.column(1)), strict=True):
                 if not words.size:
                     continue
                 whole = text.translate(ALNUM).split()
@@ -57,16 +59,29 @@ def _windows(items: DataFrame, size: int, shingle: int) -> DataFrame:
 
 
 def _scan(docs: DataFrame, bits: np.ndarray, widths: list[int], reach: int) -> DataFrame:
-    """(row, n_words, hits): for each document the shingles that may be in the bit set, with `reach` words on each side."""
+    """(key, row, n_words, gram, at, first, near): each document once, with its number of words and null gram, and each of its shingles that may be in the bit set, with `reach` words on each side.
+
+    key tells documents apart, whatever `row` is; it is fixed once the result is checkpointed.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    names = ("key", "row", "n_words", "gram", "at", "first", "near")
+    kinds = (pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("near", pa.string())]))
+        key = TaskContext.get().partitionId() << 40
         for b in batches:
-            counts, hits = [], []
-            for words, text in _words(b.column(1).to_pylist()):
-                counts.append(words.size)
-                found, whole = [], None
+            out: list[tuple] = []
+
+            def flush(rows: pa.Array = b.column(0)) -> pa.RecordBatch:
+                columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+                arrays = [rows.take(pa.array(c, pa.int32())) if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                out.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=names)
+
+            for row, (words, text) in enumerate(_words(b.column(1))):
+                key += 1
+                out.append((key, row, words.size, None, None, None, None))
+                whole = None
                 for k in widths:
                     if words.size < k:
                         continue
@@ -74,11 +89,13 @@ def _scan(docs: DataFrame, bits: np.ndarray, widths: list[int], reach: int) -> D
                     for i in np.flatnonzero(in_bit_set(shared.value, grams)):
                         whole = whole or text.translate(ALNUM).split()
                         lo = max(0, int(i) - reach)
-                        found.append({"gram": int(grams[i : i + 1].view(np.int64)[0]), "at": int(i), "first": lo, "near": b" ".join(whole[lo : int(i) + reach]).decode("utf-8", "replace")})
-                hits.append(found)
-            yield pa.record_batch({"row": b.column(0), "n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, kind)})
+                        out.append((key, row, None, int(grams[i : i + 1].view(np.int64)[0]), int(i), lo, b" ".join(whole[lo : int(i) + reach]).decode("utf-8", "replace")))
+                        if len(out) >= 10_000:
+                            yield flush()
+            yield flush()
 
-    return docs.select("row", F.col("text").cast("binary")).mapInArrow(run, "row long, n_words long, hits array<struct<gram:long,at:int,first:int,near:string>>")
+    kind = T.StructType([T.StructField("key", T.LongType()), T.StructField("row", docs.schema["row"].dataType), *T.StructType.fromDDL("n_words long, gram long, at int, first int, near string")])
+    return docs.select("row", F.col("text").cast("binary")).mapInArrow(run, kind)
 
 
 def _counted(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
@@ -87,7 +104,7 @@ def _counted(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [g[in_bit_set(shared.value, g)] for words, _ in _words(b.column(0).to_pylist()) for k in widths if words.size >= k for g in (shingled(words, k),)]
+            got = [g[in_bit_set(shared.value, g)] for words, _ in _words(b.column(0)) for k in widths if words.size >= k for g in (shingled(words, k),)]
             values, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
             yield pa.record_batch({"gram": pa.array(values.view(np.int64)), "n": pa.array(n, pa.int64())})
 
@@ -95,10 +112,12 @@ def _counted(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, size: int = 13, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
-    """((row, n_words) for each document, (row, start, len, item) for each place where a window of an item stands).
+    """((key, row, n_words) for each document, (key, start, len, item) for each place where a window of an item stands).
 
-    docs(row, text), items(id, text). Null and empty texts have no words; a null item id takes no part.
+    docs(row, text), items(id, text). Null and empty texts have no words; a null item id takes no part. key tells
+    documents apart where rows are null or repeated.
     """
+    modest_batches(docs.sparkSession)
     windows = cut(_windows(items, size, shingle))
     grams = windows.select(F.explode("grams").alias("gram")).distinct()
     bits = bit_set(grams, F.col("gram"), _log_bits(grams.count()))
@@ -111,28 +130,27 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = 13, shingle: int
     filed = cut(placed.withColumn("r", have).withColumn("all", complete).filter("r = 1 AND all").select("gram", "place", "words", "len"))
 
     rows = cut(_scan(docs, bit_set(filed.select("gram"), F.col("gram"), _log_bits(filed.count())), widths, size))
-    near = rows.select("row", "n_words", F.explode("hits").alias("h")).select("row", "n_words", "h.*")
-    met = near.join(filed, "gram").withColumn("start", F.col("at") - F.col("place"))
-    fits = met.filter("start >= 0 AND start + len <= n_words")
-    real = fits.filter("array_join(slice(split(near, ' '), start - first + 1, len), ' ') = words").select("row", "start", "len", "words")
-    found = real.join(windows.select("words", "item").distinct(), "words").select("row", "start", "len", "item")
-    return rows.select("row", "n_words"), found
+    met = rows.filter("gram IS NOT NULL").join(filed, "gram").withColumn("start", F.col("at") - F.col("place"))
+    # `near` ends with the text, so a window that goes on beyond it finds too few words
+    fits = met.filter("start >= 0 AND array_join(slice(split(near, ' '), greatest(1, start - first + 1), len), ' ') = words")
+    found = fits.select("key", "start", "len", "words").join(windows.select("words", "item").distinct(), "words").select("key", "start", "len", "item")
+    return rows.filter("gram IS NULL").select("key", "row", "n_words"), found
 
 
 def judge(docs: DataFrame, items: DataFrame, size: int = 13, num: int = 1, den: int = 20) -> DataFrame:
-    """(row, n_words, n_hit, n_items, items, contaminated) for each row of `docs(row, text)`; rows must be distinct.
+    """(row, n_words, n_hit, n_items, items, contaminated) for each row of `docs(row, text)`, null and repeated rows too.
 
     n_hit: words inside any occurrence; items: sorted ids, as text, of the items with occurrences; contaminated: some
     word is hit and at least num / den of all are. Empty and null texts have 0 words and are clean; without items all are.
     """
     counts, found = occurrences(docs, items, size)
     found = cut(found)
-    spans = found.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
-    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("key", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    before = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
-    hit = spans.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
-    named = found.select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    full = counts.join(hit.join(named, "row"), "row", "left")
+    hit = spans.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
+    named = found.select("key", F.col("item").cast("string").alias("item")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    full = counts.join(hit.join(named, "key"), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return full.select("row", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (den * n_hit >= num * F.col("n_words"))).alias("contaminated"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import components
-from .store import bit_set, cut, in_bit_set
+from .store import bit_set, cut, in_bit_set, modest_batches
 from .words import SPACED, hashed, shingled
 
 _U = np.uint64
@@ -404,9 +404,29 @@ def _dealt(tiles: DataFrame, content: DataFrame) -> DataFrame:
     return full.repartition(*KEY).sortWithinPartitions(*KEY, "side", "s")
 
 
-def _edges(s: np.ndarray, forest: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = np.array(forest, np.int64).reshape(-1, 2).T
-    return pa.record_batch({"a": pa.array(s[a], pa.int64()), "b": pa.array(s[b], pa.int64())})
+class _Joined:
+    """Edges of one task after another, without those between sets that it has joined already; it forgets when it has seen many."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def _top(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    def edges(self, s: np.ndarray, forest: list[tuple[int, int]]) -> pa.RecordBatch:
+        if len(self.up) > SEEN:
+            self.up.clear()
+        new = []
+        for a, b in s[np.array(forest, np.int64).reshape(-1, 2)].tolist():
+            one, two = self._top(a), self._top(b)
+            if one != two:
+                self.up[two] = one
+                new.append((a, b))
+        a, b = np.array(new, np.int64).reshape(-1, 2).T
+        return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
 class _Tiled:
@@ -420,8 +440,9 @@ class _Tiled:
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            joined = _Joined()
             for t in _whole(batches):
-                yield _edges(t.column("s").to_numpy(), _linked(t, num, den, 8))
+                yield joined.edges(t.column("s").to_numpy(), _linked(t, num, den, 8))
 
         return cut(_dealt(tiles, self.arrays(tiles.select("s"))).mapInArrow(run, "a long, b long"))
 
@@ -439,8 +460,9 @@ class _Tiled:
         num, den = self.num, self.den
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            joined = _Joined()
             for t in _whole(batches):
-                yield _edges(t.column("s").to_numpy(), _possible(t, num, den)[1])
+                yield joined.edges(t.column("s").to_numpy(), _possible(t, num, den)[1])
 
         near = cut(_dealt(_all_tiles(members, num, den, self.tile), self.sketches).mapInArrow(bound, "a long, b long"))
         if near.isEmpty():
@@ -462,6 +484,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int =
     unless two share it.
     """
     docs = docs.select("id", "text")
+    modest_batches(docs.sparkSession)
     seen = cut(described(docs, k, bits=bits))
     hot = seen.filter("id IS NULL").groupBy("set").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "set").limit(late).toPandas()
     last = hot.sort_values(["n", "set"])["set"].to_numpy(np.int64).view(np.uint64)

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut
+from .store import cut, modest_batches
 from .words import mix
 
 _U = np.uint64
@@ -24,11 +24,13 @@ _U = np.uint64
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SIZES = (3, 5)
 PART = 1 << 19
+#: Languages in one mask.
+BITS = 63
 
 
 @dataclass(frozen=True)
 class Filters:
-    """masks: position -> bits of languages; load: by language, the share of positions set."""
+    """masks: for each 63 languages a row, position -> bits of languages; load: by language, the share of positions set."""
 
     languages: tuple[str, ...]
     masks: np.ndarray
@@ -101,10 +103,8 @@ def fit(docs: DataFrame, sample: int = 2000, keep: int = 20_000, log_size: int =
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = tuple(sorted(r["lang"] for r in totals))
-    if len(languages) > 63:
-        raise ValueError("a mask has 63 bits; map rarer languages to one code first")
     if not languages:
-        return Filters((), np.zeros(1 << log_size, np.int64), np.zeros(0), hashes, 0)
+        return Filters((), np.zeros((1, 1 << log_size), np.int64), np.zeros(0), hashes, 0)
     index = {c: i for i, c in enumerate(languages)}
     rate = F.create_map([F.lit(x) for r in totals for x in (r["lang"], min(1.0, sample / r["count"]))])
     drawn = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
@@ -123,18 +123,16 @@ def fit(docs: DataFrame, sample: int = 2000, keep: int = 20_000, log_size: int =
                 yield pa.record_batch({"l": pa.array(np.full(values.size, lang)), "g": pa.array(values.view(np.int64)), "n": pa.array(n)})
 
     counts = drawn.mapInArrow(count, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    by = counts.groupBy("g").pivot("l", list(range(len(languages)))).agg(F.first("n"))
-    by = cut(by.na.fill(0))
-    sums = by.agg(*[F.sum(str(i)).alias(str(i)) for i in range(len(languages))]).first()
-    freq = [F.col(str(i)) / F.lit(float(max(sums[str(i)] or 0, 1))) for i in range(len(languages))]
-    top = F.greatest(*freq, F.lit(0.0))
-    masks = np.zeros(1 << log_size, np.int64)
-    for i in range(len(languages)):
-        chosen = by.filter((freq[i] >= share * top) & (F.col(str(i)) > 1)).orderBy(F.desc(str(i)), "g").limit(keep).select("g")
-        grams = chosen.toPandas()["g"].to_numpy(np.int64).view(np.uint64)
-        for pos in _positions(grams, hashes, masks.size):
-            masks[pos] |= 1 << i
-    load = np.array([np.count_nonzero(masks >> i & 1) / masks.size for i in range(len(languages))])
+    counts = cut(counts)
+    total = F.create_map([F.lit(x) for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect() for x in (r["l"], float(r["n"]))] or [F.lit(-1), F.lit(1.0)])
+    shares = counts.withColumn("f", F.col("n") / total[F.col("l")]).withColumn("top", F.max("f").over(Window.partitionBy("g")))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
+    chosen = shares.filter((F.col("f") >= share * F.col("top")) & (F.col("n") > 1)).withColumn("r", place).filter(F.col("r") <= keep).select("l", "g").toPandas()
+    masks = np.zeros((-(-len(languages) // BITS), 1 << log_size), np.int64)
+    for i, grams in chosen.groupby("l")["g"]:
+        for pos in _positions(grams.to_numpy(np.int64).view(np.uint64), hashes, masks.shape[1]):
+            masks[i // BITS, pos] |= 1 << i % BITS
+    load = np.array([np.count_nonzero(masks[i // BITS] >> i % BITS & 1) / masks.shape[1] for i in range(len(languages))])
     return Filters(languages, masks, load, hashes, index[totals[0]["lang"]])
 
 
@@ -146,14 +144,15 @@ def score_batch(f: Filters, texts: list[str | None]) -> tuple[list[str], np.ndar
     for at, parts in _split([c for c, _ in cleaned]):
         at = np.array(at)
         for grams, part in _grams(parts):
-            first, *more = _positions(grams, f.hashes, f.masks.size)
-            found = f.masks[first]
-            for pos in more:
-                found = found & f.masks[pos]
+            first, *more = _positions(grams, f.hashes, f.masks.shape[1])
             of = at[part]
             total += np.bincount(of, minlength=n)
-            for i in range(len(f.languages)):
-                hits[:, i] += np.bincount(of[(found >> i) & 1 != 0], minlength=n)
+            for row, masks in enumerate(f.masks):
+                found = masks[first]
+                for pos in more:
+                    found = found & masks[pos]
+                for i in range(BITS * row, min(BITS * (row + 1), len(f.languages))):
+                    hits[:, i] += np.bincount(of[(found >> i % BITS) & 1 != 0], minlength=n)
     if not f.languages:
         return ["und"] * n, np.zeros(n)
     wrong = f.load**f.hashes
@@ -171,6 +170,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     Texts that are null or have no letter get 'und' and 0. Every row is judged on its own, so repeated rows get equal
     results, and an empty table gives an empty one. The filters (masks of a fixed size) are broadcast.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
     rows = docs.select(*kept)
@@ -179,7 +179,9 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [x.lower() for x in batch.schema.names].index("text")
-            langs, scores = score_batch(shared.value, batch.column(at).to_pylist())
+            texts = batch.column(at)
+            parts = [score_batch(shared.value, texts.slice(lo, 500).to_pylist()) for lo in range(0, len(texts), 500)]
+            langs, scores = [x for p, _ in parts for x in p], np.concatenate([p for _, p in parts] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     return rows.mapInArrow(judge, schema)

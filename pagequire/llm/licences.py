@@ -28,9 +28,9 @@ class Template:
 
 
 def base(label: str, phrase: str) -> Template:
-    """A phrase that counts wherever it stands as a whole."""
+    """A phrase that counts wherever it stands as a whole; where it does, all of its words agree."""
     words = tuple(phrase.split())
-    return Template(label, words, ((0, words),), True)
+    return Template(label, words, ((0, words),), True, min(2, len(set(words))))
 
 
 def licence(label: str, text: str, *key: str, least: int = 2) -> Template:
@@ -45,7 +45,7 @@ def licence(label: str, text: str, *key: str, least: int = 2) -> Template:
 
 #: The phrases that every scan counts.
 BASE = (base("mit", "under the mit license"), base("apache-2", "apache license version 2"), base("cc-by-nc", "cc by nc"))
-#: Sentences of public licences with the phrases that tell them apart.
+#: Sentences of public licences with the phrases that tell them apart.
 LICENCES = (
     licence("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "granted free of charge", "obtaining a copy"),
     licence("apache-2", "licensed under the apache license version 2 0 the license", "apache license version 2 0"),
@@ -58,6 +58,11 @@ LICENCES = (
     licence("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "commons attribution sharealike"),
     licence("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "commons attribution noncommercial"),
     licence("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software", "public domain"),
+    licence("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    licence("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    licence("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "without any express or implied warranty", "held liable"),
+    licence("cc0", "has waived all copyright and related or neighboring rights to this work", "waived all copyright", "neighboring rights"),
+    licence("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", "commons attribution noderivatives"),
     licence("proprietary", "all rights reserved", "all rights reserved", least=1),
 )
 
@@ -77,14 +82,14 @@ def _rarest(split: DataFrame, templates: Sequence[Template], rare: int) -> dict[
     return {w: n / (1 + found.get(w, 0)) for w in vocabulary}
 
 
-def _begins(word: str, places: Sequence[int]) -> Column:
+def _begins(hits: Column, word: str, places: Sequence[int]) -> Column:
     """Where a template would begin for each place of one of its words in the text."""
-    return F.flatten(F.transform(F.filter("hits", lambda h: h.w == word), lambda h: F.array(*[h.at - i for i in places])))
+    return F.flatten(F.transform(F.filter(hits, lambda h: h.w == word), lambda h: F.array(*[h.at - i for i in places])))
 
 
-def _stands(at: int, phrase: Sequence[str]) -> Callable[[Column], Column]:
+def _stands(w: Column, at: int, phrase: Sequence[str]) -> Callable[[Column], Column]:
     """Whether a template that begins at a place has its phrase where it belongs."""
-    return lambda s: F.slice("w", (s + at + 1).cast("int"), len(phrase)) == F.array(*map(F.lit, phrase))
+    return lambda s: F.slice(w, (s + at + 1).cast("int"), len(phrase)) == F.array(*map(F.lit, phrase))
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = BASE + LICENCES, rare: int = 3) -> DataFrame:
@@ -93,26 +98,29 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + LICENCES, rare:
     rare: words under which a template is filed, its rarest. n_base: places of base phrases; first_word and last_word:
     the smallest and largest of them, from 0, else null; base_labels and labels: distinct, sorted, comma-joined; score:
     1 with a base phrase, else the largest share of a found template's words that stand where it puts them, else 0.
-    Null and empty texts have no words. Every row is judged on its own, whatever its length, without a shuffle.
+    Null and empty texts have no words. Every row is judged on its own, whatever its length, without a shuffle; columns
+    of the result's names are replaced, all others stay, and an empty table gives an empty one.
     """
     new = ("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    rows = docs.select(*[c for c in docs.columns if c.lower() not in new], words(F.col("text")).alias("w"))
-    idf = _rarest(rows.select("w"), templates, rare)
+    split = words(F.col("text"))
+    idf = _rarest(docs.select(split.alias("w")), templates, rare)
     filed = {t: sorted(sorted(set(t.words), key=lambda w: (-idf[w], w))[: max(rare, t.least)]) for t in templates}
     keys = sorted({w for ws in filed.values() for w in ws})
+    # what is worked out on the way has columns of its own beside a struct of the given ones, which cannot clash
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c.lower() not in new], F.lit(0).alias("_none")).alias("given"), split.alias("w"))
     # one pass over the words leaves the few that are filed, with their places
     hits = F.filter(F.transform("w", lambda w, i: F.when(w.isin(keys), F.struct(w.alias("w"), i.cast("long").alias("at")))), lambda x: x.isNotNull())
     rows = rows.withColumn("hits", hits)
 
     def starts(t: Template) -> Column:
         """Where the template would begin, by each filed word; then those on which enough agree and whose key phrases stand there."""
-        by = [_begins(w, [i for i, x in enumerate(t.words) if x == w]) for w in filed[t]]
+        by = [_begins(F.col("hits"), w, [i for i, x in enumerate(t.words) if x == w]) for w in filed[t]]
         every = F.filter(F.concat(*by), lambda s: s >= 0)
         places = F.array_distinct(every)
         if t.least > 1:
             places = F.filter(places, lambda s: F.size(F.filter(every, lambda x: x == s)) >= t.least)
         for at, phrase in t.key:
-            places = F.filter(places, _stands(at, phrase))
+            places = F.filter(places, _stands(F.col("w"), at, phrase))
         return places
 
     empty = F.expr("cast(array() as array<bigint>)")
@@ -132,8 +140,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + LICENCES, rare:
     n_base = F.size(base_at).cast("long")
     best = F.greatest(F.lit(0.0), F.lit(0.0), *[share(len(bases) + i, t) for i, t in enumerate(others)])
     score = F.when(~some, 0.0).when(n_base > 0, 1.0).otherwise(best)
-    return rows.select(
-        *[c for c in docs.columns if c.lower() not in new],
+    result = F.struct(
         F.size("w").cast("long").alias("n_words"),
         n_base.alias("n_base"),
         F.array_min(base_at).alias("first_word"),
@@ -142,3 +149,4 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + LICENCES, rare:
         joined(F.concat(label(bases, 0), label(others, len(bases)))).alias("labels"),
         score.alias("score"),
     )
+    return rows.select("given", result.alias("result")).select("given.*", "result.*").drop("_none")

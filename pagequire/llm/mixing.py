@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
+#: Blocks, and ranges of a hash, that are numbered at a time.
+CHUNK_BITS = 12
+CHUNK = 1 << CHUNK_BITS
+
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -63,14 +67,33 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.concatenate([split(left, half, rng), split(quotas - left, shards - half, rng)])
 
 
+def _numbered(rows: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows of the same keys that come before a row, chunk by chunk and in order within one.
+
+    Chunks are summed up before they are shuffled and their sums run over one row for each, so no key's rows have to be
+    in one task. Keys may be null.
+    """
+    rows = rows.withColumn("chunk_", chunk).withColumn("value_", value)
+    ahead = F.coalesce(F.sum("all_").over(Window.partitionBy(*keys).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy(*keys, "chunk_").agg(F.sum("value_").alias("all_")).withColumn("ahead_", ahead)
+    sums = sums.select(*[F.col(k).alias(k + "_") for k in keys], F.col("chunk_").alias("c_"), "ahead_")
+    inside = F.coalesce(F.sum("value_").over(Window.partitionBy(*keys, "chunk_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(k).eqNullSafe(F.col(k + "_")) for k in keys] + [F.col("chunk_") == F.col("c_")]
+    joined = rows.withColumn("in_", inside).join(sums, same).withColumn(name, F.col("ahead_") + F.col("in_"))
+    return joined.drop("chunk_", "value_", "in_", "ahead_", "c_", *[k + "_" for k in keys])
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 100_000, shards: int = 16, seed: int = 11) -> DataFrame:
     """The mix of `docs(key, source, size)`, one row for each time that a text is taken: key, source, size, source_size, target, repeat, shard, place.
 
     key must be distinct for each row and non-null, size is the number of words. A source's taken words differ from its
-    target by at most half of one text. place orders a shard. Texts of size 0 are taken with the blocks they are in. The
-    seed fixes the result: reruns agree. Where all sizes are 0, and with an empty table, the mix is empty.
+    target by at most half of one text. place: from 0, where the text stands in its shard, whose draws are shuffled. A
+    column `order` (long), if there is one, is hashed for the permutations instead of key; it need not be distinct.
+    Texts of size 0 are taken with the blocks they are in. The seed fixes the result: reruns agree, but for which of the
+    rows with equal `order` is which. Where all sizes are 0, and with an empty table, the mix is empty.
     """
-    rows = docs.select("key", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    order = F.col("order") if "order" in docs.columns else F.col("key")
+    rows = docs.select("key", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), order.alias("order"))
     src = lambda name: F.col("source").eqNullSafe(F.col(name))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most).filter("source_size > 0")
@@ -79,17 +102,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     plan = cut(plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).select(F.col("source").alias("s"), "source_size", "target", "n_blocks", "passes", "rest"))
 
     # 53 bits of a seeded hash permute the texts; equal ranges of it are the blocks
-    spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11)
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "order"), 11)
     placed = rows.join(plan, src("s")).withColumn("spot", spot).withColumn("block", F.floor(F.col("spot") / F.lit(float(1 << 53)) * F.col("n_blocks")).cast("long"))
-    blocks = placed.groupBy("s", "block", "rest").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    blocks = cut(blocks.withColumn("begin", upto - F.col("words")).withColumn("whole", upto <= F.col("rest")).withColumn("part", (F.col("begin") < F.col("rest")) & ~F.col("whole")))
+    blocks = placed.groupBy("s", "block", "rest", "passes").agg(F.sum("size").alias("words"))
+    blocks = _numbered(blocks, ["s"], F.floor(F.col("block") / CHUNK), ["block"], F.col("words"), "begin")
+    blocks = blocks.withColumn("whole", F.col("begin") + F.col("words") <= F.col("rest")).withColumn("part", (F.col("begin") < F.col("rest")) & ~F.col("whole"))
 
     # draws of a source: `passes` of every block, and one more of the first ones; each draw has a number in a permuted order
-    draws = blocks.select("s", "block", "begin", (F.col("whole") | F.col("part")).alias("again"), "part").join(plan.select(F.col("s").alias("s2"), "passes", "rest"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    draws = draws.withColumn("repeat", F.explode(F.expr("filter(sequence(cast(0 as bigint), passes), x -> x < passes OR again)")))
-    number = F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), "block", "repeat"), "repeat", "block")) - 1
-    draws = cut(draws.withColumn("number", number))
+    draws = blocks.withColumn("again", F.col("whole") | F.col("part")).withColumn("repeat", F.explode(F.expr("filter(sequence(cast(0 as bigint), passes), x -> x < passes OR again)")))
+    turn = F.xxhash64(F.lit(seed), "block", "repeat")
+    draws = cut(_numbered(draws, ["s"], F.shiftright(turn, 64 - CHUNK_BITS), [turn, "repeat", "block"], F.lit(1), "number"))
 
     def deal(t: pa.Table) -> pa.Table:
         order = sorted(range(t.num_rows), key=lambda i: (t["s"][i].as_py() is None, t["s"][i].as_py() or ""))
@@ -102,8 +124,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     dealt = draws.join(ends, F.col("s").eqNullSafe(F.col("s2"))).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("number")))).select(F.col("s").alias("s3"), F.col("block").alias("b3"), "begin", "part", "repeat", "shard")
 
     taken = placed.join(dealt, src("s3") & (F.col("block") == F.col("b3")))
-    edge = taken.filter(F.col("part") & (F.col("repeat") == F.col("passes")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("s3", "block").orderBy("spot", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("before", F.col("begin") + before).filter(F.col("before") + F.col("size") / 2 <= F.col("rest")).drop("before")
-    every = taken.filter(~(F.col("part") & (F.col("repeat") == F.col("passes")))).unionByName(edge)
-    return every.select("key", "source", "size", "source_size", "target", "repeat", "shard", F.xxhash64(F.lit(seed), "shard", "repeat", "key").alias("place"))
+    last = F.col("part") & (F.col("repeat") == F.col("passes"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("s3", "block").orderBy("spot", "size", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = taken.filter(last).withColumn("before", F.col("begin") + before).filter(F.col("before") + F.col("size") / 2 <= F.col("rest")).drop("before")
+    every = taken.filter(~last).unionByName(edge)
+    at = F.xxhash64(F.lit(seed), "shard", "repeat", "order")
+    shuffled = _numbered(every, ["shard"], F.shiftright(at, 64 - CHUNK_BITS), [at, "repeat", "size", "key"], F.lit(1), "place")
+    return shuffled.select("key", "source", "size", "source_size", "target", "repeat", "shard", "place")

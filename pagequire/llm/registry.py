@@ -46,7 +46,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
-    vectors = rows.select(F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> cast(floor(256 * cast(x as double)) as int))").alias("v"))
+    vectors = rows.select(F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> try_cast(floor(256 * cast(x as double)) as bigint))").alias("v"))
     found = topk.search(vectors, vectors.filter("id % 50 = 0"))
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
@@ -59,7 +59,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    """Whole dialogues from each participant's perspective, with the character ranges that are trained on as `begin-end,...`."""
+    told = chat.dialogues(chat.rotate(table(spark, sf_dir, "conversations")))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.begin, s.end)), ",")
+    trained = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    return told.select("conv_id", "perspective", "block", "n_turns", "text", spans.alias("spans"), trained.alias("n_trained"))
 
 
 RULES = (
@@ -87,13 +91,16 @@ def op9_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "source", mixing.n_words(F.col("text")).alias("size"))
-    docs = cut(docs)
-    mixed = mixing.mix(docs)
-    taken = mixed.groupBy("key").agg(F.sum("size").alias("taken"))
-    plan = mixing.targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), (5, 2, 1), 1.5, 2.0).withColumnRenamed("source", "s")
-    full = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).join(taken, "key", "left")
-    return full.select(F.col("key").alias("doc_id"), "size", F.col("source_size"), "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    """taken, and in addition how often, in which shards and at which places there a document stands (`shard:place,...`, in order)."""
+    docs = table(spark, sf_dir, "documents")
+    # rows may share a doc_id or have none; what they hold orders them, so that reruns agree
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("order"))
+    sized = cut(sized.withColumn("key", F.monotonically_increasing_id()))
+    drawn = mixing.mix(sized).groupBy("key").agg(F.sum("size").alias("taken"), F.count("*").alias("times"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("at"))
+    plan = mixing.targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), (5, 2, 1), 1.5, 2.0).withColumnRenamed("source", "s")
+    full = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).join(drawn, "key", "left")
+    places = F.array_join(F.transform("at", lambda x: F.concat_ws(":", x.shard, x.place)), ",")
+    return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("times", F.lit(0)).alias("times"), F.coalesce(places, F.lit("")).alias("places"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,11 +46,15 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(tex
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS seq FROM t),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 k AS (SELECT o.*, s.perspective, CASE WHEN o.role = 'system' THEN 'system' WHEN o.role = s.perspective THEN 'assistant' ELSE 'user' END AS kind
-  FROM o JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id)
-SELECT conv_id, perspective, CAST(seq AS BIGINT) AS seq, role, kind,
+  FROM o JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (SELECT conv_id, perspective, seq, seq // 512 AS block, kind = 'assistant' AS trained,
   '<|' || CASE WHEN kind = 'user' THEN 'user ' || role ELSE kind END || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
-  CAST(5 + length(CASE WHEN kind = 'user' THEN 'user ' || role ELSE kind END) AS BIGINT) AS body, kind = 'assistant' AS trained
-FROM k
+  5 + length(CASE WHEN kind = 'user' THEN 'user ' || role ELSE kind END) AS body FROM k),
+q AS (SELECT *, length(piece) AS n, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM p)
+SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, count(*) AS n_turns, string_agg(piece, '' ORDER BY seq) AS text,
+  coalesce(string_agg(CASE WHEN trained THEN CAST(CAST(at + body AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + n - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY seq), '') AS spans,
+  CAST(coalesce(sum(CASE WHEN trained THEN n - 1 - body END), 0) AS BIGINT) AS n_trained
+FROM q GROUP BY conv_id, perspective, block
 """
 
 _BITS = "lpad(bin(CAST(instr('0123456789abcdef', {}) - 1 AS INTEGER)), 4, '0')"

@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python so many rows at a time, to bound a task's memory, unless the session has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def bit_set(df: DataFrame, key: Column, log_bits: int) -> np.ndarray:
     """Set bit (key mod 2**log_bits) for each row; the driver gets at most 2**log_bits / 64 words, whatever the input's size."""
     pos = F.pmod(key.cast("long"), F.lit(1 << log_bits))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut
+from .store import cut, modest_batches
 from .words import ALNUM, hashed
 
 PREFIXES = (4, 5, 6)
@@ -202,13 +202,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the score of a text without features. Rows are scored on their own: repeated rows score
     alike, an empty table gives an empty one. The model (a bounded number of weights) is broadcast.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[c for c in docs.columns if c.lower() != "tox_score"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [x.lower() for x in batch.schema.names].index("text")
-            got = score_batch(shared.value, batch.column(at).to_pylist())
+            texts = batch.column(at)
+            got = np.concatenate([score_batch(shared.value, texts.slice(lo, 256).to_pylist()) for lo in range(0, len(texts), 256)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "tox_score"])
 
     return rows.mapInArrow(judge, T.StructType([*rows.schema.fields, T.StructField("tox_score", T.DoubleType())]))
