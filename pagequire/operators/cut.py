@@ -1,24 +1,30 @@
 """The recursive X-Y cut, one level of all pages at a time.
 
-A region is a rectangle of a page with both ends included. At each level every live region is projected, trimmed to its
-ink and split at its widest empty band; regions without one are leaves. Seven levels at most, whatever the corpus.
+A region is a rectangle of a page with both ends included; its ink is slabs (y0, y1, x0, x1), runs that neighbouring
+lines share. At each level every live region is projected, trimmed to its ink and split: at its widest empty band, else
+at a thin drawn line, else along a slanted band; regions without any are leaves. Seven levels at most, whatever the corpus.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import profile
+from .raster import profile, slabs
 
 KEYS = ("page_id", "path")
+#: Slopes of slanted bands, in the order in which they are tried.
+SLOPES = (0.035, -0.035, 0.061, -0.061, 0.087, -0.087, 0.115, -0.115, 0.141, -0.141)
 
 
-def trim(runs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, x0, y0, x1, y1, ink): the bounding box of a region's ink; regions without ink vanish."""
-    return runs.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.expr("x1 - x0 + 1")).alias("ink"))
+def trim(ink: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x0, y0, x1, y1, ink): the bounding box of a region's runs or slabs; regions without ink vanish."""
+    ink = slabs(ink)
+    area = F.sum(F.expr("(x1 - x0 + 1) * (y1 - y0 + 1)")).cast("long")
+    return ink.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), area.alias("ink"))
 
 
 def gutters(ink: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
@@ -40,63 +46,169 @@ def widest(bands: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "axis", (-F.col("b.s")).alias("start"), F.col("b.len").alias("len"))
 
 
-def decide(runs: DataFrame, min_len: DataFrame, *keys: str) -> DataFrame:
-    """Trimmed regions with split (row, col or leaf), start and len: rows win ties of length."""
-    box = trim(runs, *keys)
-    spans = box.join(min_len, "page_id").select(*keys, (F.col("x1") - F.col("x0") + 1).alias("row_span"), (F.col("y1") - F.col("y0") + 1).alias("col_span"), "min_len")
-    best = widest(gutters(profile(runs, *keys), spans, *keys), *keys)
-    by = best.groupBy(*keys).agg(*[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}") for a in ("row", "col") for c in ("start", "len")])
-    full = box.join(by, list(keys), "left").na.fill(0, ["row_len", "col_len"])
-    split = F.when((F.col("row_len") > 0) & (F.col("row_len") >= F.col("col_len")), "row").when(F.col("col_len") > 0, "col").otherwise("leaf")
-    full = full.withColumn("split", split)
-    pick = lambda c: F.when(F.col("split") == "row", F.col(f"row_{c}")).when(F.col("split") == "col", F.col(f"col_{c}"))
-    return full.withColumn("start", pick("start")).withColumn("len", pick("len")).drop("row_start", "row_len", "col_start", "col_len")
-
+def border_lines(dark: DataFrame, boxes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, axis, start, len): the narrowest drawn line of each region and axis; the first of equals.
 
-def clip(runs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Runs(page_id, path, y, x0, x1) cut to the child regions(page_id, parent, path, x0, y0, x1, y1) of their path."""
+    dark: a profile of border cells within boxes(keys, x0, y0, x1, y1, max_width, min_side). A line is drawn where 97 % of
+    its span are border cells; a run of such lines is a stroke if it is no wider than max_width and leaves min_side
+    lines on each side.
+    """
+    row = F.col("axis") == "row"
+    at = dark.join(boxes, list(keys)).withColumn("lo", F.when(row, F.col("y0")).otherwise(F.col("x0"))).withColumn("hi", F.when(row, F.col("y1")).otherwise(F.col("x1")))
+    span = F.when(row, F.expr("x1 - x0 + 1")).otherwise(F.expr("y1 - y0 + 1"))
+    order = Window.partitionBy(*keys, "axis").orderBy("pos")
+    dense = at.filter(F.col("count") * 100 >= span * 97).withColumn("new", F.when(F.lag("last").over(order) == F.col("pos") - 1, 0).otherwise(1))
+    runs = dense.withColumn("i", F.sum("new").over(order)).groupBy(*keys, "axis", "i", "lo", "hi", "max_width", "min_side").agg(F.min("pos").alias("start"), F.max("last").alias("stop"))
+    fits = runs.withColumn("len", F.expr("stop - start + 1")).filter("start > lo AND stop < hi AND len <= max_width AND start - lo >= min_side AND hi - stop >= min_side")
+    best = fits.groupBy(*keys, "axis").agg(F.min(F.struct("len", "start")).alias("b"))
+    return best.select(*keys, "axis", "b.start", "b.len")
+
+
+def sheared(ink: DataFrame, boxes: DataFrame, *keys: str, slopes: Sequence[float] = SLOPES, step: int = 2) -> DataFrame:
+    """(keys, axis, start, len): the first slanted band that fits, of slabs within boxes(keys, x0, y0, x1, y1, min_len).
+
+    Every step-th line is moved by slope times its distance from the middle, rounded, and what leaves the region is
+    lost. A band counts with the drift that the slope adds on each side, and must end within the region. Slopes go
+    in order, columns before rows, wider bands before narrower ones.
+    """
+    met = ink.join(boxes.select(*keys, *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")], "min_len"), list(keys))
+    sampled = "sequence(r{a}0 + cast(ceil((greatest({a}0, r{a}0) - r{a}0) / {s}) * {s} AS int), least({a}1, r{a}1), {s})"
+    lined = lambda a: F.expr(f"if(r{a}0 + cast(ceil((greatest({a}0, r{a}0) - r{a}0) / {step}) * {step} AS int) <= least({a}1, r{a}1), {sampled.format(a=a, s=step)}, array())")
+    ranked = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("slope")) for i, s in enumerate(slopes)]))
+
+    def side(axis: str, a: str, b: str, sign: int) -> DataFrame:
+        """Lines along `a`, whose stretches on `b` move."""
+        rows = met.withColumn("at", F.explode(lined(a))).withColumn("k", ranked).select("*", "k.rank", "k.slope")
+        shift = F.floor(F.col("slope") * (F.col("at") - F.floor((F.col(f"r{a}0") + F.col(f"r{a}1")) / 2)) + 0.5).cast("int")
+        low, high = F.col(f"r{b}0"), F.col(f"r{b}1")
+        rows = rows.withColumn("from", F.greatest(F.col(f"{b}0") - shift, low) if sign else F.greatest(F.col(f"{b}0"), low, low + shift) - shift)
+        rows = rows.withColumn("to", F.least(F.col(f"{b}1") - shift, high) if sign else F.least(F.col(f"{b}1"), high, high + shift) - shift).filter("from <= to")
+        extent = (F.col(f"r{a}1") - F.col(f"r{a}0") + 1).alias("extent")
+        ends = F.explode(F.array(F.struct(F.col("from").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("to") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e")
+        return rows.select(*keys, F.lit(axis).alias("axis"), "rank", "slope", extent, low.alias("low"), high.alias("high"), "min_len", ends).select("*", "e.*").drop("e")
+
+    steps = side("col", "y", "x", 0).unionByName(side("row", "x", "y", 1))
+    group = [*keys, "axis", "rank"]
+    summed = steps.groupBy(*group, "slope", "extent", "low", "high", "min_len", "pos").agg(F.sum("d").alias("d"))
+    order = Window.partitionBy(*group).orderBy("pos")
+    level = summed.withColumn("count", F.sum("d").over(order)).withColumn("last", F.lead("pos").over(order) - 1)
+    inked = level.filter(F.col("count") * (1000 * step) > F.col("extent") * 5)
+    bands = inked.withColumn("start", F.col("last") + 1).withColumn("len", F.lead("pos").over(order) - F.col("last") - 1).filter("len >= min_len")
+    drift = (F.floor(F.abs("slope") * F.col("extent") / 2) + 1).cast("int")
+    fits = bands.withColumn("lo", F.col("start") - drift).withColumn("hi", F.col("start") + F.col("len") - 1 + drift).filter("lo > low AND hi < high")
+    first = fits.groupBy(*keys).agg(F.min(F.struct("rank", (F.col("axis") == "row").alias("late"), (-F.col("len")).alias("l"), "start", "axis", "lo", "hi")).alias("b"))
+    return first.select(*keys, "b.axis", F.col("b.lo").alias("start"), F.expr("b.hi - b.lo + 1").alias("len"))
+
+
+def _both(best: DataFrame, *keys: str) -> DataFrame:
+    return best.groupBy(*keys).agg(*[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}") for a in ("row", "col") for c in ("start", "len")])
+
+
+def decide(ink: DataFrame, limits: DataFrame, *keys: str, borders: DataFrame | None = None, shear: bool = False) -> DataFrame:
+    """Trimmed regions with split (row, col or leaf), start, len and slanted, for limits(page_id, min_len, max_width, min_side).
+
+    Of empty bands the longer wins, of drawn lines the narrower, rows where they are equal. Slanted bands are sought only
+    where some line holds 35 % of its span at most. The last two limits are needed with borders only.
+    """
+    ink = slabs(ink)
+    box = trim(ink, *keys)
+    sized = box.join(limits, "page_id").withColumn("row_span", F.expr("x1 - x0 + 1")).withColumn("col_span", F.expr("y1 - y0 + 1"))
+    lines = profile(ink, *keys)
+    full = box.join(_both(widest(gutters(lines, sized.select(*keys, "row_span", "col_span", "min_len"), *keys), *keys), *keys), list(keys), "left").na.fill(0, ["row_len", "col_len"])
+    split = F.when((F.col("row_len") > 0) & (F.col("row_len") >= F.col("col_len")), "row").when(F.col("col_len") > 0, "col").otherwise("leaf")
+    slanted = F.lit(False)
+    if borders is not None:
+        whole = sized.select(*keys, "x0", "y0", "x1", "y1", "max_width", "min_side")
+        inside = slabs(borders).join(whole.select(*keys, *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")]), list(keys)).filter("x0 <= rx1 AND x1 >= rx0 AND y0 <= ry1 AND y1 >= ry0")
+        inside = inside.select(*keys, *[F.greatest(c, "r" + c).alias(c) for c in ("x0", "y0")], *[F.least(c, "r" + c).alias(c) for c in ("x1", "y1")])
+        found = _both(border_lines(profile(inside, *keys), whole, *keys), *keys)
+        full = full.join(found.select(*keys, *[F.col(f"{a}_{c}").alias(f"b{a}_{c}") for a in ("row", "col") for c in ("start", "len")]), list(keys), "left")
+        drawn = F.when(F.col("brow_len") <= F.coalesce("bcol_len", "brow_len"), "row").when(F.col("bcol_len").isNotNull(), "col")
+        full = full.withColumn("split", split).withColumn("drawn", F.when(F.col("split") == "leaf", drawn))
+        pick = lambda c: F.when(F.col("drawn") == "row", F.col(f"brow_{c}")).when(F.col("drawn") == "col", F.col(f"bcol_{c}")).when(F.col("split") == "row", F.col(f"row_{c}")).when(F.col("split") == "col", F.col(f"col_{c}"))
+        full = full.withColumn("start", pick("start")).withColumn("len", pick("len")).withColumn("split", F.coalesce("drawn", "split"))
+    else:
+        pick = lambda c: F.when(F.col("split") == "row", F.col(f"row_{c}")).when(F.col("split") == "col", F.col(f"col_{c}"))
+        full = full.withColumn("split", split).withColumn("start", pick("start")).withColumn("len", pick("len"))
+    full = full.select(*keys, "x0", "y0", "x1", "y1", "ink", "split", "start", "len")
+    if shear:
+        thin = lines.groupBy(*keys, "axis").agg(F.min("count").alias("least"), F.sum(F.expr("last - pos + 1")).alias("held"))
+        row = F.col("axis") == "row"
+        across, along = F.when(row, F.col("row_span")).otherwise(F.col("col_span")), F.when(row, F.col("col_span")).otherwise(F.col("row_span"))
+        gate = thin.join(sized, list(keys)).filter((F.col("held") < along) | (F.col("least") * 100 <= across * 35)).select(*keys).distinct()
+        open_ = sized.join(full.filter("split = 'leaf'").select(*keys), list(keys), "left_semi").join(gate, list(keys), "left_semi")
+        found = sheared(ink, open_.select(*keys, "x0", "y0", "x1", "y1", "min_len"), *keys)
+        full = full.join(found.select(*keys, F.col("axis").alias("s_axis"), F.col("start").alias("s_start"), F.col("len").alias("s_len")), list(keys), "left")
+        slanted = F.col("s_axis").isNotNull()
+        full = full.withColumns({"split": F.coalesce("s_axis", "split"), "start": F.coalesce("s_start", "start"), "len": F.coalesce("s_len", "len"), "slanted": slanted})
+    return full.withColumn("slanted", slanted).select(*keys, "x0", "y0", "x1", "y1", "ink", "split", "start", "len", "slanted")
+
+
+def clip(ink: DataFrame, regions: DataFrame) -> DataFrame:
+    """Slabs(page_id, path, y0, y1, x0, x1) cut to the child regions(page_id, parent, path, x0, y0, x1, y1) of their path."""
     child = regions.select("page_id", F.col("parent").alias("p"), F.col("path").alias("child"), *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")])
-    met = runs.withColumnRenamed("path", "p").join(child, ["page_id", "p"]).filter("y BETWEEN ry0 AND ry1 AND x0 <= rx1 AND x1 >= rx0")
-    return met.select("page_id", F.col("child").alias("path"), "y", F.greatest("x0", "rx0").alias("x0"), F.least("x1", "rx1").alias("x1"))
+    met = slabs(ink).withColumnRenamed("path", "p").join(child, ["page_id", "p"]).filter("y0 <= ry1 AND y1 >= ry0 AND x0 <= rx1 AND x1 >= rx0")
+    ends = [F.greatest(c, "r" + c).alias(c) for c in ("x0", "y0")] + [F.least(c, "r" + c).alias(c) for c in ("x1", "y1")]
+    return met.select("page_id", F.col("child").alias("path"), *ends)
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and go on from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not known and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def xy_cut(runs: DataFrame, maps: DataFrame, depth: int = 6) -> DataFrame:
+def children(regions: DataFrame) -> DataFrame:
+    """(page_id, parent, path, x0, y0, x1, y1): both parts of each split region; a slanted band belongs to both, any other to none."""
+    row = F.col("split") == "row"
+    before = F.col("start") - F.when(F.col("slanted"), 1 - F.col("len")).otherwise(1)
+    after = F.col("start") + F.when(F.col("slanted"), 0).otherwise(F.col("len"))
+    path = lambda k: (F.col("path").alias("parent"), F.concat("path", F.lit(k)).alias("path"))
+    first = regions.select("page_id", *path("0"), "x0", "y0", F.when(row, F.col("x1")).otherwise(before).alias("x1"), F.when(row, before).otherwise(F.col("y1")).alias("y1"))
+    second = regions.select("page_id", *path("1"), F.when(row, F.col("x0")).otherwise(after).alias("x0"), F.when(row, after).otherwise(F.col("y0")).alias("y0"), "x1", "y1")
+    return first.unionByName(second)
+
+
+def xy_cut(runs: DataFrame, maps: DataFrame, depth: int = 6, borders: DataFrame | None = None, shear: bool = True, shear_depth: int = 4) -> DataFrame:
     """Leaves (page_id, path, depth, x0, y0, x1, y1, ink) of runs(page_id, y, x0, x1) on maps(page_id, w, h).
 
-    The gutter belongs to neither child; children take the trimmed extent of the other axis. Lineage is cut by level.
+    borders: runs of border cells, where drawn lines are to split. shear: whether slanted bands are, down to shear_depth.
+    Each page tries all slopes in the same order; what split one region does not come first in the next. Children take
+    the trimmed extent of the other axis. Lineage is cut by level.
     """
-    limits = maps.select("page_id", F.greatest(F.lit(2), F.floor(F.least("w", "h") * 0.005)).alias("min_len"))
-    live = runs.withColumn("path", F.lit("0"))
+    least = F.least("w", "h")
+    limits = maps.select("page_id", F.greatest(F.lit(2), F.floor(least * 0.005)).alias("min_len"), F.greatest(F.lit(2), F.floor(least * 0.01)).alias("max_width"), F.greatest(F.lit(4), F.floor(least * 0.03)).alias("min_side"))
+    live = kept(slabs(runs, True).withColumn("path", F.lit("0")))
+    dark = None if borders is None else slabs(borders, True).withColumn("path", F.lit("0"))
     leaves = None
     for level in range(depth + 1):
-        regions = decide(live, limits, *KEYS) if level < depth else trim(live, *KEYS).withColumn("split", F.lit("leaf")).withColumn("start", F.lit(0)).withColumn("len", F.lit(0))
-        regions = _kept(regions)
+        if level < depth:
+            regions = decide(live, limits, *KEYS, borders=dark, shear=shear and level <= shear_depth)
+        else:
+            regions = trim(live, *KEYS).withColumns({"split": F.lit("leaf"), "start": F.lit(0), "len": F.lit(0), "slanted": F.lit(False)})
+        regions = kept(regions)
         done = regions.filter("split = 'leaf'").select("page_id", "path", F.lit(level).alias("depth"), "x0", "y0", "x1", "y1", "ink")
         leaves = done if leaves is None else leaves.unionByName(done)
-        open_ = regions.filter("split <> 'leaf'")
-        if open_.isEmpty():
+        parts = children(regions.filter("split <> 'leaf'"))
+        if parts.isEmpty():
             break
-        row = F.col("split") == "row"
-        first = open_.select("page_id", F.col("path").alias("parent"), F.concat("path", F.lit("0")).alias("path"), "x0", "y0", F.when(row, F.col("x1")).otherwise(F.col("start") - 1).alias("x1"), F.when(row, F.col("start") - 1).otherwise(F.col("y1")).alias("y1"))
-        second = open_.select("page_id", F.col("path").alias("parent"), F.concat("path", F.lit("1")).alias("path"), F.when(row, F.col("x0")).otherwise(F.col("start") + F.col("len")).alias("x0"), F.when(row, F.col("start") + F.col("len")).otherwise(F.col("y0")).alias("y0"), "x1", "y1")
-        live = _kept(clip(live, first.unionByName(second)))
+        live = kept(clip(live, parts))
+        dark = None if dark is None else kept(clip(dark, parts))
     return leaves
 
 
 def leaf_filter(leaves: DataFrame, maps: DataFrame) -> DataFrame:
-    """Without leaves that are too small, and without long thin ones that hold hardly any of the page's ink."""
-    page_ink = leaves.groupBy("page_id").agg(F.sum("ink").alias("page_ink"))
-    rows = leaves.join(maps, "page_id").join(page_ink, "page_id").withColumn("lw", F.expr("x1 - x0 + 1")).withColumn("lh", F.expr("y1 - y0 + 1"))
+    """Without leaves that are too small, and without long thin ones that hold hardly any of the page's ink.
+
+    The page's ink is that of maps(page_id, w, h, ink), gutters included; maps without it keep long thin leaves.
+    """
+    maps = maps.select("page_id", "w", "h", (F.col("ink") if "ink" in maps.columns else F.lit(0)).alias("page_ink"))
+    rows = leaves.join(maps, "page_id").withColumn("lw", F.expr("x1 - x0 + 1")).withColumn("lh", F.expr("y1 - y0 + 1"))
     big = "least(lw, lh) >= greatest(4, floor(least(w, h) * 0.03)) AND lw * lh >= floor(w * h * 0.005)"
     sliver = "greatest(lw, lh) >= 4 * least(lw, lh) AND ink < floor(page_ink * 0.02)"
     return rows.filter(f"{big} AND NOT ({sliver})").select(*leaves.columns)

@@ -14,6 +14,34 @@ def box(prefix: str = "") -> tuple[Column, ...]:
     return tuple(F.col(prefix + c) for c in BOX)
 
 
+def centre(rect: Sequence[Column]) -> tuple[Column, Column]:
+    x, y, w, h = rect
+    return x + w / 2, y + h / 2
+
+
+def rect_key(rect: Sequence[Column]) -> Column:
+    """The floored x:y:w:h of a rectangle."""
+    return F.concat_ws(":", *[F.floor(c).cast("string") for c in rect])
+
+
+def from_edges(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, ...]:
+    """A rectangle that is given by its edges, as x, y, w, h."""
+    return x0, y0, x1 - x0, y1 - y0
+
+
+def evidence_region(tap: Sequence[Column], own: Sequence[Column], user: Sequence[Column], pw: Column, ph: Column) -> tuple[Column, ...]:
+    """What to show of a page for a review: the found box, or 20 x 10 around the tap, with the user's box, each side padded by its size, 20 at least, within the page; null under 4."""
+    x, y = tap
+    edges = lambda b: (b[0], b[1], b[0] + b[2], b[1] + b[3])
+    near = (x - 20, y - 10, x + 20, y + 10)
+    base = [F.coalesce(a, b) for a, b in zip(edges(own), near, strict=True)]
+    x0, y0, x1, y1 = (f(a, b) for f, a, b in zip((F.least, F.least, F.greatest, F.greatest), base, edges(user), strict=True))
+    pad_x, pad_y = F.greatest(F.lit(20.0), x1 - x0), F.greatest(F.lit(20.0), y1 - y0)
+    cx, cy = F.greatest(F.lit(0.0), x0 - pad_x), F.greatest(F.lit(0.0), y0 - pad_y)
+    w, h = F.least(pw, x1 + pad_x) - cx, F.least(ph, y1 + pad_y) - cy
+    return tuple(F.when((w >= 4) & (h >= 4), c) for c in (cx, cy, w, h))
+
+
 def clamp(v: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(v, low), high)
 
@@ -59,8 +87,10 @@ def dedupe_rects(rects: DataFrame, *keys: str) -> DataFrame:
 
 
 def crop_rect(mode: str, rect: Sequence[Column], pw: Column, ph: Column, ratio: float = 0.08, least: float = 8) -> tuple[Column, ...]:
-    """Strict and margin crops keep the rectangle; loose ones grow it on each side and stop at the page's edge."""
+    """Strict and margin crops keep the rectangle; loose ones grow it on each side and stop at the page's edge; for none see viewport_box."""
     x, y, w, h = rect
+    if mode == "none":
+        raise ValueError("a crop of mode none follows the screen: take viewport_box")
     if mode != "loose":
         return rect
     bleed = F.greatest(F.lit(float(least)), F.greatest(w, h) * ratio)

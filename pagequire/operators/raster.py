@@ -38,9 +38,10 @@ def local_background(cells: DataFrame, taps: DataFrame, rx: int, ry: int) -> Dat
     return q.withColumn("inverted", F.col("background") < 128)
 
 
-def subsample(cells: DataFrame, step: int) -> DataFrame:
-    """Every step-th cell of every step-th line."""
-    return cells.filter((F.col("x") % step == 0) & (F.col("y") % step == 0)).withColumn("x", F.expr(f"cast(x div {step} AS int)")).withColumn("y", F.expr(f"cast(y div {step} AS int)"))
+def subsample(cells: DataFrame, sizes: DataFrame, step: int) -> DataFrame:
+    """Every step-th cell of every step-th line of maps of sizes(page_id, w, h); a rest of fewer than step cells is left out."""
+    inside = cells.join(sizes.select("page_id", "w", "h"), "page_id").filter((F.col("x") % step == 0) & (F.col("y") % step == 0) & (F.col("x") + step <= F.col("w")) & (F.col("y") + step <= F.col("h")))
+    return inside.drop("w", "h").withColumn("x", F.expr(f"cast(x div {step} AS int)")).withColumn("y", F.expr(f"cast(y div {step} AS int)"))
 
 
 def map_stats(flagged: DataFrame) -> DataFrame:
@@ -69,18 +70,39 @@ def runs_of_boxes(boxes: DataFrame) -> DataFrame:
     return merged_runs(rows)
 
 
-def profile(runs: DataFrame, *keys: str) -> DataFrame:
+def slabs(ink: DataFrame, merge: bool = False) -> DataFrame:
+    """Runs(keys, y, x0, x1) as slabs(keys, y0, y1, x0, x1), a line each, or with `merge` those of a page that neighbouring lines share; slabs stay."""
+    if "y" not in ink.columns:
+        return ink
+    if not merge:
+        return ink.withColumn("y0", F.col("y")).withColumnRenamed("y", "y1")
+    island = F.col("y") - F.row_number().over(Window.partitionBy("page_id", "x0", "x1").orderBy("y"))
+    return ink.withColumn("i", island).groupBy("page_id", "x0", "x1", "i").agg(F.min("y").alias("y0"), F.max("y").alias("y1")).drop("i")
+
+
+def profile(ink: DataFrame, *keys: str) -> DataFrame:
     """(keys, axis, pos, last, count): stretches of lines (axis row) and of columns (axis col) with equal ink, without empty ones.
 
-    Columns come from the starts and ends of runs: the running sum of +1 and -1 holds from one such place to the next,
-    so the rows follow the runs and not the width of a region.
+    The running sum of what begins and ends at a place holds to the next such place, so the rows follow the runs or
+    slabs and not the size of a region.
     """
-    rows = runs.groupBy(*keys, F.col("y").alias("pos")).agg(F.sum(F.expr("x1 - x0 + 1")).alias("count"))
-    steps = runs.select(*keys, F.explode(F.array(F.struct(F.col("x0").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("s")).select(*keys, "s.*")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    level = steps.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).withColumn("count", F.sum("d").over(order)).withColumn("last", F.lead("pos").over(order) - 1)
-    shape = lambda axis, last: [*keys, F.lit(axis).alias("axis"), F.col("pos").cast("int").alias("pos"), F.col(last).cast("int").alias("last"), "count"]
-    return rows.select(*shape("row", "pos")).unionByName(level.filter("count > 0").select(*shape("col", "last")))
+    edge = lambda axis, pos, d: f"named_struct('axis', '{axis}', 'pos', {pos}, 'd', {d})"
+    wide, high = "cast(x1 - x0 + 1 as bigint)", "cast(y1 - y0 + 1 as bigint)"
+    edges = [edge("row", "y0", wide), edge("row", "y1 + 1", f"-({wide})"), edge("col", "x0", high), edge("col", "x1 + 1", f"-({high})")]
+    steps = slabs(ink).select(*keys, F.inline(F.expr(f"array({', '.join(edges)})")))
+    order = Window.partitionBy(*keys, "axis").orderBy("pos")
+    # of edges at one place the last has the place's sum and the next place after it
+    level = steps.withColumn("count", F.sum("d").over(order)).withColumn("last", F.lead("pos").over(order) - 1).filter("last >= pos AND count > 0")
+    return level.select(*keys, "axis", F.col("pos").cast("int").alias("pos"), F.col("last").cast("int").alias("last"), "count")
+
+
+def project_planes(planes: dict[str, DataFrame], *keys: str) -> DataFrame:
+    """(keys, axis, pos, a column for each plane): the ink of several planes of runs on each line and in each column that has some."""
+    each = [project(runs, *keys).select(*keys, "axis", "pos", *[(F.col("count") if n == name else F.lit(0)).cast("long").alias(n) for n in planes]) for name, runs in planes.items()]
+    every = each[0]
+    for more in each[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*keys, "axis", "pos").agg(*[F.sum(n).alias(n) for n in planes])
 
 
 def project(runs: DataFrame, *keys: str) -> DataFrame:

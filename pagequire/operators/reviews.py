@@ -41,6 +41,19 @@ def summary(classified: DataFrame) -> DataFrame:
     return n.select(F.inline(each))
 
 
+def assemble(taps: DataFrame, boxes: DataFrame, reads: DataFrame) -> DataFrame:
+    """Pending reviews of `taps(tap_id, ts, document, page, x, y)`: with `boxes(tap_id, x, y, w, h)` and `reads(tap_id, koreader_word, ocr_word)`.
+
+    A look-up with a word keeps both words and its box. One without a box failed as no_box, one with a box but no word
+    as no_word; neither has words.
+    """
+    b = boxes.filter("x IS NOT NULL").select("tap_id", F.struct("x", "y", "w", "h").alias("box"))
+    full = taps.select("tap_id", "ts", "document", "page", F.struct("x", "y").alias("tap")).join(b, "tap_id", "left").join(reads, "tap_id", "left")
+    failed = F.when(F.col("box").isNull(), "no_box").when(F.col("ocr_word").isNull(), "no_word")
+    words = [F.when(failed.isNull(), F.col(c)).alias(c) for c in ("koreader_word", "ocr_word")]
+    return full.select("tap_id", "ts", "document", "page", "tap", "box", *words, failed.alias("ocr_failed"))
+
+
 def report_json(rows: DataFrame) -> DataFrame:
     """(json): each row as an object; numbers that are not finite become null."""
     finite = [F.when(~(F.isnan(c) | (F.abs(F.col(c)) == float("inf"))), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]

@@ -2,31 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Defaults by key.
-DEFAULTS = {"bleed_ratio": 0.08, "detector": "auto", "target_width": 480, "margin": 0.1}
+DEFAULTS = {
+    "mode": "manga", "crop_mode": "strict", "detector": "auto", "nav_transition_mode": "classic",
+    "panel_margin_ratio": 0.12, "panel_bleed_ratio": 0.08, "panel_bleed_min": 8.0, "panel_prefetch_delay": 0.75,
+    "nav_transition_duration": 0.4, "nav_transition_frames": 8.0, "full_page_panel_ratio": 0.92, "segment_gutter_ratio": 0.005,
+    "panel_grid_cols": 4, "panel_grid_rows": 7, "panel_cache_pages": 12, "segment_target_width": 480, "debug_mode": False,
+}
+#: Keys that profiles before the current one get anew, and those that are held to the default from one side.
+RESET = ("panel_grid_rows", "panel_grid_cols", "panel_cache_pages", "full_page_panel_ratio", "segment_target_width", "segment_gutter_ratio")
 CURRENT = 7
 
 
+def first_of(current: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
+    """Settings rows of the current store, and those of the legacy one for keys that the current one lacks."""
+    return current.unionByName(legacy.join(current.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def apply_defaults(settings: DataFrame) -> DataFrame:
-    """Nulls become defaults, old names new ones, and profiles before the current version are reset or held to today's limits."""
-    old = F.coalesce("profile_version", F.lit(0)) < CURRENT
-    width = F.when(old, DEFAULTS["target_width"]).otherwise(F.coalesce("target_width", F.lit(DEFAULTS["target_width"])))
-    bleed = F.coalesce("bleed_ratio", F.lit(DEFAULTS["bleed_ratio"]))
-    detector = F.coalesce("detector", F.lit(DEFAULTS["detector"]))
-    return settings.select(
-        "setting_id",
-        F.when(old, F.least(bleed, F.lit(1.0))).otherwise(bleed).alias("bleed_ratio"),
-        F.when(detector == "native", "exact").otherwise(detector).alias("detector"),
-        width.alias("target_width"),
-        F.coalesce("margin", F.lit(DEFAULTS["margin"])).alias("margin"),
-        F.greatest(F.coalesce("profile_version", F.lit(0)), F.lit(CURRENT)).alias("profile_version"),
-    )
+    """Nulls and absent keys become defaults, old names new ones, and profiles before the current version are reset or held to today's limits.
+
+    Keys that have no default here stay as they are.
+    """
+    has = lambda k: F.col(k) if k in settings.columns else F.lit(None)
+    version = F.coalesce(has("performance_profile_version"), F.lit(0)).cast("int")
+    old = version < CURRENT
 
+    def value(key: str) -> Column:
+        d = F.lit(DEFAULTS[key])
+        given = has(key)
+        if key == "debug_mode":
+            given = F.coalesce(given, has("debug_timing"))
+        if key == "detector":
+            given = F.when(given == "native", "exact").otherwise(given)
+        v = F.coalesce(given, d)
+        if key in RESET:
+            return F.when(old, d).otherwise(v)
+        if key == "panel_bleed_ratio":
+            return F.when(old, F.least(v, F.lit(1.0))).otherwise(v)
+        if key == "panel_bleed_min":
+            return F.when(old, F.least(v, d)).otherwise(v)
+        if key == "panel_prefetch_delay":
+            return F.when(old, F.greatest(v, d)).otherwise(v)
+        return v
 
-def clamp_settings(settings: DataFrame, mode: str = "comic") -> DataFrame:
-    """Numbers within their limits, unknown detectors the default; comics have no exact detector."""
-    known = F.when(F.col("detector").isin("auto", "fast", "exact"), F.col("detector")).otherwise(DEFAULTS["detector"])
-    return settings.withColumn("margin", F.least(F.greatest("margin", F.lit(0.0)), F.lit(0.4))).withColumn("bleed_ratio", F.least(F.greatest("bleed_ratio", F.lit(0.0)), F.lit(1.0))).withColumn("detector", F.when((known == "exact") & (F.lit(mode) == "comic"), "auto").otherwise(known))
+    rest = [c for c in settings.columns if c not in DEFAULTS and c not in ("debug_timing", "performance_profile_version")]
+    return settings.select(*rest, *[value(k).alias(k) for k in DEFAULTS], F.greatest(version, F.lit(CURRENT)).alias("performance_profile_version"))
+
+
+def clamp_settings(settings: DataFrame) -> DataFrame:
+    """Numbers within their limits, unknown modes the default; a comic has no exact detector."""
+    within = lambda k, low, high: F.least(F.greatest(F.col(k), F.lit(low)), F.lit(high))
+    known = lambda k, *names: F.when(F.col(k).isin(*names), F.col(k)).otherwise(DEFAULTS[k])
+    detector = known("detector", "fast", "exact")
+    return settings.withColumns(
+        {
+            "panel_margin_ratio": within("panel_margin_ratio", 0.0, 0.4),
+            "panel_bleed_ratio": within("panel_bleed_ratio", 0.0, 1.0),
+            "nav_transition_duration": within("nav_transition_duration", 0.15, 0.9),
+            "nav_transition_frames": F.least(F.greatest(F.floor(F.col("nav_transition_frames") + 0.5), F.lit(1)), F.lit(24)).cast("int"),
+            "mode": known("mode", "comic"),
+            "crop_mode": known("crop_mode", "loose", "margin", "none"),
+            "nav_transition_mode": known("nav_transition_mode", "smooth"),
+            "detector": F.when((detector == "exact") & (F.col("mode") == "comic"), "auto").otherwise(detector),
+        }
+    )

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cut, geometry, nav, panels, raster, reviews, settings
+from ..operators import cut, geometry, nav, panels, raster, reviews, settings, words
+from ..sources import logs
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,14 +103,14 @@ def grid_points(spark, d):
     return geometry.grid_points(p.select("page_id", L(PW).alias("pw"), L(PH).alias("ph"), (F.col("page_id") % 480).alias("hold_x"), (F.col("page_id") % 720).alias("hold_y"), (F.col("page_id") % 2 == 0).alias("manga")))
 
 
-@query(f"""WITH s AS (SELECT page_id, count(*) AS n, sum(w * h) AS total, max(w * h) AS largest, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS bbox FROM {V1} WHERE x > 40 GROUP BY page_id),
-f AS (SELECT p.page_id, coalesce(n, 0) AS n, total, largest, bbox FROM (SELECT DISTINCT page_id FROM {V1}) p LEFT JOIN s USING (page_id)),
+@query(f"""WITH s AS (SELECT page_id, count(*) AS n, sum(w * h) AS total, max(w * h) AS largest, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS bbox FROM {V1} GROUP BY page_id),
+f AS (SELECT p.page_id, coalesce(n, 0) AS n, total, largest, bbox FROM (SELECT DISTINCT o_orderkey AS page_id FROM orders) p LEFT JOIN s USING (page_id)),
 r AS (SELECT *, CASE WHEN n = 0 THEN 'no panels' WHEN n = 1 AND largest < 0.6 * 345600 THEN 'single partial panel' WHEN n > 1 AND bbox < 0.4 * 345600 THEN 'panels cover too little of the page'
   WHEN n > 1 AND total < 0.5 * bbox THEN 'only ' || CAST(CAST(floor(total * 100 / bbox) AS BIGINT) AS VARCHAR) || '% of the covered area kept' END AS reason FROM f)
 SELECT page_id, reason IS NULL AS accepted, reason, n AS n_panels, CAST(coalesce(total, 0) AS BIGINT) AS total_area FROM r""")
 def accept(spark, d):
-    v = views.boxes(spark, d)
-    return panels.accept(pages_of(v), v.filter("x > 40"))
+    pages = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), L(PW).alias("pw"), L(PH).alias("ph")).distinct()
+    return panels.accept(pages, views.boxes(spark, d))
 
 
 _ORDER = f"""WITH c AS (SELECT *, 10 * (2 * y + h) AS c, 9 * h AS q FROM {V1}),
@@ -164,9 +165,12 @@ def panel_sequence(spark, d):
     return panels.panel_sequence(pages, panels.reading_order(views.boxes(spark, d)))
 
 
-@query(f"SELECT CAST(page_id AS VARCHAR) || CAST(x AS VARCHAR) || CAST(y AS VARCHAR) || CAST(w AS VARCHAR) || CAST(h AS VARCHAR) AS key, count(*) AS n FROM {V1} GROUP BY 1 HAVING count(*) > 1")
+@query(f"""WITH b AS (SELECT DISTINCT page_id % 97 AS page_id, x % 113 AS x, y % 127 AS y, w % 13 AS w, h % 11 AS h FROM {V1})
+SELECT CAST(page_id AS VARCHAR) || CAST(x AS VARCHAR) || CAST(y AS VARCHAR) || CAST(w AS VARCHAR) || CAST(h AS VARCHAR) AS key, count(*) AS n FROM b GROUP BY 1 HAVING count(*) > 1""")
 def key_collisions(spark, d):
-    return panels.key_collisions(views.boxes(spark, d))
+    """Boxes in units so coarse that their digits meet."""
+    v = views.boxes(spark, d)
+    return panels.key_collisions(v.select(*[(F.col(c) % n).alias(c) for c, n in (("page_id", 97), ("x", 113), ("y", 127), ("w", 13), ("h", 11))]))
 
 
 @query(f"""WITH a AS (SELECT DISTINCT page_id FROM {V1} GROUP BY page_id HAVING count(*) % 2 = 0) SELECT v.* FROM {V1} v JOIN a USING (page_id) UNION ALL SELECT DISTINCT page_id, 0, 0, 480, 720 FROM {V1} WHERE page_id NOT IN (SELECT page_id FROM a)""")
@@ -247,9 +251,9 @@ def project_cells(spark, d):
     return raster.project(raster.to_runs(ink_flags(spark, d).filter("ink")), "page_id")
 
 
-@query(f"SELECT page_id, CAST(x // 3 AS INTEGER) AS x, CAST(y // 3 AS INTEGER) AS y, lum FROM {V3} WHERE x % 3 = 0 AND y % 3 = 0")
+@query(f"SELECT page_id, CAST(x // 3 AS INTEGER) AS x, CAST(y // 3 AS INTEGER) AS y, lum FROM {V3} WHERE x % 3 = 0 AND y % 3 = 0 AND x // 3 < 8 // 3 AND y // 3 < 8 // 3")
 def subsample(spark, d):
-    return raster.subsample(views.cells(spark, d), 3)
+    return raster.subsample(views.cells(spark, d), sizes(spark, d), 3)
 
 
 @query(f"""SELECT t.tap_id, CAST(quantile_disc(lum, 0.75) AS INTEGER) AS background, quantile_disc(lum, 0.75) < 128 AS inverted
@@ -274,31 +278,34 @@ def plausible_words(spark, d):
     return views.words(spark, d).select("doc_id", "pos", text.is_plausible(F.col("raw")).alias("plausible"))
 
 
-def _events(spark, d):
-    return views.events(spark, d)
-
-
-@query(f"""SELECT e.*, CASE WHEN kind = 'swipe' AND x <= 120 AND dir IN ('north', 'south') THEN 'zoom' WHEN kind = 'swipe' AND k % 7 = 0 THEN 'pan' WHEN kind = 'swipe' AND dir IN ('west', 'east') THEN 'step'
-  WHEN kind = 'tap' AND (x <= 160 OR x >= 320) THEN 'step' WHEN kind = 'page_turn' AND k - 50 <> 0 THEN 'step' WHEN kind = 'tap' THEN 'toggle' ELSE 'noop' END AS action FROM (SELECT *, ['north', 'south', 'west', 'east', 'northeast', 'southwest'][1 + k % 6] AS dir FROM {V5} WHERE k IS NOT NULL AND x IS NOT NULL) e""")
+@query(f"""WITH e AS (SELECT *, ['north', 'south', 'west', 'east', 'northeast', 'southwest'][1 + k % 6] AS dir, k % 2 = 0 AS manga, k % 3 = 0 AS invert FROM {V5} WHERE k IS NOT NULL AND x IS NOT NULL),
+a AS (SELECT *, CASE WHEN kind = 'swipe' AND x <= 120 AND dir IN ('north', 'south') THEN 'zoom' WHEN kind = 'swipe' AND k % 7 = 0 THEN 'pan' WHEN kind = 'swipe' AND dir IN ('west', 'east') THEN 'step'
+  WHEN kind = 'tap' AND (x <= 160 OR x >= 320) THEN 'step' WHEN kind = 'page_turn' AND k - 50 <> 0 THEN 'step' WHEN kind = 'tap' THEN 'toggle' ELSE 'noop' END AS action,
+  CASE WHEN dir IN ('northeast', 'southwest') THEN x * sqrt(CAST(0.5 AS DOUBLE)) ELSE x END AS part FROM e)
+SELECT event_id, kind, dir, action, CAST(CASE WHEN action = 'zoom' THEN CASE dir WHEN 'north' THEN 0.2 ELSE -0.2 END
+  WHEN action = 'step' AND kind = 'swipe' THEN CASE dir WHEN 'west' THEN 1 ELSE -1 END * CASE WHEN manga THEN -1 ELSE 1 END * CASE WHEN invert THEN -1 ELSE 1 END
+  WHEN action = 'step' AND kind = 'tap' THEN CASE WHEN x <= 160 THEN -1 ELSE 1 END * CASE WHEN manga THEN -1 ELSE 1 END WHEN action = 'step' THEN sign(k - 50) END AS DOUBLE) AS delta,
+  round(CASE WHEN action = 'pan' THEN CASE WHEN dir LIKE '%east' THEN -part WHEN dir LIKE '%west' THEN part ELSE 0 END END, 6) AS pan_x, round(CASE WHEN action = 'pan' THEN CASE WHEN dir LIKE 'south%' THEN -part WHEN dir LIKE 'north%' THEN part ELSE 0 END END, 6) AS pan_y FROM a""")
 def classify_gestures(spark, d):
-    e = _events(spark, d).filter("k IS NOT NULL AND x IS NOT NULL").withColumn("dir", F.element_at(F.array(*map(L, ("north", "south", "west", "east", "northeast", "southwest"))), (F.col("k") % 6 + 1)))
-    got = nav.gestures(e.withColumns({"direction": F.col("dir"), "distance": F.col("x"), "diff": F.col("k") - 50, "mode": L("manga"), "invert": L(False), "pannable": F.col("k") % 7 == 0}))
-    return got.select(*e.columns, "action")
+    e = views.events(spark, d).filter("k IS NOT NULL AND x IS NOT NULL").withColumn("dir", F.element_at(F.array(*map(L, ("north", "south", "west", "east", "northeast", "southwest"))), (F.col("k") % 6 + 1)))
+    got = nav.gestures(e.withColumns({"direction": F.col("dir"), "distance": F.col("x"), "diff": F.col("k") - 50, "mode": F.when(F.col("k") % 2 == 0, "manga").otherwise("comic"), "invert": F.col("k") % 3 == 0, "pannable": F.col("k") % 7 == 0}))
+    return got.select("event_id", "kind", "dir", "action", "delta", F.round("pan_x", 6).alias("pan_x"), F.round("pan_y", 6).alias("pan_y"))
 
 
 @query(f"SELECT user_id, list_reduce(list_prepend(1, list(CAST(k % 5 - 2 AS BIGINT) ORDER BY ts, event_id)), lambda p, q: least(20, greatest(1, p + q))) AS position FROM {V5} WHERE k IS NOT NULL GROUP BY user_id")
 def reading_positions(spark, d):
-    return nav.final_positions(_events(spark, d).filter("k IS NOT NULL").selectExpr("user_id", "ts", "event_id", "k % 5 - 2 AS d"), 20)
+    return nav.final_positions(views.events(spark, d).filter("k IS NOT NULL").selectExpr("user_id", "ts", "event_id", "k % 5 - 2 AS d"), 20)
 
 
-@query()
+@query(f"""SELECT user_id, CAST(list_reduce(list_prepend({{'at': CAST(-1e18 AS DOUBLE), 'n': 0}}, list({{'at': ts, 'n': 0}} ORDER BY ts, event_id)), lambda p, q: CASE WHEN q.at - p.at < 3600 THEN p ELSE {{'at': q.at, 'n': p.n + 1}} END).n AS INTEGER) AS n_accepted
+FROM {V5} GROUP BY user_id""")
 def throttled_steps(spark, d):
-    return nav.throttle(_events(spark, d), 3600.0)
+    return nav.throttle(views.events(spark, d), 3600.0)
 
 
 @query(f"SELECT * FROM {V5} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lead(ts) OVER w IS NULL OR lead(ts) OVER w - ts >= 600")
 def idle_views(spark, d):
-    return nav.idle_views(_events(spark, d), 600.0)
+    return nav.idle_views(views.events(spark, d), 600.0)
 
 
 @query(f"""WITH g AS (SELECT user_id, CAST(floor(ts) AS BIGINT) AS ts, event_id, CAST(floor(ts) AS BIGINT) - lag(CAST(floor(ts) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY CAST(floor(ts) AS BIGINT), event_id) AS gap FROM {V5}),
@@ -306,12 +313,12 @@ o AS (SELECT user_id, greatest(2, CASE WHEN count(gap) >= 2 THEN least(greatest(
 s AS (SELECT g.*, sum(CASE WHEN gap >= t THEN 1 ELSE 0 END) OVER (PARTITION BY g.user_id ORDER BY ts, event_id) AS session FROM g LEFT JOIN o USING (user_id))
 SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS begin, max(ts) AS "end", count(*) AS n FROM s GROUP BY 1, 2""")
 def adaptive_sessions(spark, d):
-    return nav.sessions(_events(spark, d).select("user_id", F.floor("ts").alias("ts"), "event_id"), 3600)
+    return nav.sessions(views.events(spark, d).select("user_id", F.floor("ts").alias("ts"), "event_id"), 3600)
 
 
 @query(f"SELECT user_id, regr_slope(k, ts / 86400) AS slope FROM {V5} WHERE k IS NOT NULL GROUP BY 1")
 def memory_trend(spark, d):
-    return _events(spark, d).filter("k IS NOT NULL").groupBy("user_id").agg(F.regr_slope(F.col("k").cast("double"), F.col("ts") / 86400).alias("slope"))
+    return views.events(spark, d).filter("k IS NOT NULL").groupBy("user_id").agg(F.regr_slope(F.col("k").cast("double"), F.col("ts") / 86400).alias("slope"))
 
 
 _METRICS = f"""(SELECT *, CASE WHEN has THEN coalesce(CASE WHEN least(bx + bw, ux + uw) > greatest(bx, ux) AND least(by_ + bh, uy + uh) > greatest(by_, uy) THEN (least(bx + bw, ux + uw) - greatest(bx, ux)) * (least(by_ + bh, uy + uh) - greatest(by_, uy)) ELSE 0 END / nullif(uw * uh, 0), 0) END AS containment,
@@ -348,14 +355,27 @@ def gap_threshold_sweep(spark, d):
     return reviews.sweep(views.reviews(spark, d), (1.2, 1.6, 2.2))
 
 
-@query(f"""WITH a AS (SELECT setting_id, CASE WHEN profile_version < 7 THEN least(coalesce(bleed_ratio, CAST(0.08 AS DOUBLE)), 1) ELSE coalesce(bleed_ratio, CAST(0.08 AS DOUBLE)) END AS bleed, CASE coalesce(detector, 'auto') WHEN 'native' THEN 'exact' ELSE coalesce(detector, 'auto') END AS detector,
-  CASE WHEN profile_version < 7 THEN 480 ELSE coalesce(target_width, 480) END AS target_width, coalesce(margin, CAST(0.1 AS DOUBLE)) AS margin, greatest(profile_version, 7) AS profile_version FROM {V7})
-SELECT setting_id, least(greatest(bleed, 0), 1) AS bleed_ratio, CASE WHEN detector = 'fast' THEN 'fast' ELSE 'auto' END AS detector, target_width, least(greatest(margin, 0), CAST(0.4 AS DOUBLE)) AS margin, profile_version FROM a""")
+def _within(key: str, low: float, high: float) -> str:
+    return f"least(greatest({key}, CAST({low} AS DOUBLE)), CAST({high} AS DOUBLE)) AS {key}"
+
+
+_D = settings.DEFAULTS
+_PLAIN = {k: f"coalesce({k}, CAST({v} AS {'INTEGER' if isinstance(v, int) else 'DOUBLE'}))" for k, v in _D.items() if not isinstance(v, (str, bool)) and k != "panel_grid_rows"}
+_OLD = _PLAIN | {"panel_bleed_ratio": f"least({_PLAIN['panel_bleed_ratio']}, 1)", "panel_bleed_min": f"least({_PLAIN['panel_bleed_min']}, 8)", "panel_prefetch_delay": f"greatest({_PLAIN['panel_prefetch_delay']}, 0.75)"}
+_OLD |= {k: f"CAST({_D[k]} AS {'INTEGER' if isinstance(_D[k], int) else 'DOUBLE'})" for k in settings.RESET if k in _PLAIN}
+
+
+@query(f"""WITH a AS (SELECT setting_id, mode, crop_mode, nav_transition_mode, CASE detector WHEN 'native' THEN 'exact' ELSE detector END AS detector, debug_mode, greatest(v, 7) AS performance_profile_version, CAST(7 AS INTEGER) AS panel_grid_rows,
+  {", ".join(f"CASE WHEN v < 7 THEN {_OLD[k]} ELSE {_PLAIN[k]} END AS {k}" for k in _PLAIN)} FROM {V7})
+SELECT * REPLACE ({_within("panel_margin_ratio", 0, 0.4)}, {_within("panel_bleed_ratio", 0, 1)}, {_within("nav_transition_duration", 0.15, 0.9)}, CAST(least(greatest(floor(nav_transition_frames + 0.5), 1), 24) AS INTEGER) AS nav_transition_frames,
+  CASE WHEN mode = 'comic' THEN mode ELSE 'manga' END AS mode, CASE WHEN crop_mode IN ('loose', 'margin', 'none') THEN crop_mode ELSE 'strict' END AS crop_mode, CASE WHEN nav_transition_mode = 'smooth' THEN 'smooth' ELSE 'classic' END AS nav_transition_mode,
+  CASE WHEN detector = 'exact' AND mode = 'comic' THEN 'auto' WHEN detector IN ('fast', 'exact') THEN detector ELSE 'auto' END AS detector) FROM a""")
 def settings_normalised(spark, d):
     return settings.clamp_settings(settings.apply_defaults(views.settings(spark, d)))
 
 
-_RUNS = f"""r0 AS (SELECT page_id, unnest(range(y, y + h)) AS y, x AS x0, x + w - 1 AS x1 FROM {V1}),
+# distinct, as the two windows below may put equal rows in different orders
+_RUNS = f"""r0 AS (SELECT DISTINCT page_id, unnest(range(y, y + h)) AS y, x AS x0, x + w - 1 AS x1 FROM {V1}),
 r1 AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM r0),
 r2 AS (SELECT *, sum(new) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM r1),
 runs AS (SELECT page_id, CAST(y AS INTEGER) AS y, min(x0) AS x0, max(x1) AS x1 FROM r2 GROUP BY page_id, y, i)"""
@@ -375,7 +395,7 @@ def trim_regions(spark, d):
 
 
 _CUT1 = f"""WITH {_RUNS}, b AS (SELECT page_id, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) AS y1, sum(x1 - x0 + 1) AS ink FROM runs GROUP BY page_id),
-rows_ AS (SELECT page_id, 'row' AS axis, y AS pos, sum(x1 - x0 + 1) AS c FROM runs GROUP BY ALL), cols AS (SELECT page_id, 'col' AS axis, x AS pos, count(*) AS c FROM (SELECT page_id, unnest(range(x0, x1 + 1)) AS x FROM runs) GROUP BY ALL),
+rows_ AS (SELECT page_id, 'row' AS axis, y AS pos, sum(x1 - x0 + 1) AS c FROM runs GROUP BY ALL), cols AS (SELECT page_id, 'col' AS axis, unnest(range(x, nx)) AS pos, c FROM (SELECT page_id, x, sum(sum(d)) OVER w AS c, lead(x) OVER w AS nx FROM (SELECT page_id, x0 AS x, 1 AS d FROM runs UNION ALL SELECT page_id, x1 + 1, -1 FROM runs) GROUP BY page_id, x WINDOW w AS (PARTITION BY page_id ORDER BY x)) WHERE c > 0),
 p AS (SELECT q.*, CASE WHEN axis = 'row' THEN x1 - x0 + 1 ELSE y1 - y0 + 1 END AS span FROM (SELECT * FROM rows_ UNION ALL SELECT * FROM cols) q JOIN b USING (page_id)),
 g AS (SELECT page_id, axis, pos + 1 AS start, lead(pos) OVER (PARTITION BY page_id, axis ORDER BY pos) - pos - 1 AS len FROM p WHERE c * 1000 > span * 5)"""
 
@@ -394,10 +414,257 @@ def cut_level1(spark, d):
     return cut.decide(runs(spark, d), m, "page_id").select("page_id", "x0", "y0", "x1", "y1", "ink", "split")
 
 
+def _levels(depth: int = 6) -> str:
+    """SQL of the cut at empty bands, a level of the recursion after another."""
+    out = [_RUNS, "s0 AS MATERIALIZED (SELECT page_id, '0' AS path, min(y) AS y0, max(y) AS y1, x0, x1 FROM (SELECT *, y - row_number() OVER (PARTITION BY page_id, x0, x1 ORDER BY y) AS i FROM runs) GROUP BY page_id, x0, x1, i)"]
+    for n in range(depth + 1):
+        out.append(f"b{n} AS MATERIALIZED (SELECT page_id, path, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS ink FROM s{n} GROUP BY ALL)")
+        if n == depth:
+            break
+        out.append(f"""e{n} AS (SELECT page_id, path, axis, pos, sum(d) AS d FROM (SELECT page_id, path, 'row' AS axis, y0 AS pos, x1 - x0 + 1 AS d FROM s{n} UNION ALL SELECT page_id, path, 'row', y1 + 1, x0 - x1 - 1 FROM s{n}
+  UNION ALL SELECT page_id, path, 'col', x0, y1 - y0 + 1 FROM s{n} UNION ALL SELECT page_id, path, 'col', x1 + 1, y0 - y1 - 1 FROM s{n}) GROUP BY ALL),
+p{n} AS (SELECT *, sum(d) OVER w AS c, lead(pos) OVER w - 1 AS last FROM e{n} WINDOW w AS (PARTITION BY page_id, path, axis ORDER BY pos)),
+g{n} AS (SELECT p.page_id, p.path, axis, last + 1 AS start, lead(pos) OVER (PARTITION BY p.page_id, p.path, axis ORDER BY pos) - last - 1 AS len FROM p{n} p JOIN b{n} b ON p.page_id = b.page_id AND p.path = b.path WHERE c * 1000 > CASE WHEN axis = 'row' THEN x1 - x0 + 1 ELSE y1 - y0 + 1 END * 5),
+d{n} AS MATERIALIZED (SELECT page_id, path, axis, start, len FROM g{n} WHERE len >= 2 QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY len DESC, axis = 'col', start) = 1),
+c{n} AS MATERIALIZED (SELECT b.page_id, b.path, b.path || k AS child, CASE WHEN k = '1' AND axis = 'col' THEN start + len ELSE x0 END AS x0, CASE WHEN k = '1' AND axis = 'row' THEN start + len ELSE y0 END AS y0,
+  CASE WHEN k = '0' AND axis = 'col' THEN start - 1 ELSE x1 END AS x1, CASE WHEN k = '0' AND axis = 'row' THEN start - 1 ELSE y1 END AS y1 FROM b{n} b JOIN d{n} d ON b.page_id = d.page_id AND b.path = d.path, (SELECT unnest(['0', '1']) AS k)),
+s{n + 1} AS MATERIALIZED (SELECT s.page_id, child AS path, greatest(s.y0, c.y0) AS y0, least(s.y1, c.y1) AS y1, greatest(s.x0, c.x0) AS x0, least(s.x1, c.x1) AS x1 FROM s{n} s JOIN c{n} c ON s.page_id = c.page_id AND s.path = c.path AND s.x0 <= c.x1 AND s.x1 >= c.x0 AND s.y0 <= c.y1 AND s.y1 >= c.y0)""")
+    leaf = " UNION ALL ".join(f"SELECT page_id, path, {n} AS depth, x0, y0, x1, y1, ink FROM b{n}" + (f" b WHERE NOT EXISTS (SELECT 1 FROM d{n} d WHERE d.page_id = b.page_id AND d.path = b.path)" if n < depth else "") for n in range(depth + 1))
+    return f"WITH {', '.join(out)}, leaves AS MATERIALIZED ({leaf})"
+
+
+_KEPT = """, big AS (SELECT l.* FROM leaves l JOIN b0 ON b0.page_id = l.page_id WHERE least(l.x1 - l.x0, l.y1 - l.y0) + 1 >= 14 AND (l.x1 - l.x0 + 1) * (l.y1 - l.y0 + 1) >= 1728
+  AND NOT (greatest(l.x1 - l.x0, l.y1 - l.y0) + 1 >= 4 * (least(l.x1 - l.x0, l.y1 - l.y0) + 1) AND l.ink < floor(b0.ink * CAST(0.02 AS DOUBLE))))"""
+
+
+@query(f"{_levels()} SELECT page_id, path, CAST(depth AS INTEGER) AS depth, x0, y0, x1, y1, CAST(ink AS BIGINT) AS ink FROM leaves")
+def cut_rects(spark, d):
+    """Leaves of the cut at empty bands."""
+    return cut.xy_cut(runs(spark, d), maps(spark, d), shear=False)
+
+
+def whole_maps(spark, d):
+    return maps(spark, d).join(cut.trim(runs(spark, d), "page_id").select("page_id", "ink"), "page_id")
+
+
+@query(f"""{_levels()}{_KEPT}, n AS (SELECT page_id, greatest(0, x0 - 1) AS x, greatest(0, y0 - 1) AS y, least(480, x1 + 2) AS r, least(720, y1 + 2) AS b FROM big QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY path) <= 40)
+SELECT page_id, x, y, r - x AS w, b - y AS h FROM n""")
+def cut_panels(spark, d):
+    """Panels of the cut at empty bands, without furniture."""
+    m = whole_maps(spark, d)
+    return cut.to_panels(cut.leaf_filter(cut.xy_cut(runs(spark, d), m, shear=False), m), m)
+
+
 @query()
 def segment_pages(spark, d):
-    """Runs, recursive cut, leaf filter, panels, verdicts and reading order; tested against a loop over pages."""
-    m = maps(spark, d)
+    """Runs, recursive cut, slanted bands included, leaf filter, panels, verdicts and reading order; tested against a loop over pages."""
+    m = whole_maps(spark, d)
     found = cut.to_panels(cut.leaf_filter(cut.xy_cut(runs(spark, d), m), m), m)
     verdict = panels.accept(m.withColumnsRenamed({"w": "pw", "h": "ph"}), found)
     return panels.reading_order(found).join(verdict.select("page_id", "accepted", "reason"), "page_id")
+
+
+_CELLS = f"(SELECT page_id, x, y, lum, abs(lum - background) > 40 AS ink, lum <= 140 AS dark FROM {V3} JOIN {_BG} USING (page_id))"
+
+
+def _planes(spark, d):
+    c = views.cells(spark, d)
+    at = c.join(raster.ring_background(c, sizes(spark, d)), "page_id")
+    return at.select("page_id", "x", "y", raster.is_ink(F.col("lum"), F.col("background")).alias("ink"), raster.is_border(F.col("lum"), L("comic"), L(True), 140).alias("dark"))
+
+
+@query(f"SELECT page_id, 'row' AS axis, y AS pos, count_if(ink) AS ink, count_if(dark) AS dark FROM {_CELLS} GROUP BY ALL HAVING count_if(ink OR dark) > 0 UNION ALL SELECT page_id, 'col', x, count_if(ink), count_if(dark) FROM {_CELLS} GROUP BY ALL HAVING count_if(ink OR dark) > 0")
+def project_planes(spark, d):
+    c = _planes(spark, d)
+    return raster.project_planes({k: raster.to_runs(c.filter(k)) for k in ("ink", "dark")}, "page_id")
+
+
+@query(f"""WITH p AS (SELECT page_id, 'row' AS axis, y AS pos, count(*) AS c FROM {_CELLS} WHERE dark GROUP BY ALL UNION ALL SELECT page_id, 'col', x, count(*) FROM {_CELLS} WHERE dark GROUP BY ALL),
+i AS (SELECT page_id, axis, min(pos) AS start, max(pos) AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY page_id, axis ORDER BY pos) AS i FROM p WHERE c * 100 >= 8 * 97) GROUP BY page_id, axis, i)
+SELECT page_id, axis, CAST(start AS INTEGER) AS start, CAST(stop - start + 1 AS INTEGER) AS len FROM i WHERE start > 0 AND stop < 7 AND stop - start < 2 AND start >= 1 AND 7 - stop >= 1 QUALIFY row_number() OVER (PARTITION BY page_id, axis ORDER BY stop - start, start) = 1""")
+def border_lines(spark, d):
+    dark = raster.profile(raster.to_runs(_planes(spark, d).filter("dark")), "page_id")
+    whole = sizes(spark, d).select("page_id", *[L(v).alias(n) for n, v in (("x0", 0), ("y0", 0), ("x1", 7), ("y1", 7), ("max_width", 2), ("min_side", 1))])
+    return cut.border_lines(dark, whole, "page_id")
+
+
+_SHEAR = f"""WITH i AS (SELECT page_id, x, y FROM {_CELLS} WHERE ink), k AS (SELECT * FROM (VALUES {", ".join(f"({i}, CAST({s} AS DOUBLE))" for i, s in enumerate(cut.SLOPES))}) t(rank, slope)),
+m AS (SELECT page_id, 'col' AS axis, rank, slope, x - CAST(floor(slope * (y - 3) + 0.5) AS INTEGER) AS pos FROM i, k WHERE y % 2 = 0 UNION ALL SELECT page_id, 'row', rank, slope, y - CAST(floor(slope * (x - 3) + 0.5) AS INTEGER) FROM i, k WHERE x % 2 = 0),
+c AS (SELECT page_id, axis, rank, slope, pos, count(*) AS c FROM m WHERE pos BETWEEN 0 AND 7 GROUP BY ALL HAVING count(*) * 2000 > 8 * 5),
+g AS (SELECT *, pos + 1 AS start, lead(pos) OVER (PARTITION BY page_id, axis, rank ORDER BY pos) - pos - 1 AS len, CAST(floor(abs(slope) * 8 / 2) + 1 AS INTEGER) AS drift FROM c),
+f AS (SELECT *, start - drift AS lo, start + len - 1 + drift AS hi FROM g WHERE len >= 1)"""
+
+
+@query(f"{_SHEAR} SELECT page_id, axis, CAST(lo AS INTEGER) AS start, CAST(hi - lo + 1 AS INTEGER) AS len FROM f WHERE lo > 0 AND hi < 7 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, axis = 'row', len DESC, start) = 1")
+def sheared_bands(spark, d):
+    ink = raster.slabs(raster.to_runs(_planes(spark, d).filter("ink")))
+    whole = sizes(spark, d).select("page_id", *[L(v).alias(n) for n, v in (("x0", 0), ("y0", 0), ("x1", 7), ("y1", 7), ("min_len", 1))])
+    return cut.sheared(ink, whole, "page_id")
+
+
+def taps(spark, d):
+    p = points(spark, d)
+    return p.select(F.col("point_id").alias("tap_id"), "page_id", F.col("px").alias("x"), F.col("py").alias("y"), L(PW).alias("pw"), L(PH).alias("ph"))
+
+
+_TILES = f"""t0 AS (SELECT point_id AS tap_id, page_id, px AS x, py AS y, greatest(0, px - 72) AS cx, greatest(0, py - 36) AS cy, least(480, px + 72) - greatest(0, px - 72) AS cw, least(720, py + 36) - greatest(0, py - 36) AS ch FROM {_POINTS} p),
+t1 AS (SELECT tap_id, page_id, x, y, CAST(floor(cx * 2 + 0.001) AS INTEGER) AS ox, CAST(floor(cy * 2 + 0.001) AS INTEGER) AS oy, CAST(ceil(cw * 2 - 0.001) AS INTEGER) AS tw, CAST(ceil(ch * 2 - 0.001) AS INTEGER) AS th FROM t0 WHERE cw >= 4 AND ch >= 4),
+t AS MATERIALIZED (SELECT *, CAST(least(greatest(floor(x * 2) - ox, 0), tw - 1) AS INTEGER) AS tx, CAST(least(greatest(floor(y * 2) - oy, 0), th - 1) AS INTEGER) AS ty FROM t1)"""
+
+
+@query(f"WITH {_TILES} SELECT tap_id, page_id, x, y, ox, oy, tw, th, tx, ty FROM t")
+def tap_tiles(spark, d):
+    return words.tiles(taps(spark, d))
+
+
+_LINES = f"{_RUNS}, l AS (SELECT DISTINCT page_id, y FROM runs)"
+
+
+@query(f"""WITH {_LINES}, i AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY y) AS i FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_id ORDER BY y) - 1 >= 2 THEN 1 ELSE 0 END AS new FROM l))
+SELECT page_id, min(y) AS x0, max(y) AS x1 FROM i GROUP BY page_id, i HAVING 360 BETWEEN min(y) AND max(y)""")
+def text_lines(spark, d):
+    """The stretch of inked lines around the middle of each page."""
+    flags = runs(spark, d).select("page_id", F.col("y").alias("x0"), F.col("y").alias("x1"), L(2).alias("blank"), L(360).alias("seed")).distinct()
+    return words.island_of_seed(flags, "page_id")
+
+
+@query(f"""WITH {_LINES}, n AS (SELECT p.point_id, l.y AS pos, abs(l.y - floor(p.py)) AS far FROM {_POINTS} p JOIN l ON l.page_id = p.page_id AND abs(l.y - floor(p.py)) <= 35)
+SELECT point_id, CAST(pos AS BIGINT) AS pos FROM n QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY far, pos) = 1""")
+def nearest_lines(spark, d):
+    lines = runs(spark, d).select("page_id", "y").distinct()
+    flags = points(spark, d).join(lines, "page_id").select("point_id", F.col("y").cast("long").alias("x0"), F.col("y").cast("long").alias("x1"), F.floor("py").alias("origin"), L(35).alias("limit"))
+    return words.nearest_flag(flags, "point_id")
+
+
+@query(f"""WITH {_RUNS}, c AS (SELECT page_id, y, greatest(x0, 100) AS a, least(x1, 380) AS z FROM runs WHERE x1 >= 100 AND x0 <= 380)
+SELECT page_id, y, CAST(gap AS INTEGER) AS gap FROM (SELECT page_id, y, lead(a) OVER (PARTITION BY page_id, y ORDER BY a) - z - 1 AS gap FROM c) WHERE gap > 0""")
+def line_gaps(spark, d):
+    return words.line_gaps(runs(spark, d).withColumn("lo", L(100)).withColumn("hi", L(380)), "page_id", "y")
+
+
+def _island(name: str, flags: str, cols: str = "tap_id") -> str:
+    """SQL of the island that holds the seed, of flags(cols, x0, x1, blank, seed)."""
+    return f"""{name}_n AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY {cols} ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 >= blank THEN 1 ELSE 0 END AS new FROM ({flags})),
+{name}_i AS (SELECT *, sum(new) OVER (PARTITION BY {cols} ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM {name}_n),
+{name} AS MATERIALIZED (SELECT {cols}, min(x0) AS a, max(x1) AS z FROM {name}_i GROUP BY {cols}, i HAVING any_value(seed) BETWEEN min(x0) AND max(x1))"""
+
+
+_NEAR = "SELECT tap_id, y AS pos FROM ({}) QUALIFY row_number() OVER (PARTITION BY tap_id ORDER BY abs(y - origin), y) = 1"
+_WORDS = f"""WITH {_RUNS}, {_TILES},
+q AS (SELECT DISTINCT tap_id, tw, th, tx, ty, unnest([r.y * 2 - oy, r.y * 2 + 1 - oy]) AS y, greatest(0, r.x0 * 2 - ox) AS x0, least(tw - 1, r.x1 * 2 + 1 - ox) AS x1 FROM t JOIN runs r ON r.page_id = t.page_id AND r.y * 2 + 1 - oy >= 0 AND r.y * 2 - oy < th AND r.x1 * 2 + 1 - ox >= 0 AND r.x0 * 2 - ox < tw),
+r AS MATERIALIZED (SELECT * FROM q WHERE y BETWEEN 0 AND th - 1),
+rows_ AS (SELECT DISTINCT tap_id, y, th, ty AS origin FROM r WHERE x1 >= greatest(0, tx - 60) AND x0 <= least(tw - 1, tx + 60) AND abs(y - ty) <= 140),
+snap AS MATERIALIZED ({_NEAR.format("SELECT * FROM rows_ WHERE abs(y - origin) <= 70")}),
+{_island("line", "SELECT r.tap_id, y AS x0, y AS x1, 2 AS blank, pos AS seed FROM rows_ r JOIN snap s ON r.tap_id = s.tap_id WHERE y BETWEEN greatest(0, pos - 70) AND least(th - 1, pos + 70)")},
+cols0 AS (SELECT DISTINCT r.tap_id, x0, x1, tx, tw, z - a + 1 AS line_h FROM r JOIN line l ON r.tap_id = l.tap_id WHERE y BETWEEN a AND z),
+cols1 AS (SELECT *, sum(new) OVER (PARTITION BY tap_id ORDER BY x0, x1) AS i FROM (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY tap_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM cols0)),
+cols_ AS MATERIALIZED (SELECT tap_id, min(x0) AS x0, max(x1) AS x1, any_value(tx) AS tx, any_value(tw) AS tw, any_value(line_h) AS line_h FROM cols1 GROUP BY tap_id, i),
+spot AS MATERIALIZED ({_NEAR.format("SELECT tap_id, CASE WHEN tx BETWEEN x0 AND x1 THEN tx WHEN x1 < tx THEN x1 ELSE x0 END AS y, tx AS origin, line_h FROM cols_ WHERE CASE WHEN tx BETWEEN x0 AND x1 THEN 0 WHEN x1 < tx THEN tx - x1 ELSE x0 - tx END <= greatest(4, 2 * line_h)")}),
+gap0 AS (SELECT c.tap_id, greatest(x0, greatest(0, pos - 6 * line_h)) AS a, least(x1, least(tw - 1, pos + 6 * line_h)) AS z FROM cols_ c JOIN spot ON spot.tap_id = c.tap_id WHERE x1 >= greatest(0, pos - 6 * line_h) AND x0 <= least(tw - 1, pos + 6 * line_h)),
+gap1 AS (SELECT tap_id, list(gap ORDER BY gap) AS s, median(gap) AS mid FROM (SELECT tap_id, CAST(lead(a) OVER (PARTITION BY tap_id ORDER BY a) - z - 1 AS INTEGER) AS gap FROM gap0) WHERE gap > 0 GROUP BY 1),
+cal AS MATERIALIZED (SELECT l.tap_id, l.a AS y0, l.z AS y1, l.z - l.a + 1 AS line_h, spot.pos AS xs, coalesce(s, []) AS s, CASE WHEN len(s) >= 2 THEN mid END AS mid,
+  CAST(greatest(2, CASE WHEN len(s) >= 2 THEN least(greatest(floor((l.z - l.a + 1) * CAST(0.15 AS DOUBLE)), floor(mid * CAST(1.6 AS DOUBLE))), ceil((l.z - l.a + 1) * CAST(1.5 AS DOUBLE))) ELSE floor((l.z - l.a + 1) * CAST(0.5 AS DOUBLE)) END) AS INTEGER) AS threshold
+  FROM line l JOIN spot ON spot.tap_id = l.tap_id LEFT JOIN gap1 g ON g.tap_id = l.tap_id),
+{_island("word", "SELECT c.tap_id, x0, x1, threshold AS blank, xs AS seed FROM cols_ c JOIN cal ON cal.tap_id = c.tap_id")},
+own AS MATERIALIZED (SELECT DISTINCT r.tap_id, y, s.pos AS origin, line_h FROM r JOIN word w ON w.tap_id = r.tap_id JOIN snap s ON s.tap_id = r.tap_id JOIN cal ON cal.tap_id = r.tap_id WHERE x1 >= w.a AND x0 <= w.z AND y BETWEEN greatest(0, s.pos - 70) AND least(th - 1, s.pos + 70)),
+seed AS ({_NEAR.format("SELECT * FROM own WHERE abs(y - origin) <= line_h")}),
+{_island("tall", "SELECT o.tap_id, y AS x0, y AS x1, 2 AS blank, pos AS seed FROM own o JOIN seed s ON s.tap_id = o.tap_id")},
+f AS (SELECT t.tap_id, ox, oy, tw, th, s.pos AS ys, w.a AS wx0, w.z AS wx1, c.*, CASE WHEN h.z - h.a > (y1 - y0) * 2.5 THEN y0 ELSE h.a END AS top, CASE WHEN h.z - h.a > (y1 - y0) * 2.5 THEN y1 ELSE h.z END AS bottom
+  FROM t LEFT JOIN snap s ON s.tap_id = t.tap_id LEFT JOIN cal c ON c.tap_id = t.tap_id LEFT JOIN word w ON w.tap_id = t.tap_id LEFT JOIN tall h ON h.tap_id = t.tap_id),
+g AS (SELECT *, CASE WHEN ys IS NULL THEN 'no ink near the tap row' WHEN wx0 IS NULL THEN 'no ink near the tap column' WHEN wx0 <= 0 THEN 'ink runs off the left edge of the crop' WHEN wx1 >= tw - 1 THEN 'ink runs off the right edge of the crop'
+  WHEN wx1 - wx0 + 1 > line_h * 14 THEN 'box too wide for one word' WHEN top IS NULL THEN 'no ink in the word''s own columns' END AS reason, CAST(floor((bottom - top + 1) * CAST(0.05 AS DOUBLE) * 0.5) AS INTEGER) AS px, CAST(floor((bottom - top + 1) * CAST(0.05 AS DOUBLE)) AS INTEGER) AS py FROM f)
+SELECT tap_id, reason, CASE WHEN reason IS NULL THEN (ox + greatest(0, wx0 - px)) / 2 END AS x, CASE WHEN reason IS NULL THEN (oy + greatest(0, top - py)) / 2 END AS y,
+  CASE WHEN reason IS NULL THEN (least(tw - 1, wx1 + px) - greatest(0, wx0 - px) + 1) / 2 END AS w, CASE WHEN reason IS NULL THEN (least(th - 1, bottom + py) - greatest(0, top - py) + 1) / 2 END AS h,
+  threshold AS gap_threshold, mid AS median_gap, CAST(line_h AS INTEGER) AS line_h, array_to_string(s, ',') AS gaps FROM g"""
+
+
+@query(_WORDS)
+def word_boxes(spark, d):
+    return words.word_boxes(taps(spark, d), runs(spark, d)).withColumn("gaps", F.array_join("gaps", ","))
+
+
+@query(f"""WITH b AS (SELECT tap_id, x IS NOT NULL AS has FROM ({_WORDS})), r AS (SELECT event_id AS tap_id, CASE WHEN k % 3 > 0 THEN 'w' || k END AS ocr FROM {V5})
+SELECT p.point_id AS tap_id, p.page_id AS page, CASE WHEN NOT coalesce(has, FALSE) THEN 'no_box' WHEN ocr IS NULL THEN 'no_word' END AS ocr_failed, CASE WHEN has AND ocr IS NOT NULL THEN ocr END AS ocr_word FROM {_POINTS} p LEFT JOIN b ON b.tap_id = p.point_id LEFT JOIN r ON r.tap_id = p.point_id""")
+def assemble_reviews(spark, d):
+    """Look-ups with boxes from the pages and made-up reads."""
+    at = taps(spark, d)
+    held = views.events(spark, d).select(F.col("event_id").alias("tap_id"), "ts", F.when(F.col("k") % 3 > 0, F.concat(L("w"), "k")).alias("ocr_word"))
+    pending = at.join(held.select("tap_id", "ts"), "tap_id").select("tap_id", "ts", L("d").alias("document"), F.col("page_id").alias("page"), "x", "y")
+    got = reviews.assemble(pending, words.word_boxes(at, runs(spark, d)), held.select("tap_id", F.col("ocr_word").alias("koreader_word"), "ocr_word"))
+    return got.select("tap_id", "page", "ocr_failed", "ocr_word")
+
+
+@query(f"""WITH e AS (SELECT page_id, bx, by_, bw, bh, CASE WHEN page_id % 3 = 0 THEN bx + 100 - 20 ELSE bx END AS x0, CASE WHEN page_id % 3 = 0 THEN by_ + 90 - 10 ELSE by_ END AS y0, CASE WHEN page_id % 3 = 0 THEN bx + 100 + 20 ELSE bx + bw END AS x1, CASE WHEN page_id % 3 = 0 THEN by_ + 90 + 10 ELSE by_ + bh END AS y1, has, ux, uy, uw, uh FROM {V6}),
+u AS (SELECT page_id, bx, by_, bw, bh, CASE WHEN has THEN least(x0, ux) ELSE x0 END AS x0, CASE WHEN has THEN least(y0, uy) ELSE y0 END AS y0, CASE WHEN has THEN greatest(x1, ux + uw) ELSE x1 END AS x1, CASE WHEN has THEN greatest(y1, uy + uh) ELSE y1 END AS y1 FROM e),
+c AS (SELECT *, greatest(0, x0 - greatest(20, x1 - x0)) AS cx, greatest(0, y0 - greatest(20, y1 - y0)) AS cy, least(480, x1 + greatest(20, x1 - x0)) AS cr, least(720, y1 + greatest(20, y1 - y0)) AS cb FROM u)
+SELECT page_id, bx, by_, bw, bh, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cr - cx, 6) AS cw, round(cb - cy, 6) AS ch FROM c WHERE cr - cx >= 4 AND cb - cy >= 4""")
+def evidence_regions(spark, d):
+    v = views.reviews(spark, d)
+    part = lambda s: [F.col(f"{s}.{c}") for c in BOXES]
+    own = [F.when(F.col("page_id") % 3 > 0, c) for c in part("box")]
+    region = geometry.evidence_region((F.col("box.x") + 100, F.col("box.y") + 90), own, part("user_box"), L(PW), L(PH))
+    return v.select("page_id", *named("bx by_ bw bh", part("box")), *[F.round(c, 6).alias(n) for n, c in zip(("cx", "cy", "cw", "ch"), region, strict=True)]).filter("cx IS NOT NULL")
+
+
+_PARSED = f"(SELECT event_id, event_id % 6 AS kind, '[tag] ' || {views.LINE.replace('as string', 'as varchar')} AS value FROM events)"
+
+
+@query(f"""SELECT event_id, CASE kind WHEN 0 THEN 'page bitmap' WHEN 1 THEN 'segment' WHEN 2 THEN 'native detect' END AS name, CAST(CASE kind WHEN 0 THEN 50 + event_id % 97 WHEN 1 THEN 20 + event_id % 181 WHEN 2 THEN 700 + event_id % 301 END AS INTEGER) AS ms,
+CAST(CASE kind WHEN 0 THEN 600 + event_id % 200 END AS INTEGER) AS height, CAST(CASE kind WHEN 0 THEN event_id % 256 END AS INTEGER) AS background, kind = 0 AND event_id % 4 = 0 AS inverted, CAST(CASE kind WHEN 0 THEN event_id % 100 END AS INTEGER) AS ink_pct, CAST(CASE kind WHEN 1 THEN event_id % 9 WHEN 2 THEN event_id % 7 END AS INTEGER) AS panels,
+CAST(CASE kind WHEN 3 THEN event_id % 500 END AS INTEGER) AS free_mb, CAST(CASE kind WHEN 3 THEN event_id % 4000 END AS INTEGER) AS lua_kb, CAST(CASE kind WHEN 1 THEN event_id % 3 END AS INTEGER) AS splits, CAST(CASE kind WHEN 1 THEN 3 + event_id % 2 END AS INTEGER) AS searches, CASE kind WHEN 3 THEN 'page ' || event_id END AS memory, CASE kind WHEN 5 THEN event_id || ':manga:auto' END AS evicted FROM {_PARSED}""")
+def timing_lines(spark, d):
+    lines = views.log_lines(spark, d)
+    got = logs.timing_lines(lines, "[tag]", "event_id")
+    return got.select("event_id", "name", "ms", "height", "background", "inverted", "ink_pct", "panels", "free_mb", "lua_kb", "splits", "searches", "memory", "evicted")
+
+
+@query(f"""SELECT name, count(*) AS n, CAST(quantile_disc(ms, 0.5) AS INTEGER) AS p50, CAST(quantile_disc(ms, 0.95) AS INTEGER) AS p95 FROM (SELECT regexp_extract(value, '^.tag. (.*?) [0-9]+ms', 1) AS name, TRY_CAST(regexp_extract(value, ' ([0-9]+)ms', 1) AS INTEGER) AS ms FROM {_PARSED}) WHERE name <> '' GROUP BY 1""")
+def timing_summary(spark, d):
+    return logs.timing_summary(logs.timing_lines(views.log_lines(spark, d), "[tag]"))
+
+
+@query(f"""SELECT count_if(kind = 2) / count_if(kind = 0) AS fallback, sum(CASE kind WHEN 1 THEN event_id % 3 END) / sum(CASE kind WHEN 1 THEN 3 + event_id % 2 END) AS split, count_if(kind = 4) AS rejected FROM {_PARSED}""")
+def timing_shares(spark, d):
+    lines = logs.timing_lines(views.log_lines(spark, d), "[tag]")
+    return logs.timing_shares(lines).crossJoin(logs.rejections(lines).agg(F.sum("n").alias("rejected")))
+
+
+@query(f"SELECT user_id, 'word' AS tag, kind AS message, k, 'a,' || k AS many FROM {V5} WHERE k IS NOT NULL")
+def diagnostics_lines(spark, d):
+    e = views.events(spark, d).filter("k IS NOT NULL")
+    lines = e.select(F.concat(L("[10:11:12] [word] "), "kind", L(" | k="), "k", L(", list=a,"), "k", L(", user="), "user_id").alias("value"))
+    got = logs.diagnostics_lines(lines)
+    field = lambda n: F.col("fields").getItem(n)
+    return got.select(field("user").cast("long").alias("user_id"), "tag", "message", field("k").cast("int").alias("k"), field("list").alias("many"))
+
+
+@query(f"SELECT page_id, verdict, ocr_failed, bx, by_, bw, bh, has, len(gaps) AS n_gaps, FALSE AS bad FROM {V6} UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE FROM {V6}")
+def review_lines(spark, d):
+    """Reviews written as JSON lines and read again, each with a broken line beside it."""
+    v = views.reviews(spark, d)
+    whole = v.select(F.col("page_id").alias("page"), "verdict", "ocr_failed", "box", "user_box", F.struct(F.col("gaps").cast("array<double>").alias("gaps")).alias("diagnostics"))
+    lines = whole.select(F.explode(F.array(F.to_json(F.struct("*")), L("{broken"), L("  "))).alias("value"))
+    good, bad = logs.review_lines(lines)
+    read = good.select(F.col("page").alias("page_id"), "verdict", "ocr_failed", *named("bx by_ bw bh", [F.col(f"box.{c}") for c in BOXES]), F.col("user_box").isNotNull().alias("has"), F.size("diagnostics.gaps").cast("long").alias("n_gaps"), L(False).alias("bad"))
+    return read.unionByName(bad.select(L(True).alias("bad")), allowMissingColumns=True)
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 7 = 0 THEN NULL ELSE size_ratio IS NOT NULL END AS finite, {_CLASS} AS classification, CAST(bx AS DOUBLE) AS bx FROM {_METRICS}")
+def report_json(spark, d):
+    """The report's rows as JSON, read again; numbers that are not finite are null."""
+    got = reviews.classify(views.reviews(spark, d)).withColumn("size_ratio", F.when(F.col("page_id") % 7 == 0, L(float("nan"))).otherwise(F.col("size_ratio")))
+    at = reviews.report_json(got.select("page_id", "classification", "size_ratio", "box"))
+    take = lambda p, t: F.get_json_object("json", p).cast(t)
+    page = take("$.page_id", "long")
+    return at.select(page.alias("page_id"), F.when(page % 7 > 0, take("$.size_ratio", "double").isNotNull()).when(take("$.size_ratio", "double").isNotNull(), True).alias("finite"), take("$.classification", "string").alias("classification"), take("$.box.x", "double").alias("bx"))
+
+
+_OK = r"coalesce(NOT regexp_matches({c}, '\s') AND len(regexp_extract_all({c}, '[A-Za-z]|[^\x00-\x{{BF}}\x{{D7}}\x{{F7}}\x{{2000}}-\x{{206F}}\x{{2190}}-\x{{2BFF}}\x{{3000}}-\x{{303F}}]')) > 0 AND length({c}) - len(regexp_extract_all({c}, '[A-Za-z]|[^\x00-\x{{BF}}\x{{D7}}\x{{F7}}\x{{2000}}-\x{{206F}}\x{{2190}}-\x{{2BFF}}\x{{3000}}-\x{{303F}}]')) - len(regexp_extract_all({c}, '[0-9''.,!?-]')) <= len(regexp_extract_all({c}, '[A-Za-z]|[^\x00-\x{{BF}}\x{{D7}}\x{{F7}}\x{{2000}}-\x{{206F}}\x{{2190}}-\x{{2BFF}}\x{{3000}}-\x{{303F}}]')), FALSE)"
+
+
+@query(f"""WITH r AS (SELECT doc_id, pos, {_NORMAL.format("raw")} AS b, {_NORMAL.format("CASE WHEN pos % 2 = 0 THEN raw || '||||||||||||||||||||||||||||||||' ELSE raw END")} AS a FROM {V4})
+SELECT doc_id, pos, CASE WHEN {_OK.format(c="a")} THEN a WHEN {_OK.format(c="b")} THEN b END AS word FROM r""")
+def choose_read(spark, d):
+    """Of a first read, spoilt for every other word, and a second one the first that may be a word."""
+    spoilt = F.when(F.col("pos") % 2 == 0, F.concat("raw", L("|" * 32))).otherwise(F.col("raw"))
+    return views.words(spark, d).select("doc_id", "pos", text.choose_read(spoilt, F.col("raw")).alias("word"))

@@ -80,18 +80,52 @@ REVIEWS = f"""SELECT DISTINCT l_orderkey AS page_id, CASE WHEN l_returnflag = 'R
 
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(setting_id, bleed_ratio, profile_version, detector, target_width, margin), with nulls."""
+    """Settings of each customer, with nulls and odd values."""
     n = lambda e, name: f"if(c_custkey % 3 = 0, NULL, {e}) AS {name}"
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS setting_id",
-        n("c_acctbal / 5000", "bleed_ratio"),
-        "cast(c_custkey % 9 AS int) AS profile_version",
+        "cast(c_custkey % 9 AS int) AS performance_profile_version",
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'native' WHEN 'AUTOMOBILE' THEN 'auto' WHEN 'MACHINERY' THEN 'fast' WHEN 'HOUSEHOLD' THEN 'odd' END AS detector",
-        n("cast(300 + c_custkey % 500 AS int)", "target_width"),
-        n("c_acctbal / 10000", "margin"),
-    )
+        "CASE c_custkey % 4 WHEN 0 THEN 'comic' WHEN 1 THEN 'manga' WHEN 2 THEN 'webtoon' END AS mode",
+        "CASE c_custkey % 6 WHEN 0 THEN 'loose' WHEN 1 THEN 'margin' WHEN 2 THEN 'none' WHEN 3 THEN 'tight' WHEN 4 THEN 'strict' END AS crop_mode",
+        "CASE c_custkey % 3 WHEN 0 THEN 'smooth' WHEN 1 THEN 'odd' END AS nav_transition_mode",
+        n("c_acctbal / 5000", "panel_bleed_ratio"),
+        n("c_acctbal / 10000", "panel_margin_ratio"),
+        n("c_acctbal / 300", "panel_bleed_min"),
+        n("c_acctbal / 9000", "panel_prefetch_delay"),
+        n("c_acctbal / 6000", "nav_transition_duration"),
+        n("c_acctbal / 250", "nav_transition_frames"),
+        n("0.9", "full_page_panel_ratio"),
+        n("0.007", "segment_gutter_ratio"),
+        n("cast(c_custkey % 8 AS int)", "panel_grid_cols"),
+        n("cast(c_custkey % 20 AS int)", "panel_cache_pages"),
+        n("cast(300 + c_custkey % 500 AS int)", "segment_target_width"),
+        "CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS debug_mode",
+        "CASE c_custkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS debug_timing",
+    ).withColumns({"full_page_panel_ratio": F.col("full_page_panel_ratio").cast("double"), "segment_gutter_ratio": F.col("segment_gutter_ratio").cast("double")})
+
+
+_GIVEN = {
+    "panel_bleed_ratio": "c_acctbal / 5000", "panel_margin_ratio": "c_acctbal / 10000", "panel_bleed_min": "c_acctbal / 300", "panel_prefetch_delay": "c_acctbal / 9000", "nav_transition_duration": "c_acctbal / 6000", "nav_transition_frames": "c_acctbal / 250",
+    "full_page_panel_ratio": "CAST(0.9 AS DOUBLE)", "segment_gutter_ratio": "CAST(0.007 AS DOUBLE)", "panel_grid_cols": "CAST(c_custkey % 8 AS INTEGER)", "panel_cache_pages": "CAST(c_custkey % 20 AS INTEGER)", "segment_target_width": "CAST(300 + c_custkey % 500 AS INTEGER)",
+}
+SETTINGS = f"""SELECT c_custkey AS setting_id, CAST(c_custkey % 9 AS INTEGER) AS v,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'native' WHEN 'AUTOMOBILE' THEN 'auto' WHEN 'MACHINERY' THEN 'fast' WHEN 'HOUSEHOLD' THEN 'odd' END AS detector,
+  CASE c_custkey % 4 WHEN 0 THEN 'comic' WHEN 1 THEN 'manga' WHEN 2 THEN 'webtoon' END AS mode,
+  CASE c_custkey % 6 WHEN 0 THEN 'loose' WHEN 1 THEN 'margin' WHEN 2 THEN 'none' WHEN 3 THEN 'tight' WHEN 4 THEN 'strict' END AS crop_mode,
+  CASE c_custkey % 3 WHEN 0 THEN 'smooth' WHEN 1 THEN 'odd' END AS nav_transition_mode,
+  {", ".join(f"CASE WHEN c_custkey % 3 <> 0 THEN {e} END AS {k}" for k, e in _GIVEN.items())},
+  coalesce(CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false END, CASE c_custkey % 7 WHEN 0 THEN true WHEN 1 THEN false END, false) AS debug_mode FROM customer"""
 
 
-SETTINGS = """SELECT c_custkey AS setting_id, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 5000 END AS bleed_ratio, CAST(c_custkey % 9 AS INTEGER) AS profile_version,
-  CASE c_mktsegment WHEN 'BUILDING' THEN 'native' WHEN 'AUTOMOBILE' THEN 'auto' WHEN 'MACHINERY' THEN 'fast' WHEN 'HOUSEHOLD' THEN 'odd' END AS detector,
-  CASE WHEN c_custkey % 3 <> 0 THEN CAST(300 + c_custkey % 500 AS INTEGER) END AS target_width, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 10000 END AS margin FROM customer"""
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, value): a line of a timing log for each event."""
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"concat('[tag] ', {LINE}) AS value")
+
+
+#: A line of each kind by event, in SQL of both engines.
+LINE = """CASE event_id % 6 WHEN 0 THEN concat('page bitmap ', cast(50 + event_id % 97 as string), 'ms (480x', cast(600 + event_id % 200 as string), ' bg=', cast(event_id % 256 as string), CASE WHEN event_id % 4 = 0 THEN ' inverted' ELSE '' END, ' ink=', cast(event_id % 100 as string), '%)')
+  WHEN 1 THEN concat('segment ', cast(20 + event_id % 181 as string), 'ms (', cast(event_id % 9 as string), ' panels, ', cast(event_id % 3 as string), ' of ', cast(3 + event_id % 2 as string), ' slanted searches split)')
+  WHEN 2 THEN concat('native detect ', cast(700 + event_id % 301 as string), 'ms (', cast(event_id % 7 as string), ' panels from 29 probes)')
+  WHEN 3 THEN concat('memory page ', cast(event_id as string), ' free=', cast(event_id % 500 as string), 'MB lua=', cast(event_id % 4000 as string), 'KB')
+  WHEN 4 THEN concat('segmenter rejected: only ', cast(event_id % 50 as string), '% of the covered area kept') ELSE concat('cache evict ', cast(event_id as string), ':manga:auto') END"""

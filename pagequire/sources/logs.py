@@ -17,14 +17,18 @@ REVIEW = (
 )
 
 
-def read_review_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(reviews, bad lines): JSON lines by a fixed schema; blank lines are skipped, absent keys are null, broken lines come back as text."""
-    lines = spark.read.text(path).filter("trim(value) <> ''")
+def review_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reviews, bad lines) of `lines(value)`: JSON by a fixed schema; blank lines are skipped, absent keys are null, broken lines come back as text."""
     schema = T.StructType([*T.StructType.fromDDL(REVIEW).fields, T.StructField("_bad", T.StringType())])
-    rows = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    rows = lines.filter("trim(value) <> ''").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     return rows.filter("r._bad IS NULL").select("r.*").drop("_bad"), rows.filter("r._bad IS NOT NULL").select(F.col("value").alias("line"))
 
 
+def read_review_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The reviews, and the broken lines, of log files."""
+    return review_lines(spark.read.text(path))
+
+
 def write_reviews(df: DataFrame, path: str) -> None:
     """Append one JSON object for each row."""
     df.write.mode("append").json(path)
@@ -35,15 +39,16 @@ def write_panels(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode", "detector", "border_split").parquet(path)
 
 
-def read_timing_log(spark: SparkSession, path: str) -> DataFrame:
-    """(name, ms, detail, width, height, background, inverted, ink_pct, border_pct, panels, free_mb, lua_kb, rejected, evicted, splits, searches, memory) of lines that begin with the tag.
+def timing_lines(lines: DataFrame, tag: str, *keep: str) -> DataFrame:
+    """(name, ms, detail, width, height, background, inverted, ink_pct, border_pct, panels, free_mb, lua_kb, rejected, evicted, splits, searches, memory) of `lines(value)` that begin with the tag.
 
-    splits of searches slanted ones split; memory: the label of a memory line, whose free_mb may be unknown.
+    splits of searches slanted ones split; memory: the label of a memory line, whose free_mb may be unknown. keep: other
+    columns of the lines that stay.
     """
-    line = spark.read.text(path).filter(F.col("value").startswith("[Panels+] ")).select(F.expr("substring(value, 11)").alias("m"))
+    line = lines.filter(F.col("value").startswith(tag + " ")).select(*keep, F.expr(f"substring(value, {len(tag) + 2})").alias("m"))
     take = lambda p, t: F.expr(f"try_cast(nullif(regexp_extract(m, r'{p}', 1), '') AS {t})")
     return line.select(
-        take(r"^(.*?) \d+ms", "string").alias("name"), take(r" (\d+)ms", "int").alias("ms"), take(r"\((.*)\)\s*$", "string").alias("detail"),
+        *keep, take(r"^(.*?) \d+ms", "string").alias("name"), take(r" (\d+)ms", "int").alias("ms"), take(r"\((.*)\)\s*$", "string").alias("detail"),
         take(r"(\d+)x\d+", "int").alias("width"), take(r"\d+x(\d+)", "int").alias("height"), take(r"bg=(\d+)", "int").alias("background"), F.col("m").contains("inverted").alias("inverted"),
         take(r"ink=(\d+)%", "int").alias("ink_pct"), take(r"border=(\d+)%", "int").alias("border_pct"), take(r"(\d+) panels?", "int").alias("panels"),
         take(r"free=(\d+)MB", "int").alias("free_mb"), take(r"lua=(\d+)KB", "int").alias("lua_kb"), take(r"segmenter rejected: (.*)$", "string").alias("rejected"), take(r"cache evict (.*)$", "string").alias("evicted"),
@@ -51,6 +56,11 @@ def read_timing_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_timing_log(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The timing lines of log files; tag: what the program that wrote them puts before each."""
+    return timing_lines(spark.read.text(path), tag)
+
+
 def timing_summary(lines: DataFrame) -> DataFrame:
     """(name, n, p50, p95) of each span."""
     return lines.filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.percentile_approx("ms", 0.5).alias("p50"), F.percentile_approx("ms", 0.95).alias("p95"))
@@ -68,16 +78,21 @@ def rejections(lines: DataFrame) -> DataFrame:
     return lines.filter("rejected IS NOT NULL").groupBy(F.regexp_replace("rejected", r"\d+", "#").alias("reason")).agg(F.count("*").alias("n"))
 
 
-def read_diagnostics_log(spark: SparkSession, path: str) -> DataFrame:
-    """(time, tag, message, fields) of lines `[HH:MM:SS] [tag] message | k=v, k=v`; values may hold commas."""
-    at = spark.read.text(path).select(*[F.regexp_extract("value", r"^\[(\d\d:\d\d:\d\d)\] \[([^\]]*)\] (.*?)(?: \| (.*))?$", i).alias(n) for i, n in enumerate(("time", "tag", "message", "kv"), 1)])
+def diagnostics_lines(lines: DataFrame) -> DataFrame:
+    """(time, tag, message, fields) of `lines(value)` that read `[HH:MM:SS] [tag] message | k=v, k=v`; values may hold commas."""
+    at = lines.select(*[F.regexp_extract("value", r"^\[(\d\d:\d\d:\d\d)\] \[([^\]]*)\] (.*?)(?: \| (.*))?$", i).alias(n) for i, n in enumerate(("time", "tag", "message", "kv"), 1)])
     return at.filter("time <> ''").select("time", "tag", "message", F.expr(r"if(kv = '', map(), str_to_map(kv, ', (?=\\w+=)', '='))").alias("fields"))
 
 
+def read_diagnostics_log(spark: SparkSession, path: str) -> DataFrame:
+    """The diagnostics lines of log files."""
+    return diagnostics_lines(spark.read.text(path))
+
+
 def read_page_images(spark: SparkSession, path: str, target_width: int = 480, delta: int = 40) -> DataFrame:
     """(origin, native_w, native_h, w, h, background, inverted, runs): ink runs of page images, at about target_width cells a line.
 
-    Colour becomes grey by the BT.601 weights. The background is the lower median of the outer ring. Maps with a side
+    Colour becomes grey by the BT.601 weights. The background is the lower median of the whole picture's outer ring. Maps with a side
     under 16, or pages with one under 32, are left out. runs: (y, x0, x1), both ends included.
     """
     schema = "origin string, native_w int, native_h int, w int, h int, background int, inverted boolean, runs array<struct<y:int,x0:int,x1:int>>"
@@ -92,10 +107,10 @@ def read_page_images(spark: SparkSession, path: str, target_width: int = 480, de
                 m = grey[::step, ::step][: height // step, : width // step]
                 if min(width, height) < 32 or min(m.shape) < 16:
                     continue
-                ring = max(1, int(min(m.shape) * 0.01))
-                edge = np.ones(m.shape, bool)
+                ring = max(1, int(min(width, height) * 0.01))
+                edge = np.ones(grey.shape, bool)
                 edge[ring:-ring, ring:-ring] = False
-                values = np.sort(m[edge])
+                values = np.sort(grey[edge])
                 bg = int(values[(values.size - 1) // 2])
                 ink = np.pad(np.abs(m - bg) > delta, ((0, 0), (1, 1)))
                 change = np.diff(ink.astype(np.int8), axis=1)

@@ -1,14 +1,17 @@
 """Operators against literal loops on small random pages, and logs and streams against their batch forms."""
 
 import json
+import math
 import random
+import struct
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagequire.functions import text
-from pagequire.operators import cut, geometry, nav, panels, raster, reviews
+from pagequire.operators import cut, geometry, nav, panels, raster, reviews, settings, words
 from pagequire.sources import logs
 from pagequire.streaming import streams
 
@@ -19,50 +22,212 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def cut_brute(cells, w, h, depth=6):
-    out = []
-    least = max(2, int(min(w, h) * 0.005))
-
-    def band(counts, span):
-        best, pos = (0, None), [p for p in sorted(counts) if counts[p] * 1000 > span * 5]
-        for a, b in zip(pos, pos[1:]):
-            if b - a - 1 >= least and b - a - 1 > best[0]:
-                best = (b - a - 1, a + 1)
+def cut_brute(cells, w, h, depth=6, dark=None, shear=True):
+    """(leaves, how regions were split), a region of one page after another."""
+    out, ways = [], []
+    small = min(w, h)
+    least, widest, side = max(2, int(small * 0.005)), max(2, int(small * 0.01)), max(4, int(small * 0.03))
+
+    def bands(counts, span):
+        pos = [p for p in sorted(counts) if counts[p] * 1000 > span * 5]
+        return sorted(((b - a - 1, a + 1) for a, b in zip(pos, pos[1:]) if b - a - 1 >= least), key=lambda g: (-g[0], g[1]))
+
+    def stroke(counts, lo, hi, span):
+        best, run = (0, None), []
+        for p in range(lo, hi + 2):
+            if p <= hi and counts.get(p, 0) * 100 >= span * 97:
+                run.append(p)
+                continue
+            if run and run[0] > lo and run[-1] < hi and len(run) <= widest and run[0] - lo >= side and hi - run[-1] >= side and (not best[0] or len(run) < best[0]):
+                best = (len(run), run[0])
+            run = []
         return best
 
-    def go(ink, path):
+    def slanted(ink, x0, x1, y0, y1):
+        for slope in cut.SLOPES:
+            for axis, (lo, hi), (a0, a1), place in (("col", (x0, x1), (y0, y1), lambda p: p), ("row", (y0, y1), (x0, x1), lambda p: p[::-1])):
+                counts, mid, size = Counter(), math.floor((a0 + a1) / 2), a1 - a0 + 1
+                for p in ink:
+                    b, at = place(p)
+                    to = b - math.floor(slope * (at - mid) + 0.5)
+                    if (at - a0) % 2 == 0 and lo <= to <= hi:
+                        counts[to] += 1
+                drift = math.floor(abs(slope) * size / 2) + 1
+                for n, start in bands(counts, size / 2):
+                    if start - drift > lo and start + n - 1 + drift < hi:
+                        return axis, start - drift, start + n - 1 + drift
+        return None
+
+    def go(x0, y0, x1, y1, path):
+        ink = [p for p in cells if x0 <= p[0] <= x1 and y0 <= p[1] <= y1]
         if not ink:
             return
-        xs, ys = [x for x, _ in ink], [y for _, y in ink]
-        x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
+        x0, x1 = min(x for x, _ in ink), max(x for x, _ in ink)
+        y0, y1 = min(y for _, y in ink), max(y for _, y in ink)
+        row, col = Counter(y for _, y in ink), Counter(x for x, _ in ink)
+        wide, high = x1 - x0 + 1, y1 - y0 + 1
         if len(path) - 1 < depth:
-            row = {y: ys.count(y) for y in set(ys)}
-            col = {x: xs.count(x) for x in set(xs)}
-            (rl, rs), (cl, cs) = band(row, x1 - x0 + 1), band(col, y1 - y0 + 1)
-            if rl and rl >= cl:
-                go([p for p in ink if p[1] < rs], path + "0")
-                return go([p for p in ink if p[1] >= rs + rl], path + "1")
-            if cl:
-                go([p for p in ink if p[0] < cs], path + "0")
-                return go([p for p in ink if p[0] >= cs + cl], path + "1")
+            (rl, rs), (cl, cs) = (bands(row, wide) + [(0, None)])[0], (bands(col, high) + [(0, None)])[0]
+            how = ("row", rs, rl) if rl and rl >= cl else ("col", cs, cl) if cl else None
+            if not how and dark is not None:
+                at = [p for p in dark if x0 <= p[0] <= x1 and y0 <= p[1] <= y1]
+                (rl, rs), (cl, cs) = stroke(Counter(y for _, y in at), y0, y1, wide), stroke(Counter(x for x, _ in at), x0, x1, high)
+                how = ("row", rs, rl) if rl and (not cl or rl <= cl) else ("col", cs, cl) if cl else None
+                ways.extend(["drawn"] if how else [])
+            if how:
+                axis, start, n = how
+                go(x0, y0, *((x1, start - 1) if axis == "row" else (start - 1, y1)), path + "0")
+                return go(*((x0, start + n) if axis == "row" else (start + n, y0)), x1, y1, path + "1")
+            thin = min(col[x] for x in range(x0, x1 + 1)) * 100 <= high * 35 or min(row[y] for y in range(y0, y1 + 1)) * 100 <= wide * 35
+            if shear and len(path) - 1 <= 4 and thin and (found := slanted(ink, x0, x1, y0, y1)):
+                ways.append("slanted " + found[0])
+                axis, lo, hi = found
+                go(x0, y0, *((x1, hi) if axis == "row" else (hi, y1)), path + "0")
+                return go(*((x0, lo) if axis == "row" else (lo, y0)), x1, y1, path + "1")
         out.append((path, len(path) - 1, x0, y0, x1, y1, len(ink)))
 
-    go(list(cells), "0")
-    return out
+    go(0, 0, w - 1, h - 1, "0")
+    return out, ways
+
 
+def ink_runs(spark, pages):
+    runs = [(page, y, x, x) for page, ink in pages.items() for x, y in ink]
+    return raster.merged_runs(spark.createDataFrame(runs, "page_id long, y int, x0 int, x1 int"))
 
-def test_xy_cut_equals_a_loop(spark):
-    want, runs = [], []
-    for page in range(25):
+
+@pytest.mark.parametrize("shear, drawn", [(False, False), (True, False), (True, True)])
+def test_xy_cut_equals_a_loop(spark, shear, drawn):
+    r = random.Random(21)
+    pages, dark, want, ways = {}, {}, [], Counter()
+    for page in range(24):
         ink = set()
-        for _ in range(R.randrange(1, 7)):
-            x, y = R.randrange(34), R.randrange(34)
-            ink |= {(x + i, y + j) for i in range(R.randrange(1, 12)) for j in range(R.randrange(1, 12))}
-        want += [(page, *r) for r in cut_brute(ink, 48, 48)]
-        runs += [(page, y, x, x) for x, y in ink]
-    df = raster.merged_runs(spark.createDataFrame(runs, "page_id long, y int, x0 int, x1 int"))
-    maps = spark.range(25).selectExpr("id AS page_id", "48 AS w", "48 AS h")
-    assert rows(cut.xy_cut(df, maps)) == sorted(want)
+        for _ in range(r.randrange(1, 7)):
+            x, y = r.randrange(34), r.randrange(34)
+            ink |= {(x + i, y + j) for i in range(r.randrange(1, 12)) for j in range(r.randrange(1, 12))}
+        if page % 3 == 1:  # two parts with a slanted band between them
+            slope, flip = r.choice([0.06, -0.09, 0.12, -0.14]), r.random() < 0.5
+            ink = {(y, x) if flip else (x, y) for x in range(2, 46) for y in range(3, 45) if abs(x - 24 - slope * (y - 24)) > 2.5}
+        if page % 3 == 2:  # filled, with a drawn line
+            at, flip = r.randrange(12, 34), r.random() < 0.5
+            ink = {(x, y) for x in range(1, 47) for y in range(1, 47)}
+            dark[page] = {p for p in ink if p[flip] in (at, at + 1)}
+        pages[page] = ink
+        leaves, how = cut_brute(ink, 48, 48, dark=dark.get(page, set()) if drawn else None, shear=shear)
+        want += [(page, *leaf) for leaf in leaves]
+        ways.update(how)
+    maps = spark.range(24).selectExpr("id AS page_id", "48 AS w", "48 AS h")
+    got = cut.xy_cut(ink_runs(spark, pages), maps, shear=shear, borders=ink_runs(spark, dark) if drawn else None)
+    assert rows(got) == sorted(want)
+    assert set(ways) >= ({"slanted col", "slanted row"} if shear else set()) | ({"drawn"} if drawn else set())
+
+
+def test_furniture_is_measured_against_all_ink_of_the_page(spark):
+    leaves = spark.createDataFrame([(1, "00", 150, 676, 329, 693, 1900), (1, "01", 14, 14, 465, 653, 90_000)], "page_id long, path string, x0 int, y0 int, x1 int, y1 int, ink long")
+    maps = spark.createDataFrame([(1, 480, 720, 100_000)], "page_id long, w int, h int, ink long")
+    kept = lambda m: [x[1] for x in rows(cut.leaf_filter(leaves, m))]
+    assert kept(maps) == ["01"] and kept(maps.withColumn("ink", F.lit(90_000))) == ["00", "01"] and kept(maps.drop("ink")) == ["00", "01"]
+
+
+def glyphs(y0, y1, *spans, gap=3, width=12):
+    """Cells of words that are rows of letter blocks with small gaps."""
+    cells = set()
+    for a, b in spans:
+        x = a
+        while x <= b:
+            cells |= {(i, y) for i in range(x, min(b, x + width - 1) + 1) for y in range(y0, y1 + 1)}
+            x += width + gap
+    return cells
+
+
+def test_word_boxes(spark):
+    pages = {
+        1: glyphs(80, 120, (100, 228), (300, 450)), 2: glyphs(100, 125, (100, 180), (210, 260), (290, 390)), 3: glyphs(100, 135, (100, 140), (148, 220), gap=1),
+        4: {(x, y) for x in range(1000) for y in range(90, 110)}, 5: glyphs(100, 120, (400, 460)) | {(430, y) for y in range(88, 100)}, 6: glyphs(100, 120, (400, 460)) | glyphs(124, 144, (400, 460)),
+    }
+    taps = [(1, 1, 150, 100), (2, 1, 375, 100), (3, 2, 235, 110), (4, 3, 180, 115), (5, 4, 500, 100), (6, 5, 430, 110), (7, 6, 430, 110), (8, 1, 150, 400), (9, 1, 900, 100), (10, 5, 478, 110), (11, 9, 1, 1)]
+    df = spark.createDataFrame([(t, page, float(x), float(y), 1000.0, 1000.0) for t, page, x, y in taps], "tap_id long, page_id long, x double, y double, pw double, ph double")
+    got = {r["tap_id"]: r for r in words.word_boxes(df, ink_runs(spark, pages)).collect()}
+    assert [got[i]["reason"] for i in range(1, 12)] == [None] * 4 + ["ink runs off the left edge of the crop"] + [None] * 2 + ["no ink near the tap row", "no ink near the tap row", None, "no ink near the tap row"]
+    assert abs(got[1]["x"] - 100) <= 2 and 228 <= got[1]["x"] + got[1]["w"] <= 232
+    assert got[2]["x"] > 228 and abs(got[3]["x"] - 210) <= 2 and 259 <= got[3]["x"] + got[3]["w"] <= 264
+    assert got[4]["x"] >= 140 and got[4]["gap_threshold"] <= 16
+    assert got[6]["y"] <= 88 and got[6]["h"] >= 33 and got[7]["h"] < 30 and got[10]["x"] == got[6]["x"]
+    assert (got[3]["line_h"], got[3]["median_gap"]) == (52, 6.0) and got[3]["gaps"] == sorted(got[3]["gaps"]) and got[8]["gaps"] is None
+    assert rows(words.word_boxes(df.limit(0), ink_runs(spark, pages))) == []
+
+
+def test_nearest_flag_and_islands(spark):
+    r = random.Random(5)
+    for _ in range(3):
+        flags = {k: sorted(r.sample(range(60), r.randrange(1, 25))) for k in range(30)}
+        origin = {k: r.randrange(60) for k in flags}
+        df = spark.createDataFrame([(k, p, p, origin[k], 9, 3, flags[k][0]) for k in flags for p in flags[k]], "k long, x0 int, x1 int, origin int, limit int, blank int, seed int")
+        want = []
+        for k, f in flags.items():
+            near = [p for p in f if abs(p - origin[k]) <= 9]
+            want += [(k, min(near, key=lambda p: (abs(p - origin[k]), p)))] if near else []
+        assert rows(words.nearest_flag(df, "k")) == sorted(want)
+        ends = []
+        for k, f in flags.items():
+            end = f[0]
+            for p in f:
+                end = p if p - end - 1 < 3 else end
+                if p - end - 1 >= 3:
+                    break
+            ends.append((k, f[0], end))
+        assert rows(words.island_of_seed(df, "k")) == sorted(ends)
+
+
+def test_reviews_are_assembled(spark):
+    taps = spark.createDataFrame([(i, "t", "d", 1, 5.0, 6.0) for i in (1, 2, 3)], "tap_id long, ts string, document string, page long, x double, y double")
+    boxes = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 4.0), (2, 1.0, 2.0, 3.0, 4.0), (3, None, None, None, None)], "tap_id long, x double, y double, w double, h double")
+    reads = spark.createDataFrame([(1, "a", "b"), (2, "a", None), (3, "a", "b")], "tap_id long, koreader_word string, ocr_word string")
+    got = {r["tap_id"]: (r["koreader_word"], r["ocr_word"], r["ocr_failed"], r["box"] is None) for r in reviews.assemble(taps, boxes, reads).collect()}
+    assert got == {1: ("a", "b", None, False), 2: (None, None, "no_word", False), 3: (None, None, "no_box", True)}
+
+
+def test_settings(spark):
+    new = spark.createDataFrame([(1, 7, "native", 3.0, None, True)], "id int, performance_profile_version int, detector string, panel_bleed_ratio double, segment_target_width int, debug_timing boolean")
+    old = spark.createDataFrame([(1, 2, 1), (2, 3, 300)], "id int, performance_profile_version int, segment_target_width int")
+    got = {r["id"]: r for r in settings.clamp_settings(settings.apply_defaults(settings.first_of(new, old, "id"))).collect()}
+    assert (got[1]["detector"], got[1]["panel_bleed_ratio"], got[1]["segment_target_width"], got[1]["debug_mode"]) == ("exact", 1.0, 480, True)
+    assert (got[2]["detector"], got[2]["segment_target_width"], got[2]["mode"], got[2]["performance_profile_version"]) == ("auto", 480, "manga", 7)
+
+
+def test_page_images(spark, tmp_path):
+    """A grey picture as an uncompressed bitmap: white, with a black block, and a dark frame that the map leaves out."""
+    w, h, top = 1000, 40, 54 + 1024
+    px = bytearray(b"\xff" * (w * h))
+    for y in range(10, 20):
+        px[y * w + 100 : y * w + 200] = bytes(100)
+    head = struct.pack("<2sIHHI", b"BM", top + w * h, 0, 0, top) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8, 0, w * h, 0, 0, 256, 0)
+    rows_ = b"".join(bytes(px[y * w : (y + 1) * w]) for y in reversed(range(h)))
+    (tmp_path / "p.bmp").write_bytes(head + b"".join(bytes([i, i, i, 0]) for i in range(256)) + rows_)
+    (r,) = logs.read_page_images(spark, str(tmp_path)).collect()
+    assert (r["native_w"], r["native_h"], r["w"], r["h"], r["background"], r["inverted"]) == (1000, 40, 500, 20, 255, False)
+    assert [tuple(x) for x in r["runs"]] == [(y, 50, 99) for y in range(5, 10)]
+
+
+def test_sinks(spark, tmp_path):
+    v = spark.createDataFrame([(1, "manga", "auto", False), (2, "comic", "auto", False)], "page_id long, mode string, detector string, border_split boolean")
+    for df in (v, v.filter("mode = 'comic'").withColumn("page_id", F.lit(9).cast("long"))):
+        logs.write_panels(df, str(tmp_path / "p"))
+    assert sorted((r["page_id"], r["mode"]) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [(1, "manga"), (9, "comic")]
+    for _ in range(2):
+        logs.write_reviews(spark.createDataFrame([("correct",)], "verdict string"), str(tmp_path / "r"))
+    assert logs.read_review_log(spark, str(tmp_path / "r"))[0].count() == 2
+
+
+def test_tile_round_trip(spark):
+    b = spark.createDataFrame([(10.0, 20.0, 30.0, 40.0)], "x double, y double, w double, h double")
+    tile = geometry.native_to_tile(geometry.box(), 2.0, F.lit(7), F.lit(9))
+    back = geometry.tile_to_native(tile, 2.0, F.lit(7), F.lit(9))
+    assert rows(b.select(*back)) == [(10.0, 20.0, 30.0, 40.0)]
+
+
+def test_choose_read(spark):
+    df = spark.createDataFrame([("|_-", "shift"), ("my", "x"), (None, " "), ("a|||", "don't")], "a string, b string")
+    assert [r[0] for r in df.select(text.choose_read(F.col("a"), F.col("b"))).collect()] == ["shift", "my", None, "don't"]
 
 
 def test_grid_page_has_six_panels(spark):
@@ -176,8 +341,8 @@ def test_logs(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"verdict": "correct", "document": "a\\/b", "tap": {"x": 1, "y": 2}}\n\n{broken\n')
     good, bad = logs.read_review_log(spark, str(tmp_path / "r.jsonl"))
     assert [(r["document"], r["tap"]["x"], r["box"]) for r in good.collect()] == [("a/b", 1.0, None)] and rows(bad) == [("{broken",)]
-    (tmp_path / "t.log").write_text("[Panels+] page bitmap 74ms (480x720, bg=247, ink=22%)\nnoise\n[Panels+] memory start free=120MB lua=900KB\n[Panels+] segmenter rejected: no panels\n")
-    t = logs.read_timing_log(spark, str(tmp_path / "t.log")).collect()
+    (tmp_path / "t.log").write_text("[tag] page bitmap 74ms (480x720, bg=247, ink=22%)\nnoise\n[tag] memory start free=120MB lua=900KB\n[tag] segmenter rejected: no panels\n")
+    t = logs.read_timing_log(spark, str(tmp_path / "t.log"), "[tag]").collect()
     assert (t[0]["name"], t[0]["ms"], t[0]["width"], t[0]["height"], t[0]["background"], t[0]["ink_pct"]) == ("page bitmap", 74, 480, 720, 247, 22)
     assert t[1]["free_mb"] == 120 and t[1]["lua_kb"] == 900 and t[2]["rejected"] == "no panels"
     (tmp_path / "d.log").write_text("[10:11:12] [words] found | a=1, b=2,3, c=x\n")
@@ -187,8 +352,8 @@ def test_logs(spark, tmp_path):
 def test_timing_shares(spark, tmp_path):
     lines = ["page bitmap 74ms (480x720)", "page bitmap 70ms (480x720)", "segment 190ms (5 panels, 2 of 3 slanted searches split)", "segment 90ms (5 panels, 0 of 1 slanted searches split, 2 border-line splits)"]
     lines += ["native detect 810ms (6 panels from 29 probes, 1 page render)", "segmenter rejected: only 38% kept", "segmenter rejected: only 9% kept", "memory native detect fallback end free=? lua=900KB", "x" * (1 << 20) + " 5ms"]
-    (tmp_path / "t.log").write_text("".join(f"[Panels+] {m}\n" for m in lines))
-    t = logs.read_timing_log(spark, str(tmp_path / "t.log"))
+    (tmp_path / "t.log").write_text("".join(f"[tag] {m}\n" for m in lines))
+    t = logs.read_timing_log(spark, str(tmp_path / "t.log"), "[tag]")
     assert rows(logs.timing_shares(t)) == [(0.5, 0.5)] and rows(logs.rejections(t)) == [("only #% kept", 2)]
     assert rows(t.filter("memory IS NOT NULL").select("memory", "free_mb", "lua_kb")) == [("native detect fallback end", None, 900)]
     assert t.filter("ms = 5").count() == 1
