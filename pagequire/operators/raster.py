@@ -56,12 +56,12 @@ def to_runs(ink: DataFrame) -> DataFrame:
     return ink.withColumn("i", island).groupBy("page_id", "y", "i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("i")
 
 
-def merged_runs(runs: DataFrame) -> DataFrame:
-    """Runs of a line that overlap or touch become one."""
+def merged_runs(runs: DataFrame, *same: str) -> DataFrame:
+    """Runs of a line that overlap or touch become one; same: other columns that are equal within a line."""
     w = Window.partitionBy("page_id", "y").orderBy("x0", "x1")
     new = F.col("x0") > F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1
     marked = runs.withColumn("new", F.when(new, 1).otherwise(0)).withColumn("i", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("page_id", "y", "i").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("i")
+    return marked.groupBy("page_id", "y", *same, "i").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("i")
 
 
 def runs_of_boxes(boxes: DataFrame) -> DataFrame:
@@ -70,6 +70,18 @@ def runs_of_boxes(boxes: DataFrame) -> DataFrame:
     return merged_runs(rows)
 
 
+def slabs_of_boxes(boxes: DataFrame) -> DataFrame:
+    """The ink of filled boxes(page_id, x, y, w, h) as slabs(page_id, y0, y1, x0, x1), without going through its lines.
+
+    The boxes' upper and lower edges cut a page into bands; within a band, what boxes cover is the same on each line.
+    """
+    order = Window.partitionBy("page_id").orderBy("edge")
+    edges = boxes.select("page_id", F.explode(F.array(F.col("y"), F.col("y") + F.col("h"))).alias("edge")).distinct()
+    bands = edges.withColumn("y1", F.lead("edge").over(order) - 1).filter("y1 IS NOT NULL").withColumnRenamed("edge", "y0")
+    met = boxes.join(bands, "page_id").filter("y <= y0 AND y + h > y1").select("page_id", F.col("y0").alias("y"), "y1", F.col("x").alias("x0"), F.expr("x + w - 1").alias("x1"))
+    return merged_runs(met, "y1").withColumnRenamed("y", "y0")
+
+
 def slabs(ink: DataFrame, merge: bool = False) -> DataFrame:
     """Runs(keys, y, x0, x1) as slabs(keys, y0, y1, x0, x1), a line each, or with `merge` those of a page that neighbouring lines share; slabs stay."""
     if "y" not in ink.columns:

@@ -440,26 +440,28 @@ _KEPT = """, big AS (SELECT l.* FROM leaves l JOIN b0 ON b0.page_id = l.page_id
 @query(f"{_levels()} SELECT page_id, path, CAST(depth AS INTEGER) AS depth, x0, y0, x1, y1, CAST(ink AS BIGINT) AS ink FROM leaves")
 def cut_rects(spark, d):
     """Leaves of the cut at empty bands."""
-    return cut.xy_cut(runs(spark, d), maps(spark, d), shear=False)
+    return cut.xy_cut(*ink_and_maps(spark, d), shear=False)
 
 
-def whole_maps(spark, d):
-    return maps(spark, d).join(cut.trim(runs(spark, d), "page_id").select("page_id", "ink"), "page_id")
+def ink_and_maps(spark, d):
+    """(slabs of all pages, their maps with the ink that they hold)."""
+    ink = cut.kept(raster.slabs_of_boxes(views.boxes(spark, d)))
+    return ink, cut.trim(ink, "page_id").select("page_id", L(480).alias("w"), L(720).alias("h"), "ink")
 
 
 @query(f"""{_levels()}{_KEPT}, n AS (SELECT page_id, greatest(0, x0 - 1) AS x, greatest(0, y0 - 1) AS y, least(480, x1 + 2) AS r, least(720, y1 + 2) AS b FROM big QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY path) <= 40)
 SELECT page_id, x, y, r - x AS w, b - y AS h FROM n""")
 def cut_panels(spark, d):
     """Panels of the cut at empty bands, without furniture."""
-    m = whole_maps(spark, d)
-    return cut.to_panels(cut.leaf_filter(cut.xy_cut(runs(spark, d), m, shear=False), m), m)
+    ink, m = ink_and_maps(spark, d)
+    return cut.to_panels(cut.leaf_filter(cut.xy_cut(ink, m, shear=False), m), m)
 
 
 @query()
 def segment_pages(spark, d):
     """Runs, recursive cut, slanted bands included, leaf filter, panels, verdicts and reading order; tested against a loop over pages."""
-    m = whole_maps(spark, d)
-    found = cut.to_panels(cut.leaf_filter(cut.xy_cut(runs(spark, d), m), m), m)
+    ink, m = ink_and_maps(spark, d)
+    found = cut.to_panels(cut.leaf_filter(cut.xy_cut(ink, m), m), m)
     verdict = panels.accept(m.withColumnsRenamed({"w": "pw", "h": "ph"}), found)
     return panels.reading_order(found).join(verdict.select("page_id", "accepted", "reason"), "page_id")
 

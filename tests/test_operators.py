@@ -121,6 +121,16 @@ def test_xy_cut_equals_a_loop(spark, shear, drawn):
     assert set(ways) >= ({"slanted col", "slanted row"} if shear else set()) | ({"drawn"} if drawn else set())
 
 
+def test_slabs_of_boxes_hold_the_cells_of_the_runs(spark):
+    r = random.Random(2)
+    boxes = {(p, r.randrange(30), r.randrange(30), r.randrange(1, 12), r.randrange(1, 12)) for p in range(20) for _ in range(r.randrange(1, 6))}
+    v = spark.createDataFrame(sorted(boxes), "page_id long, x int, y int, w int, h int")
+    cells = lambda got: sorted((p, x, y) for p, y0, y1, x0, x1 in got for y in range(y0, y1 + 1) for x in range(x0, x1 + 1))
+    names = ("page_id", "y0", "y1", "x0", "x1")
+    want = cells(rows(raster.slabs(raster.runs_of_boxes(v)).select(*names)))
+    assert cells(rows(raster.slabs_of_boxes(v).select(*names))) == want == cells(rows(raster.slabs(raster.runs_of_boxes(v), True).select(*names)))
+
+
 def test_furniture_is_measured_against_all_ink_of_the_page(spark):
     leaves = spark.createDataFrame([(1, "00", 150, 676, 329, 693, 1900), (1, "01", 14, 14, 465, 653, 90_000)], "page_id long, path string, x0 int, y0 int, x1 int, y1 int, ink long")
     maps = spark.createDataFrame([(1, 480, 720, 100_000)], "page_id long, w int, h int, ink long")
