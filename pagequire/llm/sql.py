@@ -50,9 +50,9 @@ k AS (SELECT o.*, s.perspective, CASE WHEN o.role = 'system' THEN 'system' WHEN
 p AS (SELECT conv_id, perspective, seq, seq // 512 AS block, kind = 'assistant' AS trained,
   '<|' || CASE WHEN kind = 'user' THEN 'user ' || role ELSE kind END || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
   5 + length(CASE WHEN kind = 'user' THEN 'user ' || role ELSE kind END) AS body FROM k),
-q AS (SELECT *, length(piece) AS n, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM p)
+q AS (SELECT *, length(piece) AS n, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, perspective, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, count(*) AS n_turns, string_agg(piece, '' ORDER BY seq) AS text,
-  coalesce(string_agg(CASE WHEN trained THEN CAST(CAST(at + body AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + n - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY seq), '') AS spans,
+  coalesce(string_agg(CASE WHEN trained THEN CAST(CAST(before + body AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(before + n - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY seq), '') AS spans,
   CAST(coalesce(sum(CASE WHEN trained THEN n - 1 - body END), 0) AS BIGINT) AS n_trained
 FROM q GROUP BY conv_id, perspective, block
 """
