@@ -32,10 +32,18 @@ def ring_background(cells: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def local_background(cells: DataFrame, taps: DataFrame, rx: int, ry: int) -> DataFrame:
-    """(tap_id, background, inverted): the upper quartile around taps(tap_id, page_id, tx, ty)."""
-    near = taps.join(cells, "page_id").filter(F.col("x").between(F.col("tx") - rx, F.col("tx") + rx) & F.col("y").between(F.col("ty") - ry, F.col("ty") + ry))
-    q = near.groupBy("tap_id").agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY lum)").cast("int").alias("background"))
-    return q.withColumn("inverted", F.col("background") < 128)
+    """(tap_id, background, inverted): the upper quartile around taps(tap_id, page_id, tx, ty), 255 where there are no cells.
+
+    The box, cut off at 0 and, if taps have the map's w and h, at these, is sampled from its first cell in steps of a
+    32nd of its shorter side.
+    """
+    ends = [F.least(F.col(t) + r, F.col(n) - 1) if n in taps.columns else F.col(t) + r for t, r, n in (("tx", rx, "w"), ("ty", ry, "h"))]
+    box = taps.select("tap_id", "page_id", *[F.greatest(F.lit(0), F.col(t) - r).alias(n) for t, r, n in (("tx", rx, "bx0"), ("ty", ry, "by0"))], ends[0].alias("bx1"), ends[1].alias("by1"))
+    box = box.withColumn("step", F.greatest(F.lit(1), F.floor((F.least(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")) + 1) / 32)))
+    near = box.join(cells, "page_id").filter("x BETWEEN bx0 AND bx1 AND y BETWEEN by0 AND by1 AND (x - bx0) % step = 0 AND (y - by0) % step = 0")
+    q = near.groupBy("tap_id").agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY lum)").cast("int").alias("m"))
+    bg = F.coalesce("m", F.lit(255))
+    return taps.select("tap_id").distinct().join(q, "tap_id", "left").select("tap_id", bg.alias("background"), (bg < 128).alias("inverted"))
 
 
 def subsample(cells: DataFrame, sizes: DataFrame, step: int) -> DataFrame:

@@ -303,6 +303,17 @@ def throttled_steps(spark, d):
     return nav.throttle(views.events(spark, d), 3600.0)
 
 
+@query(f"""WITH e AS (SELECT user_id, ts, 0 AS kind, event_id AS lookup_id, CAST(NULL AS VARCHAR) AS verdict FROM {V5} WHERE kind IN ('tap', 'swipe')
+UNION ALL SELECT user_id, ts, 1, NULL, CASE WHEN k % 3 = 0 THEN 'incorrect' ELSE 'correct' END FROM {V5} WHERE kind = 'page_turn'),
+n AS (SELECT *, coalesce(lead(ts) OVER w - ts <= 7200, FALSE) AS soon, lead(kind) OVER w AS next, lead(verdict) OVER w AS told
+  FROM e WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind, lookup_id, verdict))
+SELECT user_id, lookup_id, CASE WHEN NOT soon THEN 'abandoned' WHEN next = 0 THEN 'superseded' ELSE 'resolved' END AS outcome, CASE WHEN soon THEN told END AS verdict FROM n WHERE kind = 0""")
+def match_verdicts(spark, d):
+    e = views.events(spark, d)
+    told = e.filter("kind = 'page_turn'").withColumn("verdict", F.when(F.col("k") % 3 == 0, "incorrect").otherwise("correct"))
+    return reviews.match_verdicts(e.filter("kind IN ('tap', 'swipe')").withColumnRenamed("event_id", "lookup_id"), told, 7200.0)
+
+
 @query(f"SELECT * FROM {V5} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lead(ts) OVER w IS NULL OR lead(ts) OVER w - ts >= 600")
 def idle_views(spark, d):
     return nav.idle_views(views.events(spark, d), 600.0)

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import cut, panels, reviews
+from ..operators import cut, nav, panels, reviews
 from ..sources.logs import REVIEW
 
 
@@ -47,6 +48,64 @@ def stream_positions(steps: DataFrame, n: int, hold: float = 0.0) -> DataFrame:
     return steps.groupBy("user_id").transformWithStateInPandas(statefulProcessor=_Positions(n, hold), outputStructType="user_id long, event_id long, position int", outputMode="append", timeMode="none")
 
 
+def stream_reading(events: DataFrame, n: int, hold: float = 0.4, sw: float = 480.0) -> DataFrame:
+    """As stream_positions, from streamed events as `nav.gestures` takes them, with user_id, ts in seconds and event_id; only those that turn a panel count."""
+    steps = nav.gestures(events, sw).filter("action = 'step'")
+    return stream_positions(steps.select("user_id", F.col("ts").cast("double").alias("ts"), "event_id", F.col("delta").cast("int").alias("d")), n, hold)
+
+
+class _Pending(StatefulProcessor):
+    """Keeps a user's rows until the watermark makes it sure what came next after each look-up."""
+
+    def __init__(self, within: int):
+        self.within = within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows = handle, handle.getListState("rows", "at long, kind int, lookup_id long, verdict string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for part in rows:
+            new = [(int(a), int(k), int(i), v) for a, k, i, v in zip(part["at"], part["kind"], part["lookup_id"], part["verdict"], strict=True)]
+            self.rows.appendList(new)
+            for at in {r[0] for r in new}:
+                self.handle.registerTimer(at + self.within)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # all rows up to the timer's time have come; look-ups that are `within` older are decided, and what is as old goes
+        now = expiredTimerInfo.getExpiryTimeInMs() - self.within
+        rows = sorted((r for r in self.rows.get()), key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+        out = []
+        for (at, kind, lookup, _), after in zip(rows, [*rows[1:], None], strict=True):
+            if kind == 0 and at <= now:
+                soon = after is not None and after[0] - at <= self.within
+                out.append((key[0], lookup, "abandoned" if not soon else "resolved" if after[1] else "superseded", after[3] if soon else None))
+        left = [tuple(r) for r in rows if r[0] > now]
+        if left:
+            self.rows.put(left)
+        else:
+            self.rows.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "lookup_id", "outcome", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_verdicts(lookups: DataFrame, verdicts: DataFrame, within: float = 120.0, delay: str = "10 seconds") -> DataFrame:
+    """`reviews.match_verdicts` of streamed lookups(user_id long, ts timestamp, lookup_id long) and verdicts(user_id, ts, verdict).
+
+    Rows may come in any order, and either stream may lag, by `delay` of event time; later ones are dropped. A look-up's
+    row comes once the watermark is `within` past it. State: a user's rows of that long. Times count in milliseconds.
+    Needs the RocksDB state store.
+    """
+    asked = lookups.selectExpr("user_id", "ts", "0 AS kind", "lookup_id", "cast(null AS string) AS verdict")
+    told = verdicts.selectExpr("user_id", "ts", "1 AS kind", "0L AS lookup_id", "verdict")
+    rows = asked.unionByName(told).filter("user_id IS NOT NULL AND (kind = 1 OR lookup_id IS NOT NULL)").withWatermark("ts", delay)
+    keyed = rows.withColumn("at", F.unix_millis("ts")).groupBy("user_id")
+    return keyed.transformWithStateInPandas(statefulProcessor=_Pending(int(within * 1000)), outputStructType="user_id long, lookup_id long, outcome string, verdict string", outputMode="append", timeMode="eventTime")
+
+
 def stream_segments(spark: SparkSession, runs: str, out: str, checkpoint: str, w: int = 480, h: int = 720) -> StreamingQuery:
     """Cut the pages whose runs(page_id, y, x0, x1) are added to a folder, each page once; a file holds whole pages."""
 

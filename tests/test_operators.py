@@ -381,6 +381,81 @@ def test_stream_reviews_equals_batch(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(batch)
 
 
+def drained(df, tmp_path):
+    q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rows(df.sparkSession.read.parquet(str(tmp_path / "out")))
+
+
+def test_matched_verdicts_and_their_stream(spark, tmp_path):
+    r = random.Random(8)
+    lookups = [(u, r.randrange(3000), i) for i, u in enumerate([1, 2, 3] * 25)]
+    verdicts = [(r.choice([1, 2, 3]), r.randrange(3000), r.choice("xyz")) for _ in range(40)]
+    want = []
+    for u in (1, 2, 3):
+        pending = None
+        for ts, kind, *rest in sorted([(t, 0, i, "") for w, t, i in lookups if w == u] + [(t, 1, 0, v) for w, t, v in verdicts if w == u]):
+            if pending and (late := ts - pending[0] > 120) | (kind == 0):
+                want.append((u, pending[1], "abandoned" if late else "superseded", None))
+                pending = None
+            if kind == 0:
+                pending = (ts, rest[0])
+            elif pending:
+                want.append((u, pending[1], "resolved", rest[1]))
+                pending = None
+        want += [(u, pending[1], "abandoned", None)] if pending else []
+    key = lambda x: x[:3]
+    asked, told = spark.createDataFrame(lookups, "user_id long, ts long, lookup_id long"), spark.createDataFrame(verdicts, "user_id long, ts long, verdict string")
+    got = sorted(map(tuple, reviews.match_verdicts(asked, told).collect()), key=key)
+    assert got == sorted(want, key=key) and {x[2] for x in got} == {"resolved", "superseded", "abandoned"}
+    assert rows(reviews.match_verdicts(asked.limit(0), told)) == []
+
+    # two files by time each, rows in any order within one; a row far ahead moves the watermark past all others
+    for name, data in (("l", lookups), ("v", verdicts)):
+        (tmp_path / name).mkdir()
+        for part, keep in enumerate((lambda t: t < 1500, lambda t: t >= 1500)):
+            lines = [dict(zip(("user_id", "ts", "lookup_id" if name == "l" else "verdict"), x)) for x in data if keep(x[1])]
+            lines += [{"user_id": 9, "ts": 9000, "lookup_id": 1000}] if name == "l" and part else []
+            (tmp_path / name / f"{part}.json").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    read = lambda name, extra: spark.readStream.schema(f"user_id long, ts long, {extra}").option("maxFilesPerTrigger", 1).json(str(tmp_path / name)).withColumn("ts", F.timestamp_seconds("ts"))
+    out = drained(streams.stream_verdicts(read("l", "lookup_id long"), read("v", "verdict string"), delay="3000 seconds"), tmp_path)
+    assert sorted(out, key=key) == got
+
+
+def test_stream_of_reading_positions(spark, tmp_path):
+    r = random.Random(4)
+    events = [(u, float(i), i, r.choice(["swipe", "tap", "page_turn", "hold"]), float(r.randrange(480)), r.choice(["west", "east", "north"]), 9.0, r.choice([-1, 0, 2]), r.choice(["manga", "comic"]), r.random() < 0.3, r.random() < 0.2) for i, u in enumerate(r.choices([1, 2], k=80))]
+    schema = "user_id long, ts double, event_id long, kind string, x double, direction string, distance double, diff int, mode string, invert boolean, pannable boolean"
+    steps = nav.gestures(spark.createDataFrame(events, schema)).filter("action = 'step'").select("user_id", "ts", "event_id", "delta").collect()
+    want, at, last = [], {}, {}
+    for u, ts, event, d in sorted(tuple(s) for s in steps):
+        if ts - last.get(u, -1e18) >= 3:
+            at[u], last[u] = max(1, min(4, at.get(u, 1) + int(d))), ts
+        want.append((u, event, at[u]))
+    (tmp_path / "in").mkdir()
+    names = [c.split()[0] for c in schema.split(", ")]
+    for part in range(2):
+        (tmp_path / "in" / f"{part}.json").write_text("".join(json.dumps(dict(zip(names, e))) + "\n" for e in events[part * 40 : part * 40 + 40][::-1]))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    assert drained(streams.stream_reading(stream, 4, 3.0), tmp_path) == sorted(want) and len({x[2] for x in want}) > 2
+
+
+def test_local_background(spark):
+    r = random.Random(6)
+    lum = {(x, y): r.randrange(256) for x in range(90) for y in range(100)}
+    taps = [(1, 1, 45, 50), (2, 1, 3, 2), (3, 1, 88, 97), (4, 2, 5, 5)]
+    want = []
+    for t, page, tx, ty in taps:
+        x0, x1, y0, y1 = max(0, tx - 40), min(89, tx + 40), max(0, ty - 35), min(99, ty + 35)
+        step = max(1, min(x1 - x0 + 1, y1 - y0 + 1) // 32)
+        seen = sorted(lum[x, y] for x in range(x0, x1 + 1, step) for y in range(y0, y1 + 1, step)) if page == 1 else [255]
+        bg = seen[math.ceil(len(seen) * 0.75) - 1]
+        want.append((t, bg, bg < 128))
+    cells = spark.createDataFrame([(1, x, y, v) for (x, y), v in lum.items()], "page_id long, x int, y int, lum int")
+    df = spark.createDataFrame([(*t, 90, 100) for t in taps], "tap_id long, page_id long, tx int, ty int, w int, h int")
+    assert rows(raster.local_background(cells, df, 40, 35)) == want
+
+
 def test_stream_segments_equals_batch(spark, tmp_path):
     v = spark.createDataFrame([(p, 20, 20 + 100 * k, 90, 60) for p in range(3) for k in range(p + 1)], "page_id long, x int, y int, w int, h int")
     runs = raster.runs_of_boxes(v)
