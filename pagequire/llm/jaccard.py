@@ -37,6 +37,8 @@ from .words import SPACED, hashed, shingled
 _U = np.uint64
 #: Most texts are the first of their set, so that ids of a smaller bit set would soon tell none apart; 8 MB.
 FIRST_BITS = 26
+#: Into so many parts a frequent shingle's group is split.
+SALTS = 64
 #: So many names of sets are kept in a task before they are forgotten.
 SEEN = 500_000
 #: Texts that are hashed, and pairs that are compared, at a time.
@@ -132,7 +134,7 @@ class _Scan:
 
 
 def _prefixes(scan: _Scan, first: DataFrame, num: int, den: int, late: np.ndarray) -> DataFrame:
-    """(t, s, n): the first shingles of each set; `late`: those that come last in the order, in that order.
+    """(t, s, n, hot): the first shingles of each set; `late`: those that come last in the order, in that order, told by hot.
 
     Texts are read by the ids in `first(s, first)`, told by a bit set, and a task hands on each set once: of copies that
     are many, few reach the shuffle. While ids are dense and fewer than 2**FIRST_BITS, none do.
@@ -142,30 +144,41 @@ def _prefixes(scan: _Scan, first: DataFrame, num: int, den: int, late: np.ndarra
 
     def make(names: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
         known, order = shared.value, rank.value
-        firsts = []
+        firsts, last = [], []
         for values in arrays:
             need = values.size - -(-num * values.size // den) + 1
+            early = values.size
             if known.size:
                 at = np.minimum(np.searchsorted(known, values), known.size - 1)
                 hot = known[at] == values
                 behind = values[hot][np.argsort(order[at[hot]], kind="stable")]
                 values = np.concatenate([values[~hot], behind])
+                early -= behind.size
             firsts.append(values[:need])
+            last.append(np.arange(need) >= early)
         count = [f.size for f in firsts]
         sizes = np.array([a.size for a in arrays], np.int32)
-        return pa.record_batch({"t": pa.array(np.concatenate(firsts).view(np.int64)), "s": pa.array(np.repeat(np.array(names, np.int64), count)), "n": pa.array(np.repeat(sizes, count))})
+        return pa.record_batch({"t": pa.array(np.concatenate(firsts).view(np.int64)), "s": pa.array(np.repeat(np.array(names, np.int64), count)), "n": pa.array(np.repeat(sizes, count)), "hot": pa.array(np.concatenate(last))})
 
-    return scan.over(first, FIRST_BITS, make, "t long, s long, n int", True)
+    return scan.over(first, FIRST_BITS, make, "t long, s long, n int, hot boolean", True)
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
-    """(g, s, n, w): the distinct groups of two sets or more, each named by its members, in a way that no group is too large for; w: how many shingles have this group."""
-    by = Window.partitionBy("t")
-    # one shuffle and one sort by shingle serve all of this
-    dealt = prefixes.repartition("t").withColumn("before", F.lag("s").over(by.orderBy("s"))).filter("before IS NULL OR before <> s")
-    shared = dealt.withColumn("c", F.count("*").over(by)).filter("c > 1")
-    named = shared.withColumn("g", F.xxhash64(F.bit_xor(F.xxhash64("s")).over(by), F.bit_xor(F.xxhash64(F.lit(7), "s")).over(by), "c"))
-    return named.groupBy("g", "s").agg(F.first("n").alias("n"), F.count("*").alias("w"))
+    """(g, s, n, w): the distinct groups of two sets or more, each named by its members, in a way that no group is too large for; w: how many shingles have this group.
+
+    A group of a late shingle is split by set, so that no task gets all of it; what names it is put together from
+    partial aggregates, of which there are as many as late shingles at most, so they are broadcast.
+    """
+    members = F.bit_xor(F.xxhash64("s")), F.bit_xor(F.xxhash64(F.lit(7), "s")), F.count("*")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(9), "s"), F.lit(SALTS))).otherwise(-1).cast("int")
+    by = Window.partitionBy("t", "salt")
+    # one shuffle and one sort serve all of this
+    dealt = prefixes.withColumn("salt", salt).repartition("t", "salt").withColumn("before", F.lag("s").over(by.orderBy("s"))).filter("before IS NULL OR before <> s")
+    shared = dealt.withColumn("c", F.count("*").over(by)).filter("c > 1 OR hot")
+    named = cut(shared.select(F.when(F.col("hot"), F.col("t")).alias("t"), "s", "n", F.when(~F.col("hot"), F.xxhash64(*[m.over(by) for m in members])).alias("g")))
+    late = named.filter("t IS NOT NULL").groupBy("t").agg(F.xxhash64(*members).alias("late"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    full = named.join(F.broadcast(late), "t", "left").withColumn("g", F.coalesce("g", "late")).filter("g IS NOT NULL")
+    return full.groupBy("g", "s").agg(F.first("n").alias("n"), F.count("*").alias("w"))
 
 
 def _drawn(scan: _Scan, first: DataFrame, sets: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
