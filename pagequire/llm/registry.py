@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licences, linkgraph, mixing, sql, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, language, licences, linkgraph, manifest, mixing, repair, sql, topk, toxicity, warc
 from .store import cut, shared_dir
 
 
@@ -103,6 +103,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("times", F.lit(0)).alias("times"), F.coalesce(places, F.lit("")).alias("places"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and whether the leaf still leads to the root after some rows were tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    enters = {c: manifest.field(F.col(c)) for c in names}
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = manifest.digest([manifest.field(F.col("n_chars").cast("decimal(20,0)") + 1) if c == "n_chars" else enters[c] for c in names])
+    leaves = docs.select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), manifest.digest(list(enters.values())).alias("leaf"), F.when(changed & F.col("n_chars").isNotNull(), tampered).alias("tampered"))
+    placed = manifest.manifest(leaves)
+    folded = manifest.fold(F.col("path"), F.coalesce("tampered", "leaf"))
+    told = placed.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of which some are dropped, emptied, without sentence ends, repeated or a user's; nulls in role and text are one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind, text = F.crc32(key) % 20, F.coalesce("text", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, the cheapest repair and a digest of what it gives."""
+    turns = table(spark, sf_dir, "conversations")
+    told, rows = repair.repair(damaged(turns))
+    g = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("g")
+    every = turns.select("conv_id", g).distinct().join(told.drop("conv_id"), "g", "left").join(repair.digests(rows), "g", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -69,10 +69,82 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_di
 FROM m JOIN d USING (sha)
 """
 
+#: Entry b + 1 of the table is what byte b does to a CRC-32; crc32 is a list_reduce over the bytes of ASCII text.
+_CRC_TABLE = "(SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])), 4294967295)"
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', '{n}', 'text'))})"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Levels (g, k, i, n, h) of the binary trees over `nodes` (g, i from 0, n, h), until one node is left in each group."""
+    return f"""{name} AS (SELECT g, 0 AS k, i, n, h FROM {nodes} UNION ALL
+  SELECT g, any_value(k) + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, i // 2)"""
+
+
+def _beside(name: str) -> str:
+    """A path's entries of a tree: the level, the side on which the sibling is, and the sibling, if any."""
+    return f"(SELECT a.g, a.i AS leaf, b.k, CASE WHEN (a.i >> b.k) % 2 = 1 THEN 'L' ELSE 'R' END AS side, coalesce(c.h, '') AS h FROM {name} a JOIN {name} b ON a.g = b.g AND a.k = 0 AND b.i = a.i >> b.k AND b.n > 1 LEFT JOIN {name} c ON c.g = b.g AND c.k = b.k AND c.i = xor(b.i, 1))"
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(n="n_chars")} AS leaf, CASE WHEN n_chars IS NOT NULL AND {_CRC.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_LEAF.format(n="(CAST(n_chars AS HUGEINT) + 1)")} END AS tampered FROM documents, {_CRC_TABLE}),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM d),
+{_tree("t", "l")},
+s AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h, g AS lang FROM t WHERE n = 1),
+{_tree("u", "s")},
+p AS (SELECT g, leaf, list(side || h ORDER BY k) AS path FROM {_beside("t")} GROUP BY ALL),
+q AS (SELECT leaf, list(side || h ORDER BY k) AS path FROM {_beside("u")} GROUP BY ALL),
+w AS (SELECT l.doc_id, l.leaf, coalesce(l.tampered, l.leaf) AS given, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path
+  FROM l JOIN s ON s.lang = l.g LEFT JOIN p ON p.g = l.g AND p.leaf = l.i LEFT JOIN q ON q.leaf = s.i),
+f AS (SELECT *, list_reduce(list_prepend(given, path), lambda h, x: CASE WHEN x[1] = 'L' THEN sha256(x[2:] || h) ELSE sha256(h || x[2:]) END) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(path, lambda x: x[2:])), 'string_agg', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+
+def _lattice() -> str:
+    """Rows (q, edits, initial, kept, q2, cost) of what may be inserted before a row and done with it, from state to state."""
+    then, out = {0: 2, 1: 2, 2: 3, 3: 2}, []
+    for q in range(4):
+        for k in range(3):
+            at = q
+            for _ in range(k):
+                at = then[at]
+            out += [(q, "I" * k + "D", "*", 0, at, 5 * k + 2), (q, "I" * k + "R", "*", 1, then[at], 5 * k + 1), (q, "I" * k + "K", "ua"[then[at] - 2], 1, then[at], 5 * k)]
+            out += [(q, "I" * k + "K", "s", 1, 1, 5 * k)] * (at == 0)
+            out += [(q, "I" * k, "$", 0, at, 5 * k)]
+    return f"(SELECT * FROM (VALUES {', '.join(map(str, out))}) m(q, e, needs, stays, q2, w))"
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+REPAIR = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT *, {_CRC.format("key")} % 20 AS kind FROM c, {_CRC_TABLE}),
+h AS (SELECT coalesce('=' || CAST(conv_id AS VARCHAR), '') AS g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h),
+x AS MATERIALIZED (SELECT *, role[1] AS c, CASE WHEN regexp_replace(text, '{_SPACE}', '', 'g') = '' THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN right(regexp_replace(text, '{_SPACE}', '', 'g'), 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS f, lag(role[1]) OVER (PARTITION BY g ORDER BY i) || role[1] AS two FROM o),
+m AS MATERIALIZED {_lattice()},
+dp AS (SELECT DISTINCT g, 0 AS i, 0 AS q, {{'cost': 0, 'audit': ''}} AS best FROM x UNION ALL
+  SELECT g, any_value(i) + 1, q2, min({{'cost': best.cost + w + CASE WHEN stays = 1 AND f = 't' THEN 5 ELSE 0 END, 'audit': best.audit || e}}) FROM (SELECT dp.*, x.c, x.f FROM dp JOIN x ON x.g = dp.g AND x.i = dp.i) d JOIN m ON m.q = d.q AND (needs = '*' OR needs = c) AND (stays = 0 OR f IN ('k', 't')) WHERE needs <> '$' GROUP BY g, q2),
+a AS (SELECT dp.g, min({{'cost': best.cost + w, 'audit': best.audit || e}}) AS best FROM dp JOIN (SELECT DISTINCT g, n FROM x) z ON z.g = dp.g AND z.n = dp.i JOIN m ON m.q = dp.q AND needs = '$' AND (q2 = 3 OR q2 = 0) GROUP BY 1),
+l AS (SELECT g, unnest(string_split(best.audit, '')) AS e, generate_subscripts(string_split(best.audit, ''), 1) AS p FROM a WHERE best.audit <> ''),
+r AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER w - 1 AS i, sum(CASE WHEN e = 'D' THEN 0 ELSE 1 END) OVER w - 1 AS j, sum(CASE WHEN e = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY g) % 2 AS s FROM l WINDOW w AS (PARTITION BY g ORDER BY p)),
+t AS (SELECT r.g, sha256(string_agg(CASE WHEN e = 'K' THEN x.role WHEN (j - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE x.text END, chr(10) ORDER BY p)) AS sha FROM r LEFT JOIN x ON x.g = r.g AND x.i = r.i WHERE e <> 'D' GROUP BY 1),
+y AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 'b') AS blank, count_if(f = 'd') AS duplicate, count_if(f = 't') AS truncated, count_if(two NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY 1)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '') AS g FROM conversations) v LEFT JOIN y USING (g) LEFT JOIN a USING (g) LEFT JOIN t USING (g)
+"""
+
 ORACLES = {
     "op2_ngram_jaccard": JACCARD,
     "op3_topk_threshold": TOPK,
     "op4_decontamination": DECONTAMINATION,
     "op5_perspective_rotation": ROTATION,
     "op7_warc_round_trip": WARC,
+    "op11_merkle_manifest": MANIFEST,
+    "op12_conversation_repair": REPAIR,
 }
