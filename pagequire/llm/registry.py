@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licences, linkgraph, manifest, mixing, repair, sql, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, language, licences, linkgraph, manifest, mixing, pieces, repair, sql, topk, toxicity, warc
 from .store import cut, shared_dir
 
 
@@ -137,6 +137,22 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+#: Where the vocabulary file of op13 is; `public_tokenizers` knows, and the file is never copied.
+PIECES = "piece_bpe_32k.model"
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every document's tokens, and what they decode to, as digests."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path(PIECES)
+    docs = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    told = pieces.decode(docs, model)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
