@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import box, contains
+from .ordered import laid, neighbours
 
 
 def accept(pages: DataFrame, panels: DataFrame, one: float = 0.6, bounds: float = 0.4, kept: float = 0.5) -> DataFrame:
@@ -68,10 +69,13 @@ def uncovered(points: DataFrame, panels: DataFrame) -> DataFrame:
 
 
 def panel_sequence(pages: DataFrame, panels: DataFrame) -> DataFrame:
-    """Each panel(page_id, panel_idx) with the next and the last one of its doc, over page ends; a page without panels is a stop of its own."""
+    """Each panel(page_id, panel_idx) with the next and the last one of its doc, over page ends; a page without panels is a stop of its own.
+
+    Stops are dealt by ranges of doc and page, and ranges exchange the rows at their ends, so a doc may be of any length.
+    """
     stops = pages.select("doc", "page_id").join(panels.select("page_id", "panel_idx"), "page_id", "left")
-    w = Window.partitionBy("doc").orderBy("page_id", F.col("panel_idx").asc_nulls_first())
-    return stops.select("doc", "page_id", "panel_idx", *[f(c).over(w).alias(n + c) for n, f in (("next_", F.lead), ("prev_", F.lag)) for c in ("page_id", "panel_idx")])
+    beside = [{n + c: c for c in ("page_id", "panel_idx")} for n in ("prev_", "next_")]
+    return neighbours(laid(stops, ["doc"], ["page_id", "panel_idx"]), ["doc"], *beside).select("doc", "page_id", "panel_idx", *beside[1], *beside[0])
 
 
 def dispatch(detector: str, verdicts: DataFrame, panels: DataFrame, fallback: DataFrame | None = None) -> DataFrame:

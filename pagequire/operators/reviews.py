@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import overlap
+from .ordered import laid, neighbours
 
 #: The classes in the order of the summary.
 CLASSES = ("correct", "engine_miss", "box_bug", "total_miss_no_box", "total_miss_no_word", "unclassified")
@@ -59,15 +60,16 @@ def match_verdicts(lookups: DataFrame, verdicts: DataFrame, within: float = 120.
 
     A user has one look-up pending, the latest. The next of verdicts(user_id, ts, verdict) ends it as resolved, a newer
     look-up as superseded, and after `within` seconds it is abandoned. What comes next thus decides alone; of equal times,
-    look-ups go first, by id, then verdicts, by text. Rows without a time or user take no part.
+    look-ups go first, by id, then verdicts, by text. Rows without a time or user take no part. Ranges of user and time
+    exchange the rows at their ends, so a user may have any number of rows.
     """
     asked = lookups.select("user_id", F.col("ts").cast("double").alias("ts"), F.lit(0).alias("kind"), "lookup_id", F.lit(None).cast("string").alias("verdict"))
     told = verdicts.select("user_id", F.col("ts").cast("double").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast(lookups.schema["lookup_id"].dataType).alias("lookup_id"), F.col("verdict").cast("string").alias("verdict"))
-    order = Window.partitionBy("user_id").orderBy("ts", "kind", "lookup_id", "verdict")
-    rows = asked.unionByName(told).filter("user_id IS NOT NULL AND ts IS NOT NULL").withColumn("next", F.lead(F.struct("ts", "kind", "verdict")).over(order)).filter("kind = 0")
-    soon = F.coalesce(F.col("next.ts") - F.col("ts") <= within, F.lit(False))
-    outcome = F.when(~soon, "abandoned").when(F.col("next.kind") == 0, "superseded").otherwise("resolved")
-    return rows.select("user_id", "lookup_id", outcome.alias("outcome"), F.when(soon, F.col("next.verdict")).alias("verdict"))
+    rows = laid(asked.unionByName(told).filter("user_id IS NOT NULL AND ts IS NOT NULL"), ["user_id"], ["ts", "kind", "lookup_id", "verdict"])
+    rows = neighbours(rows, ["user_id"], after={f"next_{c}": c for c in ("ts", "kind", "verdict")}).filter("kind = 0")
+    soon = F.coalesce(F.col("next_ts") - F.col("ts") <= within, F.lit(False))
+    outcome = F.when(~soon, "abandoned").when(F.col("next_kind") == 0, "superseded").otherwise("resolved")
+    return rows.select("user_id", "lookup_id", outcome.alias("outcome"), F.when(soon, F.col("next_verdict")).alias("verdict"))
 
 
 def report_json(rows: DataFrame) -> DataFrame:

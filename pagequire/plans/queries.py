@@ -297,6 +297,21 @@ def reading_positions(spark, d):
     return nav.final_positions(views.events(spark, d).filter("k IS NOT NULL").selectExpr("user_id", "ts", "event_id", "k % 5 - 2 AS d"), 20)
 
 
+@query(f"""WITH l AS (SELECT user_id, list(CAST(k % 5 - 2 AS BIGINT) ORDER BY ts, event_id) AS d, list(event_id ORDER BY ts, event_id) AS e FROM {V5} WHERE k IS NOT NULL GROUP BY user_id)
+SELECT user_id, e[i] AS event_id, CAST(list_reduce(list_prepend(1, d[1:i]), lambda p, q: least(20, greatest(1, p + q))) AS INTEGER) AS position FROM (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM l)""")
+def position_steps(spark, d):
+    steps = views.events(spark, d).filter("k IS NOT NULL").selectExpr("user_id", "ts", "event_id", "k % 5 - 2 AS d")
+    return nav.positions(steps, 20).select("user_id", "event_id", "position")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {V5}),
+a AS (SELECT user_id, event_id, ts AS at, i, TRUE AS accepted FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, CASE WHEN e.ts - a.at < 3600 THEN a.at ELSE e.ts END, e.i, NOT e.ts - a.at < 3600 FROM a JOIN e ON e.user_id = a.user_id AND e.i = a.i + 1)
+SELECT user_id, event_id, accepted FROM a""")
+def accepted_steps(spark, d):
+    return nav.accepted_steps(views.events(spark, d).select("user_id", "ts", "event_id"), 3600.0).select("user_id", "event_id", "accepted")
+
+
 @query(f"""SELECT user_id, CAST(list_reduce(list_prepend({{'at': CAST(-1e18 AS DOUBLE), 'n': 0}}, list({{'at': ts, 'n': 0}} ORDER BY ts, event_id)), lambda p, q: CASE WHEN q.at - p.at < 3600 THEN p ELSE {{'at': q.at, 'n': p.n + 1}} END).n AS INTEGER) AS n_accepted
 FROM {V5} GROUP BY user_id""")
 def throttled_steps(spark, d):

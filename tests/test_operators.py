@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequire.functions import text
-from pagequire.operators import cut, geometry, nav, panels, raster, reviews, settings, words
+from pagequire.operators import cut, geometry, nav, ordered, panels, raster, reviews, settings, words
 from pagequire.sources import logs
 from pagequire.streaming import streams
 
@@ -347,6 +347,105 @@ def test_no_row_holds_a_user_history(spark, monkeypatch):
     assert len(kept) == len(at) == 4
 
 
+@pytest.fixture
+def small_parts(spark):
+    """Many ranges and small batches, as a large table has them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled"):
+        spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 300])
+def test_running_values_and_neighbours_over_ranges(spark, small_parts, n):
+    r = random.Random(n)
+    data = [(r.choice(["a", None, *["hot"] * 5, "x", "y"]), r.choice(["p", None]), r.choice([None, 0, 1, 2]), i, r.randint(-3, 3)) for i in range(n)]
+    laid = ordered.laid(spark.createDataFrame(data, "u string, w string, t int, i int, v long"), ["u", "w"], ["t", "i"])
+    got = ordered.running(ordered.numbered(laid, ["u", "w"], "no"), ["u", "w"], ["v"], ordered.SUM, ["sum"])
+    got = ordered.neighbours(got, ["u", "w"], {"pi": "i", "pt": "t"}, {"ni": "i"}).select("i", "no", "sum", "pi", "pt", "ni").collect()
+    want, groups = [], {}
+    for x in data:
+        groups.setdefault(x[:2], []).append(x)
+    for xs in groups.values():
+        xs.sort(key=lambda x: (x[2] is not None, x[2] or 0, x[3]))
+        for j, x in enumerate(xs):
+            before, after = xs[j - 1] if j else (None,) * 5, xs[j + 1] if j + 1 < len(xs) else (None,) * 5
+            want.append((x[3], j, sum(y[4] for y in xs[: j + 1]), before[3], before[2], after[3]))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_user_with_most_events_is_in_many_tasks(spark, small_parts):
+    """Positions, accepted steps, views, sessions and verdicts of each event, against loops; one user has two thirds of all events."""
+    r = random.Random(6)
+    ev = [(u, r.choice([None, *[r.randrange(900) / 10] * 9]), i, r.choice([-2, -1, 1, 2, None])) for i, u in enumerate([7] * 500 + [1, 2, None] * 70)]
+    df = spark.createDataFrame(ev, "user_id long, ts double, event_id long, d int").repartition(3)
+    parts = {row["part_"] for row in ordered.laid(df, ["user_id"], ["ts", "event_id"]).filter("user_id = 7").select("part_").collect()}
+    assert len(parts) >= 5
+    spans = ordered.laid(df, ["user_id"], ["ts", "event_id"]).groupBy("part_").count().collect()
+    assert max(x["count"] for x in spans) < 300
+    at = {x["event_id"]: x["position"] for x in nav.positions(df, 5).collect()}
+    took = {x["event_id"]: x["accepted"] for x in nav.accepted_steps(df).collect()}
+    count, final = dict(nav.throttle(df).collect()), dict(nav.final_positions(df, 5).collect())
+    seen = {x["event_id"] for x in nav.idle_views(df.filter("ts IS NOT NULL"), 0.25).collect()}
+    assert len(at) == len(took) == len(ev)
+    for u in (7, 1, 2, None):
+        own = sorted((e for e in ev if e[0] == u), key=lambda e: (e[1] is not None, e[1] or 0, e[2]))
+        last, k, p = -1e18, 0, 1
+        for _, ts, i, d in own:
+            accepted = ts is not None and ts - last >= 0.4
+            last, k = (ts, k + 1) if accepted else (last, k)
+            p = 1 if d is None else max(1, min(5, p + d))
+            assert (took[i], at[i]) == (accepted, p)
+        assert (count[u], final[u]) == (k, p)
+        timed = [e for e in own if e[1] is not None]
+        assert {e[2] for e in timed} & seen == {e[2] for e, f in zip(timed, [*timed[1:], None], strict=True) if f is None or f[1] - e[1] >= 0.25}
+
+
+def test_sessions_of_a_hot_user_equal_a_loop(spark, small_parts):
+    r = random.Random(2)
+    ev = [(u, r.randrange(3000), i) for i, u in enumerate([7] * 300 + [1, 2] * 40 + [3, None, None])]
+    got = rows(nav.sessions(spark.createDataFrame(ev, "user_id long, ts long, event_id long"), 20).fillna(-1, ["user_id"]))
+    want = []
+    for u in (7, 1, 2, 3, None):
+        ts = sorted(e[1] for e in ev if e[0] == u)
+        gaps = sorted(b - a for a, b in zip(ts, ts[1:], strict=False))
+        mid = (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2 if gaps else 0
+        t = max(2, min(max(3, int(mid * 1.6)), 30) if len(gaps) >= 2 else 10)
+        runs = [[ts[0]]]
+        for a, b in zip(ts, ts[1:], strict=False):
+            if b - a >= t:
+                runs.append([])
+            runs[-1].append(b)
+        want += [(-1 if u is None else u, k, run[0], run[-1], len(run)) for k, run in enumerate(runs)]
+    assert got == sorted(want)
+
+
+def test_throttle_tables_compose(spark, small_parts):
+    """Many steps within one hold, equal times, and a hold that no part is as long as."""
+    r = random.Random(9)
+    for hold in (0.0, 0.3, 7.0, 1e6):
+        ev = [(1, r.choice([0.1, 0.2, 0.3]) * r.randrange(60), i) for i in range(220)]
+        df = spark.createDataFrame(ev, "user_id long, ts double, event_id long")
+        last, k = -1e18, 0
+        for _, ts, _ in sorted(ev, key=lambda e: e[1:]):
+            last, k = (last, k) if ts - last < hold else (ts, k + 1)
+        assert rows(nav.throttle(df, hold)) == [(1, k)]
+        assert nav.accepted_steps(df, hold).filter("accepted").count() == k
+
+
+def test_panel_sequence_over_ranges(spark, small_parts):
+    stops = [("d" if i < 60 else None, i, j) for i in range(80) for j in range(1, 1 + i % 4)]
+    pages = spark.createDataFrame([("d" if i < 60 else None, i) for i in range(80)], "doc string, page_id long")
+    got = panels.panel_sequence(pages, spark.createDataFrame([s[1:] for s in stops], "page_id long, panel_idx int")).collect()
+    full = sorted([*((i, j) for _, i, j in stops), *((i, None) for i in range(0, 80, 4))], key=lambda s: (s[0], s[1] or 0))
+    for xs in (full[: [i for i, _ in full].index(60)], full[[i for i, _ in full].index(60) :]):
+        for a, s, b in zip([(None, None), *xs], xs, [*xs[1:], (None, None)], strict=False):
+            assert [(*x[3:5], *x[5:7]) for x in got if tuple(x[1:3]) == s] == [(*b, *a)]
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"verdict": "correct", "document": "a\\/b", "tap": {"x": 1, "y": 2}}\n\n{broken\n')
     good, bad = logs.read_review_log(spark, str(tmp_path / "r.jsonl"))
