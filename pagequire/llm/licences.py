@@ -82,9 +82,16 @@ def _rarest(split: DataFrame, templates: Sequence[Template], rare: int) -> dict[
     return {w: n / (1 + found.get(w, 0)) for w in vocabulary}
 
 
-def _begins(hits: Column, word: str, places: Sequence[int]) -> Column:
-    """Where a template would begin for each place of one of its words in the text."""
-    return F.flatten(F.transform(F.filter(hits, lambda h: h.w == word), lambda h: F.array(*[h.at - i for i in places])))
+def _begins(hits: Column, filed: dict[str, Sequence[int]]) -> Column:
+    """Where a template would begin by its filed words, in order: {word: its places in the template}, in one pass over the hits."""
+
+    def places(h: Column) -> Column:
+        at = F.when(F.lit(False), F.array(h.at))
+        for word, own in filed.items():
+            at = at.when(h.w == word, F.array(*[h.at - i for i in own]))
+        return at
+
+    return F.array_sort(F.filter(F.flatten(F.transform(F.filter(hits, lambda h: h.w.isin(list(filed))), places)), lambda s: s >= 0))
 
 
 def _stands(w: Column, at: int, phrase: Sequence[str]) -> Callable[[Column], Column]:
@@ -98,7 +105,8 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + LICENCES, rare:
     rare: words under which a template is filed, its rarest. n_base: places of base phrases; first_word and last_word:
     the smallest and largest of them, from 0, else null; base_labels and labels: distinct, sorted, comma-joined; score:
     1 with a base phrase, else the largest share of a found template's words that stand where it puts them, else 0.
-    Null and empty texts have no words. Every row is judged on its own, whatever its length, without a shuffle; columns
+    Null and empty texts have no words. Every row is judged on its own without a shuffle, in time that grows with its
+    length (by a sort of the places that templates may begin at); columns
     of the result's names are replaced, all others stay, and an empty table gives an empty one.
     """
     new = ("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -112,23 +120,22 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + LICENCES, rare:
     hits = F.filter(F.transform("w", lambda w, i: F.when(w.isin(keys), F.struct(w.alias("w"), i.cast("long").alias("at")))), lambda x: x.isNotNull())
     rows = rows.withColumn("hits", hits)
 
-    def starts(t: Template) -> Column:
-        """Where the template would begin, by each filed word; then those on which enough agree and whose key phrases stand there."""
-        by = [_begins(F.col("hits"), w, [i for i, x in enumerate(t.words) if x == w]) for w in filed[t]]
-        every = F.filter(F.concat(*by), lambda s: s >= 0)
-        places = F.array_distinct(every)
-        if t.least > 1:
-            places = F.filter(places, lambda s: F.size(F.filter(every, lambda x: x == s)) >= t.least)
-        for at, phrase in t.key:
-            places = F.filter(places, _stands(F.col("w"), at, phrase))
-        return places
-
     empty = F.expr("cast(array() as array<bigint>)")
     some = F.size("hits") > 0
     bases = [t for t in templates if t.base]
     others = [t for t in templates if not t.base]
-    for i, t in enumerate([*bases, *others]):
-        rows = rows.withColumn(f"s{i}", F.when(some, starts(t)).otherwise(empty))
+    every = [*bases, *others]
+    rows = rows.withColumns({f"b{i}": F.when(some, _begins(F.col("hits"), {w: [j for j, x in enumerate(t.words) if x == w] for w in filed[t]})).otherwise(empty) for i, t in enumerate(every)})
+
+    def starts(i: int, t: Template) -> Column:
+        """Beginnings on which enough words agree, as equal ones are neighbours now, and where the key phrases stand."""
+        agree = F.zip_with(f"b{i}", F.slice(f"b{i}", t.least, F.size(f"b{i}")), lambda a, b: F.when(a == b, a))
+        places = F.array_distinct(F.array_compact(agree))
+        for at, phrase in t.key:
+            places = F.filter(places, _stands(F.col("w"), at, phrase))
+        return places
+
+    rows = rows.withColumns({f"s{i}": F.when(F.size(f"b{i}") > 0, starts(i, t)).otherwise(empty) for i, t in enumerate(every)})
     base_at = F.concat(*[F.col(f"s{i}") for i in range(len(bases))]) if bases else empty
 
     def share(i: int, t: Template) -> Column:
