@@ -147,16 +147,17 @@ def records(file: io.BufferedIOBase) -> Iterator[Record]:
         yield Record(headers, http, payload)
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16 << 20, few: int = 100_000) -> None:
-    """Write `pages(page_id, url, html)` as WARC archives into `folder`, each of at most about archive_bytes of payload.
+def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16 << 20, few: int = 100_000, date: str = "2000-01-01T00:00:00Z") -> None:
+    """Write `pages(page_id, url, html)` as WARC archives into `folder`, each of less than archive_bytes before its last record.
 
     The payload is the html in UTF-8, empty where it is null. Of the rows with equal payloads of at least `least` bytes,
     one with the largest page_id (null lowest; of equal rows any one) becomes a response and the others revisit it; rows
     with smaller payloads are all responses. A null url leaves out the target, a null page_id is written as 'none'.
     Archives go through Spark's text writer, so any file system that Spark knows will do, and a lost task is repeated as
-    a whole: a line is a member without its last byte, a zero for members under 16 MiB, and lines end with a zero byte;
-    longer members keep their last byte, and the zero after them is padding, which gzip readers skip. few: up to so many
-    groups of equal payloads (about 10 MB) are broadcast.
+    a whole: a line is an archive without its last byte if that is zero, as it is after members under 16 MiB, and lines
+    end with a zero byte; after others it is padding, which gzip readers skip. A file has one line. few: up to so many
+    groups of equal payloads (about 10 MB) are broadcast. date: when the pages were captured, the same for all, so that
+    reruns agree. Other columns of `pages` are left out; an empty table gives a folder without archives.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha", F.sha1("html"))
@@ -164,7 +165,6 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16
     lowest = F.coalesce("page_id", F.lit(-(1 << 63)))
     best = ids.groupBy("sha").agg(F.max(F.struct(lowest.alias("k"), "page_id")).alias("m"), F.sum("c").alias("n")).filter("n > 1").select("sha", F.col("m.page_id").alias("first"))
     ties = ids.filter("c > 1").select(F.col("sha").alias("tsha"), F.col("page_id").alias("tid"))
-    n, total = rows.agg(F.count("*"), F.sum("size")).first()
     # few groups of equal payloads spare the shuffle of all payloads; many are joined by it
     best, ties = (F.broadcast(t) if t.count() <= few else t for t in (cut(best), cut(ties)))
     marked = rows.join(best, "sha", "left").join(ties, (F.col("sha") == F.col("tsha")) & F.col("page_id").eqNullSafe(F.col("tid")), "left")
@@ -175,24 +175,32 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = 16
     out = every.select("page_id", "url", "html", "sha", response.alias("response"), F.coalesce("first", "page_id").alias("first"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, size = [], 0
+
+        def line() -> pa.RecordBatch:
+            whole = b"".join(archive)
+            return pa.record_batch({"line": pa.array([whole[:-1] if whole[-1] == 0 else whole], pa.binary())})
+
         for b in batches:
-            lines = []
             for page, url, html, sha, full, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 digest = "sha1:" + base64.b32encode(bytes.fromhex(sha)).decode()
                 name = lambda p: f"<urn:page:{'none' if p is None else p}>"
-                head = [("WARC-Type", "response" if full else "revisit"), ("WARC-Record-ID", name(page)), ("WARC-Payload-Digest", digest)]
+                head = [("WARC-Type", "response" if full else "revisit"), ("WARC-Record-ID", name(page)), ("WARC-Date", date), ("WARC-Payload-Digest", digest)]
                 if url is not None:
                     head.append(("WARC-Target-URI", " ".join(url.split())))
                 if not full:
                     head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", name(first))]
                 http = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(html)))]
-                m = member(head, http, html if full else b"")
-                lines.append(m[:-1] if m[-1] == 0 else m)
-            yield pa.record_batch({"line": pa.array(lines, pa.binary())})
+                archive.append(member(head, http, html if full else b""))
+                size += len(archive[-1])
+                if size >= archive_bytes:
+                    yield line()
+                    archive, size = [], 0
+        if archive:
+            yield line()
 
     lines = out.withColumn("html", F.col("html").cast("binary")).mapInArrow(build, "line binary").select(F.col("line").cast("string").alias("value"))
-    limit = max(1, archive_bytes * n // max(1, total or 0))
-    lines.write.mode("errorifexists").option("lineSep", "\0").option("maxRecordsPerFile", limit).text(folder)
+    lines.write.mode("errorifexists").option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
