@@ -486,9 +486,10 @@ class _Tiled:
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int = 8, late: int = 200_000, tile: int = 1024, bits: int = 64) -> DataFrame:
-    """(id, n_shingles, component) for each row of `docs(id long, text)` with a non-null id.
+    """(id, n_shingles, component) for each row of `docs(id long, text)`.
 
-    Texts link if the Jaccard similarity of their sets of k-word shingles is at least num / den; component is the
+    Rows without an id link like others, by numbers above all ids (which leave room for these below 2**63); where no id is
+    reached, component is null too. Texts link if the Jaccard similarity of their sets of k-word shingles is at least num / den; component is the
     smallest id that links reach. Texts without words, and null ones, have the empty set and link to nothing. Repeated
     ids give a row each; an empty table gives an empty one. late: shingles that are put last in the order; they only
     change how much work there is, not the result. pivots: of each group's band in the first round, which only spares
@@ -497,6 +498,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int =
     unless two share it.
     """
     docs = docs.select("id", "text")
+    lost = docs.filter("id IS NULL")
+    if not lost.isEmpty():
+        top = docs.agg(F.max("id")).first()[0] or 0
+        lost = cut(lost.withColumn("id", F.lit(top + 1).cast("long") + F.monotonically_increasing_id()))
+        got = join(docs.filter("id IS NOT NULL").unionByName(lost), k, num, den, pivots, late, tile, bits)
+        return got.select(F.when(F.col("id") <= top, F.col("id")).alias("id"), "n_shingles", F.when(F.col("component") <= top, F.col("component")).alias("component"))
     modest_batches(docs.sparkSession)
     seen = cut(described(docs, k, bits=bits))
     hot = seen.filter("id IS NULL").groupBy("set").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "set").limit(late).toPandas()
