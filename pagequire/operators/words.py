@@ -1,4 +1,4 @@
-"""Word boxes under taps, for a whole table of taps at a time, from the ink runs of their pages.
+"""Word boxes under taps, for a whole table of taps at a time, from the ink runs or the luminance of their pages.
 
 A tap looks at a crop of its page, scaled to a tile. On the tile it snaps to the nearest line of ink, grows that to a
 text line, calibrates from the line's own gaps how wide a gap between words is, and grows to the word between two such
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .cut import kept
 from .geometry import clamp, tile_to_native
-from .raster import merged_runs
+from .raster import is_signed_ink, merged_runs, to_runs
 from .reviews import gap_threshold
 
-#: In native units the reach of a line and of its band, in heights of a line the others.
-HALF_LINE, HALF_BAND, SNAP, WINDOW, WIDEST, TALLEST, PAD = 35, 30, 2, 6, 14, 2.5, 0.05
+#: In native units the reach of a line, of its band and of the background's sample, in heights of a line the others.
+HALF_LINE, HALF_BAND, HALF_SAMPLE, SNAP, WINDOW, WIDEST, TALLEST, PAD = 35, 30, 70, 2, 6, 14, 2.5, 0.05
 BLANK_LINES = 2
 
 
@@ -41,11 +41,53 @@ def tiles(taps: DataFrame, zoom: int = 2) -> DataFrame:
 def tile_runs(tiled: DataFrame, runs: DataFrame, zoom: int = 2) -> DataFrame:
     """(tap_id, y, x0, x1): the runs(page_id, y, x0, x1) of each tap's page on its tile, merged within a line."""
     r = runs.select(F.col("page_id").alias("of"), F.col("y").alias("ry"), F.col("x0").alias("r0"), F.col("x1").alias("r1"))
-    on = (F.col("page_id") == F.col("of")) & (F.expr(f"ry * {zoom} + {zoom} - 1 - oy >= 0")) & (F.expr(f"ry * {zoom} - oy < th"))
-    on &= F.expr(f"(r1 + 1) * {zoom} - 1 - ox >= 0") & F.expr(f"r0 * {zoom} - ox < tw")
-    met = tiled.join(r, on).select("tap_id", "tw", "th", F.explode(F.expr(f"sequence(ry * {zoom} - oy, ry * {zoom} + {zoom} - 1 - oy)")).alias("y"), F.expr(f"greatest(0, r0 * {zoom} - ox)").alias("x0"), F.expr(f"least(tw - 1, (r1 + 1) * {zoom} - 1 - ox)").alias("x1"))
-    inside = met.filter("y BETWEEN 0 AND th - 1").select(F.col("tap_id").alias("page_id"), "y", "x0", "x1")
-    return merged_runs(inside).withColumnRenamed("page_id", "tap_id")
+    return merged_runs(_on_tile(tiled.join(r, (F.col("page_id") == F.col("of")) & _meets(zoom)), zoom)).withColumnRenamed("page_id", "tap_id")
+
+
+def _meets(zoom: int) -> Column:
+    """Whether a run or cell (ry, r0, r1) of a page lies on a tile."""
+    return F.expr(f"ry * {zoom} + {zoom} - 1 - oy >= 0 AND ry * {zoom} - oy < th AND (r1 + 1) * {zoom} - 1 - ox >= 0 AND r0 * {zoom} - ox < tw")
+
+
+def _on_tile(met: DataFrame, zoom: int) -> DataFrame:
+    """Runs (page_id, y, x0, x1) of tiles, by the tap as page_id, of rows with their tile and a run (ry, r0, r1) of its page."""
+    met = met.select("tap_id", "tw", "th", F.explode(F.expr(f"sequence(ry * {zoom} - oy, ry * {zoom} + {zoom} - 1 - oy)")).alias("y"), F.expr(f"greatest(0, r0 * {zoom} - ox)").alias("x0"), F.expr(f"least(tw - 1, (r1 + 1) * {zoom} - 1 - ox)").alias("x1"))
+    return met.filter("y BETWEEN 0 AND th - 1").select(F.col("tap_id").alias("page_id"), "y", "x0", "x1")
+
+
+def tile_backgrounds(tiled: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
+    """(tap_id, background, inverted) of `tiled` taps that have any of the cells(of, ry, r0, r1, lum) of their page around them.
+
+    The upper quartile of the luminance around the tap, sampled in steps of a 32nd of the sample's shorter side: paper is
+    what most of a bubble is, whatever the art around it. A cell counts as often as the sample meets it on the tile.
+    """
+    ends = {}
+    for a, size, half in (("x", "tw", HALF_BAND), ("y", "th", HALF_SAMPLE)):
+        ends |= {f"{a}lo": F.expr(f"greatest(0, t{a} - {half * zoom})"), f"{a}hi": F.expr(f"least({size} - 1, t{a} + {half * zoom})")}
+    at = tiled.withColumns(ends).withColumn("step", F.expr("greatest(1, least(xhi - xlo + 1, yhi - ylo + 1) div 32)"))
+    met = at.join(cells, (F.col("page_id") == F.col("of")) & _meets(zoom))
+    for a, at, o in (("x", "r0", "ox"), ("y", "ry", "oy")):
+        first, last = f"greatest({at} * {zoom} - {o}, {a}lo)", f"least({at} * {zoom} + {zoom} - 1 - {o}, {a}hi)"
+        met = met.withColumn(f"n{a}", F.expr(f"if({first} <= {last}, ({last} - {a}lo) div step - ({first} - {a}lo + step - 1) div step + 1, 0)"))
+    counts = met.filter("nx > 0 AND ny > 0").groupBy("tap_id", "lum").agg(F.sum(F.expr("nx * ny")).alias("n"))
+    own = Window.partitionBy("tap_id")
+    upto = counts.withColumn("upto", F.sum("n").over(own.orderBy("lum"))).withColumn("all", F.sum("n").over(own))
+    return upto.filter("upto * 4 >= all * 3").groupBy("tap_id").agg(F.min("lum").alias("background")).withColumn("inverted", F.col("background") < 128)
+
+
+def tile_runs_of_cells(tiled: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
+    """(tap_id, y, x0, x1): the ink of cells(page_id, x, y, lum) on each tap's tile, told apart by the tap's own background and polarity.
+
+    Cells that are missing are no ink and do not count for the background.
+    """
+    c = cells.select(F.col("page_id").alias("of"), F.col("y").alias("ry"), F.col("x").alias("r0"), F.col("x").alias("r1"), "lum")
+    on = (F.col("page_id") == F.col("of")) & _meets(zoom)
+    # the cells are met twice, so that what lies on tiles is counted at once and never stored but for its ink
+    own = tiled.join(kept(tile_backgrounds(tiled, c, zoom)), "tap_id")
+    inked = own.join(c, on & is_signed_ink(F.col("lum"), F.col("background"), F.col("inverted")))
+    lines = to_runs(inked.select(F.col("tap_id").alias("page_id"), F.col("r0").alias("x"), F.col("ry").alias("y")))
+    runs = lines.select(F.col("page_id").alias("tap_id"), F.col("y").alias("ry"), F.col("x0").alias("r0"), F.col("x1").alias("r1"))
+    return _on_tile(tiled.select("tap_id", "ox", "oy", "tw", "th").join(runs, "tap_id"), zoom).withColumnRenamed("page_id", "tap_id")
 
 
 def nearest_flag(flags: DataFrame, *keys: str) -> DataFrame:
@@ -89,8 +131,18 @@ def word_boxes(taps: DataFrame, runs: DataFrame, zoom: int = 2) -> DataFrame:
     whose crop is too small are left out.
     """
     t = tiles(taps, zoom)
+    return _found(t, tile_runs(t, runs, zoom), zoom)
+
+
+def word_boxes_of_cells(taps: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
+    """As word_boxes, from the luminance of cells(page_id, x, y, lum): each tap has its own background, dark on light or light on dark."""
+    t = tiles(taps, zoom)
+    return _found(t, tile_runs_of_cells(t, cells, zoom), zoom)
+
+
+def _found(t: DataFrame, r: DataFrame, zoom: int) -> DataFrame:
+    """Boxes or reasons of tiles, from the runs(tap_id, y, x0, x1) on them."""
     half, band = HALF_LINE * zoom, HALF_BAND * zoom
-    r = tile_runs(t, runs, zoom)
     place = t.select("tap_id", "ox", "oy", "tw", "th", "tx", "ty")
     # each step goes on from a written table: all of them in one plan would hold too many sorts in one task
     r = kept(r.join(place, "tap_id").select("tap_id", "tw", "th", "tx", "ty", "y", "x0", "x1"))

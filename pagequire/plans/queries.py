@@ -440,8 +440,28 @@ def cut_level1(spark, d):
     return cut.decide(runs(spark, d), m, "page_id").select("page_id", "x0", "y0", "x1", "y1", "ink", "split")
 
 
-def _levels(depth: int = 6) -> str:
-    """SQL of the cut at empty bands, a level of the recursion after another."""
+def _slanted(n: int) -> str:
+    """SQL of the first slanted band that fits each region of a level that no straight band splits and that has a thin line."""
+    slopes = ", ".join(f"({i}, CAST({s} AS DOUBLE))" for i, s in enumerate(cut.SLOPES))
+
+    def lines(axis: str, a: str, b: str) -> str:
+        start = f"{a}lo + CAST(ceil(({a}0 - {a}lo) / 2) AS INTEGER) * 2"
+        return f"""SELECT page_id, path, '{axis}' AS axis, {a}lo AS alo, {a}hi AS ahi, {b}lo AS lo, {b}hi AS hi, {b}0 AS b0, {b}1 AS b1, unnest(generate_series({start}, {a}1, 2)) AS ln FROM k{n} WHERE {start} <= {a}1"""
+
+    return f"""o{n} AS MATERIALIZED (SELECT b.* FROM b{n} b WHERE NOT EXISTS (SELECT 1 FROM w{n} w WHERE w.page_id = b.page_id AND w.path = b.path)
+  AND EXISTS (SELECT 1 FROM p{n} p WHERE p.page_id = b.page_id AND p.path = b.path AND last >= pos AND c * 100 <= CASE WHEN axis = 'row' THEN b.x1 - b.x0 + 1 ELSE b.y1 - b.y0 + 1 END * 35)),
+k{n} AS MATERIALIZED (SELECT s.*, o.x0 AS xlo, o.x1 AS xhi, o.y0 AS ylo, o.y1 AS yhi FROM s{n} s JOIN o{n} o ON s.page_id = o.page_id AND s.path = o.path),
+h{n} AS (SELECT *, CAST(floor(slope * (ln - (alo + ahi) // 2) + 0.5) AS INTEGER) AS shift FROM ({lines("col", "y", "x")} UNION ALL {lines("row", "x", "y")}), (VALUES {slopes}) v(rank, slope)),
+i{n} AS (SELECT *, greatest(b0 - shift, lo) AS f, least(b1 - shift, hi) AS t FROM h{n}),
+j{n} AS (SELECT page_id, path, axis, rank, slope, ahi - alo + 1 AS extent, lo, hi, pos, sum(d) AS d FROM (SELECT *, unnest([f, t + 1]) AS pos, unnest([1, -1]) AS d FROM i{n} WHERE f <= t) GROUP BY ALL),
+l{n} AS (SELECT *, sum(d) OVER w AS c, lead(pos) OVER w - 1 AS last FROM j{n} WINDOW w AS (PARTITION BY page_id, path, axis, rank ORDER BY pos)),
+m{n} AS (SELECT *, last + 1 AS start, lead(pos) OVER (PARTITION BY page_id, path, axis, rank ORDER BY pos) - last - 1 AS len, CAST(floor(abs(slope) * extent / 2) + 1 AS INTEGER) AS drift FROM l{n} WHERE c * 2000 > extent * 5),
+q{n} AS MATERIALIZED (SELECT page_id, path, axis, start - drift AS start, len + 2 * drift AS len FROM m{n} WHERE len >= 2 AND start - drift > lo AND start + len - 1 + drift < hi
+  QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY rank, axis = 'row', m{n}.len DESC, m{n}.start) = 1)"""
+
+
+def _levels(depth: int = 6, shear: int = -1) -> str:
+    """SQL of the cut at empty bands, a level of the recursion after another; down to level `shear` at slanted ones too."""
     out = [_RUNS, "s0 AS MATERIALIZED (SELECT page_id, '0' AS path, min(y) AS y0, max(y) AS y1, x0, x1 FROM (SELECT *, y - row_number() OVER (PARTITION BY page_id, x0, x1 ORDER BY y) AS i FROM runs) GROUP BY page_id, x0, x1, i)"]
     for n in range(depth + 1):
         out.append(f"b{n} AS MATERIALIZED (SELECT page_id, path, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum((x1 - x0 + 1) * (y1 - y0 + 1)) AS ink FROM s{n} GROUP BY ALL)")
@@ -449,11 +469,16 @@ def _levels(depth: int = 6) -> str:
             break
         out.append(f"""e{n} AS (SELECT page_id, path, axis, pos, sum(d) AS d FROM (SELECT page_id, path, 'row' AS axis, y0 AS pos, x1 - x0 + 1 AS d FROM s{n} UNION ALL SELECT page_id, path, 'row', y1 + 1, x0 - x1 - 1 FROM s{n}
   UNION ALL SELECT page_id, path, 'col', x0, y1 - y0 + 1 FROM s{n} UNION ALL SELECT page_id, path, 'col', x1 + 1, y0 - y1 - 1 FROM s{n}) GROUP BY ALL),
-p{n} AS (SELECT *, sum(d) OVER w AS c, lead(pos) OVER w - 1 AS last FROM e{n} WINDOW w AS (PARTITION BY page_id, path, axis ORDER BY pos)),
+p{n} AS MATERIALIZED (SELECT *, sum(d) OVER w AS c, lead(pos) OVER w - 1 AS last FROM e{n} WINDOW w AS (PARTITION BY page_id, path, axis ORDER BY pos)),
 g{n} AS (SELECT p.page_id, p.path, axis, last + 1 AS start, lead(pos) OVER (PARTITION BY p.page_id, p.path, axis ORDER BY pos) - last - 1 AS len FROM p{n} p JOIN b{n} b ON p.page_id = b.page_id AND p.path = b.path WHERE c * 1000 > CASE WHEN axis = 'row' THEN x1 - x0 + 1 ELSE y1 - y0 + 1 END * 5),
-d{n} AS MATERIALIZED (SELECT page_id, path, axis, start, len FROM g{n} WHERE len >= 2 QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY len DESC, axis = 'col', start) = 1),
-c{n} AS MATERIALIZED (SELECT b.page_id, b.path, b.path || k AS child, CASE WHEN k = '1' AND axis = 'col' THEN start + len ELSE x0 END AS x0, CASE WHEN k = '1' AND axis = 'row' THEN start + len ELSE y0 END AS y0,
-  CASE WHEN k = '0' AND axis = 'col' THEN start - 1 ELSE x1 END AS x1, CASE WHEN k = '0' AND axis = 'row' THEN start - 1 ELSE y1 END AS y1 FROM b{n} b JOIN d{n} d ON b.page_id = d.page_id AND b.path = d.path, (SELECT unnest(['0', '1']) AS k)),
+w{n} AS MATERIALIZED (SELECT page_id, path, axis, start, len FROM g{n} WHERE len >= 2 QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY len DESC, axis = 'col', start) = 1)""")
+        if n <= shear:
+            out.append(_slanted(n))
+        more = f" UNION ALL SELECT *, TRUE FROM q{n}" if n <= shear else ""
+        # a slanted band belongs to both sides
+        out.append(f"""d{n} AS MATERIALIZED (SELECT *, FALSE AS slanted FROM w{n}{more}),
+c{n} AS MATERIALIZED (SELECT b.page_id, b.path, b.path || k AS child, CASE WHEN k = '1' AND axis = 'col' THEN start + CASE WHEN slanted THEN 0 ELSE len END ELSE x0 END AS x0, CASE WHEN k = '1' AND axis = 'row' THEN start + CASE WHEN slanted THEN 0 ELSE len END ELSE y0 END AS y0,
+  CASE WHEN k = '0' AND axis = 'col' THEN start - 1 + CASE WHEN slanted THEN len ELSE 0 END ELSE x1 END AS x1, CASE WHEN k = '0' AND axis = 'row' THEN start - 1 + CASE WHEN slanted THEN len ELSE 0 END ELSE y1 END AS y1 FROM b{n} b JOIN d{n} d ON b.page_id = d.page_id AND b.path = d.path, (SELECT unnest(['0', '1']) AS k)),
 s{n + 1} AS MATERIALIZED (SELECT s.page_id, child AS path, greatest(s.y0, c.y0) AS y0, least(s.y1, c.y1) AS y1, greatest(s.x0, c.x0) AS x0, least(s.x1, c.x1) AS x1 FROM s{n} s JOIN c{n} c ON s.page_id = c.page_id AND s.path = c.path AND s.x0 <= c.x1 AND s.x1 >= c.x0 AND s.y0 <= c.y1 AND s.y1 >= c.y0)""")
     leaf = " UNION ALL ".join(f"SELECT page_id, path, {n} AS depth, x0, y0, x1, y1, ink FROM b{n}" + (f" b WHERE NOT EXISTS (SELECT 1 FROM d{n} d WHERE d.page_id = b.page_id AND d.path = b.path)" if n < depth else "") for n in range(depth + 1))
     return f"WITH {', '.join(out)}, leaves AS MATERIALIZED ({leaf})"
@@ -483,9 +508,16 @@ def cut_panels(spark, d):
     return cut.to_panels(cut.leaf_filter(cut.xy_cut(ink, m, shear=False), m), m)
 
 
-@query()
+_PANELS = f"""{_levels(shear=4)}{_KEPT}, n0 AS (SELECT page_id, greatest(0, x0 - 1) AS x, greatest(0, y0 - 1) AS y, least(480, x1 + 2) AS r, least(720, y1 + 2) AS b FROM big QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY path) <= 40),
+n AS MATERIALIZED (SELECT page_id, x, y, r - x AS w, b - y AS h FROM n0)"""
+
+
+@query(f"""{_PANELS}, s AS (SELECT page_id, count(*) AS k, sum(w * h) AS total, max(w * h) AS largest, (max(x + w) - min(x)) * (max(y + h) - min(y)) AS bbox FROM n GROUP BY page_id),
+v AS (SELECT page_id, CASE WHEN k = 1 AND largest < 0.6 * 345600 THEN 'single partial panel' WHEN k > 1 AND bbox < 0.4 * 345600 THEN 'panels cover too little of the page'
+  WHEN k > 1 AND total < 0.5 * bbox THEN 'only ' || CAST(CAST(floor(total * 100 / bbox) AS BIGINT) AS VARCHAR) || '% of the covered area kept' END AS reason FROM s), {_ORDER.replace(V1, "n").removeprefix("WITH ")}
+SELECT o.*, reason IS NULL AS accepted, reason FROM o JOIN v USING (page_id)""")
 def segment_pages(spark, d):
-    """Runs, recursive cut, slanted bands included, leaf filter, panels, verdicts and reading order; tested against a loop over pages."""
+    """Runs, recursive cut, slanted bands included, leaf filter, panels, verdicts and reading order."""
     ink, m = ink_and_maps(spark, d)
     found = cut.to_panels(cut.leaf_filter(cut.xy_cut(ink, m), m), m)
     verdict = panels.accept(m.withColumnsRenamed({"w": "pw", "h": "ph"}), found)
@@ -578,10 +610,10 @@ def _island(name: str, flags: str, cols: str = "tap_id") -> str:
 
 
 _NEAR = "SELECT tap_id, y AS pos FROM ({}) QUALIFY row_number() OVER (PARTITION BY tap_id ORDER BY abs(y - origin), y) = 1"
-_WORDS = f"""WITH {_RUNS}, {_TILES},
+_INKED = f"""{_RUNS}, {_TILES},
 q AS (SELECT DISTINCT tap_id, tw, th, tx, ty, unnest([r.y * 2 - oy, r.y * 2 + 1 - oy]) AS y, greatest(0, r.x0 * 2 - ox) AS x0, least(tw - 1, r.x1 * 2 + 1 - ox) AS x1 FROM t JOIN runs r ON r.page_id = t.page_id AND r.y * 2 + 1 - oy >= 0 AND r.y * 2 - oy < th AND r.x1 * 2 + 1 - ox >= 0 AND r.x0 * 2 - ox < tw),
-r AS MATERIALIZED (SELECT * FROM q WHERE y BETWEEN 0 AND th - 1),
-rows_ AS (SELECT DISTINCT tap_id, y, th, ty AS origin FROM r WHERE x1 >= greatest(0, tx - 60) AND x0 <= least(tw - 1, tx + 60) AND abs(y - ty) <= 140),
+r AS MATERIALIZED (SELECT * FROM q WHERE y BETWEEN 0 AND th - 1)"""
+_BOXED = f"""rows_ AS (SELECT DISTINCT tap_id, y, th, ty AS origin FROM r WHERE x1 >= greatest(0, tx - 60) AND x0 <= least(tw - 1, tx + 60) AND abs(y - ty) <= 140),
 snap AS MATERIALIZED ({_NEAR.format("SELECT * FROM rows_ WHERE abs(y - origin) <= 70")}),
 {_island("line", "SELECT r.tap_id, y AS x0, y AS x1, 2 AS blank, pos AS seed FROM rows_ r JOIN snap s ON r.tap_id = s.tap_id WHERE y BETWEEN greatest(0, pos - 70) AND least(th - 1, pos + 70)")},
 cols0 AS (SELECT DISTINCT r.tap_id, x0, x1, tx, tw, z - a + 1 AS line_h FROM r JOIN line l ON r.tap_id = l.tap_id WHERE y BETWEEN a AND z),
@@ -606,11 +638,39 @@ SELECT tap_id, reason, CASE WHEN reason IS NULL THEN (ox + greatest(0, wx0 - px)
   threshold AS gap_threshold, mid AS median_gap, CAST(line_h AS INTEGER) AS line_h, array_to_string(s, ',') AS gaps FROM g"""
 
 
+_WORDS = f"WITH {_INKED}, {_BOXED}"
+
+
 @query(_WORDS)
 def word_boxes(spark, d):
     return words.word_boxes(taps(spark, d), runs(spark, d)).withColumn("gaps", F.array_join("gaps", ","))
 
 
+# the tile of a tap at x, y on a page of 100 x 48 cells reaches 40 cells to the sides and 20 up and down
+_LIT = f"""l AS (SELECT vec_id AS page_id, CAST(i % 100 AS INTEGER) AS x, CAST(i // 100 AS INTEGER) AS y, embedding AS e FROM embeddings, range(0, 4800) t(i) WHERE embedding IS NOT NULL),
+cells AS (SELECT page_id, x, y, CASE WHEN (x BETWEEN 26 AND 73 AND y % 12 BETWEEN 2 AND 8 AND coalesce(e[1 + y // 12 * 16 + (x - 26) // 3] > 0, FALSE)) = (page_id % 2 = 0) THEN 40 + page_id % 50 ELSE 160 + page_id % 90 END AS lum FROM l),
+t0 AS (SELECT event_id AS tap_id, event_id % (SELECT count(*) FROM embeddings) AS page_id, 30 + k % 40 AS x, event_id % 48 AS y FROM {V5} WHERE kind = 'hold' AND k IS NOT NULL),
+t AS MATERIALIZED (SELECT *, greatest(0, x - 40) * 2 AS ox, greatest(0, y - 20) * 2 AS oy, (least(100, x + 40) - greatest(0, x - 40)) * 2 AS tw, (least(48, y + 20) - greatest(0, y - 20)) * 2 AS th, x * 2 - greatest(0, x - 40) * 2 AS tx, y * 2 - greatest(0, y - 20) * 2 AS ty FROM t0),
+pix AS MATERIALIZED (SELECT t.*, c.x * 2 + i - ox AS px, c.y * 2 + j - oy AS py, lum FROM t JOIN cells c ON c.page_id = t.page_id AND c.x * 2 + 1 >= ox AND c.x * 2 < ox + tw AND c.y * 2 + 1 >= oy AND c.y * 2 < oy + th, range(0, 2) a(i), range(0, 2) b(j)),
+bg AS (SELECT tap_id, quantile_disc(lum, 0.75) AS bg FROM (SELECT *, greatest(0, tx - 60) AS lx, least(tw - 1, tx + 60) AS hx, greatest(0, ty - 140) AS ly, least(th - 1, ty + 140) AS hy FROM pix)
+  WHERE px BETWEEN lx AND hx AND py BETWEEN ly AND hy AND (px - lx) % greatest(1, least(hx - lx + 1, hy - ly + 1) // 32) = 0 AND (py - ly) % greatest(1, least(hx - lx + 1, hy - ly + 1) // 32) = 0 GROUP BY 1),
+ink AS (SELECT pix.* FROM pix JOIN bg USING (tap_id) WHERE CASE WHEN bg < 128 THEN lum - bg ELSE bg - lum END > 40),
+r AS MATERIALIZED (SELECT tap_id, any_value(tw) AS tw, any_value(th) AS th, any_value(tx) AS tx, any_value(ty) AS ty, py AS y, min(px) AS x0, max(px) AS x1 FROM (SELECT *, px - row_number() OVER (PARTITION BY tap_id, py ORDER BY px) AS i FROM ink) GROUP BY tap_id, py, i)"""
+
+
+@query(f"WITH {_LIT}, {_BOXED}")
+def word_boxes_lum(spark, d):
+    """Words on pages of lines drawn from the embeddings, dark on light or light on dark, under the taps that hold."""
+    # a row becomes 4800 cells, hence parts that are not joined up again
+    e = views.table(spark, d, "embeddings")
+    ink = "i % 100 BETWEEN 26 AND 73 AND i div 100 % 12 BETWEEN 2 AND 8 AND coalesce(try_element_at(embedding, cast(1 + i div 1200 * 16 + (i % 100 - 26) div 3 as int)) > 0, false)"
+    lum = f"if(({ink}) = (vec_id % 2 = 0), 40 + vec_id % 50, 160 + vec_id % 90)"
+    drawn = e.filter("embedding IS NOT NULL").repartition(spark.sparkContext.defaultParallelism, "vec_id").selectExpr("vec_id AS page_id", f"posexplode(transform(sequence(0, 4799), i -> {lum})) AS (i, lum)")
+    held = views.events(spark, d).filter("kind = 'hold' AND k IS NOT NULL")
+    at = held.select(F.col("event_id").alias("tap_id"), (F.col("event_id") % e.count()).alias("page_id"), (30.0 + F.col("k") % 40).alias("x"), (F.col("event_id") % 48).cast("double").alias("y"), L(100.0).alias("pw"), L(48.0).alias("ph"))
+    return words.word_boxes_of_cells(at, drawn.selectExpr("page_id", "i % 100 AS x", "cast(i div 100 as int) AS y", "lum")).withColumn("gaps", F.array_join("gaps", ","))
+
+
 @query(f"""WITH b AS (SELECT tap_id, x IS NOT NULL AS has FROM ({_WORDS})), r AS (SELECT event_id AS tap_id, CASE WHEN k % 3 > 0 THEN 'w' || k END AS ocr FROM {V5})
 SELECT p.point_id AS tap_id, p.page_id AS page, CASE WHEN NOT coalesce(has, FALSE) THEN 'no_box' WHEN ocr IS NULL THEN 'no_word' END AS ocr_failed, CASE WHEN has AND ocr IS NOT NULL THEN ocr END AS ocr_word FROM {_POINTS} p LEFT JOIN b ON b.tap_id = p.point_id LEFT JOIN r ON r.tap_id = p.point_id""")
 def assemble_reviews(spark, d):

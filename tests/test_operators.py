@@ -166,6 +166,35 @@ def test_word_boxes(spark):
     assert rows(words.word_boxes(df.limit(0), ink_runs(spark, pages))) == []
 
 
+def test_word_boxes_from_luminance(spark):
+    """A bubble within dark art keeps its polarity; light words on dark pages and cells that are missing; backgrounds as a loop has them."""
+    bubble = {(x, y): 255 if 170 <= x <= 270 and 80 <= y <= 120 else 50 for x in range(40, 381) for y in range(40, 161)}
+    word = {(x, y) for x0, x1 in ((190, 219), (223, 230)) for x in range(x0, x1 + 1) for y in range(95, 106)}
+    night = {(x, y): 20 for x in range(0, 400) for y in range(20, 180)} | {p: 240 for p in glyphs(95, 105, (150, 210))}
+    pages = {1: bubble | dict.fromkeys(word, 0), 2: night, 3: {p: 0 for p in glyphs(95, 105, (190, 230))}}
+    cells = spark.createDataFrame([(k, x, y, v) for k, page in pages.items() for (x, y), v in page.items()], "page_id long, x int, y int, lum int")
+    taps = [(1, 1, 210.0, 100.0), (2, 2, 180.4, 100.7), (3, 3, 210.0, 100.0), (4, 9, 5.0, 5.0), (5, 2, 10.0, 30.0)]
+    df = spark.createDataFrame([(*t, 1000.0, 1000.0) for t in taps], "tap_id long, page_id long, x double, y double, pw double, ph double")
+    got = {r["tap_id"]: r for r in words.word_boxes_of_cells(df, cells).collect()}
+    assert got[1]["reason"] is None and 165 <= got[1]["x"] and got[1]["x"] + got[1]["w"] <= 275 and got[1]["w"] < 100
+    assert got[2]["reason"] is None and abs(got[2]["x"] - 150) <= 2 and abs(got[2]["w"] - 61) <= 3
+    # without any paper around it, ink is the background
+    assert [got[i]["reason"] for i in (3, 4, 5)] == ["no ink near the tap row"] * 3
+    tiled = words.tiles(df)
+    c = cells.select(F.col("page_id").alias("of"), F.col("y").alias("ry"), F.col("x").alias("r0"), F.col("x").alias("r1"), "lum")
+    told = {r["tap_id"]: (r["background"], r["inverted"]) for r in words.tile_backgrounds(tiled, c).collect()}
+    want = {}
+    for t in tiled.collect():
+        lo, hi = (max(0, t["tx"] - 60), max(0, t["ty"] - 140)), (min(t["tw"] - 1, t["tx"] + 60), min(t["th"] - 1, t["ty"] + 140))
+        step = max(1, min(hi[0] - lo[0] + 1, hi[1] - lo[1] + 1) // 32)
+        at = ((((x + t["ox"]) // 2, (y + t["oy"]) // 2)) for x in range(lo[0], hi[0] + 1, step) for y in range(lo[1], hi[1] + 1, step))
+        seen = sorted(v for p in at if (v := pages.get(t["page_id"], {}).get(p)) is not None)
+        if seen:
+            bg = next(v for i, v in enumerate(seen) if (i + 1) * 4 >= len(seen) * 3)
+            want[t["tap_id"]] = (bg, bg < 128)
+    assert told == want and told[1] == (255, False) and told[2] == (20, True)
+
+
 def test_nearest_flag_and_islands(spark):
     r = random.Random(5)
     for _ in range(3):
