@@ -52,6 +52,12 @@ def contains(x: Column, y: Column, rect: Sequence[Column]) -> Column:
     return x.between(rx, rx + rw) & y.between(ry, ry + rh)
 
 
+def either(prefix: str = "") -> tuple[Column, ...]:
+    """A box of rows that hold it as x, y, w, h, or else as the edges x0, y0, x1, y1; what is there first counts, corner and size apart."""
+    c = lambda n: F.col(prefix + n)
+    return F.coalesce(c("x"), c("x0")), F.coalesce(c("y"), c("y0")), F.coalesce(c("w"), c("x1") - c("x0")), F.coalesce(c("h"), c("y1") - c("y0"))
+
+
 def overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Area that two rectangles share; 0 if disjoint or absent."""
     w = F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,14 @@ def panel_sequence(pages: DataFrame, panels: DataFrame) -> DataFrame:
     return neighbours(laid(stops, ["doc"], ["page_id", "panel_idx"]), ["doc"], *beside).select("doc", "page_id", "panel_idx", *beside[1], *beside[0])
 
 
-def dispatch(detector: str, verdicts: DataFrame, panels: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """Panels by detector: fast keeps accepted pages, auto takes the fallback's panels for the others, exact the fallback's only."""
+def dispatch(detector: str, verdicts: DataFrame, panels: DataFrame, fallback: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Panels by detector: fast keeps accepted pages, auto takes the fallback's panels for the others, exact the fallback's only.
+
+    fallback: panels of pages, or another detector, which gets the verdicts of the pages that it is to look at: of those that
+    were not accepted, a null among them, or of all for exact.
+    """
+    if callable(fallback):
+        fallback = fallback(verdicts if detector == "exact" else verdicts.filter("NOT coalesce(accepted, false)")) if detector != "fast" else None
     good = panels.join(verdicts.filter("accepted").select("page_id"), "page_id", "left_semi")
     if detector == "fast" or fallback is None:
         return good if detector != "exact" else panels.limit(0)

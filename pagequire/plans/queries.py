@@ -57,6 +57,15 @@ def box_predicates(spark, d):
     return v.withColumns({"has": geometry.contains(L(250), L(300), geometry.box()), "anomalous": geometry.anomalous(geometry.box(), L(120), L(120)), "full_page": geometry.full_page(geometry.box(), L(120), L(120)), "overflows": geometry.overflows(F.col("w"), F.col("h"), L(100), L(90))})
 
 
+@query(f"SELECT page_id, x, y, w, h, w * h >= 0.6 * 14400 AS anomalous FROM {V1}")
+def boxes_in_both_encodings(spark, d):
+    """Boxes of which every third one comes by its edges."""
+    v = views.boxes(spark, d)
+    edges = F.col("x") % 3 == 0
+    coded = v.select("page_id", *[F.when(~edges, F.col(c)).alias(c) for c in BOXES], *[F.when(edges, c).alias(n) for n, c in (("x0", F.col("x")), ("y0", F.col("y")), ("x1", F.col("x") + F.col("w")), ("y1", F.col("y") + F.col("h")))])
+    return coded.select("page_id", *named("x y w h", geometry.either()), geometry.anomalous(geometry.either(), L(120), L(120)).alias("anomalous"))
+
+
 @query(f"""SELECT page_id, x, y, w, h, greatest(0, x - m) AS cx, greatest(0, y - m) AS cy, least(480, x + w + m) - greatest(0, x - m) AS cw, least(720, y + h + m) - greatest(0, y - m) AS ch
 FROM (SELECT *, greatest(8, greatest(w, h) * CAST(0.08 AS DOUBLE)) AS m FROM {V1})""")
 def crop_rect_loose(spark, d):
@@ -177,7 +186,7 @@ def key_collisions(spark, d):
 def detector_dispatch(spark, d):
     v = views.boxes(spark, d)
     verdicts = v.groupBy("page_id").agg((F.count("*") % 2 == 0).alias("accepted"))
-    whole = v.select("page_id").distinct().select("page_id", L(0).alias("x"), L(0).alias("y"), L(480).alias("w"), L(720).alias("h"))
+    whole = lambda pages: pages.select("page_id", L(0).alias("x"), L(0).alias("y"), L(480).alias("w"), L(720).alias("h"))
     return panels.dispatch("auto", verdicts, v, whole)
 
 

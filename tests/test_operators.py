@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 import struct
 from collections import Counter
@@ -568,6 +569,86 @@ def test_stream_of_reading_positions(spark, tmp_path):
     assert drained(streams.stream_reading(stream, 4, 3.0), tmp_path) == sorted(want) and len({x[2] for x in want}) > 2
 
 
+def test_stream_of_steps_in_any_order(spark, tmp_path):
+    """Steps out of order within the delay give what the batch gives; a user who was away for the ttl begins anew."""
+    r = random.Random(14)
+    steps = [(u, 1 + i * 1.5 + 400 * (i > 60), i, r.choice([-1, 1, 1])) for i, u in enumerate(r.choices([1, 2, 2], k=120))]
+    want, state = [], {}
+    for u, ts, event, d in steps:
+        p, last, seen = state.get(u, (1, -1e18, ts))
+        if ts - seen > 300:
+            p, last = 1, -1e18
+        if ts - last >= 2:
+            p, last = max(1, min(5, p + d)), ts
+        state[u] = (p, last, ts)
+        want.append((u, event, p))
+    mixed = sorted(steps, key=lambda s: s[1] + r.uniform(0, 25))
+    (tmp_path / "in").mkdir()
+    # what comes last takes the watermark past all others, and is itself still held
+    for part, own in enumerate((mixed[:40], mixed[40:80], mixed[80:], [(9, 9e5, 999, 1), (1, None, 1000, 1)], [(9, 9.1e5, 1001, 1)])):
+        (tmp_path / "in" / f"{part}.json").write_text("".join(json.dumps(dict(zip(("user_id", "ts", "event_id", "d"), s))) + "\n" for s in own))
+        os.utime(tmp_path / "in" / f"{part}.json", (1e9 + part, 1e9 + part))
+    stream = spark.readStream.schema("user_id long, ts double, event_id long, d int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = drained(streams.stream_positions_in_order(stream, 5, 2.0, "60 seconds", 300.0), tmp_path)
+    assert [g for g in got if g[0] != 9] == sorted(want) and len({w[2] for w in want}) > 2
+
+
+def test_state_of_a_user_goes_after_the_ttl():
+    """One timer a user; when nothing is left to do, nothing is kept."""
+
+    class State(list):
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value if self.value is not None else iter(list(self))
+
+        def update(self, v):
+            self.value = v
+
+        def clear(self):
+            self.value = None
+            self[:] = []
+
+        def put(self, rows):
+            self[:] = rows
+
+        appendList = list.extend  # noqa: N815
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.states = set(), {}
+
+        def getValueState(self, name, _):  # noqa: N802
+            return self.states.setdefault(name, State())
+
+        getListState = getValueState  # noqa: N815
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    class Time:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    import pandas as pd
+
+    p, handle = streams._InOrder(5, 0.0, 10.0), Handle()
+    p.init(handle)
+    steps = [(3.0, 3, 1), (1.0, 1, 1), (2.0, 2, 1), (30.0, 4, -1)]
+    list(p.handleInputRows((7,), iter([pd.DataFrame({"at": int(t * 1000), "seconds": t, "event_id": i, "d": d} for t, i, d in [s]) for s in steps]), None))
+    out = []
+    while handle.timers:
+        (at,) = handle.timers
+        handle.timers.clear()
+        out += [tuple(map(int, x)) for part in p.handleExpiredTimer((7,), Time(at), Time(at)) for x in part.itertuples(index=False)]
+    assert out == [(7, 1, 2), (7, 2, 3), (7, 3, 4), (7, 4, 1)]
+    assert not any(s.exists() or len(s) for s in handle.states.values())
+
+
 def test_local_background(spark):
     r = random.Random(6)
     lum = {(x, y): r.randrange(256) for x in range(90) for y in range(100)}
@@ -594,6 +675,35 @@ def test_stream_segments_equals_batch(spark, tmp_path):
     assert {r["page_id"]: r["count"] for r in got.groupBy("page_id").count().collect()} == {0: 1, 1: 2, 2: 3}
 
 
+def test_a_page_without_panels_is_cut_once_and_a_batch_replaces_its_own(spark, tmp_path, monkeypatch):
+    v = spark.createDataFrame([(1, 20, 20, 90, 60), (2, 5, 5, 2, 2)], "page_id long, x int, y int, w int, h int")
+    raster.runs_of_boxes(v).coalesce(1).write.parquet(str(tmp_path / "runs"))
+    cuts, real = [], streams.cut.xy_cut
+    monkeypatch.setattr(streams.cut, "xy_cut", lambda runs, maps: cuts.append(maps.count()) or real(runs, maps))
+    run = lambda ck: streams.stream_segments(spark, str(tmp_path / "runs"), f"file://{tmp_path}/out", str(tmp_path / ck)).awaitTermination()
+    run("a")
+    # a batch whose end was not recorded runs again as the same epoch, and a page that comes anew is not cut again
+    run("b")
+    raster.runs_of_boxes(v).coalesce(1).write.mode("append").parquet(str(tmp_path / "runs"))
+    run("b")
+    assert cuts == [2, 2] and spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert sorted(r["page_id"] for r in spark.read.parquet(f"{tmp_path}/out-pages").collect()) == [1, 2]
+
+
+def test_only_rejected_pages_go_to_the_fallback(spark):
+    verdicts = spark.createDataFrame([(1, True), (2, False), (3, None)], "page_id long, accepted boolean")
+    own = spark.createDataFrame([(1, 5), (2, 6)], "page_id long, x int")
+    seen = []
+
+    def other(pages):
+        seen.append(sorted(r["page_id"] for r in pages.collect()))
+        return pages.select("page_id", F.lit(0).alias("x"))
+
+    assert rows(panels.dispatch("auto", verdicts, own, other)) == [(1, 5), (2, 0), (3, 0)]
+    assert rows(panels.dispatch("exact", verdicts, own, other)) == [(1, 0), (2, 0), (3, 0)] and rows(panels.dispatch("fast", verdicts, own, other)) == [(1, 5)]
+    assert seen == [[2, 3], [1, 2, 3]]
+
+
 def test_no_module_but_llm_imports_llm():
     root = Path(__file__).resolve().parents[1] / "pagequire"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
