@@ -287,6 +287,16 @@ def plausible_words(spark, d):
     return views.words(spark, d).select("doc_id", "pos", text.is_plausible(F.col("raw")).alias("plausible"))
 
 
+_CUT = "CASE WHEN raw = '' THEN raw ELSE raw[:length(raw) - 1] END"
+
+
+@query(f"""SELECT doc_id, pos, coalesce(NOT regexp_matches(cut, '\\s') AND letters > 0 AND length(cut) - letters - neutral + CASE WHEN raw <> '' AND strlen(right(raw, 1)) > 1 THEN 1 ELSE 0 END <= letters, FALSE) AS plausible FROM {_PLAUSIBLE.format(c='cut', t=f"(SELECT *, {_CUT} AS cut FROM {V4})")}""")
+def plausible_bytes(spark, d):
+    """Words as bytes without their last one, which breaks a character of several bytes."""
+    raw = F.col("raw").cast("binary")
+    return views.words(spark, d).select("doc_id", "pos", text.is_plausible_bytes(F.substring(raw, L(1), F.greatest(L(0), F.octet_length(raw) - 1))).alias("plausible"))
+
+
 @query(f"""WITH e AS (SELECT *, ['north', 'south', 'west', 'east', 'northeast', 'southwest'][1 + k % 6] AS dir, k % 2 = 0 AS manga, k % 3 = 0 AS invert FROM {V5} WHERE k IS NOT NULL AND x IS NOT NULL),
 a AS (SELECT *, CASE WHEN kind = 'swipe' AND x <= 120 AND dir IN ('north', 'south') THEN 'zoom' WHEN kind = 'swipe' AND k % 7 = 0 THEN 'pan' WHEN kind = 'swipe' AND dir IN ('west', 'east') THEN 'step'
   WHEN kind = 'tap' AND (x <= 160 OR x >= 320) THEN 'step' WHEN kind = 'page_turn' AND k - 50 <> 0 THEN 'step' WHEN kind = 'tap' THEN 'toggle' ELSE 'noop' END AS action,

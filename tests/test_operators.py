@@ -322,6 +322,40 @@ def test_words(spark, raw, word, plausible):
     assert rows(df.select("w", text.is_plausible(F.col("w")))) == [(word, plausible)]
 
 
+def test_plausible_bytes(spark):
+    """Against a loop over random bytes: cut off, broken off and stray sequences."""
+
+    def brute(b):
+        if any(c in b" \t\n\v\f\r" for c in b):
+            return False
+        letters, junk, i = 0, 0, 0
+        while i < len(b):
+            n = 1 if b[i] < 0x80 else 4 if b[i] >= 0xF0 else 3 if b[i] >= 0xE0 else 2 if b[i] >= 0xC0 else 0
+            if not n:
+                i, junk = i + 1, junk + 1
+                continue
+            if i + n > len(b):
+                junk += 1
+                break
+            good = next((k for k in range(1, n) if not 0x80 <= b[i + k] <= 0xBF), n)
+            junk, code = junk + (good < n), b[i : i + good].decode("utf-8", "replace") if good == n else ""
+            i += good
+            if code and code < "\x80":
+                letters, junk = letters + code.isalpha(), junk + (not code.isalnum() and code not in "'-.,!?")
+            elif code:
+                c = ord(code)
+                ok = c >= 0xC0 and c not in (0xD7, 0xF7) and not any(a <= c <= z for a, z in ((0x2000, 0x206F), (0x2190, 0x2BFF), (0x3000, 0x303F)))
+                letters, junk = letters + ok, junk + (not ok)
+        return letters > 0 and junk <= letters
+
+    r = random.Random(12)
+    parts = [b"a", b"Z", b"7", b"-", b"|", "é".encode(), "«".encode(), "ここ".encode(), "→".encode(), "😀".encode(), b"\x80", b"\xc3", b"\xe3\x81", b"\xf0\x9f", b" "]
+    words_ = [b"".join(r.choices(parts, [8, 8, 2, 2, 3, 4, 2, 3, 2, 2, 1, 1, 1, 1, 0.3], k=r.randrange(0, 6))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words_)] + [(len(words_), None)], "i int, w binary")
+    got = {x["i"]: x["p"] for x in df.select("i", text.is_plausible_bytes(F.col("w")).alias("p")).collect()}
+    assert [got[i] for i in range(len(words_))] == [brute(w) for w in words_] and got[len(words_)] is False and {*got.values()} == {True, False}
+
+
 def test_gap_threshold(spark):
     df = spark.createDataFrame([([3, 3, 20], 40), ([5], 10), ([], 1), ([100, 100], 10)], "gaps array<int>, h int")
     assert [r[0] for r in df.select(reviews.gap_threshold(F.col("gaps"), F.col("h")).cast("int")).collect()] == [6, 5, 2, 15]
