@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .raster import profile, slabs
@@ -69,7 +69,8 @@ def sheared(ink: DataFrame, boxes: DataFrame, *keys: str, slopes: Sequence[float
 
     Every step-th line is moved by slope times its distance from the middle, rounded, and what leaves the region is
     lost. A band counts with the drift that the slope adds on each side, and must end within the region. Slopes go
-    in order, columns before rows, wider bands before narrower ones.
+    in order, columns before rows, wider bands before narrower ones. If boxes have a hint, which is the place of a slope
+    or null, that slope goes first, and rank, the place of the slope that split, and fits, bits of all that could, follow.
     """
     met = ink.join(boxes.select(*keys, *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")], "min_len"), list(keys))
     sampled = "sequence(r{a}0 + cast(ceil((greatest({a}0, r{a}0) - r{a}0) / {s}) * {s} AS int), least({a}1, r{a}1), {s})"
@@ -96,19 +97,30 @@ def sheared(ink: DataFrame, boxes: DataFrame, *keys: str, slopes: Sequence[float
     bands = inked.withColumn("start", F.col("last") + 1).withColumn("len", F.lead("pos").over(order) - F.col("last") - 1).filter("len >= min_len")
     drift = (F.floor(F.abs("slope") * F.col("extent") / 2) + 1).cast("int")
     fits = bands.withColumn("lo", F.col("start") - drift).withColumn("hi", F.col("start") + F.col("len") - 1 + drift).filter("lo > low AND hi < high")
-    first = fits.groupBy(*keys).agg(F.min(F.struct("rank", (F.col("axis") == "row").alias("late"), (-F.col("len")).alias("l"), "start", "axis", "lo", "hi")).alias("b"))
-    return first.select(*keys, "b.axis", F.col("b.lo").alias("start"), F.expr("b.hi - b.lo + 1").alias("len"))
+    hinted = "hint" in boxes.columns
+    turn, more = F.col("rank"), []
+    if hinted:
+        fits = fits.join(boxes.select(*keys, "hint"), list(keys))
+        turn, more = F.when(F.col("rank") == F.col("hint"), -1).otherwise(F.col("rank")), [F.bit_or(F.expr("shiftleft(1, rank)")).alias("fits")]
+    first = fits.groupBy(*keys).agg(F.min(F.struct(turn.alias("turn"), (F.col("axis") == "row").alias("late"), (-F.col("len")).alias("l"), "start", "axis", "lo", "hi", "rank")).alias("b"), *more)
+    return first.select(*keys, "b.axis", F.col("b.lo").alias("start"), F.expr("b.hi - b.lo + 1").alias("len"), *(["b.rank", "fits"] if hinted else []))
 
 
 def _both(best: DataFrame, *keys: str) -> DataFrame:
     return best.groupBy(*keys).agg(*[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}") for a in ("row", "col") for c in ("start", "len")])
 
 
-def decide(ink: DataFrame, limits: DataFrame, *keys: str, borders: DataFrame | None = None, shear: bool = False) -> DataFrame:
+#: The slope of the region that split last before this one: paths sort as the recursion visits regions.
+_HINT = "try_element_at(filter(slopes, s -> s.path < path), -1).rank"
+
+
+def decide(ink: DataFrame, limits: DataFrame, *keys: str, borders: DataFrame | None = None, shear: bool = False, memory: DataFrame | None = None) -> DataFrame:
     """Trimmed regions with split (row, col or leaf), start, len and slanted, for limits(page_id, min_len, max_width, min_side).
 
     Of empty bands the longer wins, of drawn lines the narrower, rows where they are equal. Slanted bands are sought only
-    where some line holds 35 % of its span at most. The last two limits are needed with borders only.
+    where some line holds 35 % of its span at most. The last two limits are needed with borders only. With
+    memory(page_id, slopes), slopes being (path, rank) by path, a region tries the slope of the last path before its own
+    first, and rank and fits follow (see `sheared`).
     """
     ink = slabs(ink)
     box = trim(ink, *keys)
@@ -137,11 +149,15 @@ def decide(ink: DataFrame, limits: DataFrame, *keys: str, borders: DataFrame | N
         across, along = F.when(row, F.col("row_span")).otherwise(F.col("col_span")), F.when(row, F.col("col_span")).otherwise(F.col("row_span"))
         gate = thin.join(sized, list(keys)).filter((F.col("held") < along) | (F.col("least") * 100 <= across * 35)).select(*keys).distinct()
         open_ = sized.join(full.filter("split = 'leaf'").select(*keys), list(keys), "left_semi").join(gate, list(keys), "left_semi")
-        found = sheared(ink, open_.select(*keys, "x0", "y0", "x1", "y1", "min_len"), *keys)
-        full = full.join(found.select(*keys, F.col("axis").alias("s_axis"), F.col("start").alias("s_start"), F.col("len").alias("s_len")), list(keys), "left")
+        hint = []
+        if memory is not None:
+            open_, hint = open_.join(memory, "page_id", "left").withColumn("hint", F.expr(_HINT)), ["hint"]
+        found = sheared(ink, open_.select(*keys, "x0", "y0", "x1", "y1", "min_len", *hint), *keys)
+        full = full.join(found.withColumnsRenamed({"axis": "s_axis", "start": "s_start", "len": "s_len"}), list(keys), "left")
         slanted = F.col("s_axis").isNotNull()
         full = full.withColumns({"split": F.coalesce("s_axis", "split"), "start": F.coalesce("s_start", "start"), "len": F.coalesce("s_len", "len"), "slanted": slanted})
-    return full.withColumn("slanted", slanted).select(*keys, "x0", "y0", "x1", "y1", "ink", "split", "start", "len", "slanted")
+    tried = ["rank", "fits"] if shear and memory is not None else []
+    return full.withColumn("slanted", slanted).select(*keys, "x0", "y0", "x1", "y1", "ink", "split", "start", "len", "slanted", *tried)
 
 
 def clip(ink: DataFrame, regions: DataFrame) -> DataFrame:
@@ -152,14 +168,20 @@ def clip(ink: DataFrame, regions: DataFrame) -> DataFrame:
     return met.select("page_id", F.col("child").alias("path"), *ends)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from there."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share, within spark.checkpoint.dir; only a local session may go without that setting."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        known = spark.conf.get("spark.checkpoint.dir", None)
         if not known and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and go on from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -174,32 +196,60 @@ def children(regions: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def xy_cut(runs: DataFrame, maps: DataFrame, depth: int = 6, borders: DataFrame | None = None, shear: bool = True, shear_depth: int = 4) -> DataFrame:
-    """Leaves (page_id, path, depth, x0, y0, x1, y1, ink) of runs(page_id, y, x0, x1) on maps(page_id, w, h).
-
-    borders: runs of border cells, where drawn lines are to split. shear: whether slanted bands are, down to shear_depth.
-    Each page tries all slopes in the same order; what split one region does not come first in the next. Children take
-    the trimmed extent of the other axis. Lineage is cut by level.
-    """
-    least = F.least("w", "h")
-    limits = maps.select("page_id", F.greatest(F.lit(2), F.floor(least * 0.005)).alias("min_len"), F.greatest(F.lit(2), F.floor(least * 0.01)).alias("max_width"), F.greatest(F.lit(4), F.floor(least * 0.03)).alias("min_side"))
-    live = kept(slabs(runs, True).withColumn("path", F.lit("0")))
-    dark = None if borders is None else slabs(borders, True).withColumn("path", F.lit("0"))
-    leaves = None
+def _levels(live: DataFrame, dark: DataFrame | None, limits: DataFrame, depth: int, shear_depth: int, memory: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves, and (page_id, path, rank, fits) of the slanted splits if there is a memory; lineage is cut by level."""
+    leaves = tried = None
     for level in range(depth + 1):
         if level < depth:
-            regions = decide(live, limits, *KEYS, borders=dark, shear=shear and level <= shear_depth)
+            regions = decide(live, limits, *KEYS, borders=dark, shear=level <= shear_depth, memory=memory)
         else:
             regions = trim(live, *KEYS).withColumns({"split": F.lit("leaf"), "start": F.lit(0), "len": F.lit(0), "slanted": F.lit(False)})
         regions = kept(regions)
         done = regions.filter("split = 'leaf'").select("page_id", "path", F.lit(level).alias("depth"), "x0", "y0", "x1", "y1", "ink")
         leaves = done if leaves is None else leaves.unionByName(done)
+        if "fits" in regions.columns:
+            slanted = regions.filter("slanted").select(*KEYS, "rank", "fits")
+            tried = slanted if tried is None else tried.unionByName(slanted)
         parts = children(regions.filter("split <> 'leaf'"))
         if parts.isEmpty():
             break
         live = kept(clip(live, parts))
         dark = None if dark is None else kept(clip(dark, parts))
-    return leaves
+    return leaves, tried
+
+
+def xy_cut(runs: DataFrame, maps: DataFrame, depth: int = 6, borders: DataFrame | None = None, shear: bool = True, shear_depth: int = 4, remember: bool = False) -> DataFrame:
+    """Leaves (page_id, path, depth, x0, y0, x1, y1, ink) of runs(page_id, y, x0, x1) on maps(page_id, w, h).
+
+    borders: runs of border cells, where drawn lines are to split. shear: whether slanted bands are, down to shear_depth.
+    Without remember, each region tries all slopes in the same order. With it, the slope that split the last region before
+    it goes first, regions being visited in depth, first parts before second ones. All regions of a level are still cut at
+    once: pages are cut with the slopes that the cut before remembered, at first none, and those pages are cut again of
+    which some region would now choose otherwise. Whether a slope splits a region does not depend on which is tried first,
+    so each round settles one more slanted split of a page at least; most pages need one or two rounds. Children take the
+    trimmed extent of the other axis.
+    """
+    least = F.least("w", "h")
+    limits = maps.select("page_id", F.greatest(F.lit(2), F.floor(least * 0.005)).alias("min_len"), F.greatest(F.lit(2), F.floor(least * 0.01)).alias("max_width"), F.greatest(F.lit(4), F.floor(least * 0.03)).alias("min_side"))
+    live = kept(slabs(runs, True).withColumn("path", F.lit("0")))
+    dark = None if borders is None else slabs(borders, True).withColumn("path", F.lit("0"))
+    if not (shear and remember):
+        return _levels(live, dark, limits, depth, shear_depth if shear else -1, None)[0]
+    memory = live.limit(0).selectExpr("page_id", "cast(NULL AS array<struct<path:string,rank:int>>) AS slopes")
+    settled = None
+    for _ in range(1 << (shear_depth + 1)):  # a page has fewer slanted splits
+        leaves, tried = _levels(live, dark, limits, depth, shear_depth, memory)
+        tried = kept(tried)
+        memory = tried.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("path", "rank"))).alias("slopes"))
+        other = tried.join(memory, "page_id").withColumn("hint", F.expr(_HINT)).filter("hint <> rank AND (fits & shiftleft(1, hint)) <> 0")
+        memory = kept(memory.join(other.select("page_id").distinct(), "page_id", "left_semi"))
+        same = leaves.join(memory, "page_id", "left_anti")
+        settled = same if settled is None else settled.unionByName(same)
+        if memory.isEmpty():
+            return settled
+        live = kept(live.join(memory, "page_id", "left_semi"))
+        dark = None if dark is None else kept(dark.join(memory, "page_id", "left_semi"))
+    raise RuntimeError("slopes did not settle")
 
 
 def leaf_filter(leaves: DataFrame, maps: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -543,6 +544,26 @@ def segment_pages(spark, d):
     return panels.reading_order(found).join(verdict.select("page_id", "accepted", "reason"), "page_id")
 
 
+@query()
+def slope_memory(spark, d):
+    """Leaves of the cut, each page trying the slope first that split its last region."""
+    return cut.xy_cut(*ink_and_maps(spark, d), remember=True)
+
+
+@query(f"""WITH e AS (SELECT page_id, 4 * x + i AS x, 4 * y + j AS y, lum FROM {V3}, range(4) a(i), range(4) b(j)),
+b AS (SELECT page_id, list_sort(list(lum))[62] AS background FROM e WHERE x IN (0, 31) OR y IN (0, 31) GROUP BY page_id),
+k AS (SELECT page_id, background, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS i FROM e JOIN b USING (page_id) WHERE abs(lum - background) > 40)
+SELECT page_id, background, background < 128 AS inverted, CAST(y AS INTEGER) AS y, CAST(min(x) AS INTEGER) AS x0, CAST(max(x) AS INTEGER) AS x1 FROM k GROUP BY page_id, background, y, i""")
+def page_bitmaps(spark, d):
+    """Rasters written as pictures of 32 x 32, four pixels a cell, and read again as ink runs."""
+    cells = views.cells(spark, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "lum"))).alias("c"))
+    lum = "flatten(transform(sequence(0, 31), y -> flatten(transform(slice(c, 8 * (y div 4) + 1, 8), v -> array_repeat(v.lum, 4)))))"
+    path = f"{cut.shared_dir(spark)}/bitmaps-{uuid4().hex}"
+    logs.write_bitmaps(cells.select("page_id", L(32).alias("w"), L(32).alias("h"), F.expr(lum).alias("lum")), path)
+    page = F.regexp_extract("origin", "page_id=(-?[0-9]+)/", 1).cast("long")
+    return logs.read_page_images(spark, path).select(page.alias("page_id"), "background", "inverted", F.inline("runs"))
+
+
 _CELLS = f"(SELECT page_id, x, y, lum, abs(lum - background) > 40 AS ink, lum <= 140 AS dark FROM {V3} JOIN {_BG} USING (page_id))"
 
 

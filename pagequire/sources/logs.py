@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,3 +120,23 @@ def read_page_images(spark: SparkSession, path: str, target_width: int = 480, de
 
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     return images.mapInArrow(run, schema)
+
+
+def bitmap(w: str, h: str, lum: str) -> Column:
+    """An uncompressed bitmap file of 256 greys, as bytes, from columns w, h and lum: h lines of w values in 0..255, the top one first."""
+    word = lambda n: "concat(" + ", ".join(f"substr(lpad(hex({n}), 8, '0'), {i}, 2)" for i in (7, 5, 3, 1)) + ")"
+    pad = f"pmod(-{w}, 4)"
+    size, top = f"({w} + {pad}) * {h}", 54 + 4 * 256
+    greys = "".join(f"{i:02X}" * 3 + "00" for i in range(256))
+    head = ["'424D'", word(f"{top} + {size}"), "'00000000'", word(top), word(40), word(w), word(h), "'01000800'", word(0), word(size), word(0), word(0), word(256), word(0), f"'{greys}'"]
+    line = f"concat(array_join(transform(slice({lum}, y * {w} + 1, {w}), v -> lpad(hex(v), 2, '0')), ''), repeat('00', {pad}))"
+    return F.expr(f"unhex(concat({', '.join(head)}, array_join(transform(sequence({h} - 1, 0, -1), y -> {line}), '')))")
+
+
+def write_bitmaps(maps: DataFrame, path: str) -> None:
+    """One bitmap file of each of maps(page_id, w, h, lum), in a folder page_id=... of path, through Spark's own writer.
+
+    Maps with a null or without values are left out. Each file has a line break after the picture, which no reader minds.
+    """
+    whole = maps.filter("page_id IS NOT NULL AND w > 0 AND h > 0 AND size(lum) = w * h AND NOT exists(lum, v -> v IS NULL OR v NOT BETWEEN 0 AND 255)")
+    whole.select("page_id", bitmap("w", "h", "lum").cast("string").alias("value")).write.mode("overwrite").partitionBy("page_id").text(path)

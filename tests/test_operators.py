@@ -23,9 +23,9 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def cut_brute(cells, w, h, depth=6, dark=None, shear=True):
+def cut_brute(cells, w, h, depth=6, dark=None, shear=True, remember=False):
     """(leaves, how regions were split), a region of one page after another."""
-    out, ways = [], []
+    out, ways, last = [], [], []
     small = min(w, h)
     least, widest, side = max(2, int(small * 0.005)), max(2, int(small * 0.01)), max(4, int(small * 0.03))
 
@@ -45,7 +45,7 @@ def cut_brute(cells, w, h, depth=6, dark=None, shear=True):
         return best
 
     def slanted(ink, x0, x1, y0, y1):
-        for slope in cut.SLOPES:
+        for slope in last[-1:] * remember + list(cut.SLOPES):
             for axis, (lo, hi), (a0, a1), place in (("col", (x0, x1), (y0, y1), lambda p: p), ("row", (y0, y1), (x0, x1), lambda p: p[::-1])):
                 counts, mid, size = Counter(), math.floor((a0 + a1) / 2), a1 - a0 + 1
                 for p in ink:
@@ -56,6 +56,7 @@ def cut_brute(cells, w, h, depth=6, dark=None, shear=True):
                 drift = math.floor(abs(slope) * size / 2) + 1
                 for n, start in bands(counts, size / 2):
                     if start - drift > lo and start + n - 1 + drift < hi:
+                        last.append(slope)
                         return axis, start - drift, start + n - 1 + drift
         return None
 
@@ -122,6 +123,24 @@ def test_xy_cut_equals_a_loop(spark, shear, drawn):
     assert set(ways) >= ({"slanted col", "slanted row"} if shear else set()) | ({"drawn"} if drawn else set())
 
 
+def test_slopes_of_a_page_are_remembered_as_by_a_loop(spark):
+    """Pages of three to five parts: a narrow band that few slopes fit, then wider ones that many do."""
+    r = random.Random(2)
+    pages, want, other, ways = {}, [], set(), Counter()
+    for page in range(24):
+        flip, n = r.random() < 0.5, r.randrange(2, 5)
+        bands = [(60 * (i + 1) / (n + 1), r.choice(cut.SLOPES[2 * (i == 0) :]), r.choice([1.5, 2.5]) if i == 0 else r.choice([2.5, 4, 5])) for i in range(n)]
+        ink = {(x, y) for x in range(1, 59) for y in range(1, 59) if not any(abs(x - at - s * (y - 30)) <= b for at, s, b in bands)}
+        pages[page] = {(y, x) if flip else (x, y) for x, y in ink}
+        leaves, how = cut_brute(pages[page], 60, 60, depth=3, remember=True)
+        want += [(page, *leaf) for leaf in leaves]
+        other |= {page} if leaves != cut_brute(pages[page], 60, 60, depth=3)[0] else set()
+        ways.update(how)
+    maps = spark.range(24).selectExpr("id AS page_id", "60 AS w", "60 AS h")
+    assert rows(cut.xy_cut(ink_runs(spark, pages), maps, depth=3, remember=True)) == sorted(want)
+    assert len(other) > 3 and ways["slanted col"] and ways["slanted row"]
+
+
 def test_slabs_of_boxes_hold_the_cells_of_the_runs(spark):
     r = random.Random(2)
     boxes = {(p, r.randrange(30), r.randrange(30), r.randrange(1, 12), r.randrange(1, 12)) for p in range(20) for _ in range(r.randrange(1, 6))}
@@ -248,6 +267,22 @@ def test_page_images(spark, tmp_path):
     assert [tuple(x) for x in r["runs"]] == [(y, 50, 99) for y in range(5, 10)]
 
 
+def test_bitmaps_are_read_as_written(spark, tmp_path):
+    """A width that needs padding, all greys, and maps that are left out."""
+    r = random.Random(4)
+    w, h = 37, 33
+    lum = [r.randrange(256) for _ in range(w * h)]
+    maps = [(7, w, h, lum), (-3, w, h, [255] * (w * h)), (8, w, h, lum[1:]), (9, w, h, [None] + lum[1:]), (None, w, h, lum), (10, w, h, None), (11, w, h, [256] + lum[1:]), (12, 0, 0, [])]
+    logs.write_bitmaps(spark.createDataFrame(maps, "page_id long, w int, h int, lum array<int>"), str(tmp_path / "b"))
+    got = {int(x["origin"].split("page_id=")[1].split("/")[0]): x for x in logs.read_page_images(spark, str(tmp_path / "b")).collect()}
+    assert sorted(got) == [-3, 7] and got[-3]["runs"] == []
+    edge = sorted(v for i, v in enumerate(lum) if i % w in (0, w - 1) or i // w in (0, h - 1))
+    bg = edge[(len(edge) - 1) // 2]
+    assert (got[7]["w"], got[7]["h"], got[7]["background"]) == (w, h, bg)
+    cells = sorted((x, y) for y, x0, x1 in got[7]["runs"] for x in range(x0, x1 + 1))
+    assert cells == sorted((i % w, i // w) for i, v in enumerate(lum) if abs(v - bg) > 40)
+
+
 def test_sinks(spark, tmp_path):
     v = spark.createDataFrame([(1, "manga", "auto", False), (2, "comic", "auto", False)], "page_id long, mode string, detector string, border_split boolean")
     for df in (v, v.filter("mode = 'comic'").withColumn("page_id", F.lit(9).cast("long"))):
