@@ -544,12 +544,6 @@ def segment_pages(spark, d):
     return panels.reading_order(found).join(verdict.select("page_id", "accepted", "reason"), "page_id")
 
 
-@query()
-def slope_memory(spark, d):
-    """Leaves of the cut, each page trying the slope first that split its last region."""
-    return cut.xy_cut(*ink_and_maps(spark, d), remember=True)
-
-
 @query(f"""WITH e AS (SELECT page_id, 4 * x + i AS x, 4 * y + j AS y, lum FROM {V3}, range(4) a(i), range(4) b(j)),
 b AS (SELECT page_id, list_sort(list(lum))[62] AS background FROM e WHERE x IN (0, 31) OR y IN (0, 31) GROUP BY page_id),
 k AS (SELECT page_id, background, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS i FROM e JOIN b USING (page_id) WHERE abs(lum - background) > 40)
