@@ -8,16 +8,21 @@ at a thin drawn line, else along a slanted band; regions without any are leaves.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .raster import profile, slabs
 
 KEYS = ("page_id", "path")
 #: Slopes of slanted bands, in the order in which they are tried.
 SLOPES = (0.035, -0.035, 0.061, -0.061, 0.087, -0.087, 0.115, -0.115, 0.141, -0.141)
+#: Slabs times places that a task tries slopes on at once; a region with more is a part of its own.
+PART = 1 << 21
 
 
 def trim(ink: DataFrame, *keys: str) -> DataFrame:
@@ -64,6 +69,75 @@ def border_lines(dark: DataFrame, boxes: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "axis", "b.start", "b.len")
 
 
+def _lines(first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slab, place) of every step-th line, counted from lo, that slabs from first to last hold within lo and hi."""
+    begin = lo - (lo - np.maximum(first, lo)) // step * step
+    n = np.maximum(0, (np.minimum(last, hi) - begin) // step + 1)
+    of = np.repeat(np.arange(n.size), n)
+    return of, begin[of] + (np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)) * step
+
+
+def _slanted(slope: float, step: int, lines: dict[str, np.ndarray], r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, start, len): the longest band that fits of each region that has any, first of equals, for one axis.
+
+    lines(region, at, b0, b1): stretches that move with `at`. r(low, high, mid, extent, min_len): regions, whose places lie end to end in one array.
+    """
+    room = r["high"] - r["low"] + 2
+    offset = np.cumsum(room) - room
+    of = lines["region"]
+    shift = np.floor(slope * (lines["at"] - r["mid"][of]) + 0.5).astype(np.int64)
+    lo, hi = np.maximum(lines["b0"] - shift, r["low"][of]), np.minimum(lines["b1"] - shift, r["high"][of])
+    met, base = lo <= hi, (offset - r["low"])[of]
+    size = int(room.sum())
+    count = np.cumsum(np.bincount((base + lo)[met], minlength=size) - np.bincount((base + hi + 1)[met], minlength=size))
+    at = np.flatnonzero(count * (1000 * step) > np.repeat(r["extent"] * 5, room))
+    owner = np.searchsorted(offset, at, "right") - 1
+    n, own = at[1:] - at[:-1] - 1, owner[:-1]
+    band = (owner[1:] == own) & (n >= np.maximum(1, r["min_len"][own]))
+    own, n = own[band], n[band]
+    drift = np.floor(abs(slope) * r["extent"][own] / 2).astype(np.int64) + 1
+    lo = at[:-1][band] + 1 - (offset - r["low"])[own] - drift
+    length = n + 2 * drift
+    fits = (lo > r["low"][own]) & (lo + length - 1 < r["high"][own])
+    own, lo, length = own[fits], lo[fits], length[fits]
+    best = np.lexsort((lo, -length, own))
+    first = best[np.unique(own[best], return_index=True)[1]]
+    return own[first], lo[first], length[first]
+
+
+def _first_slanted(box: dict[str, np.ndarray], slab: dict[str, np.ndarray], slopes: Sequence[float], step: int, hint: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(rank, late, start, len, fits) of each region, rank -1 without a band; late is 1 for rows. Only with a hint are slopes tried after the first that fits."""
+    n = box["min_len"].size
+    rank, late, start, length, fits = (np.full(n, v, np.int64) for v in (-1, 0, 0, 0, 0))
+    sides = []
+    for a, b, clipped in (("y", "x", True), ("x", "y", False)):
+        r = {"low": box[b + "0"], "high": box[b + "1"], "mid": (box[a + "0"] + box[a + "1"]) // 2, "extent": box[a + "1"] - box[a + "0"] + 1, "min_len": box["min_len"]}
+        own = slab["region"]
+        of, at = _lines(slab[a + "0"], slab[a + "1"], box[a + "0"][own], box[a + "1"][own], step)
+        b0, b1, own = slab[b + "0"][of], slab[b + "1"][of], own[of]
+        if clipped:
+            b0, b1 = np.maximum(b0, r["low"][own]), np.minimum(b1, r["high"][own])
+        sides.append(({"region": own, "at": at, "b0": b0, "b1": b1}, r))
+    live = np.arange(n)
+    for k, slope in enumerate(slopes):
+        before = rank < 0 if hint is None else (rank < 0) | (hint == k)
+        for i, (lines, r) in enumerate(sides):
+            own, lo, size = _slanted(slope, step, lines, r)
+            own = live[own]
+            new = before[own] & (fits[own] >> k & 1 == 0)
+            fits[own] |= 1 << k
+            own = own[new]
+            rank[own], late[own], start[own], length[own] = k, i, lo[new], size[new]
+        if hint is None:  # regions that are split leave
+            stay = rank[live] < 0
+            number = np.cumsum(stay) - 1
+            sides = [({c: (number[v] if c == "region" else v)[keep] for c, v in lines.items()}, {c: v[stay] for c, v in r.items()}) for lines, r in sides for keep in [stay[lines["region"]]]]
+            live = live[stay]
+            if not live.size:
+                break
+    return rank, late, start, length, fits
+
+
 def sheared(ink: DataFrame, boxes: DataFrame, *keys: str, slopes: Sequence[float] = SLOPES, step: int = 2) -> DataFrame:
     """(keys, axis, start, len): the first slanted band that fits, of slabs within boxes(keys, x0, y0, x1, y1, min_len).
 
@@ -71,39 +145,42 @@ def sheared(ink: DataFrame, boxes: DataFrame, *keys: str, slopes: Sequence[float
     lost. A band counts with the drift that the slope adds on each side, and must end within the region. Slopes go
     in order, columns before rows, wider bands before narrower ones. If boxes have a hint, which is the place of a slope
     or null, that slope goes first, and rank, the place of the slope that split, and fits, bits of all that could, follow.
+
+    A region is a row with its slabs, of which a page's raster bounds the number; a task tries one slope after another on
+    those of its regions that are still without a band, many regions at a time.
     """
-    met = ink.join(boxes.select(*keys, *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")], "min_len"), list(keys))
-    sampled = "sequence(r{a}0 + cast(ceil((greatest({a}0, r{a}0) - r{a}0) / {s}) * {s} AS int), least({a}1, r{a}1), {s})"
-    lined = lambda a: F.expr(f"if(r{a}0 + cast(ceil((greatest({a}0, r{a}0) - r{a}0) / {step}) * {step} AS int) <= least({a}1, r{a}1), {sampled.format(a=a, s=step)}, array())")
-    ranked = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(s).alias("slope")) for i, s in enumerate(slopes)]))
-
-    def side(axis: str, a: str, b: str, sign: int) -> DataFrame:
-        """Lines along `a`, whose stretches on `b` move."""
-        rows = met.withColumn("at", F.explode(lined(a))).withColumn("k", ranked).select("*", "k.rank", "k.slope")
-        shift = F.floor(F.col("slope") * (F.col("at") - F.floor((F.col(f"r{a}0") + F.col(f"r{a}1")) / 2)) + 0.5).cast("int")
-        low, high = F.col(f"r{b}0"), F.col(f"r{b}1")
-        rows = rows.withColumn("from", F.greatest(F.col(f"{b}0") - shift, low) if sign else F.greatest(F.col(f"{b}0"), low, low + shift) - shift)
-        rows = rows.withColumn("to", F.least(F.col(f"{b}1") - shift, high) if sign else F.least(F.col(f"{b}1"), high, high + shift) - shift).filter("from <= to")
-        extent = (F.col(f"r{a}1") - F.col(f"r{a}0") + 1).alias("extent")
-        ends = F.explode(F.array(F.struct(F.col("from").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("to") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e")
-        return rows.select(*keys, F.lit(axis).alias("axis"), "rank", "slope", extent, low.alias("low"), high.alias("high"), "min_len", ends).select("*", "e.*").drop("e")
-
-    steps = side("col", "y", "x", 0).unionByName(side("row", "x", "y", 1))
-    group = [*keys, "axis", "rank"]
-    summed = steps.groupBy(*group, "slope", "extent", "low", "high", "min_len", "pos").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*group).orderBy("pos")
-    level = summed.withColumn("count", F.sum("d").over(order)).withColumn("last", F.lead("pos").over(order) - 1)
-    inked = level.filter(F.col("count") * (1000 * step) > F.col("extent") * 5)
-    bands = inked.withColumn("start", F.col("last") + 1).withColumn("len", F.lead("pos").over(order) - F.col("last") - 1).filter("len >= min_len")
-    drift = (F.floor(F.abs("slope") * F.col("extent") / 2) + 1).cast("int")
-    fits = bands.withColumn("lo", F.col("start") - drift).withColumn("hi", F.col("start") + F.col("len") - 1 + drift).filter("lo > low AND hi < high")
     hinted = "hint" in boxes.columns
-    turn, more = F.col("rank"), []
-    if hinted:
-        fits = fits.join(boxes.select(*keys, "hint"), list(keys))
-        turn, more = F.when(F.col("rank") == F.col("hint"), -1).otherwise(F.col("rank")), [F.bit_or(F.expr("shiftleft(1, rank)")).alias("fits")]
-    first = fits.groupBy(*keys).agg(F.min(F.struct(turn.alias("turn"), (F.col("axis") == "row").alias("late"), (-F.col("len")).alias("l"), "start", "axis", "lo", "hi", "rank")).alias("b"), *more)
-    return first.select(*keys, "b.axis", F.col("b.lo").alias("start"), F.expr("b.hi - b.lo + 1").alias("len"), *(["b.rank", "fits"] if hinted else []))
+    sides = [*(f"r{c}" for c in ("x0", "y0", "x1", "y1")), "min_len", *(["hint"] if hinted else [])]
+    of = boxes.select(*keys, *[F.col(c.removeprefix("r")).cast("long").alias(c) for c in sides])
+    slab = F.struct(*[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    packed = ink.join(of, list(keys)).groupBy(*keys).agg(*[F.first(c).alias(c) for c in sides], F.collect_list(slab).alias("slabs"))
+    kinds = "axis string, start int, len int" + (", rank int, fits int" if hinted else "")
+    schema = StructType([*packed.select(*keys).schema.fields, *StructType.fromDDL(kinds).fields])
+
+    def bands(t: pa.Table) -> pa.RecordBatch:
+        whole = lambda c: t.column(c).to_numpy()
+        lists = t.column("slabs").combine_chunks()
+        flat, n = lists.flatten(), lists.value_lengths().to_numpy()
+        slabs_of = {c: flat.field(c).to_numpy() for c in ("x0", "y0", "x1", "y1")} | {"region": np.repeat(np.arange(n.size), n)}
+        box = {c: whole("r" + c) for c in ("x0", "y0", "x1", "y1")} | {"min_len": whole("min_len")}
+        hint = t.column("hint").fill_null(-1).to_numpy() if hinted else None
+        rank, late, start, length, fits = _first_slanted(box, slabs_of, slopes, step, hint)
+        at = np.flatnonzero(rank >= 0)
+        got = {c: t.column(c).take(at).combine_chunks() for c in keys} | {"axis": pa.array(np.where(late[at] == 1, "row", "col").tolist(), pa.string())}
+        got |= {c: pa.array(v[at], pa.int32()) for c, v in (("start", start), ("len", length), ("rank", rank), ("fits", fits)) if c in schema.names}
+        return pa.record_batch(got)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # parts of about as many places and lines each, so that a task's memory does not depend on what a batch holds
+            lists = b.column(b.schema.get_field_index("slabs"))
+            ends = [b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rx0", "rx1", "ry0", "ry1")]
+            cost = np.cumsum((ends[1] - ends[0] + ends[3] - ends[2] + 2) * (1 + lists.value_lengths().to_numpy()))
+            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(cost // PART)) + 1):
+                if part.size:
+                    yield bands(pa.Table.from_batches([b.slice(int(part[0]), part.size)]))
+
+    return packed.mapInArrow(tried, schema)
 
 
 def _both(best: DataFrame, *keys: str) -> DataFrame:
