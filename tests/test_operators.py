@@ -141,6 +141,34 @@ def test_slopes_of_a_page_are_remembered_as_by_a_loop(spark):
     assert len(other) > 3 and ways["slanted col"] and ways["slanted row"]
 
 
+def test_slanted_bands_in_parts_and_with_hints(spark, monkeypatch):
+    """Bands do not depend on how regions are put together; a hint goes first; every slope that fits has its bit; a column that both inputs have does no harm."""
+    r = random.Random(5)
+    pages = {}
+    for page in range(30):
+        s, b, flip = r.choice(cut.SLOPES), r.choice([2.5, 4, 6]), r.random() < 0.5
+        ink = {(x, y) for x in range(2, 50) for y in range(2, 50) if abs(x - 25 - s * (y - 25)) > b or page % 5 == 0}
+        pages[page] = {(y, x) if flip else (x, y) for x, y in ink}
+    ink = raster.slabs(ink_runs(spark, pages), True).withColumn("extra", F.lit(1))
+    boxes = cut.trim(ink, "page_id").withColumns({"min_len": F.lit(2), "extra": F.lit("a")})
+    want = rows(cut.sheared(ink, boxes, "page_id"))
+    assert 0 < len(want) <= 24
+    monkeypatch.setattr(cut, "PART", 1)
+    assert rows(cut.sheared(ink, boxes, "page_id")) == want
+    one_by_one = {i: {t[0]: t[1:] for t in rows(cut.sheared(ink, boxes, "page_id", slopes=[slope]))} for i, slope in list(enumerate(cut.SLOPES))[:4]}
+    hints = boxes.withColumn("hint", F.expr("if(page_id % 2 = 0, 3, null)"))
+    got = {t["page_id"]: t for t in cut.sheared(ink, hints, "page_id").collect()}
+    assert set(got) == {t[0] for t in want}
+    for page, t in got.items():
+        assert all(bool(t["fits"] >> i & 1) == (page in found) for i, found in one_by_one.items())
+        least = min(i for i in range(len(cut.SLOPES)) if t["fits"] >> i & 1)
+        assert t["rank"] == (3 if page % 2 == 0 and t["fits"] >> 3 & 1 else least)
+        if t["rank"] in one_by_one:
+            assert (t["axis"], t["start"], t["len"]) == one_by_one[t["rank"]][page]
+    assert any(t["rank"] == 3 and t["fits"] & 7 for t in got.values())
+    assert rows(cut.sheared(ink.limit(0), boxes, "page_id")) == rows(cut.sheared(ink, boxes.limit(0), "page_id")) == []
+
+
 def test_slabs_of_boxes_hold_the_cells_of_the_runs(spark):
     r = random.Random(2)
     boxes = {(p, r.randrange(30), r.randrange(30), r.randrange(1, 12), r.randrange(1, 12)) for p in range(20) for _ in range(r.randrange(1, 6))}
