@@ -211,9 +211,11 @@ def _most(num: int, den: int, tile: int) -> Column:
     return F.least(F.lit(float(tile)), F.greatest(F.lit(64.0), (1 << 22) / F.pow(F.lit(den / num), F.col("band") + 1)))
 
 
-def _beside(counts: DataFrame, names: dict[str, str], step: int) -> DataFrame:
-    """Columns of the band that is `step` away, under other names, filed under this one."""
-    return counts.select("g", (F.col("band") - step).alias("band"), *[F.col(c).alias(n) for c, n in names.items()])
+def _beside(name: str, step: int) -> Column:
+    """A column of the group's band that is `step` away, 0 if there is none."""
+    by = Window.partitionBy("g").orderBy("band")
+    there = F.lead("band", step).over(by) == F.col("band") + step
+    return F.when(there, F.lead(name, step).over(by)).otherwise(0)
 
 
 def _first_tiles(groups: DataFrame, num: int, den: int, tile: int, pivots: int) -> DataFrame:
@@ -223,8 +225,8 @@ def _first_tiles(groups: DataFrame, num: int, den: int, tile: int, pivots: int)
     """
     h = F.xxhash64("g")
     two = groups.groupBy("s").agg(F.first("n").alias("n"), F.max(F.struct("w", h, "g")).alias("a"), F.min(F.struct(h, "g")).alias("b"))
-    rows = two.select("s", "n", F.explode(F.array_distinct(F.array("a.g", "b.g"))).alias("g")).withColumn("band", _band(num, den))
-    counts = rows.groupBy("g", "band").agg(F.count("*").alias("c")).withColumn("k", F.ceil(F.col("c") / _most(num, den, tile)).cast("int"))
+    rows = cut(two.select("s", "n", F.explode(F.array_distinct(F.array("a.g", "b.g"))).alias("g")).withColumn("band", _band(num, den)))
+    counts = cut(rows.groupBy("g", "band").agg(F.count("*").alias("c")).withColumn("k", F.ceil(F.col("c") / _most(num, den, tile)).cast("int")))
     own = rows.join(counts, ["g", "band"]).select("g", "s", "n", F.col("band").alias("low"), F.pmod(F.xxhash64("s"), "k").cast("int").alias("i"))
     slot = F.pmod(F.xxhash64(F.lit(3), "s"), F.lit(pivots))
     best = rows.groupBy("g", "band", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(5), "s"), "s", "n")).alias("p")).select("g", "band", "p.s", "p.n")
@@ -244,11 +246,12 @@ def _all_tiles(members: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     sizes = members.groupBy("g", "root").agg(F.count("*").alias("c"))
     open_ = sizes.groupBy("g").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m")).filter("roots > 1")
     open_ = open_.select("g", F.when(F.col("m.c") > tile, F.col("m.root")).alias("big"))
-    rows = members.join(open_, "g").withColumn("main", F.col("root").eqNullSafe(F.col("big"))).withColumn("band", _band(num, den))
+    rows = members.join(open_, "g").select("g", "s", "n", "root", F.col("root").eqNullSafe(F.col("big")).alias("main"), _band(num, den).alias("band"))
+    rows = cut(rows)  # in parts: as one plan, this had hundreds of nodes, of which the driver keeps descriptions and threads
     blocks = lambda c: F.ceil(c / _most(num, den, tile)).cast("int")
     counts = rows.groupBy("g", "band").agg(F.count_if(~F.col("main")).alias("co"), F.count_if("main").alias("cb"))
     counts = counts.select("g", "band", "co", blocks(F.col("co")).alias("ko"), blocks(F.col("cb")).alias("kb"))
-    near = counts.join(_beside(counts, {"ko": "ko_up", "kb": "kb_up"}, 1), ["g", "band"], "left").join(_beside(counts, {"ko": "ko_dn", "kb": "kb_dn"}, -1), ["g", "band"], "left").na.fill(0)
+    near = cut(counts.select("*", *[_beside(c, step).alias(f"{c}_{name}") for c in ("ko", "kb") for name, step in (("up", 1), ("dn", -1))]))
     dealt = rows.join(near, ["g", "band"]).withColumn("h", F.pmod(F.xxhash64("s"), F.when(F.col("main"), F.col("kb")).otherwise(F.col("ko"))).cast("int"))
 
     def meets(with_: str, kind: int, low: str, i: str, j: str, side: str) -> str:
@@ -482,7 +485,8 @@ class _Tiled:
             return near
         clusters = components(near).select(F.col("id").alias("s"), F.col("root").alias("g"))
         each = members.groupBy("s").agg(F.first("n").alias("n"), F.first("root").alias("root"))
-        return self.exact(cut(_all_tiles(clusters.join(each, "s").select("g", "s", "n", "root"), num, den, self.tile)))
+        inside = cut(clusters.join(each, "s").select("g", "s", "n", "root"))
+        return self.exact(cut(_all_tiles(inside, num, den, self.tile)))
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int = 8, late: int = 200_000, tile: int = 1024, bits: int = 64) -> DataFrame:
@@ -528,13 +532,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, pivots: int =
         tiled = _Tiled(sketches, arrays, num, den, tile)
         links = tiled.first(groups, pivots)
         roots = cut(components(links)).withColumnRenamed("id", "s")
-        rooted = groups.select("g", "s", "n").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+        rooted = cut(groups.select("g", "s", "n").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
         more = tiled.rest(rooted)
         if not more.isEmpty():
             roots = cut(components(links.unionByName(more))).withColumnRenamed("id", "s")
     if roots is None:
         roots = some.limit(0).select("s", F.col("s").alias("root"))
-    rooted = first.select("s", "first").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
+    rooted = cut(first.select("s", "first").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select("s", "component")
     full = some.join(named, "s").select("id", "n_shingles", "component")

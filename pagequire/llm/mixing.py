@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "order"), 11)
     placed = rows.join(plan, src("s")).withColumn("spot", spot).withColumn("block", F.floor(F.col("spot") / F.lit(float(1 << 53)) * F.col("n_blocks")).cast("long"))
     blocks = placed.groupBy("s", "block", "rest", "passes").agg(F.sum("size").alias("words"))
-    blocks = _numbered(blocks, ["s"], F.floor(F.col("block") / CHUNK), ["block"], F.col("words"), "begin")
+    blocks = cut(_numbered(blocks, ["s"], F.floor(F.col("block") / CHUNK), ["block"], F.col("words"), "begin"))
     blocks = blocks.withColumn("whole", F.col("begin") + F.col("words") <= F.col("rest")).withColumn("part", (F.col("begin") < F.col("rest")) & ~F.col("whole"))
 
     # draws of a source: `passes` of every block, and one more of the first ones; each draw has a number in a permuted order
@@ -121,13 +121,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     # one row for each source goes to one task here, never the texts or blocks
     ends = draws.groupBy("s").agg(F.count("*").alias("n")).groupBy().applyInArrow(deal, "s string, ends array<long>").select(F.col("s").alias("s2"), "ends")
-    dealt = draws.join(ends, F.col("s").eqNullSafe(F.col("s2"))).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("number")))).select(F.col("s").alias("s3"), F.col("block").alias("b3"), "begin", "part", "repeat", "shard")
+    dealt = draws.join(ends, F.col("s").eqNullSafe(F.col("s2"))).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("number"))))
+    dealt = cut(dealt.select(F.col("s").alias("s3"), F.col("block").alias("b3"), "begin", "part", "repeat", "shard"))
 
     taken = placed.join(dealt, src("s3") & (F.col("block") == F.col("b3")))
     last = F.col("part") & (F.col("repeat") == F.col("passes"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("s3", "block").orderBy("spot", "size", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = taken.filter(last).withColumn("before", F.col("begin") + before).filter(F.col("before") + F.col("size") / 2 <= F.col("rest")).drop("before")
-    every = taken.filter(~last).unionByName(edge)
+    every = cut(taken.filter(~last).unionByName(edge).select("key", "source", "size", "source_size", "target", "repeat", "shard", "order"))
     at = F.xxhash64(F.lit(seed), "shard", "repeat", "order")
     shuffled = _numbered(every, ["shard"], F.shiftright(at, 64 - CHUNK_BITS), [at, "repeat", "size", "key"], F.lit(1), "place")
     return shuffled.select("key", "source", "size", "source_size", "target", "repeat", "shard", "place")

@@ -572,3 +572,29 @@ def test_pipeline_run_is_its_stages_in_turn(spark, tmp_path):
         stage(spark, step, str(tmp_path)).write.parquet(f"{tmp_path}/step{i}")
         step = spark.read.parquet(f"{tmp_path}/step{i}")
     assert Counter((x["doc_id"], x["text"], x["repeat"]) for x in got.collect()) == Counter((x["doc_id"], x["text"], x["repeat"]) for x in step.collect())
+
+
+def test_no_plan_of_pair_links_or_mixes_grows_large(spark, monkeypatch):
+    """The driver keeps each plan's description and a thread for each exchange for a while; one plan of all tiles took hundreds of nodes."""
+    from pagequire.llm import store
+
+    sizes = []
+
+    def measured(df):
+        sizes.append(len(df._jdf.queryExecution().executedPlan().toString().splitlines()))
+        return store.cut(df)
+
+    for module in (jaccard, mixing):
+        monkeypatch.setattr(module, "cut", measured)
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(6)]
+    # one word of 40 differs in each copy, so 35 of 40 shingles or so are shared; every pair of copies of one text links or not
+    rows = [(i * 100 + k, " ".join(w if j != k * 3 else f"x{k}" for j, w in enumerate(t.split()))) for i, t in enumerate(base) for k in range(8)]
+    links = jaccard.join(spark.createDataFrame(rows, "id long, text string"))
+    sizes.append(len(links._jdf.queryExecution().executedPlan().toString().splitlines()))
+    assert links.count() == 48
+    docs = spark.createDataFrame([(i, "abc"[i % 3], 10 + i) for i in range(60)], "key long, source string, size long")
+    mix = mixing.mix(docs)
+    sizes.append(len(mix._jdf.queryExecution().executedPlan().toString().splitlines()))
+    assert mix.count() > 0
+    assert max(sizes) < 120
