@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagequire.functions import text
 from pagequire.operators import cut, geometry, nav, ordered, panels, raster, reviews, settings, words
+from pagequire.plans import queries
 from pagequire.sources import logs
 from pagequire.streaming import streams
 
@@ -179,6 +180,56 @@ def test_slabs_of_boxes_hold_the_cells_of_the_runs(spark):
     assert cells(rows(raster.slabs_of_boxes(v).select(*names))) == want == cells(rows(raster.slabs(raster.runs_of_boxes(v), True).select(*names)))
 
 
+def small_tables(spark, at, pages=60, lines=5):
+    """The columns of lineitem, orders and events that boxes, taps and points come from."""
+    r = random.Random(8)
+    tables = {
+        "lineitem": ([(p, r.randrange(2000), r.randrange(100), k, float(r.randrange(1, 51))) for p in range(pages) for k in range(1, lines + 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"),
+        "orders": ([(p,) for p in range(pages)], "o_orderkey long"),
+        "events": ([(i, i % 7, "2024-01-01 00:00:00", r.choice(["click", "signup"]), r.uniform(0, 500), json.dumps({"k": r.randrange(100)})) for i in range(2 * pages)], "event_id long, user_id long, ts string, event_type string, value double, props string"),
+    }
+    for name, (values, schema) in tables.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    return pages * lines
+
+
+def exchanged(df):
+    """(rows, rows written to exchanges) of a query that is run."""
+    got, n, todo = rows(df), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            n += node.metrics().get("shuffleRecordsWritten").get().value()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    return got, n
+
+
+#: Rows that a query may write to exchanges for each box; a box has some seventy lines.
+ROWS_A_BOX = {
+    "line_gaps": 12,
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROWS_A_BOX))
+def test_boxes_are_not_exchanged_line_by_line(spark, tmp_path, monkeypatch, name):
+    """Nor does a query write what it goes on from."""
+    boxes = small_tables(spark, tmp_path)
+    monkeypatch.setattr(cut, "kept", lambda df: pytest.fail("written"))
+    got, n = exchanged(queries.QUERIES[name](spark, str(tmp_path)))
+    assert got and n <= ROWS_A_BOX[name] * boxes
+
+
+def test_slabs_of_a_crowded_page_come_in_strips(spark, monkeypatch):
+    r = random.Random(3)
+    boxes = [(1, r.randrange(40), r.randrange(40), r.randrange(1, 9), r.randrange(1, 9)) for _ in range(50)] + [(2, 3, 3, 2, 2), (3, 1, 1, 0, 4), (4, None, 1, 2, 2)]
+    v = spark.createDataFrame(boxes, "page_id long, x int, y int, w int, h int")
+    want = {(p, i, j) for p, x, y, w, h in boxes[:51] for i in range(x, x + w) for j in range(y, y + h)}
+    monkeypatch.setattr(raster, "PART", 200)
+    got = [(p, x, y) for p, y0, y1, x0, x1 in rows(raster.slabs_of_boxes(v).select("page_id", *raster.ENDS)) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_furniture_is_measured_against_all_ink_of_the_page(spark):
     leaves = spark.createDataFrame([(1, "00", 150, 676, 329, 693, 1900), (1, "01", 14, 14, 465, 653, 90_000)], "page_id long, path string, x0 int, y0 int, x1 int, y1 int, ink long")
     maps = spark.createDataFrame([(1, 480, 720, 100_000)], "page_id long, w int, h int, ink long")
