@@ -208,6 +208,7 @@ def exchanged(df):
 #: Rows that a query may write to exchanges for each box; a box has some seventy lines.
 ROWS_A_BOX = {
     "line_gaps": 12,
+    "text_lines": 2,
 }
 
 
