@@ -209,6 +209,7 @@ def exchanged(df):
 ROWS_A_BOX = {
     "line_gaps": 12,
     "text_lines": 2,
+    "nearest_lines": 4,
 }
 
 
