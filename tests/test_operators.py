@@ -210,6 +210,7 @@ ROWS_A_BOX = {
     "line_gaps": 12,
     "text_lines": 2,
     "nearest_lines": 4,
+    "segment_pages": 12,
 }
 
 
