@@ -211,6 +211,7 @@ ROWS_A_BOX = {
     "text_lines": 2,
     "nearest_lines": 4,
     "segment_pages": 12,
+    "trim_regions": 2,
 }
 
 
