@@ -212,6 +212,7 @@ ROWS_A_BOX = {
     "nearest_lines": 4,
     "segment_pages": 12,
     "trim_regions": 2,
+    "widest_gutters": 2,
 }
 
 
