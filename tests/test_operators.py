@@ -213,6 +213,7 @@ ROWS_A_BOX = {
     "segment_pages": 12,
     "trim_regions": 2,
     "widest_gutters": 2,
+    "cut_level1": 2,
 }
 
 
