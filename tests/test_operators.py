@@ -214,6 +214,7 @@ ROWS_A_BOX = {
     "trim_regions": 2,
     "widest_gutters": 2,
     "cut_level1": 2,
+    "cut_rects": 4,
 }
 
 
