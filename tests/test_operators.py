@@ -215,6 +215,7 @@ ROWS_A_BOX = {
     "widest_gutters": 2,
     "cut_level1": 2,
     "cut_rects": 4,
+    "cut_panels": 10,
 }
 
 
