@@ -2,7 +2,8 @@
 
 A tap looks at a crop of its page, scaled to a tile. On the tile it snaps to the nearest line of ink, grows that to a
 text line, calibrates from the line's own gaps how wide a gap between words is, and grows to the word between two such
-gaps. All rows of a tap are in one task from the join with its page on; they are no more than a tile has lines and runs.
+gaps. A tap meets its page's ink as a value of one row and is worked out within that row, so nothing is stored but the
+join with the pages; the ink is slabs, of which a tile's raster bounds the number.
 """
 
 from __future__ import annotations
@@ -10,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cut import kept
 from .geometry import clamp, tile_to_native
-from .raster import is_signed_ink, merged_runs, to_runs
+from .raster import is_signed_ink, merged_runs, packed_slabs, slabs_of_cells
 from .reviews import gap_threshold
 
 #: In native units the reach of a line, of its band and of the background's sample, in heights of a line the others.
@@ -55,39 +55,50 @@ def _on_tile(met: DataFrame, zoom: int) -> DataFrame:
     return met.filter("y BETWEEN 0 AND th - 1").select(F.col("tap_id").alias("page_id"), "y", "x0", "x1")
 
 
-def tile_backgrounds(tiled: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
-    """(tap_id, background, inverted) of `tiled` taps that have any of the cells(of, ry, r0, r1, lum) of their page around them.
+def _on_tiles(tiled: DataFrame, pages: DataFrame, zoom: int, *more: str) -> DataFrame:
+    """`tiled` with ink, the page's slabs on the tile as structs (y0, y1, x0, x1, more) in places of the tile; an empty array where there are none."""
+    met = f"s -> s.y1 * {zoom} + {zoom} - 1 - oy >= 0 AND s.y0 * {zoom} - oy < th AND s.x1 * {zoom} + {zoom} - 1 - ox >= 0 AND s.x0 * {zoom} - ox < tw"
+    ends = [f"greatest(0, s.{a}0 * {zoom} - o{a}) AS {a}0, least({size} - 1, s.{a}1 * {zoom} + {zoom} - 1 - o{a}) AS {a}1" for a, size in (("y", "th"), ("x", "tw"))]
+    on = F.expr(f"transform(filter(slabs, {met}), s -> struct({', '.join(ends + [f's.{c} AS {c}' for c in more])}))")
+    of = pages.select(F.col("page_id").alias("of"), "slabs")
+    return tiled.join(of, F.col("page_id") == F.col("of"), "left").withColumn("ink", F.when(F.col("slabs").isNotNull(), on).otherwise(F.expr(f"filter({_none(on_more=more)}, x -> false)"))).drop("of", "slabs").transform(_settled)
 
-    The upper quartile of the luminance around the tap, sampled in steps of a 32nd of the sample's shorter side: paper is
-    what most of a bubble is, whatever the art around it. A cell counts as often as the sample meets it on the tile.
-    """
-    ends = {}
-    for a, size, half in (("x", "tw", HALF_BAND), ("y", "th", HALF_SAMPLE)):
-        ends |= {f"{a}lo": F.expr(f"greatest(0, t{a} - {half * zoom})"), f"{a}hi": F.expr(f"least({size} - 1, t{a} + {half * zoom})")}
-    at = tiled.withColumns(ends).withColumn("step", F.expr("greatest(1, least(xhi - xlo + 1, yhi - ylo + 1) div 32)"))
-    met = at.join(cells, (F.col("page_id") == F.col("of")) & _meets(zoom))
-    for a, at, o in (("x", "r0", "ox"), ("y", "ry", "oy")):
-        first, last = f"greatest({at} * {zoom} - {o}, {a}lo)", f"least({at} * {zoom} + {zoom} - 1 - {o}, {a}hi)"
-        met = met.withColumn(f"n{a}", F.expr(f"if({first} <= {last}, ({last} - {a}lo) div step - ({first} - {a}lo + step - 1) div step + 1, 0)"))
-    counts = met.filter("nx > 0 AND ny > 0").groupBy("tap_id", "lum").agg(F.sum(F.expr("nx * ny")).alias("n"))
-    own = Window.partitionBy("tap_id")
-    upto = counts.withColumn("upto", F.sum("n").over(own.orderBy("lum"))).withColumn("all", F.sum("n").over(own))
-    return upto.filter("upto * 4 >= all * 3").groupBy("tap_id").agg(F.min("lum").alias("background")).withColumn("inverted", F.col("background") < 128)
-
-
-def tile_runs_of_cells(tiled: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
-    """(tap_id, y, x0, x1): the ink of cells(page_id, x, y, lum) on each tap's tile, told apart by the tap's own background and polarity.
-
-    Cells that are missing are no ink and do not count for the background.
+
+def _settled(df: DataFrame) -> DataFrame:
+    """`df` with its columns as generated values: what follows refers to them, and the optimizer does not put their expressions in their place again and again."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
+def _none(on_more: tuple[str, ...] = ()) -> str:
+    return f"array(struct({', '.join(f'0 AS {c}' for c in ('y0', 'y1', 'x0', 'x1', *on_more))}))"
+
+
+def _background(zoom: int) -> Column:
+    """The upper quartile of the luminance around the tap, of tiles with ink(y0, y1, x0, x1, lum); null where there is none.
+
+    Sampled in steps of a 32nd of the sample's shorter side: paper is what most of a bubble is, whatever the art around
+    it. A cell counts as often as the sample meets it on the tile.
     """
-    c = cells.select(F.col("page_id").alias("of"), F.col("y").alias("ry"), F.col("x").alias("r0"), F.col("x").alias("r1"), "lum")
-    on = (F.col("page_id") == F.col("of")) & _meets(zoom)
-    # the cells are met twice, so that what lies on tiles is counted at once and never stored but for its ink
-    own = tiled.join(kept(tile_backgrounds(tiled, c, zoom)), "tap_id")
-    inked = own.join(c, on & is_signed_ink(F.col("lum"), F.col("background"), F.col("inverted")))
-    lines = to_runs(inked.select(F.col("tap_id").alias("page_id"), F.col("r0").alias("x"), F.col("ry").alias("y")))
-    runs = lines.select(F.col("page_id").alias("tap_id"), F.col("y").alias("ry"), F.col("x0").alias("r0"), F.col("x1").alias("r1"))
-    return _on_tile(tiled.select("tap_id", "ox", "oy", "tw", "th").join(runs, "tap_id"), zoom).withColumnRenamed("page_id", "tap_id")
+    lo = {a: f"greatest(0, t{a} - {half * zoom})" for a, half in (("x", HALF_BAND), ("y", HALF_SAMPLE))}
+    hi = {a: f"least({size} - 1, t{a} + {half * zoom})" for a, size, half in (("x", "tw", HALF_BAND), ("y", "th", HALF_SAMPLE))}
+    step = f"greatest(1, least({hi['x']} - {lo['x']} + 1, {hi['y']} - {lo['y']} + 1) div 32)"
+    n = [f"greatest(0, (least(s.{a}1, {hi[a]}) - {lo[a]}) div {step} - (greatest(s.{a}0, {lo[a]}) - {lo[a]} + {step} - 1) div {step} + 1)" for a in ("x", "y")]
+    met = " AND ".join(f"s.{a}0 <= {hi[a]} AND s.{a}1 >= {lo[a]}" for a in ("x", "y"))
+    counts = f"array_sort(filter(transform(filter(ink, s -> {met}), s -> struct(s.lum AS lum, cast({n[0]} * {n[1]} AS bigint) AS n)), s -> s.n > 0))"
+    upto = "aggregate(counts, struct(0L AS seen, cast(NULL AS int) AS lum), (a, s) -> struct(a.seen + s.n AS seen, coalesce(a.lum, if((a.seen + s.n) * 4 >= total * 3, cast(s.lum AS int), NULL)) AS lum), a -> a.lum)"
+    # each is bound once, as the argument of a function of one value
+    return F.expr(f"element_at(transform(array({counts}), counts -> element_at(transform(array(aggregate(counts, 0L, (a, s) -> a + s.n)), total -> {upto}), 1)), 1)")
+
+
+def _lit(tiled: DataFrame, cells: DataFrame, zoom: int) -> DataFrame:
+    """`tiled` with the cells(page_id, x, y, lum) on them as ink(y0, y1, x0, x1, lum) and their background."""
+    return _on_tiles(tiled, slabs_of_cells(cells), zoom, "lum").withColumn("background", _background(zoom)).transform(_settled)
+
+
+def tile_backgrounds(tiled: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
+    """(tap_id, background, inverted) of `tiled` taps that have any of the cells(of, ry, r0, r1, lum) of their page around them; see `_background`."""
+    c = cells.select(F.col("of").alias("page_id"), F.col("ry").alias("y"), F.col("r0").alias("x"), "lum")
+    return _lit(tiled, c, zoom).filter("background IS NOT NULL").select("tap_id", "background", (F.col("background") < 128).alias("inverted"))
 
 
 def nearest_flag(flags: DataFrame, *keys: str) -> DataFrame:
@@ -130,55 +141,64 @@ def word_boxes(taps: DataFrame, runs: DataFrame, zoom: int = 2) -> DataFrame:
     A tap has a box or a reason why not. gaps are sorted; they and the threshold are null where no line was found. Taps
     whose crop is too small are left out.
     """
-    t = tiles(taps, zoom)
-    return _found(t, tile_runs(t, runs, zoom), zoom)
+    return _found(_on_tiles(tiles(taps, zoom), packed_slabs(runs), zoom), zoom)
 
 
 def word_boxes_of_cells(taps: DataFrame, cells: DataFrame, zoom: int = 2) -> DataFrame:
-    """As word_boxes, from the luminance of cells(page_id, x, y, lum): each tap has its own background, dark on light or light on dark."""
-    t = tiles(taps, zoom)
-    return _found(t, tile_runs_of_cells(t, cells, zoom), zoom)
+    """As word_boxes, from the luminance of cells(page_id, x, y, lum), or pages of them (see `slabs_of_cells`): each tap has its own background, dark on light or light on dark.
+
+    Cells that are missing are no ink and do not count for the background; each cell comes once.
+    """
+    t = _lit(tiles(taps, zoom), cells, zoom)
+    inked = F.filter("ink", lambda s: F.coalesce(is_signed_ink(s.lum, F.col("background"), F.col("background") < 128), F.lit(False)))
+    return _found(t.withColumn("ink", inked), zoom)
+
+
+def _nearest(stretches: str, origin: str, limit: str) -> Column:
+    """Of an array of stretches (a, z) the place nearest to the origin, within the limit, the lower of two; null without one."""
+    pos = f"CASE WHEN {origin} BETWEEN s.a AND s.z THEN {origin} WHEN s.z < {origin} THEN s.z ELSE s.a END"
+    return F.expr(f"array_min(filter(transform(transform({stretches}, s -> {pos}), p -> struct(abs(p - {origin}) AS far, p AS pos)), p -> p.far <= {limit})).pos")
+
+
+def _island(stretches: str, blank: str, seed: str) -> Column:
+    """The stretch (a, z) that holds the seed, of an array of stretches grown over gaps of fewer than `blank` places; the seed lies on one of them."""
+    grown = f"CASE WHEN i.a IS NULL THEN s WHEN s.a - i.z - 1 < {blank} THEN struct(i.a AS a, greatest(i.z, s.z) AS z) WHEN i.z >= {seed} THEN i ELSE s END"
+    return F.expr(f"aggregate(array_sort({stretches}), struct(cast(NULL AS int) AS a, cast(NULL AS int) AS z), (i, s) -> {grown})")
+
+
+#: An array of stretches `x`, of which those that overlap or touch become one.
+_MERGED = """aggregate(array_sort({x}), cast(array() AS array<struct<a:int,z:int>>), (m, s) -> CASE WHEN size(m) = 0 OR s.a - element_at(m, -1).z > 1 THEN concat(m, array(s))
+  ELSE concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a AS a, greatest(element_at(m, -1).z, s.z) AS z))) END)"""
 
 
-def _found(t: DataFrame, r: DataFrame, zoom: int) -> DataFrame:
-    """Boxes or reasons of tiles, from the runs(tap_id, y, x0, x1) on them."""
+def _found(t: DataFrame, zoom: int) -> DataFrame:
+    """Boxes or reasons of tiles with ink(y0, y1, x0, x1) on them, each worked out within its row."""
     half, band = HALF_LINE * zoom, HALF_BAND * zoom
-    place = t.select("tap_id", "ox", "oy", "tw", "th", "tx", "ty")
-    # each step goes on from a written table: all of them in one plan would hold too many sorts in one task
-    r = kept(r.join(place, "tap_id").select("tap_id", "tw", "th", "tx", "ty", "y", "x0", "x1"))
-    flag = lambda df, c: df.select("tap_id", F.col(c).alias("x0"), F.col(c).alias("x1"), "origin", "limit")
-
-    beside = r.filter(f"x1 >= greatest(0, tx - {band}) AND x0 <= least(tw - 1, tx + {band}) AND abs(y - ty) <= {2 * half}")
-    rows = beside.select("tap_id", "y", "th", F.col("ty").alias("origin"), F.lit(half).alias("limit")).distinct()
-    snapped = kept(nearest_flag(flag(rows, "y"), "tap_id").withColumnRenamed("pos", "ys"))
-    around = rows.join(snapped, "tap_id").filter(f"y BETWEEN greatest(0, ys - {half}) AND least(th - 1, ys + {half})")
-    line = island_of_seed(around.select("tap_id", F.col("y").alias("x0"), F.col("y").alias("x1"), F.lit(BLANK_LINES).alias("blank"), F.col("ys").alias("seed")), "tap_id")
-    line = kept(snapped.join(line.select("tap_id", F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.expr("x1 - x0 + 1").alias("line_h")), "tap_id"))
-
-    columns = merged(r.join(line, "tap_id").filter("y BETWEEN y0 AND y1"), "tap_id").join(line.select("tap_id", "line_h"), "tap_id").join(place, "tap_id")
-    columns = kept(columns.select("tap_id", "x0", "x1", "line_h", "tw", "tx"))
-    limit = F.greatest(F.lit(4), F.floor(F.col("line_h") * SNAP))
-    at = kept(nearest_flag(columns.select("tap_id", "x0", "x1", F.col("tx").alias("origin"), limit.alias("limit")), "tap_id").withColumnRenamed("pos", "xs"))
-    columns = columns.join(at, "tap_id")
-    reach = F.greatest(F.col("line_h"), F.floor(F.col("line_h") * WINDOW))
-    gaps = line_gaps(columns.withColumn("lo", F.greatest(F.lit(0), F.col("xs") - reach)).withColumn("hi", F.least(F.col("tw") - 1, F.col("xs") + reach)), "tap_id")
-    gaps = gaps.groupBy("tap_id").agg(F.array_sort(F.collect_list(F.col("gap").cast("int"))).alias("gaps"), F.percentile("gap", F.lit(0.5)).alias("mid"))
-    none = F.array().cast("array<int>")
-    found = line.join(at, "tap_id").join(gaps, "tap_id", "left").withColumn("gaps", F.coalesce("gaps", none))
-    found = found.withColumn("gap_threshold", gap_threshold(F.col("gaps"), F.col("line_h")).cast("int")).withColumn("median_gap", F.when(F.size("gaps") >= 2, F.col("mid")))
-    found = kept(found)
-
-    word = island_of_seed(columns.join(found.select("tap_id", "gap_threshold"), "tap_id").select("tap_id", "x0", "x1", F.col("gap_threshold").alias("blank"), F.col("xs").alias("seed")), "tap_id")
-    word = kept(found.join(word.select("tap_id", F.col("x0").alias("wx0"), F.col("x1").alias("wx1")), "tap_id").join(place, "tap_id"))
-    inside = r.select("tap_id", "y", "x0", "x1").join(word.select("tap_id", "wx0", "wx1", "ys", "line_h", "th"), "tap_id").filter(f"x1 >= wx0 AND x0 <= wx1 AND y BETWEEN greatest(0, ys - {half}) AND least(th - 1, ys + {half})")
-    own = kept(inside.select("tap_id", "y", F.col("ys").alias("origin"), F.col("line_h").alias("limit")).distinct())
-    seed = nearest_flag(flag(own, "y"), "tap_id").withColumnRenamed("pos", "seed")
-    tall = island_of_seed(own.join(seed, "tap_id").select("tap_id", F.col("y").alias("x0"), F.col("y").alias("x1"), F.lit(BLANK_LINES).alias("blank"), "seed"), "tap_id")
-    full = word.join(tall.select("tap_id", F.col("x0").alias("ty0"), F.col("x1").alias("ty1")), "tap_id", "left")
-    runaway = F.expr("ty1 - ty0") > F.expr("y1 - y0") * TALLEST
-    full = full.withColumn("top", F.when(runaway, F.col("y0")).otherwise(F.col("ty0"))).withColumn("bottom", F.when(runaway, F.col("y1")).otherwise(F.col("ty1")))
-
-    every = t.select("tap_id").join(snapped.select("tap_id", "ys"), "tap_id", "left").join(full.drop("ys"), "tap_id", "left")
+    lines = lambda lo, hi, where="true": f"transform(filter(ink, s -> s.y1 >= {lo} AND s.y0 <= {hi} AND {where}), s -> struct(cast(greatest(s.y0, {lo}) AS int) AS a, cast(least(s.y1, {hi}) AS int) AS z))"
+    at = t.withColumn("rows", F.expr(lines(f"(ty - {2 * half})", f"(ty + {2 * half})", f"s.x1 >= greatest(0, tx - {band}) AND s.x0 <= least(tw - 1, tx + {band})")))
+    at = _settled(_settled(at).withColumn("ys", _nearest("rows", "ty", str(half))))
+    around = f"transform(filter(rows, s -> s.z >= greatest(0, ys - {half}) AND s.a <= least(th - 1, ys + {half})), s -> struct(greatest(s.a, 0, ys - {half}) AS a, least(s.z, th - 1, ys + {half}) AS z))"
+    at = at.withColumn("line", F.when(F.col("ys").isNotNull(), _island(around, str(BLANK_LINES), "ys"))).withColumns({"y0": F.col("line.a"), "y1": F.col("line.z"), "line_h": F.expr("line.z - line.a + 1")})
+    at = _settled(at.drop("rows", "line"))
+
+    columns = "transform(filter(ink, s -> s.y1 >= y0 AND s.y0 <= y1), s -> struct(cast(s.x0 AS int) AS a, cast(s.x1 AS int) AS z))"
+    at = _settled(at.withColumn("cols", F.expr(_MERGED.format(x=columns))))
+    at = at.withColumn("xs", _nearest("cols", "tx", f"greatest(4, line_h * {SNAP})"))
+    at = at.withColumns({"lo": F.expr(f"greatest(0, xs - line_h * {WINDOW})"), "hi": F.expr(f"least(tw - 1, xs + line_h * {WINDOW})")})
+    at = _settled(at).withColumn("inside", F.expr("transform(filter(cols, s -> s.z >= lo AND s.a <= hi), s -> struct(greatest(s.a, lo) AS a, least(s.z, hi) AS z))"))
+    between = "if(size(inside) > 1, transform(sequence(2, size(inside)), i -> inside[i - 1].a - inside[i - 2].z - 1), cast(array() AS array<int>))"
+    at = at.withColumn("gaps", F.when(F.col("xs").isNotNull(), F.expr(f"array_sort(filter({between}, g -> g > 0))")))
+    at = _settled(at.drop("inside", "lo", "hi"))
+    at = at.withColumn("gap_threshold", F.when(F.col("xs").isNotNull(), gap_threshold(F.col("gaps"), F.col("line_h")).cast("int")))
+    at = at.withColumn("median_gap", F.expr("if(size(gaps) >= 2, (gaps[cast((size(gaps) - 1) div 2 AS int)] + gaps[cast(size(gaps) div 2 AS int)]) / 2, cast(NULL AS double))"))
+    at = _settled(at).withColumn("word", F.when(F.col("xs").isNotNull(), _island("cols", "gap_threshold", "xs"))).withColumns({"wx0": F.col("word.a"), "wx1": F.col("word.z")})
+    at = _settled(at.drop("word", "cols"))
+    at = at.withColumn("own", F.when(F.col("xs").isNotNull(), F.expr(lines(f"greatest(0, ys - {half})", f"least(th - 1, ys + {half})", "s.x1 >= wx0 AND s.x0 <= wx1"))))
+    at = _settled(_settled(at.drop("ink")).withColumn("seed", _nearest("own", "ys", "line_h")))
+    at = at.withColumn("tall", F.when(F.col("seed").isNotNull(), _island("own", str(BLANK_LINES), "seed")))
+    runaway = F.expr("tall.z - tall.a") > F.expr("y1 - y0") * TALLEST
+    at = at.withColumn("top", F.when(runaway, F.col("y0")).otherwise(F.col("tall.a"))).withColumn("bottom", F.when(runaway, F.col("y1")).otherwise(F.col("tall.z")))
+    every = _settled(at.drop("own", "tall")).withColumn("line_h", F.when(F.col("xs").isNotNull(), F.col("line_h")))
     #: The reasons.
     reason = (
         F.when(F.col("ys").isNull(), "no ink near the tap row")
@@ -194,4 +214,4 @@ def _found(t: DataFrame, r: DataFrame, zoom: int) -> DataFrame:
     pw, ph = F.least(F.col("tw") - 1, F.col("wx1") + pad_x) - px0 + 1, F.least(F.col("th") - 1, F.col("bottom") + pad_y) - py0 + 1
     box = tile_to_native((px0, py0, pw, ph), float(zoom), F.col("ox"), F.col("oy"))
     every = every.withColumn("reason", reason)
-    return every.select("tap_id", "reason", *[F.when(F.col("reason").isNull(), c).alias(n) for n, c in zip("xywh", box, strict=True)], "gap_threshold", "median_gap", "line_h", "gaps")
+    return _settled(every).select("tap_id", "reason", *[F.when(F.col("reason").isNull(), c).alias(n) for n, c in zip("xywh", box, strict=True)], "gap_threshold", "median_gap", "line_h", "gaps")

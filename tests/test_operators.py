@@ -181,12 +181,13 @@ def test_slabs_of_boxes_hold_the_cells_of_the_runs(spark):
 
 
 def small_tables(spark, at, pages=60, lines=5):
-    """The columns of lineitem, orders and events that boxes, taps and points come from."""
+    """The columns of lineitem, orders, events and embeddings that boxes, taps and points come from."""
     r = random.Random(8)
     tables = {
         "lineitem": ([(p, r.randrange(2000), r.randrange(100), k, float(r.randrange(1, 51))) for p in range(pages) for k in range(1, lines + 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"),
         "orders": ([(p,) for p in range(pages)], "o_orderkey long"),
         "events": ([(i, i % 7, "2024-01-01 00:00:00", r.choice(["click", "signup"]), r.uniform(0, 500), json.dumps({"k": r.randrange(100)})) for i in range(2 * pages)], "event_id long, user_id long, ts string, event_type string, value double, props string"),
+        "embeddings": ([(i, [r.uniform(-0.5, 0.5) for _ in range(64)]) for i in range(9)], "vec_id long, embedding array<float>"),
     }
     for name, (values, schema) in tables.items():
         spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
@@ -214,8 +215,9 @@ ROWS_A_BOX = {
     "trim_regions": 2,
     "widest_gutters": 2,
     "cut_level1": 2,
-    "cut_rects": 4,
     "cut_panels": 10,
+    "cut_rects": 4,
+    "word_boxes": 8,
 }
 
 
@@ -223,11 +225,28 @@ ROWS_A_BOX = {
 def test_boxes_are_not_exchanged_line_by_line(spark, tmp_path, monkeypatch, name):
     """Nor does a query write what it goes on from."""
     boxes = small_tables(spark, tmp_path)
-    monkeypatch.setattr(cut, "kept", lambda df: pytest.fail("written"))
+    for m in (cut, words):
+        monkeypatch.setattr(m, "kept", lambda df: pytest.fail("written"), raising=False)
     got, n = exchanged(queries.QUERIES[name](spark, str(tmp_path)))
     assert got and n <= ROWS_A_BOX[name] * boxes
 
 
+def test_filters_on_word_boxes_do_not_repeat_how_they_are_worked_out(spark, tmp_path):
+    """A plan in which the optimizer puts expressions in the place of names takes all of the driver's memory."""
+    small_tables(spark, tmp_path)
+    plan = queries.QUERIES["word_boxes"](spark, str(tmp_path)).filter("x IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
+
+
+def test_slabs_of_equal_luminance(spark):
+    r = random.Random(6)
+    cells = [(p, x, y, r.choice([10, 10, 200])) for p in range(4) for x in range(3 * p, 9 + p) for y in range(7) if r.random() < 0.9]
+    r.shuffle(cells)
+    got = raster.slabs_of_cells(spark.createDataFrame(cells, "page_id long, x int, y int, lum int")).select("page_id", F.inline("slabs")).collect()
+    assert sorted((s["page_id"], x, y, s["lum"]) for s in got for x in range(s["x0"], s["x1"] + 1) for y in range(s["y0"], s["y1"] + 1)) == sorted(cells)
+    assert len(got) < len(cells) / 1.5
+
+
 def test_slabs_of_a_crowded_page_come_in_strips(spark, monkeypatch):
     r = random.Random(3)
     boxes = [(1, r.randrange(40), r.randrange(40), r.randrange(1, 9), r.randrange(1, 9)) for _ in range(50)] + [(2, 3, 3, 2, 2), (3, 1, 1, 0, 4), (4, None, 1, 2, 2)]
