@@ -218,6 +218,7 @@ ROWS_A_BOX = {
     "cut_panels": 10,
     "cut_rects": 4,
     "word_boxes": 8,
+    "assemble_reviews": 10,
 }
 
 
