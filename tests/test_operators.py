@@ -219,6 +219,7 @@ ROWS_A_BOX = {
     "cut_rects": 4,
     "word_boxes": 8,
     "assemble_reviews": 10,
+    "word_boxes_lum": 4,
 }
 
 
