@@ -391,6 +391,17 @@ def test_bitmaps_are_read_as_written(spark, tmp_path):
     assert cells == sorted((i % w, i // w) for i, v in enumerate(lum) if abs(v - bg) > 40)
 
 
+def test_bitmaps_go_in_parts(spark, tmp_path, monkeypatch):
+    small_tables(spark, tmp_path)
+    name, real, listed = str(tmp_path), logs.read_page_images, []
+    monkeypatch.setattr(logs, "read_page_images", lambda s, path: listed.append(len(list(Path(path.removeprefix("file:")).glob("page_id=*")))) or real(s, path))
+    want = rows(queries.QUERIES["page_bitmaps"](spark, name))
+    assert want and listed.pop() == 9 and not listed
+    monkeypatch.setattr(queries, "FILES_AT_ONCE", 1)
+    assert rows(queries.QUERIES["page_bitmaps"](spark, name)) == want
+    assert sum(listed) == 9 and max(listed) < 9
+
+
 def test_sinks(spark, tmp_path):
     v = spark.createDataFrame([(1, "manga", "auto", False), (2, "comic", "auto", False)], "page_id long, mode string, detector string, border_split boolean")
     for df in (v, v.filter("mode = 'comic'").withColumn("page_id", F.lit(9).cast("long"))):
